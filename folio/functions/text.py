@@ -34,7 +34,7 @@ def clean(s: Column) -> Column:
     s = horizontal(dehyphenate(line_endings(s)))
 
     def paragraph(p: Column) -> Column:
-        lines = F.filter(F.transform(F.split(p, "\n"), F.trim), lambda x: x != "")
+        lines = F.filter(F.transform(F.split(p, "\n"), lambda x: F.trim(x)), lambda x: x != "")
         marked = F.exists(lines, lambda x: x.rlike(r"^([-*•–—]\s|\d+[.)]\s|[>#]\s)"))
         return F.when(marked, F.array_join(lines, "\n")).otherwise(F.array_join(lines, " "))
 
@@ -47,7 +47,7 @@ def sentences(s: Column) -> Column:
     """Sentences: cut after . ! ? (and closing quotes) before a capital, digit or opening quote; not after abbreviations and initials."""
     guard = "(?<!\\b(?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r"|[A-Za-z])\.)"
     cut = F.regexp_replace(s, r"([.!?]+[\"'\)\]”’]*)" + guard + r"\s+(?=[A-Z0-9\"'“‘])", "$1\u0001")
-    return F.filter(F.transform(F.split(cut, "\u0001"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(cut, "\u0001"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def char_count(s: Column) -> Column:

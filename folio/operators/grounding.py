@@ -23,15 +23,20 @@ def claims(answers: DataFrame, key: str = "answer_id", text: str = "text") -> Da
     return c.select(key, n.alias("claim_index"), "claim")
 
 
+def word_of(words: tuple[str, ...]) -> str:
+    """A pattern for any of the words, as whole words of letters of any script."""
+    return r"(^|[^\p{L}\p{N}_])(" + "|".join(words) + r")($|[^\p{L}\p{N}_])"
+
+
 def has_verb(s: Column) -> Column:
-    return F.lower(s).rlike(r"\b(" + "|".join(VERBS) + r")\b")
+    return F.lower(s).rlike(word_of(VERBS))
 
 
 def claim_form(s: Column) -> Column:
     """numerical, list, short_span, noun_phrase or declarative."""
     words = T.word_count(s)
     numeric = s.rlike(r"^[$]?\d[\d,]*(\.\d+)?\s*(%|percent|million|billion|km|kg|years?)?\.?$")
-    listed = F.lower(s).rlike(r",|\b(and|or)\b") & (words <= 12)
+    listed = F.lower(s).rlike("," + "|" + word_of(("and", "or"))) & (words <= 12)
     return F.when(words == 0, "short_span").when(numeric, "numerical").when(listed & ~has_verb(s), "list").when(has_verb(s), "declarative").when(words <= 5, "short_span").otherwise("noun_phrase")
 
 

@@ -80,7 +80,7 @@ def sub_questions(q: Column) -> Column:
     """Up to three parts, cut before a second question word or at question marks."""
     marked = F.regexp_replace(q, r"(?i),?\s+and (?=(how|what|why|when|where|who|which)\b)", "\u0001")
     parts = F.split(F.regexp_replace(marked, r"\?+\s*", "\u0001"), "\u0001")
-    return F.slice(F.filter(F.transform(parts, F.trim), lambda x: x != ""), 1, 3)
+    return F.slice(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), 1, 3)
 
 
 def plan(queries: DataFrame, column: str = "query") -> DataFrame:

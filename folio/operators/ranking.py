@@ -50,5 +50,5 @@ def round_robin(rows: DataFrame, group: str, kind: str, position: str, limit: in
     w = Window.partitionBy(group)
     turn = F.row_number().over(Window.partitionBy(group, kind).orderBy(position))
     first = F.min(position).over(Window.partitionBy(group, kind))
-    r = rows.withColumn("turn", turn).withColumn("first", first)
-    return r.withColumn("pick", F.row_number().over(w.orderBy("turn", "first", position))).where(F.col("pick") <= limit)
+    r = rows.withColumn("_turn", turn).withColumn("_first", first)
+    return r.withColumn("pick", F.row_number().over(w.orderBy("_turn", "_first", position))).where(F.col("pick") <= limit).drop("_turn", "_first")

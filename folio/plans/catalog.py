@@ -1,6 +1,557 @@
-"""The reference operators as queries over the standard tables, with equivalent SQL for each where SQL can say it."""
+"""The reference operators as queries over the standard tables, with equivalent SQL for each where SQL can say it.
+
+conversations stand for documents with pages (conv_id, turn + 1), embeddings for chunk vectors (label: document or relevance class),
+benchmark for questions, events for latency samples. Query vectors are those whose id is divisible by 100.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from folio.functions import text as T
+from folio.operators import chunking, evaluation, evidence, grounding, planner, qa, questions, ranking, store, vectors
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), (F.col("turn") + 1).cast("int").alias("page_number"), "role", "text")
+
+
+ASKED = "vec_id % 100 = 0"
+DOT = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+TOPK = f"""q AS (SELECT vec_id AS query_id, label AS ql, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, ql, vec_id, label, round(greatest(-1.0, least(1.0, {DOT.format(a='qe', b='embedding')})), 6) AS score FROM q, embeddings WHERE vec_id <> query_id)"""
+RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"
+
+
+@query(f"WITH {TOPK} SELECT query_id, vec_id, score, rank FROM (SELECT *, CAST({RANKED} AS INTEGER) AS rank FROM s) WHERE rank <= 5")
+def vector_topk_batch(spark, d):
+    e = read(spark, d, "embeddings")
+    return vectors.top_k_batch(e, e.where(ASKED), 5)
+
+
+@query(f"WITH {TOPK} SELECT query_id, vec_id, score, rank FROM (SELECT *, CAST({RANKED} AS INTEGER) AS rank FROM s WHERE label = ql) WHERE rank <= 5")
+def vector_topk_filtered_pre(spark, d):
+    e = read(spark, d, "embeddings")
+    return vectors.top_k_batch(e, e.where(ASKED), 5, same_label=True)
+
+
+@query(f"WITH {TOPK}, w AS (SELECT *, {RANKED} AS r FROM s), k AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r) AS INTEGER) AS rank FROM w WHERE r <= 30 AND label = ql) SELECT * FROM k WHERE rank <= 3")
+def vector_topk_filtered_post(spark, d):
+    e = read(spark, d, "embeddings")
+    return vectors.top_k_post_filter(e, e.where(ASKED), 3)
+
+
+@query(f"SELECT e.vec_id, round(greatest(-1.0, least(1.0, {DOT.format(a='e.embedding', b='q.embedding')})), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk_single(spark, d):
+    e = read(spark, d, "embeddings")
+    return vectors.top_k(e, e.where("vec_id = 0").first().embedding, 10)
+
+
+@query(f"SELECT vec_id, round(sqrt({DOT.format(a='embedding', b='embedding')}), 6) AS norm FROM embeddings")
+def vector_norms(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (embedding IS NULL) AS missing, count(*) FILTER (len(embedding) <> 64) AS wrong_dimension, count(*) FILTER (len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0) AS not_finite FROM embeddings")
+def vector_dimension_audit(spark, d):
+    return vectors.dimension_audit(read(spark, d, "embeddings"), 64)
+
+
+@query("SELECT count(*) AS n_vectors, string_agg(DISTINCT CAST(label AS VARCHAR), ',' ORDER BY CAST(label AS VARCHAR)) AS groups, CAST(max(len(embedding)) AS INTEGER) AS dimension FROM embeddings")
+def index_metadata(spark, d):
+    return vectors.index_metadata(read(spark, d, "embeddings"), "label")
+
+
+@query("SELECT count(*) AS n, count(*) = count(DISTINCT vec_id) AND coalesce(min(vec_id), 0) = 0 AND coalesce(max(vec_id), -1) = count(*) - 1 AS contiguous FROM embeddings")
+def index_slots(spark, d):
+    return store.slots_contiguous(read(spark, d, "embeddings"), "vec_id")
+
+
+@query("SELECT doc_id, vec_id IS NOT NULL AS embedded, CAST(coalesce(len(embedding), 0) AS INTEGER) AS dimension FROM documents LEFT JOIN embeddings ON doc_id = vec_id")
+def embedding_upsert(spark, d):
+    chunks = read(spark, d, "documents").select("doc_id", F.lit(None).cast("array<float>").alias("embedding"))
+    up = store.upsert_vectors(chunks, read(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding", 64)
+    return up.select("doc_id", F.col("embedding").isNotNull().alias("embedded"), F.greatest(F.coalesce(F.size("embedding"), F.lit(0)), F.lit(0)).alias("dimension"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (label <> 3 AND embedding IS NOT NULL) AS left_over FROM embeddings")
+def embedding_delete(spark, d):
+    e = store.clear_vectors(read(spark, d, "embeddings"), "embedding", F.col("label") == 3)
+    return e.agg(F.count("*").alias("n"), F.count("embedding").alias("left_over"))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def unembedded_chunks(spark, d):
+    return read(spark, d, "documents").join(read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id", "n_chars")
+
+
+def _pools(spark, d) -> DataFrame:
+    e = read(spark, d, "embeddings")
+    found = vectors.top_k_batch(e, e.where(ASKED), 20)
+    return found.select((F.col("query_id") / 300).cast("bigint").alias("plan_id"), (F.col("query_id") / 100 % 3).cast("bigint").alias("position"), F.col("query_id").alias("sub_query"), F.col("vec_id").alias("item"), "score", "rank")
+
+
+POOLS = f"""{TOPK}, pools AS (SELECT query_id // 300 AS plan_id, query_id // 100 % 3 AS position, query_id AS sub_query, vec_id AS item, score, rank FROM (SELECT *, CAST({RANKED} AS INTEGER) AS rank FROM s) WHERE rank <= 20)"""
+
+
+@query(f"""WITH {POOLS}, g AS (SELECT plan_id, item, max(score) AS score, first(rank ORDER BY score DESC, position) AS original_rank, min(position) AS first_seen, string_agg(CAST(sub_query AS VARCHAR), ',' ORDER BY position) AS matched FROM pools GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY score DESC, first_seen, item) AS INTEGER) AS rank FROM g""")
+def multi_query_merge(spark, d):
+    return ranking.merge(_pools(spark, d))
+
+
+RERANK = f"""WITH {TOPK}, pool AS (SELECT query_id, vec_id AS item, score, {RANKED} AS original_rank FROM s), cut AS (SELECT *, (item * 7919 + query_id) % 101 / 100.0 AS new_score FROM pool WHERE original_rank <= 20),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY new_score DESC, score DESC, original_rank) AS rank FROM cut)"""
+
+
+def _reranked(spark, d, n: int) -> DataFrame:
+    e = read(spark, d, "embeddings")
+    pool = vectors.top_k_batch(e, e.where(ASKED), 20).withColumnRenamed("vec_id", "item")
+    return ranking.rerank(pool, (F.col("item") * 7919 + F.col("query_id")) % 101 / 100.0, n)
+
+
+@query(RERANK + " SELECT query_id, item, score, CAST(original_rank AS INTEGER) AS original_rank, CAST(new_score AS DOUBLE) AS new_score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
+def rerank_order(spark, d):
+    return _reranked(spark, d, 5)
+
+
+@query(RERANK + " SELECT query_id, item, CAST(original_rank - rank AS INTEGER) AS moved, CASE WHEN original_rank > rank THEN 'up' WHEN original_rank < rank THEN 'down' ELSE 'same' END AS direction FROM r WHERE rank <= 20")
+def rank_movement(spark, d):
+    return _reranked(spark, d, 20).select("query_id", "item", ranking.movement().alias("m")).select("query_id", "item", "m.moved", "m.direction")
+
+
+@query(RERANK + " SELECT query_id, count(*) AS kept, max(CAST(original_rank AS INTEGER)) AS deepest FROM r WHERE rank <= 5 GROUP BY query_id")
+def candidate_cascade(spark, d):
+    return _reranked(spark, d, 5).groupBy("query_id").agg(F.count("*").alias("kept"), F.max("original_rank").alias("deepest"))
+
+
+@query("SELECT vec_id, round(CASE WHEN vec_id % 2 = 0 THEN greatest(5.0, least(100.0, 100 / (1 + exp(-(vec_id % 17 - 8.0))))) ELSE greatest(0.0, least(100.0, 100 * (vec_id % 13 - 2) / 10.0)) END, 2) AS shown FROM embeddings")
+def display_scores(spark, d):
+    v = F.col("vec_id")
+    return read(spark, d, "embeddings").select("vec_id", ranking.display_score((v % 13 - 2) / 10.0, F.when(v % 2 == 0, v % 17 - 8.0)).alias("shown"))
+
+
+def _hits(spark, d, k: int = 10, invert: bool = False) -> tuple[DataFrame, DataFrame]:
+    e = read(spark, d, "embeddings")
+    asked = e.where(ASKED)
+    found = vectors.top_k_batch(e, asked, k)
+    lab = e.select(F.col("vec_id"), F.col("label").alias("hit"))
+    q = asked.select(F.col("vec_id").alias("query_id"), F.col("label").alias("want"))
+    rank = (k + 1 - F.col("rank")) if invert else F.col("rank")
+    hits = found.join(lab, "vec_id").join(q, "query_id").select("query_id", F.col("vec_id").alias("item"), rank.alias("rank"), (F.col("hit") == F.col("want")).alias("relevant"))
+    n = q.join(e.groupBy(F.col("label").alias("want")).agg((F.count("*") - 1).alias("n_relevant")), "want").select("query_id", "n_relevant")
+    return hits, n
+
+
+HITS = f"""{TOPK}, h AS (SELECT query_id, vec_id, rank, label = ql AS rel FROM (SELECT *, CAST({RANKED} AS INTEGER) AS rank FROM s) WHERE rank <= 10),
+nrel AS (SELECT query_id, (SELECT count(*) - 1 FROM embeddings e WHERE e.label = q.ql) AS n_relevant FROM q)"""
+METRICS = "SELECT n.query_id, n.n_relevant, " + ", ".join(f"round(coalesce(CASE WHEN n_relevant > 0 THEN count(*) FILTER (rel AND rank <= {k}) / n_relevant ELSE 0.0 END, 0.0), 4) AS recall_{k}" for k in (1, 3, 5, 10)) + ", " + ", ".join(f"round(count(*) FILTER (rel AND rank <= {k}) / {k}, 4) AS precision_{k}" for k in (1, 3, 5, 10)) + ", round(coalesce(1 / min(rank) FILTER (rel), 0.0), 4) AS rr, min(rank) FILTER (rel) AS first_rank FROM nrel n LEFT JOIN {h} h ON h.query_id = n.query_id GROUP BY n.query_id, n.n_relevant"
+
+
+@query(f"WITH {HITS}, m AS ({METRICS.replace('{h}', 'h')}) SELECT * REPLACE (coalesce(first_rank, 0) AS first_rank) FROM m")
+def recall_precision_at_k(spark, d):
+    return evaluation.retrieval_metrics(*_hits(spark, d)).withColumn("first_rank", F.coalesce("first_rank", F.lit(0)))
+
+
+@query(f"WITH {HITS}, m AS ({METRICS.replace('{h}', 'h')}) SELECT count(*) AS queries, " + ", ".join(f"round(avg({m}_{k}), 4) AS {m}_{k}" for m in ("recall", "precision") for k in (1, 3, 5, 10)) + ", round(avg(rr), 4) AS mrr FROM m WHERE n_relevant > 0")
+def mrr(spark, d):
+    return evaluation.aggregate_retrieval(evaluation.retrieval_metrics(*_hits(spark, d)))
+
+
+@query(f"""WITH {HITS}, h2 AS (SELECT query_id, vec_id, 11 - rank AS rank, rel FROM h), a AS ({METRICS.replace('{h}', 'h')}), b AS ({METRICS.replace('{h}', 'h2')}),
+j AS (SELECT a.rr AS rr1, b.rr AS rr2, a.first_rank AS r1, b.first_rank AS r2 FROM a JOIN b USING (query_id) WHERE a.n_relevant > 0),
+g AS (SELECT round(avg(rr1), 4) AS mrr_before, round(avg(rr2), 4) AS mrr_after, count(*) FILTER ((r1 IS NULL AND r2 IS NOT NULL) OR r2 < r1) AS improved, count(*) FILTER ((r1 IS NOT NULL AND r2 IS NULL) OR r2 > r1) AS degraded, count(*) FILTER (r1 IS NOT DISTINCT FROM r2) AS unchanged FROM j),
+e AS (SELECT *, round(mrr_after - mrr_before, 4) AS delta FROM g) SELECT *, CASE WHEN delta > 0 OR improved > degraded THEN 'improved' WHEN delta < 0 OR degraded > improved THEN 'degraded' ELSE 'neutral' END AS effect FROM e""")
+def stage_comparison(spark, d):
+    return evaluation.compare_stages(evaluation.retrieval_metrics(*_hits(spark, d)), evaluation.retrieval_metrics(*_hits(spark, d, invert=True)))
+
+
+@query("SELECT source, count(*) AS n, round((count(*) - count(DISTINCT text)) / count(*), 4) AS duplicate_rate FROM documents GROUP BY source")
+def duplicate_rate(spark, d):
+    return evaluation.duplicate_rate(read(spark, d, "documents"), "source", "text")
+
+
+TOKENS = "regexp_extract_all(lower({c}), '([a-z0-9]+)', 1)"
+TURNS = "t AS (SELECT conv_id * 100 + turn AS pair_id, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), p AS (SELECT pair_id, " + TOKENS.format(c="a") + " AS a, " + TOKENS.format(c="b") + " AS b FROM t WHERE b IS NOT NULL)"
+
+
+@query(f"""WITH {TURNS}, x AS (SELECT pair_id, t, count(*) AS n FROM (SELECT pair_id, unnest(a) AS t FROM p) GROUP BY ALL), y AS (SELECT pair_id, t, count(*) AS n FROM (SELECT pair_id, unnest(b) AS t FROM p) GROUP BY ALL),
+c AS (SELECT pair_id, sum(least(x.n, y.n)) AS common FROM x JOIN y USING (pair_id, t) GROUP BY pair_id)
+SELECT pair_id, CAST(coalesce(common, 0) AS BIGINT) AS common, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN coalesce(common, 0) = 0 THEN 0.0 ELSE 2.0 * CAST(common AS DOUBLE) / (len(a) + len(b)) END, 4) AS f1 FROM p LEFT JOIN c USING (pair_id)""")
+def token_f1(spark, d):
+    c = read(spark, d, "conversations").withColumn("pair_id", F.col("conv_id") * 100 + F.col("turn"))
+    c = c.withColumn("b", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b is not null")
+    return evaluation.token_f1(c, T.tokens(F.col("text")), T.tokens(F.col("b")))
+
+
+@query("SELECT conv_id, turn, regexp_matches(lower(coalesce(text, '')), 'cannot answer|can[''’]t answer|not enough information|insufficient evidence|no relevant|unable to|not found in|don[''’]t know') OR trim(coalesce(text, '')) = '' AS refused FROM conversations WHERE role = 'assistant'")
+def refusal_detection(spark, d):
+    return read(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", grounding.refused(F.col("text")).alias("refused"))
+
+
+@query("SELECT lang, source, count(*) AS documents, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic, round(avg(n_chars), 4) AS mean_chars FROM documents LEFT JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((), (lang), (lang, source))")
+def category_report(spark, d):
+    j = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left")
+    return j.groupingSets([[], ["lang"], ["lang", "source"]], "lang", "source").agg(F.count("*").alias("documents"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.round(F.avg("n_chars"), 4).alias("mean_chars"))
+
+
+@query("""WITH c AS (SELECT source, avg(CASE WHEN quality = 0 THEN 1.0 ELSE 0.0 END) AS refusal, avg(CAST(quality AS DOUBLE)) AS mrr, avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END) AS success, max(toxic) AS fr, bool_or(quality = 0) AS neg FROM documents JOIN labels USING (doc_id) GROUP BY source)
+SELECT source, CASE WHEN neg THEN CASE WHEN refusal = 1.0 THEN 'PASS' WHEN refusal >= 0.75 THEN 'WARNING' ELSE 'FAIL' END WHEN mrr >= 0.8 AND success >= 0.75 AND fr = 0 THEN 'PASS' WHEN mrr >= 0.5 OR success >= 0.5 THEN 'WARNING' ELSE 'FAIL' END AS verdict FROM c""")
+def query_type_verdicts(spark, d):
+    j = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id")
+    g = j.groupBy("source").agg(F.avg((F.col("quality") == 0).cast("double")).alias("refusal"), F.avg("quality").alias("mrr"), F.avg((F.col("toxic") == 0).cast("double")).alias("success"), F.max("toxic").alias("fr"), F.bool_or(F.col("quality") == 0).alias("neg"))
+    return g.select("source", evaluation.verdict(F.col("neg"), F.col("refusal"), F.col("mrr"), F.col("success"), F.col("fr")).alias("verdict"))
+
+
+@query("""WITH c AS (SELECT lang, count(*) FILTER (quality = 0 AND toxic = 1) AS wrong, avg(CAST(quality AS DOUBLE)) AS prec, avg(CAST(toxic AS DOUBLE)) AS fr FROM documents JOIN labels USING (doc_id) GROUP BY lang)
+SELECT lang, CASE WHEN wrong > 0 THEN 'FAIL' WHEN prec < 1 OR fr > 0.1 THEN 'WARNING' ELSE 'PASS' END AS status FROM c""")
+def safety_report(spark, d):
+    j = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id")
+    g = j.groupBy("lang").agg(F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("wrong"), F.avg("quality").alias("prec"), F.avg("toxic").alias("fr"))
+    return g.select("lang", evaluation.safety(F.col("wrong"), F.col("prec"), F.col("fr")).alias("status"))
+
+
+@query("""WITH g AS (SELECT conv_id, list(DISTINCT turn) AS required, list(DISTINCT turn) FILTER (role = 'user') AS retrieved FROM conversations GROUP BY conv_id)
+SELECT conv_id, round(len(list_intersect(required, coalesce(retrieved, []))) / len(required), 4) AS covered, len(list_filter(required, lambda x: NOT list_contains(coalesce(retrieved, []), x))) = 0 AS complete FROM g""")
+def multipage_coverage(spark, d):
+    g = read(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set("turn").alias("required"), F.collect_set(F.when(F.col("role") == "user", F.col("turn"))).alias("retrieved"))
+    return g.select("conv_id", evaluation.page_coverage(F.col("required"), F.col("retrieved")).alias("p")).select("conv_id", "p.covered", "p.complete")
+
+
+LATENCY = "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.95), 4) AS p95, round(min(value), 4) AS least, round(max(value), 4) AS greatest FROM events WHERE value IS NOT NULL GROUP BY event_type"
+
+
+@query(f"SELECT *, mean >= 1073741824 AS bottleneck FROM ({LATENCY})")
+def latency_percentiles(spark, d):
+    return evaluation.latency(read(spark, d, "events"), "event_type", "value")
+
+
+@query(f"WITH s AS ({LATENCY}) SELECT (SELECT event_type FROM s ORDER BY mean DESC, event_type LIMIT 1) AS slowest, round(sum(mean), 4) AS mean, round(sum(median), 4) AS median, round(sum(p95), 4) AS p95 FROM s")
+def latency_report(spark, d):
+    return evaluation.latency_report(evaluation.latency(read(spark, d, "events"), "event_type", "value"), "event_type")
+
+
+BUDGET = """WITH e AS (SELECT conv_id AS query_id, turn AS rank, turn + 1 AS page, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE trim(coalesce(text, '')) <> ''),
+b AS (SELECT *, '[Page ' || page || '] ' || text AS block FROM e), c AS (SELECT *, greatest(1, CAST(floor(length(block) / 3.5) AS INTEGER)) AS tok FROM b),
+k AS (SELECT *, CASE WHEN n = 1 AND tok > 200 THEN 200 ELSE tok + CAST(n > 1 AS INTEGER) END AS cost, CASE WHEN n = 1 AND tok > 200 THEN substr(block, 1, 700) || '...' ELSE block END AS shown FROM c),
+u AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM k)"""
+
+
+@query(BUDGET + " SELECT query_id, string_agg(shown, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS blocks, CAST(max(used) AS BIGINT) AS used FROM u WHERE used <= 200 GROUP BY query_id")
+def evidence_budget(spark, d):
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), (F.col("turn") + 1).alias("page"), "text")
+    return evidence.prompts(evidence.pack(c, 230, 30))
+
+
+CLAIMS = r"""cl AS (SELECT conv_id * 100 + turn AS answer_id, pos, claim FROM (SELECT conv_id, turn, generate_subscripts(parts, 1) AS pos, unnest(parts) AS claim FROM (SELECT conv_id, turn, list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(regexp_replace(s, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS parts FROM conversations WHERE role = 'assistant')) WHERE length(claim) >= 3),
+claims AS (SELECT answer_id, CAST(row_number() OVER (PARTITION BY answer_id ORDER BY pos) - 1 AS INTEGER) AS claim_index, claim FROM cl)"""
+
+
+def _claims(spark, d) -> DataFrame:
+    a = read(spark, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), "text")
+    return grounding.claims(a)
+
+
+@query(f"WITH {CLAIMS} SELECT * FROM claims")
+def claim_decompose(spark, d):
+    return _claims(spark, d)
+
+
+_VERBS, _ANDOR = grounding.word_of(grounding.VERBS), grounding.word_of(("and", "or"))
+
+
+@query(f"""WITH {CLAIMS}, f AS (SELECT *, len(list_filter(regexp_split_to_array(claim, '\\s+'), lambda x: x <> '')) AS w, regexp_matches(lower(claim), '{_VERBS}') AS v FROM claims)
+SELECT form, count(*) AS n FROM (SELECT CASE WHEN w = 0 THEN 'short_span' WHEN regexp_matches(claim, '^[$]?\\d[\\d,]*(\\.\\d+)?\\s*(%|percent|million|billion|km|kg|years?)?\\.?$') THEN 'numerical' WHEN regexp_matches(lower(claim), ',|{_ANDOR}') AND w <= 12 AND NOT v THEN 'list' WHEN v THEN 'declarative' WHEN w <= 5 THEN 'short_span' ELSE 'noun_phrase' END AS form FROM f) GROUP BY form""")
+def claim_forms(spark, d):
+    return _claims(spark, d).groupBy(grounding.claim_form(F.col("claim")).alias("form")).agg(F.count("*").alias("n"))
+
+
+def _claim_pairs(spark, d) -> DataFrame:
+    ev = read(spark, d, "conversations").where("role = 'user'").select("conv_id", F.col("turn").alias("evidence_rank"), F.col("text").alias("evidence"))
+    top = ev.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("evidence_rank"))).where("r <= 5")
+    c = _claims(spark, d).withColumn("conv_id", (F.col("answer_id") / 100).cast("bigint"))
+    e = c.join(top, "conv_id").withColumn("entailment", grounding.lexical_entailment(F.col("claim"), F.col("evidence")))
+    return e.select("answer_id", "conv_id", "claim_index", "evidence_rank", "entailment", F.lit(0.0).alias("contradiction"), grounding.relevant(F.col("claim"), F.col("evidence")).alias("relevant"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+CONTENT = f"list_distinct(list_filter({TOKENS}, lambda x: NOT list_contains([{_STOP}], x)))"
+STATUS = f"""{CLAIMS}, ev AS (SELECT * FROM (SELECT conv_id, turn AS evidence_rank, {CONTENT.format(c='text')} AS et, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'user') WHERE r <= 5),
+ct AS (SELECT answer_id, claim_index, answer_id // 100 AS conv_id, {CONTENT.format(c='claim')} AS t FROM claims),
+pairs AS (SELECT answer_id, conv_id, claim_index, evidence_rank, CASE WHEN len(t) = 0 THEN 0.0 ELSE round(len(list_intersect(t, et)) / len(t), 6) END AS entailment FROM ct JOIN ev USING (conv_id)),
+st AS (SELECT answer_id, conv_id, claim_index, max(entailment) AS entailment, first(evidence_rank ORDER BY entailment DESC, evidence_rank) AS best_evidence, CASE WHEN max(entailment) >= 0.8 THEN 'entailed' ELSE 'unsupported' END AS status FROM pairs GROUP BY ALL)"""
+
+
+@query(f"WITH {STATUS} SELECT answer_id, claim_index, entailment, best_evidence, 0.0::DOUBLE AS contradiction, status FROM st")
+def claim_evidence_status(spark, d):
+    return grounding.claim_status(_claim_pairs(spark, d))
+
+
+REPORT = "rep AS (SELECT answer_id, count(*) AS claims, count(*) FILTER (status = 'entailed') AS supported, CAST(0 AS BIGINT) AS contradicted, CAST(0 AS BIGINT) AS conflicted, count(*) FILTER (status = 'unsupported') AS unsupported, round(count(*) FILTER (status = 'entailed') / count(*), 4) AS score, CASE WHEN count(*) FILTER (status = 'unsupported') > 0 THEN 'unsupported' ELSE 'grounded' END AS overall FROM st GROUP BY answer_id)"
+
+
+@query(f"WITH {STATUS}, {REPORT} SELECT * FROM rep")
+def groundedness(spark, d):
+    return grounding.answer_report(grounding.claim_status(_claim_pairs(spark, d)))
+
+
+def _refs(spark, d) -> DataFrame:
+    p = _claim_pairs(spark, d).where("entailment >= 0.2")
+    return p.select("answer_id", "claim_index", F.when(F.col("evidence_rank") % 3 == 2, "contradicts").otherwise("supports").alias("kind"), F.col("evidence_rank").alias("position"), F.col("conv_id").alias("document_id"), F.col("evidence_rank").alias("chunk_id"))
+
+
+REFS = "refs AS (SELECT DISTINCT answer_id, claim_index, CASE WHEN evidence_rank % 3 = 2 THEN 'contradicts' ELSE 'supports' END AS kind, evidence_rank AS position, conv_id AS document_id, evidence_rank AS chunk_id FROM pairs WHERE entailment >= 0.2)"
+
+
+@query(f"""WITH {STATUS}, {REFS}, f AS (SELECT answer_id, document_id, chunk_id, min((claim_index, CASE WHEN kind = 'supports' THEN 0 ELSE 1 END, position)) AS use FROM refs GROUP BY ALL),
+n AS (SELECT answer_id, document_id, chunk_id, 'cite_' || row_number() OVER (PARTITION BY answer_id ORDER BY use, document_id, chunk_id) AS citation FROM f)
+SELECT answer_id, document_id, chunk_id, claim_index, kind, citation FROM refs JOIN n USING (answer_id, document_id, chunk_id)""")
+def citation_numbering(spark, d):
+    return grounding.citations(_refs(spark, d))
+
+
+@query(f"WITH {STATUS}, {REFS} SELECT answer_id, count(DISTINCT document_id) AS documents, count(DISTINCT document_id) <= 1 AS isolated FROM refs GROUP BY answer_id")
+def document_isolation(spark, d):
+    return grounding.isolation(_refs(spark, d), F.floor(F.col("answer_id") / 100))
+
+
+@query(f"""WITH {STATUS}, {REPORT}, a AS (SELECT conv_id * 100 + turn AS answer_id, conv_id, text AS answer FROM conversations WHERE role = 'assistant'), e AS (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id), m AS (SELECT answer_id, max(entailment) AS sim FROM pairs GROUP BY answer_id)
+SELECT answer_id, CASE WHEN coalesce(n, 0) = 0 THEN 'no_evidence' WHEN coalesce(sim, 0) > 0 AND coalesce(sim, 0) < 0.2 THEN 'low_similarity' WHEN trim(coalesce(answer, '')) = '' THEN 'no_answer' WHEN coalesce(claims, 0) = 0 THEN 'no_claims' WHEN overall IN ('contradicted', 'conflicted', 'unsupported') THEN 'refused' ELSE 'answered' END AS outcome
+FROM a LEFT JOIN e USING (conv_id) LEFT JOIN m USING (answer_id) LEFT JOIN rep USING (answer_id)""")
+def grounded_pipeline(spark, d):
+    c = read(spark, d, "conversations")
+    a = c.where("role = 'assistant'").select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), "conv_id", F.col("text").alias("answer"))
+    e = c.where("role = 'user'").groupBy("conv_id").agg(F.count("*").alias("n"))
+    p = _claim_pairs(spark, d)
+    m = p.groupBy("answer_id").agg(F.max("entailment").alias("sim"))
+    rep = grounding.answer_report(grounding.claim_status(p)).select("answer_id", "claims", "overall")
+    iso = grounding.isolation(p.select("answer_id", F.col("conv_id").alias("document_id"))).select("answer_id", "isolated")
+    j = a.join(e, "conv_id", "left").join(m, "answer_id", "left").join(rep, "answer_id", "left").join(iso, "answer_id", "left")
+    j = j.withColumn("ambiguous", F.lit(False)).withColumn("n_evidence", F.coalesce("n", F.lit(0))).withColumn("max_similarity", F.coalesce("sim", F.lit(0.0))).withColumn("isolated", F.coalesce("isolated", F.lit(True)))
+    return j.select("answer_id", grounding.policy(True).alias("outcome"))
+
+
+@query("SELECT doc_id, 'doc_' || substr(sha256(text), 1, 16) AS content_id FROM documents")
+def content_document_id(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.content_id(F.col("text")).alias("content_id"))
+
+
+@query(r"SELECT conv_id AS document_id, turn + 1 AS page_number, CAST(coalesce(length(text), 0) AS INTEGER) AS char_count, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS INTEGER) AS word_count, CASE WHEN length(trim(coalesce(text, ''))) = 0 THEN 'empty' WHEN length(trim(coalesce(text, ''))) < 50 THEN 'low_text' END AS warning FROM conversations")
+def page_counts(spark, d):
+    from folio.sources.files import page_rows
+
+    return page_rows(pages(spark, d)).select("document_id", F.col("page_number").cast("bigint").alias("page_number"), "char_count", "word_count", "warning")
+
+
+@query(r"SELECT conv_id AS document_id, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (length(trim(text)) < 50) AS low_text FROM conversations GROUP BY conv_id")
+def document_totals(spark, d):
+    n = F.length(F.trim("text"))
+    return pages(spark, d).groupBy("document_id").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"), F.count_if(n < 50).alias("low_text"))
+
+
+@query("SELECT doc_id, source, n_chars FROM documents ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 20 OFFSET 40")
+def list_documents_paged(spark, d):
+    return store.page_of(read(spark, d, "documents"), "n_chars", "doc_id", 40, 20).select("doc_id", "source", "n_chars")
+
+
+@query("SELECT conv_id AS document_id, CAST(turn + 1 AS INTEGER) AS page_number, text FROM conversations WHERE conv_id = 7 ORDER BY turn")
+def pages_of_document(spark, d):
+    return pages(spark, d).where("document_id = 7").orderBy("page_number").select("document_id", "page_number", "text")
+
+
+@query("SELECT source, count(*) AS documents, count(*) FILTER (vec_id IS NOT NULL) AS embedded FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY source")
+def chunk_counts(spark, d):
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("e"))
+    return read(spark, d, "documents").join(v, "doc_id", "left").groupBy("source").agg(F.count("*").alias("documents"), F.count("e").alias("embedded"))
+
+
+@query("SELECT 'documents' AS name, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT 'labels', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def cascade_delete(spark, d):
+    docs, lab = read(spark, d, "documents"), read(spark, d, "labels")
+    left = store.without_documents({"documents": docs, "labels": lab}, lab.where("toxic = 1"), "doc_id")
+    count = lambda n: left[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n")
+    return count("documents").unionByName(count("labels"))
+
+
+@query("SELECT user_id AS document_id, max_by(event_type, (ts, event_id)) AS status, count(*) AS changes FROM events GROUP BY user_id")
+def status_log(spark, d):
+    e = read(spark, d, "events")
+    log = e.select(F.col("user_id").alias("document_id"), F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("status"), F.lit(None).cast("string").alias("stage"), F.lit(None).cast("string").alias("error"))
+    return store.current_status(log).select("document_id", "status").join(e.groupBy(F.col("user_id").alias("document_id")).agg(F.count("*").alias("changes")), "document_id")
+
+
+@query("SELECT rule, n FROM (VALUES ('chunk has page', 0), ('chunk unique', 0), ('chunk_index from 0', 0), ('document_id unique', 0), ('page has document', 0), ('page unique', 0), ('page_number from 1', 0)) t(rule, n0), (SELECT CAST(0 AS BIGINT) AS n) z")
+def integrity_violations(spark, d):
+    p = pages(spark, d)
+    return store.violations(p.select("document_id").distinct(), p, chunking.chunk_pages(p).withColumn("document_id", F.col("document_id").cast("bigint")))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x0B\f\r\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS cleaned FROM documents")
+def clean_white_space(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(T.horizontal(T.line_endings(F.col("text")))).alias("cleaned"))
+
+
+@query()
+def clean_text(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("text"))
+
+
+@query()
+def split_sentences(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence"))
+
+
+@query()
+def chunk_pages(spark, d):
+    return chunking.chunk_pages(pages(spark, d))
+
+
+@query()
+def chunk_documents(spark, d):
+    return chunking.chunk_pages(read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), "text"))
+
+
+@query("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS chunk_index, format('{}_p{:03d}_c{:04d}', conv_id, turn + 1, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS chunk_id FROM conversations")
+def chunk_numbering(spark, d):
+    n = (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("chunk_index")
+    return read(spark, d, "conversations").select("conv_id", "turn", n).withColumn("chunk_id", F.format_string("%s_p%03d_c%04d", F.col("conv_id").cast("string"), F.col("turn") + 1, F.col("chunk_index")))
+
+
+PLAN_QUERIES = ("What is gradient descent?", "Compare the encoder and the decoder in 2017", "Who wrote chapter 3?", "How many layers are on pages 10 to 12?", "Why does overfitting occur?", "What are the causes and effects of drift?", "Explain attention and how does it scale?", "List the types of \"neural networks\"", "When was BERT released?", "Where is the Louvre located?", "Summarize the main ideas of part two", "What is the best model?", "   ")
+
+
+def _plans(spark) -> DataFrame:
+    return planner.plan(spark.createDataFrame([(i, q) for i, q in enumerate(PLAN_QUERIES)], "id int, query string"))
+
+
+@query("SELECT * FROM (VALUES (0, 'definition'), (1, 'comparison'), (2, 'person'), (3, 'multi_page'), (4, 'causal'), (5, 'causal'), (6, 'multi_part'), (7, 'list'), (8, 'date'), (9, 'location'), (10, 'summary'), (11, 'ambiguous')) t(id, type)")
+def query_plan_types(spark, d):
+    return _plans(spark).select("id", "class.type")
+
+
+@query("SELECT * FROM (VALUES (0, 0, 0, 0, 0), (1, 0, 0, 0, 2017), (2, 3, 0, 0, 0), (3, 0, 10, 12, 0), (4, 0, 0, 0, 0), (5, 0, 0, 0, 0), (6, 0, 0, 0, 0), (7, 0, 0, 0, 0), (8, 0, 0, 0, 0), (9, 0, 0, 0, 0), (10, 0, 0, 0, 0), (11, 0, 0, 0, 0)) t(id, chapter, page_from, page_to, year)")
+def query_plan_constraints(spark, d):
+    return _plans(spark).select("id", *[F.coalesce(f"constraints.{c}", F.lit(0)).alias(c) for c in ("chapter", "page_from", "page_to", "year")])
+
+
+@query("""SELECT * FROM (VALUES (0, 'What is gradient descent'), (1, 'encoder 2017|decoder in 2017 2017'), (2, 'Who wrote chapter 3'), (3, 'How many layers are on pages 10 to 12'), (4, 'Why does overfitting occur'), (5, 'causes of drift|consequences of drift'), (6, 'Explain attention|how does it scale'), (7, 'List the types of "neural networks"'), (8, 'When was BERT released'), (9, 'Where is the Louvre located'), (10, 'Summarize the main ideas of part two'), (11, 'What is the best model')) t(id, searches)""")
+def query_plan_searches(spark, d):
+    return _plans(spark).select("id", F.array_join("retrieval_queries", "|").alias("searches"))
+
+
+@query("SELECT item_id, CASE WHEN regexp_matches(lower(text), '^the\\b') THEN 'The' ELSE 'Other' END || '?' AS question FROM benchmark")
+def question_cleaning(spark, d):
+    word = F.when(F.lower("text").rlike(r"^the\b"), "  the ? ").otherwise("other ?.")
+    return read(spark, d, "benchmark").select("item_id", questions.question_clean(word).alias("question"))
+
+
+@query(f"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS words, CAST(len(regexp_extract_all(text, '\\[\\d+\\]|\\(\\w+, \\d{{4}}\\)|et al\\.')) AS INTEGER) AS citations, round(CASE WHEN length(text) = 0 THEN 0.0 ELSE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(text) END, 6) AS alpha,
+round(CASE WHEN len(t) = 0 THEN 0.0 ELSE len(list_filter(t, lambda x: length(x) > 5)) / len(t) END, 6) AS density FROM (SELECT doc_id, text, list_filter({TOKENS.format(c='text')}, lambda x: NOT list_contains([{_STOP}], x)) AS t FROM documents)""")
+def eligibility_features(spark, d):
+    f = read(spark, d, "documents").select("doc_id", questions.features(F.col("text")).alias("f"))
+    return f.select("doc_id", "f.words", "f.citations", "f.alpha", "f.density")
+
+
+@query()
+def eligible_chunks(spark, d):
+    return read(spark, d, "documents").select("doc_id", questions.eligibility(F.col("text")).alias("reason"))
+
+
+@query()
+def answer_candidates(spark, d):
+    return questions.answer_candidates(read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+
+
+@query(f"""WITH s AS (SELECT t, min(doc_id) AS id FROM (SELECT doc_id, list_sort({CONTENT.format(c='text')}) AS t FROM documents) WHERE len(t) > 0 GROUP BY t),
+w AS (SELECT id, unnest(t) AS x FROM s), n AS (SELECT id, len(t) AS k FROM s), c AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM w a JOIN w b ON a.x = b.x AND a.id < b.id GROUP BY ALL)
+SELECT a, b, round(c / (p.k + q.k - c), 6) AS jaccard FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE round(c / (p.k + q.k - c), 6) >= 0.88""")
+def jaccard_pairs(spark, d):
+    return questions.jaccard_pairs(read(spark, d, "documents"), "doc_id", T.content_tokens(F.col("text")))
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, doc_id = min(doc_id) OVER (PARTITION BY text) AS kept FROM documents")
+def exact_dedup(spark, d):
+    return questions.exact_groups(read(spark, d, "documents"), F.col("text"), "doc_id")
+
+
+@query()
+def greedy_neardup(spark, d):
+    docs = read(spark, d, "documents")
+    pairs = questions.jaccard_pairs(docs, "doc_id", T.content_tokens(F.col("text")))
+    return questions.greedy_kept(docs.select(F.col("doc_id").alias("id")), pairs)
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS turn_no, min(turn) OVER (PARTITION BY conv_id, role) AS f FROM conversations),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn_no, f, turn) AS pick FROM t) SELECT conv_id, turn, role, CAST(pick AS INTEGER) AS pick FROM p WHERE pick <= 4""")
+def diversity_round_robin(spark, d):
+    return ranking.round_robin(read(spark, d, "conversations"), "conv_id", "role", "turn", 4).select("conv_id", "turn", "role", "pick")
+
+
+@query("SELECT conv_id, page, next_page FROM (SELECT conv_id, turn // 2 AS page, lead(turn // 2) OVER (PARTITION BY conv_id ORDER BY turn) AS next_page FROM conversations) WHERE next_page <> page AND next_page - page <= 2")
+def adjacent_multipage_pairs(spark, d):
+    c = read(spark, d, "conversations").withColumn("page", F.floor(F.col("turn") / 2))
+    return questions.adjacent_pages(c, "conv_id", "page", "turn").select("conv_id", "page", "next_page")
+
+
+LOGITS = "CAST(({m} * (token + 1) * (query_id + 3) + {a} * win) % 97 AS DOUBLE) / 10"
+
+
+@query(f"""WITH l AS (SELECT vec_id AS query_id, w AS win, k AS token FROM embeddings, range(2) a(w), range(40) b(k) WHERE vec_id % 100 = 0),
+x AS (SELECT *, {LOGITS.format(m=31, a=7)} AS s0, {LOGITS.format(m=17, a=5)} AS e0 FROM l),
+s AS (SELECT query_id, win, token AS s, s0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, win ORDER BY s0 DESC, token) AS r FROM x WHERE token > 0) WHERE r <= 20),
+e AS (SELECT query_id, win, token AS e, e0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, win ORDER BY e0 DESC, token) AS r FROM x WHERE token > 0) WHERE r <= 20),
+nul AS (SELECT query_id, win, s0 + e0 AS n FROM x WHERE token = 0), p AS (SELECT query_id, win, s, e, s0 + e0 AS score, s0 + e0 - n AS diff FROM s JOIN e USING (query_id, win) JOIN nul USING (query_id, win) WHERE s <= e AND e < s + 64),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY diff DESC, score DESC, win, s, e) AS r FROM p)
+SELECT query_id, diff > 0 AS answerable, CASE WHEN diff > 0 THEN win END AS win, CASE WHEN diff > 0 THEN s END AS start_token, CASE WHEN diff > 0 THEN e END AS end_token, round(score, 4) AS score, round(diff, 4) AS score_diff FROM b WHERE r = 1""")
+def span_best(spark, d):
+    q = read(spark, d, "embeddings").where(ASKED).select(F.col("vec_id").alias("query_id"))
+    rows = q.select("query_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("window")).select("query_id", "window", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(39).cast("bigint"))).alias("token"))
+    value = lambda m, a: ((F.lit(m) * (F.col("token") + 1) * (F.col("query_id") + 3) + F.lit(a) * F.col("window")) % 97).cast("double") / 10
+    return qa.best_span(rows.withColumn("start", value(31, 7)).withColumn("end", value(17, 5))).withColumnRenamed("window", "win")
+
+
+@query("SELECT * FROM (VALUES (1, true, false), (2, true, true), (3, false, true)) t(id, first, second)")
+def completeness_check(spark, d):
+    rows = spark.createDataFrame([(1, "the encoder", "the decoder", "The encoder reads."), (2, "cats", "dogs", "Cats sleep, dogs run."), (3, "solar power", "wind power", "Wind is strong.")], "id int, a string, b string, answer string")
+    c = F.col
+    return rows.select("id", grounding.aspect_covered(c("a"), c("b"), c("answer")).alias("first"), grounding.aspect_covered(c("b"), c("a"), c("answer")).alias("second"))
+
+
+@query("SELECT * FROM (VALUES (0, 'Paris', 'paris.', true), (1, 'in 1999', '1999', true), (2, '42', '43', false), (3, 'the red apple pie', 'red apple', true), (4, 'a big red car', 'car', false)) t(id, predicted, expected, matches)")
+def answer_match(spark, d):
+    rows = spark.createDataFrame([(0, "Paris", "paris."), (1, "in 1999", "1999"), (2, "42", "43"), (3, "the red apple pie", "red apple"), (4, "a big red car", "car")], "id int, predicted string, expected string")
+    return rows.withColumn("matches", questions.answer_matches(F.col("predicted"), F.col("expected")))
+
+
+@query()
+def stream_ingest_idempotent(spark, d):
+    import uuid
+
+    from folio.streaming.ingest import committed, ingest
+
+    root = f"{store.scratch(spark)}/ingest-{uuid.uuid4().hex}"
+    pages(spark, d).where("page_number = 1").select("text").write.text(f"{root}/landing")
+    for _ in range(2):
+        ingest(spark, f"{root}/landing", f"{root}/out", f"{root}/offsets")
+    return committed(spark, f"{root}/out", "chunks").select("document_id", "page_number", "chunk_index", "chunk_id", "char_count")
