@@ -112,7 +112,7 @@ def embed(texts: list[str]) -> np.ndarray:
         q = symbols(t)
         begin, anchor = cuts(q)
         raw = q.tobytes()
-        seg += [known.setdefault(raw[a:b], len(known)) for a, b in zip(begin, [*begin[1:], len(q)], strict=True)]
+        seg += [known.setdefault(raw[a:b], len(known)) for a, b in zip(begin, begin[1:] + [len(q)][: len(begin)], strict=True)]
         pat += anchor
         size.append(len(begin))
     one = walked(list(known))

@@ -77,7 +77,7 @@ def shard_counts(quotas: list[int], shard: int = SHARD_SLOTS, seed: int = SEED)
         n = int(min(shard, left.sum()))
         rows.append(rng.multivariate_hypergeometric(left, n, method="marginals") if left.sum() < 10**9 else np.minimum(left, rng.multinomial(n, left / left.sum())))
         left -= rows[-1]
-    return np.array(rows, np.int64).reshape(-1, len(quotas))
+    return np.array(rows, np.int64).reshape(len(rows), len(quotas))
 
 
 def plan(sized: DataFrame) -> DataFrame:
