@@ -208,7 +208,7 @@ def test_attention_learns():
 
 
 def test_lm_baseline_is_exact(docs, rows, monkeypatch):
-    for k, v in (("COMMON", 10), ("STEPS", 3), ("SAMPLE_DOCS", 10)):
+    for k, v in (("COMMON", 10), ("STEPS", 3), ("SPANS", 10)):
         monkeypatch.setattr(lm_score, k, v)
     learnt = Counter()
     tok = lambda t: re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")) + ["\n"]
