@@ -223,6 +223,33 @@ def test_lm_baseline_is_exact(docs, rows, monkeypatch):
     assert all(g.score < 0 and math.isfinite(g.score) for g in got)
 
 
+def test_lm_words_of_a_class_share_all_of_it(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "STEPS", 3)
+    docs = spark.createDataFrame([(i, "Aa ab ab ac ba " + "bb " * i + "x" * (i % 4)) for i in range(40)], "doc_id bigint, text string")
+    counts = lm_score.word_counts(docs).cache()
+    m = lm_score.train(docs, counts)
+    rows = lm_score.spelt(m, counts).where("c > 0").collect()
+    own = lm_score.spell(m, [bytes(r.word) for r in rows], lm_score.encoder(m.ranks))[1]
+    for g in {r.begin for r in rows}:
+        known = sum(math.exp(r.p) - math.exp(m.left[g] + o) for r, o in zip(rows, own, strict=True) if r.begin == g)
+        assert math.isclose(known + math.exp(m.left[g]), 1, rel_tol=1e-6)
+
+
+def test_lm_beats_its_base_on_held_out_texts_of_two_languages(spark):
+    r = random.Random(3)
+    words = [[a + b + c for a in x for b in x for c in x] for x in (("ka", "lo", "mi", "tu", "re"), ("sch", "ber", "ung", "ein", "and"))]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(words[i % 2], k=60))) for i in range(300)], "doc_id bigint, text string")
+    held = [g for g in lm_score.score(docs).collect() if g.held_out]
+    assert len(held) > 30 and sum(g.score for g in held) > sum(g.base_score for g in held) + 0.1 * sum(g.n_tokens for g in held)
+
+
+def test_lm_passages_come_from_all_of_a_text(spark):
+    text = " ".join(f"w{i}" for i in range(4000))
+    got = lm_score.spans_of(spark.createDataFrame([(7, text), (8, None), (9, "x" * 9000)], "doc_id bigint, text string"), 1.0)
+    assert b" ".join(bytes(g.text).strip() for g in sorted((g for g in got if bytes(g.text).strip()[:1] == b"w"), key=lambda g: text.index(bytes(g.text).strip().decode()))) == text.encode()
+    assert sum(g.begins for g in got) == 3 and all(len(g.text) <= 3 * lm_score.SPAN for g in got)
+
+
 def test_lm_of_nothing(empty):
     assert lm_score.score(empty).count() == 0
 
