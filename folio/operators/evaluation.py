@@ -86,3 +86,32 @@ def verdict(has_unanswerable: Column, refusal: Column, mrr: Column, success: Col
 
 def safety(incorrect: Column, refusal_precision: Column, false_refusal: Column) -> Column:
     return F.when(incorrect > 0, "FAIL").when((refusal_precision < 1) | (false_refusal > 0.1), "WARNING").otherwise("PASS")
+
+
+def grounded(answer: Column, text: Column) -> Column:
+    """Whether the text holds the answer, or at least one of its words, in any case; an empty answer or text can't be told and counts."""
+    a, t = F.lower(F.coalesce(answer, F.lit(""))), F.lower(F.coalesce(text, F.lit("")))
+    return (a == "") | (t == "") | F.contains(t, a) | F.arrays_overlap(F.split(F.trim(a), r"\s+"), F.split(F.trim(t), r"\s+"))
+
+
+def generation_report(candidates: DataFrame) -> DataFrame:
+    """One row on generated questions (chunk_id, page_number, outcome, complete, grounded): volumes, rates of all candidates, provenance, status.
+
+    outcome: accepted, or why not. A chunk's accepted questions have provenance, or grounding, if all of them have.
+    """
+    was = lambda *kinds: F.count_if(F.col("outcome").isin(*kinds))
+    every = lambda c: F.coalesce(F.bool_and(F.when(F.col("outcome") == "accepted", F.coalesce(F.col(c), F.lit(False)))), F.lit(True))
+    chunks = candidates.groupBy("chunk_id").agg(
+        F.min("page_number").alias("page"), F.count("*").alias("raw"), was("accepted").alias("accepted"), was("duplicate", "near_duplicate").alias("duplicate"), was("answer_mismatch").alias("mismatch"),
+        was("unanswerable").alias("unanswerable"), was("low_quality", "syntax_error").alias("quality"), every("complete").alias("complete"), every("grounded").alias("grounded"),
+    )
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    held = lambda c: n(F.when(F.col(c), F.col("accepted")))
+    t = chunks.agg(F.count("*").alias("chunks"), F.count_distinct("page").alias("pages"), *[n(c).alias(c) for c in ("raw", "accepted", "duplicate", "mismatch", "unanswerable", "quality")], held("complete").alias("complete"), held("grounded").alias("grounded"))
+    share = lambda a, b, none: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 4)).otherwise(none)
+    t = t.withColumn("rejected", F.col("raw") - F.col("accepted")).select(
+        "chunks", "pages", "raw", "accepted", "rejected", *[share(c, "raw", 0.0).alias(f"{c}_rate") for c in ("accepted", "rejected", "duplicate", "mismatch", "unanswerable", "quality")],
+        share("complete", "accepted", 1.0).alias("provenance_rate"), share("grounded", "accepted", 1.0).alias("grounding_rate"),
+    )
+    good = (F.col("provenance_rate") >= 0.99) & (F.col("grounding_rate") >= 0.95)
+    return t.withColumn("status", F.when(F.col("accepted") == 0, "FAIL").when(good, "PASS").otherwise("WARNING"))

@@ -232,6 +232,22 @@ def safety_report(spark, d):
     return g.select("lang", evaluation.safety(F.col("wrong"), F.col("prec"), F.col("fr")).alias("status"))
 
 
+@query("""WITH c AS (SELECT conv_id AS chunk_id, turn AS page, CASE role WHEN 'user' THEN 'accepted' WHEN 'system' THEN 'duplicate' ELSE 'low_quality' END AS outcome, turn < 6 AS complete,
+  lower(text) AS t, lower(substr(text, 3, 12)) AS a FROM conversations),
+k AS (SELECT chunk_id, min(page) AS page, count(*) AS raw, count(*) FILTER (outcome = 'accepted') AS accepted, count(*) FILTER (outcome = 'duplicate') AS dup, count(*) FILTER (outcome = 'low_quality') AS qual,
+  coalesce(bool_and(complete) FILTER (outcome = 'accepted'), true) AS complete, coalesce(bool_and(a = '' OR t = '' OR contains(t, a)) FILTER (outcome = 'accepted'), true) AS grounded FROM c GROUP BY chunk_id),
+s AS (SELECT count(*) AS chunks, count(DISTINCT page) AS pages, CAST(sum(raw) AS BIGINT) AS raw, CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(dup) AS BIGINT) AS dup, CAST(sum(qual) AS BIGINT) AS qual,
+  sum(accepted) FILTER (complete) AS p, sum(accepted) FILTER (grounded) AS g FROM k),
+r AS (SELECT chunks, pages, raw, accepted, raw - accepted AS rejected, round(accepted / raw, 4) AS accepted_rate, round((raw - accepted) / raw, 4) AS rejected_rate, round(dup / raw, 4) AS duplicate_rate, 0.0::DOUBLE AS mismatch_rate,
+  0.0::DOUBLE AS unanswerable_rate, round(qual / raw, 4) AS quality_rate, round(coalesce(p, 0) / accepted, 4) AS provenance_rate, round(coalesce(g, 0) / accepted, 4) AS grounding_rate FROM s)
+SELECT *, CASE WHEN accepted = 0 THEN 'FAIL' WHEN provenance_rate >= 0.99 AND grounding_rate >= 0.95 THEN 'PASS' ELSE 'WARNING' END AS status FROM r""")
+def generation_report(spark, d):
+    c = read(spark, d, "conversations")
+    outcome = F.when(F.col("role") == "user", "accepted").when(F.col("role") == "system", "duplicate").otherwise("low_quality")
+    asked = c.select(F.col("conv_id").alias("chunk_id"), F.col("turn").alias("page_number"), outcome.alias("outcome"), (F.col("turn") < 6).alias("complete"), evaluation.grounded(F.substring("text", 3, 12), F.col("text")).alias("grounded"))
+    return evaluation.generation_report(asked)
+
+
 @query("""WITH g AS (SELECT conv_id, list(DISTINCT turn) AS required, list(DISTINCT turn) FILTER (role = 'user') AS retrieved FROM conversations GROUP BY conv_id)
 SELECT conv_id, round(len(list_intersect(required, coalesce(retrieved, []))) / len(required), 4) AS covered, len(list_filter(required, lambda x: NOT list_contains(coalesce(retrieved, []), x))) = 0 AS complete FROM g""")
 def multipage_coverage(spark, d):

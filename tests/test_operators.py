@@ -76,3 +76,16 @@ def test_pool_is_cut_before_it_is_scored(spark, data):
 
     plan = catalog.QUERIES["rerank_order"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_generation_report(spark):
+    from folio.operators import evaluation
+
+    kind = "chunk_id string, page_number int, outcome string, complete boolean, grounded boolean"
+    rows = [("a", 1, "accepted", True, True), ("a", 1, "near_duplicate", None, None), ("b", 2, "accepted", True, True), ("b", 2, "accepted", None, True), ("c", 2, "syntax_error", None, None)]
+    got = evaluation.generation_report(spark.createDataFrame(rows, kind)).first()
+    assert (got.chunks, got.pages, got.raw, got.accepted, got.rejected, got.duplicate_rate, got.quality_rate, got.provenance_rate, got.grounding_rate, got.status) == (3, 2, 5, 3, 2, 0.2, 0.2, 0.3333, 1.0, "WARNING")
+    none = evaluation.generation_report(spark.createDataFrame([], kind)).first()
+    assert (none.raw, none.accepted_rate, none.provenance_rate, none.status) == (0, 0.0, 1.0, "FAIL")
+    pairs = spark.createDataFrame([("Red Fox", "the RED hen"), ("blue", "the red hen"), (None, "x"), ("ed h", "Red hen")], "a string, t string")
+    assert [r[0] for r in pairs.select(evaluation.grounded(pairs.a, pairs.t)).collect()] == [True, False, True, True]
