@@ -513,9 +513,7 @@ def exact_dedup(spark, d):
 
 @query()
 def greedy_neardup(spark, d):
-    docs = read(spark, d, "documents")
-    pairs = questions.jaccard_pairs(docs, "doc_id", T.content_tokens(F.col("text")))
-    return questions.greedy_kept(docs.select(F.col("doc_id").alias("id")), pairs)
+    return questions.greedy_neardup(read(spark, d, "documents"), "doc_id", F.col("text"), T.content_tokens(F.col("text")))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS turn_no, min(turn) OVER (PARTITION BY conv_id, role) AS f FROM conversations),

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -60,6 +62,21 @@ def test_greedy_chain_keeps_what_only_a_dropped_row_resembles(spark):
     assert {r.id: r.kept for r in questions.greedy_kept(ids, pairs).collect()} == {1: True, 2: False, 3: True}
 
 
+def test_greedy_neardup_drops_repeats_of_a_token_set(spark):
+    base = " ".join(f"w{i}" for i in range(20))
+    texts = [base, base, base + " extra", base + " extra", " ".join(reversed(base.split())), "quite other words", "the the", "The  the", "?!", None, "Other quite the words", base + " extra more again", base + " extra more again", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    tokens = [frozenset(re.findall("[a-z0-9]+", (t or "").lower())) - set(T.STOPWORDS) for t in texts]
+    bare = [None if t is None else " ".join(t.lower().split()) for t in texts]
+    alike = lambda i, j: len(tokens[i] & tokens[j]) / len(tokens[i] | tokens[j]) >= 0.88 if tokens[i] and tokens[j] else not tokens[i] and not tokens[j] and bare[i] == bare[j]
+    kept = []
+    for i in range(len(texts)):
+        if not any(alike(i, j) for j in kept):
+            kept.append(i)
+    got = {r.id: r.kept for r in questions.greedy_neardup(rows, "id", F.col("text"), T.content_tokens(F.col("text"))).collect()}
+    assert got == {i: i in kept for i in range(len(texts))} and 1 not in kept and 4 not in kept and 10 not in kept
+
+
 def test_upsert_refuses_a_wrong_dimension(spark):
     chunks = spark.createDataFrame([(1, None)], "id int, v array<float>")
     with pytest.raises(ValueError):
