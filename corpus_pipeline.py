@@ -29,7 +29,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the words that the mix takes of it."""
+    """The mix: each piece of text that a slot takes, repeats included; a document of which nothing is taken keeps a row without text."""
     return mixing.mixed(docs)
 
 

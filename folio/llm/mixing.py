@@ -11,14 +11,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from folio.llm.common import as_batch, chunks, stash, table
+from folio.llm.common import as_batch, bytes_column, chunks, stash, table
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK, SEED = 128, 20240607
 #: Slots of one output shard, and documents of one run of a source's stream.
 SHARD_SLOTS, SHARDS, RUN_DOCS = 4096, 65536, 2000
+#: What the mix adds to a document's columns.
+MIX_COLUMNS = ("size", "source_size", "target", "taken", "shard", "slot", "first", "start")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -119,7 +122,7 @@ def slots(sources: DataFrame) -> DataFrame:
 
 
 def layout(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each document with its place in its source's stream of words: (doc_id, source, size, sid, first).
+    """Each document with its place in its source's stream of words: (doc_id, source, size, sid, h, first), h the hash of its text.
 
     A source's stream goes by run (a hash of the document), doc_id, text hash; so a hot source is ordered by many tasks, and
     what one task learns of the others is the sums of their runs.
@@ -130,7 +133,7 @@ def layout(sized: DataFrame, sources: DataFrame) -> DataFrame:
     d = d.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     sums = d.groupBy("sid", "run").agg(F.sum("size").alias("n"))
     at = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("sid", "run", "base")
-    return d.join(at, ["sid", "run"]).select("doc_id", "source", "size", "sid", (F.col("base") + F.col("before")).alias("first"))
+    return d.join(at, ["sid", "run"]).select("doc_id", "source", "size", "sid", "h", (F.col("base") + F.col("before")).alias("first"))
 
 
 def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -160,18 +163,69 @@ def taken(docs: DataFrame) -> DataFrame:
     )
 
 
-def materialise(docs: DataFrame) -> DataFrame:
-    """(shard, slot, doc_id, text): the mix itself, words joined by one space; a slot's pieces go by start in the stream."""
-    _, _, out = mix(docs)
-    words = F.filter(F.split(F.col("text"), "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
-    d = table(docs, {"doc_id": "bigint", "text": "string"})
-    return out.join(d, "doc_id").select("shard", "slot", "first", "doc_id", F.array_join(F.slice(words, (F.col("start") + 1).cast("int"), F.col("words").cast("int")), " ").alias("text"))
-
-
 def mixed(docs: DataFrame) -> DataFrame:
-    """Every document's columns with the mix's decision on it: size, source_size, target, taken. A repeated doc_id's rows share theirs."""
-    t = taken(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src")).agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
-    keep = docs.drop(*[c for c in docs.columns if c in ("size", "source_size", "target", "taken")])
-    return keep.join(t, keep["doc_id"].eqNullSafe(F.col("_id")) & keep["source"].eqNullSafe(F.col("_src"))).drop("_id", "_src")
+    """The mix itself: docs' columns with text replaced by a piece that a slot takes, one row for each piece and slot, repeats included.
+
+    Further columns: size, source_size, target and taken of the document, and shard, slot, first (the document's place in its source),
+    start (the piece's first word in the document). A piece's words are joined by one space. A document of which the mix takes nothing
+    has one row with null text, shard, slot and start: the decision stays on record, its words are gone. Other columns are the document's.
+    """
+    laid, sources, out = mix(docs)
+    got = out.groupBy("sid", "first").agg(F.sum("words").alias("taken"), F.collect_list(F.struct("shard", "slot", "start", "words")).alias("_pieces")).withColumn("some", F.lit(True))
+    plans = (
+        laid.withColumn("some", F.col("size") > 0).join(got, ["sid", "first", "some"], "left").join(sources.select("sid", "source_size", "target"), "sid")
+        .select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("h").alias("_h"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "first", "_pieces")
+    )
+    own = docs.drop(*[c for c in docs.columns if c in MIX_COLUMNS])
+    key = table(docs, {"doc_id": "bigint", "source": "string", "text": "string"}).schema
+    of = {f.name: (F.col(f"`{f.name}`") if f.name in docs.columns else F.lit(None)).cast(f.dataType) for f in key}
+    keyed = own.withColumns({"_id": of["doc_id"], "_src": of["source"], "_h": F.xxhash64(of["text"])})
+    if laid.groupBy("doc_id", "source", "h").count().where("count > 1").limit(1).count():
+        keyed = keyed.dropDuplicates(["_id", "_src", "_h"])  # equal rows: each one's plan cuts the same text
+    plans = plans.withColumnsRenamed({"_id": "_id2", "_src": "_src2", "_h": "_h2"})
+    same = F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_src").eqNullSafe(F.col("_src2")) & (F.col("_h") == F.col("_h2"))
+    rows = keyed.join(plans, same).select(*[F.col(f"`{c}`") for c in own.columns], "size", "source_size", "target", "taken", "first", "_pieces")
+    names = [c for c in own.columns if c != "text"]
+    kinds = StructType([*own.schema.fields, *[StructField(c, DoubleType() if c == "target" else LongType()) for c in MIX_COLUMNS]])
+
+    def lay(batches):
+        for whole in batches:
+            for at in chunks(whole.num_rows, 500):
+                b = whole.slice(at.start, at.stop - at.start)
+                texts, cuts = bytes_column(b), b.column(b.schema.get_field_index("_pieces"))
+                n = np.array([len(x) if x.is_valid else 0 for x in cuts])
+                flat = cuts.flatten()
+                shard, slot, start, words = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("shard", "slot", "start", "words"))
+                order = np.lexsort((start, slot, shard, np.repeat(np.arange(len(n)), n)))
+                shard, slot, start, words = shard[order], slot[order], start[order], words[order]
+                row, text, piece, done = [], [], [], 0
+                for i, (t, k) in enumerate(zip(texts, n.tolist(), strict=True)):
+                    if not k:
+                        row.append(i), text.append(None), piece.append(-1)
+                        continue
+                    begins, ends = word_bounds(t)
+                    for j in range(done, done + k):
+                        first, last = start[j], start[j] + words[j] - 1
+                        row.append(i), text.append(b" ".join(t[begins[first] : ends[last]].split())), piece.append(j)
+                    done += k
+                for part in chunks(len(row), 20_000):
+                    pick, j = pa.array(row[part]), np.array(piece[part])
+                    of = lambda v: pa.array(v[j] if len(v) else np.zeros(len(j), np.int64), pa.int64(), mask=j < 0)  # noqa: B023, E731
+                    made = {"shard": of(shard), "slot": of(slot), "start": of(start), "text": pa.array(text[part], pa.binary()).cast(pa.string())}
+                    cols = {c: b.column(b.schema.get_field_index(c)).take(pick) for c in (*names, "size", "source_size", "target", "taken", "first")} | made
+                    yield pa.RecordBatch.from_arrays([cols[c] for c in kinds.names], names=kinds.names)
+
+    return rows.mapInArrow(lay, kinds)
+
+
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends."""
+    raw = np.frombuffer(text, np.uint8)
+    inside = np.concatenate([[False], (raw != 32) & ((raw < 9) | (raw > 13)), [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[::2], edge[1::2]
 
 
+def materialise(docs: DataFrame) -> DataFrame:
+    """(shard, slot, first, doc_id, text): the mix alone; a slot's pieces go by first and start in the source's stream."""
+    return mixed(docs).where("slot is not null").select("shard", "slot", "first", "doc_id", "text")

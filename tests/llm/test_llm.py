@@ -345,6 +345,42 @@ def test_mixing(docs, rows, monkeypatch, spark):
     assert sum(len(r.text.split()) for r in text.collect()) == laid
 
 
+def test_mixed_is_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    r = random.Random(12)
+    rows = [(i if i % 9 else None, "\n ".join(r.choices(WORDS, k=r.randint(1, 30))), ["hot", "a", None][i % 3], i) for i in range(90)]
+    rows += [(200, "", "hot", 1), (None, None, "a", 2), (5, "another text of doc five", rows[5][2], 3), rows[7]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, slot int")
+    got = mixing.mixed(docs).collect()
+    decided = mixing.taken(docs).collect()
+    assert Counter((g.doc_id, g.source, g.size, g.taken) for g in decided if not g.taken) == Counter((g.doc_id, g.source, g.size, g.taken) for g in got if g.text is None)
+    assert any(g.size and not g.taken for g in decided) and all((g.slot is None) == (g.text is None) == (g.shard is None) for g in got)
+    assert len({g.slot for g in got if g.source == "hot" and g.slot is not None}) == max(g.slot for g in got if g.source == "hot" and g.slot is not None) + 1
+    words, streams = Counter(), {}
+    for g in got:
+        if g.text is not None:
+            assert any(d == g.doc_id and s == g.source and g.text.split(" ") == t.split()[g.start : g.start + len(g.text.split(" "))] for d, t, s, _ in rows if t)
+            words[g.source] += len(g.text.split())
+            streams.setdefault((g.source, g.slot), []).append((g.first + g.start, len(g.text.split())))
+    for s in ("hot", "a", None):
+        mine = [g for g in decided if g.source == s]
+        assert words[s] == sum(g.taken for g in mine) and abs(words[s] - mine[0].target) <= 16
+    for parts in streams.values():
+        parts.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(n for _, n in parts) <= 8 and parts[0][0] % 8 == 0
+
+
+def test_pipeline_gives_the_mix(spark, data):
+    import corpus_pipeline as cp
+
+    out = cp.run(spark, data).collect()
+    for s in {r.source for r in out}:
+        mine = [r for r in out if r.source == s]
+        laid = sum(len(r.text.split()) for r in mine if r.text is not None)
+        assert laid == sum({r.doc_id: r.taken for r in mine}.values()) and abs(laid - mine[0].target) <= 2 * mixing.BLOCK
+    assert all(r.text is None for r in out if not r.taken)
+
+
 def test_mixing_of_nothing(empty):
     assert mixing.taken(empty).count() == 0
 
