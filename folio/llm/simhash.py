@@ -50,9 +50,9 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; a null text has no words, so fingerprint 0."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row, and h, the hash of its text, if asked for; a null text has no words, so fingerprint 0."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())] + [("h", pa.int64())] * hashed)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,9 +62,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 if t not in known:
                     known[t] = fingerprint(t)
                 out.append(known[t])
-            yield as_batch(schema, doc_id=batch.column(0), fp=out)
+            yield as_batch(schema, doc_id=batch.column(0), fp=out, **({"h": batch.column(2)} if hashed else {}))
 
-    return table(docs, {"doc_id": "bigint", "text": "string"}).mapInArrow(work, "doc_id bigint, fp bigint")
+    d = table(docs, {"doc_id": "bigint", "text": "string"})
+    return (d.withColumn("h", F.xxhash64("text")) if hashed else d).mapInArrow(work, "doc_id bigint, fp bigint" + ", h bigint" * hashed)
 
 
 def masks(bits: int, weight: int) -> np.ndarray:
@@ -184,15 +185,20 @@ def near_links(fps: DataFrame, n: int) -> DataFrame:
     return spread.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(meet, "u bigint, v bigint")
 
 
+def by_root(marked: DataFrame) -> DataFrame:
+    """marked (doc_id, fp) -> (fp, least, root) of each distinct fingerprint: its smallest doc_id, its component."""
+    own = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = stash(components(near_links(own, own.count())))
+    return own.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs, component_id the smallest doc_id reachable over links.
 
     Rows without doc_id stay, grouped by their text; a component of such rows only has a null id. Empty input: no rows.
     """
     marked = stash(fingerprints(docs))
-    own = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = stash(components(near_links(own, own.count())))
-    root = own.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    root = by_root(marked)
     ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = root.join(ids, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
@@ -203,11 +209,18 @@ def hex_fingerprint(fp: str = "fp") -> F.Column:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group stays: that of the smallest doc_id.
+    """One row of each near-duplicate group stays: that of the smallest doc_id, of equal doc_ids that of the smallest text hash.
 
-    Rows that repeat a doc_id are one document here: one of them stays if any leads its group.
+    Rows are told apart by doc_id and text, so rows without doc_id, or unlike texts under one doc_id, are judged by their own groups.
     """
-    ids = stash(near_groups(docs).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("leads"), F.count("*").alias("n")))
-    gone = ids.where("not leads").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    return kept.dropDuplicates(["doc_id"]) if ids.where("leads and n > 1").limit(1).count() else kept
+    have = set(docs.columns)
+    text = F.col("text").cast("string") if "text" in have else F.lit(None).cast("string")
+    own_id = F.col("doc_id").cast("bigint") if "doc_id" in have else F.lit(None).cast("bigint")
+    marked = stash(fingerprints(docs, hashed=True))
+    root = by_root(marked).select("fp", "root")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    first = stash(marked.join(root, "fp").groupBy("root").agg(F.min(rank).alias("m")).select("m.doc_id", "m.h"))
+    leads = first.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    kept = docs.withColumns({"_own": own_id, "_text": F.xxhash64(text)}).join(leads, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_h")), "left_semi")
+    repeated = marked.join(leads, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi").groupBy("doc_id", "h").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["_own", "_text"]) if repeated else kept).drop("_own", "_text")

@@ -103,6 +103,16 @@ def test_dedup_keeps_one_of_each_group(docs):
     assert kept.columns == docs.columns and 40 not in ids and ids.count(1) == 1 and 0 in ids and ids.count(None) == 1
 
 
+def test_dedup_judges_rows_without_or_with_equal_ids_by_their_texts(spark):
+    r = random.Random(21)
+    text = [" ".join(r.choices(WORDS, k=50)) for _ in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (None, text[2]), (8, text[2]), (5, text[3]), (5, text[4]), (5, text[4]), (9, text[4]), (6, text[5]), (None, None), (None, "")]
+    got = [tuple(g) for g in simhash.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    null = [t for d, t in got if d is None]
+    assert sorted(g for g in got if g[0] is not None) == sorted([(8, text[2]), (5, text[3]), (5, text[4]), (6, text[5])])
+    assert sorted(t for t in null if t) == sorted([text[0], text[1]]) and len(null) == 3
+
+
 @pytest.mark.parametrize("html, want", [
     (None, ""), ("", ""), ("<p>a<b>b</b>&amp;amp;<br>c</p>", "ab&amp; c"), ("just text", "just text"),
     ("<body><nav><a href=x>Home</a></nav><article><h1>T</h1><p>One  two.<p>Three.<section class='comments'><p>I agree with all of that.</p></section></article><footer>c</footer><script>if (a<b) x('</p>')</script>", "T One two. Three."),
