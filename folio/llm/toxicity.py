@@ -37,6 +37,9 @@ FEATURES = 4
 class Model:
     keys: np.ndarray = field(default_factory=lambda: np.zeros(1 << SLOTS, np.uint64))
     ratio: np.ndarray = field(default_factory=lambda: np.zeros(1 << SLOTS, np.float32))
+    #: Sorted contexts and the log-ratio of what each class leaves to the shared counts there: that of any symbol not counted above DISCOUNT.
+    contexts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    backoff: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     curve: np.ndarray = field(default_factory=lambda: np.zeros(1 + FEATURES))
     middle: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
     spread: np.ndarray = field(default_factory=lambda: np.ones(FEATURES))
@@ -66,6 +69,10 @@ def _context(keys: np.ndarray) -> np.ndarray:
     return keys & ~(np.uint64(255) << (8 * (size - 1)).astype(np.uint64))
 
 
+def _context_key(keys: np.ndarray) -> np.ndarray:
+    return _context(keys) * np.uint64(8) ^ _bytes(keys).astype(np.uint64)
+
+
 def _bytes(keys: np.ndarray) -> np.ndarray:
     out = np.ones(len(keys), np.int64)
     for k in range(1, 8):
@@ -80,17 +87,18 @@ def count(texts: list[tuple[int, bytes]], prior: np.ndarray) -> Model:
     c = np.zeros((2, len(keys)))
     for y in range(2):
         c[y, np.searchsorted(keys, per[y][0])] = per[y][1]
-    context, of = np.unique(_context(keys) * np.uint64(8) ^ _bytes(keys).astype(np.uint64), return_inverse=True)
+    context, of = np.unique(_context_key(keys), return_inverse=True)
     k = len(context)
     # shared: continuation counts of the n-gram without its first byte
     shorter, short_of = np.unique((keys >> np.uint64(8)) * np.uint64(16) ^ _bytes(keys).astype(np.uint64), return_inverse=True)
     above, above_of = np.unique(_context(keys) // np.uint64(256) * np.uint64(16) ^ _bytes(keys).astype(np.uint64), return_inverse=True)
     follows = (c > 0).T @ np.maximum(prior, 0.02)
     shared = np.bincount(short_of, follows, len(shorter))[short_of] / np.bincount(above_of, follows, len(above))[above_of]
-    p = []
+    p, opens = [], []
     for y in range(2):
         total = np.maximum(np.bincount(of, c[y], k), 1e-9)
         left = np.where(np.bincount(of, c[y], k) > 0, np.bincount(of, np.minimum(c[y], DISCOUNT), k) / total, 1)
+        opens.append(left)
         p.append(np.maximum(c[y] - DISCOUNT, 0) / total[of] + left[of] * shared)
     ratio = np.log(np.maximum(p[1], 1e-9) / np.maximum(p[0], 1e-9)).astype(np.float32)
     keep = np.flatnonzero(c.max(0) > DISCOUNT)
@@ -98,9 +106,24 @@ def count(texts: list[tuple[int, bytes]], prior: np.ndarray) -> Model:
     m = Model()
     m.keys[slot(keys[keep])] = keys[keep]
     m.ratio[slot(keys[keep])] = ratio[keep]
+    back = np.log(opens[1] / opens[0]).astype(np.float32)
+    m.contexts, m.backoff = context[back != 0], back[back != 0]
     return m
 
 
+def ratios(m: Model, keys: np.ndarray) -> np.ndarray:
+    """Log-ratio of each symbol: its own if counted above DISCOUNT, else its context's, as both classes share what they leave."""
+    at = slot(keys)
+    out = m.ratio[at].copy()
+    rare = np.flatnonzero(m.keys[at] != keys)
+    out[rare] = 0
+    if len(rare) and len(m.contexts):
+        c = _context_key(keys[rare])
+        i = np.minimum(np.searchsorted(m.contexts, c), len(m.contexts) - 1)
+        out[rare] = np.where(m.contexts[i] == c, m.backoff[i], 0)
+    return out
+
+
 def evidence(m: Model, text: bytes | None) -> tuple[float, ...]:
     """Mean log-ratio of the words, then the strongest, the second and the fourth strongest; zeros for a text without words."""
     total, n, top = 0.0, 0, np.zeros(4, np.float32)
@@ -108,8 +131,7 @@ def evidence(m: Model, text: bytes | None) -> tuple[float, ...]:
         keys, begin = spelt(p)
         if not len(begin):
             continue
-        at = slot(keys)
-        word = np.add.reduceat(np.where(m.keys[at] == keys, m.ratio[at], 0), begin)
+        word = np.add.reduceat(ratios(m, keys), begin)
         total += float(word.sum())
         n += len(word)
         top = np.sort(np.concatenate([top, np.partition(word, -4)[-4:] if len(word) > 4 else word]))[-4:]

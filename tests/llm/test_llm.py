@@ -327,6 +327,17 @@ def test_toxicity(spark, empty):
     assert len({g.score for g in flat}) == 1 and 0 <= flat[0].score <= 1
 
 
+def test_rare_spellings_get_their_contexts_evidence():
+    texts = [(0, b"gruen gruen gruen gruen gruen gruen gruen gruen"), (1, b"gruem grued gruek gruem")]
+    m = toxicity.count(texts, np.array([0.5, 0.5]))
+    keys, _ = toxicity.spelt(b"grued gruex")
+    # after "grue" the ordinary class leaves 3 of 8, the toxic one all of 4
+    got = toxicity.ratios(m, keys)
+    assert got[4] == pytest.approx(math.log(8 / 3), rel=1e-5) and got[10] == pytest.approx(math.log(8 / 3), rel=1e-5)
+    assert toxicity.ratios(m, toxicity.spelt(b"zzz")[0])[1:].tolist() == [0, 0, 0]
+    assert toxicity.evidence(m, b"gruex")[1] > toxicity.evidence(m, b"gruen")[1]
+
+
 def test_mixing_targets():
     assert mixing.targets([10, 10, 10]) == pytest.approx([20, 25 / 3, 50 / 3])
     assert mixing.targets([100, 1, 0]) == pytest.approx([149.5, 2, 0]) or sum(mixing.targets([100, 1, 0])) <= 151.5
