@@ -496,7 +496,7 @@ def eligible_chunks(spark, d):
 
 @query()
 def answer_candidates(spark, d):
-    return questions.answer_candidates(read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return questions.answer_candidates(chunk_documents(spark, d))
 
 
 @query(f"""WITH s AS (SELECT t, min(doc_id) AS id FROM (SELECT doc_id, list_sort({CONTENT.format(c='text')}) AS t FROM documents) WHERE len(t) > 0 GROUP BY t),

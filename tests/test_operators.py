@@ -95,6 +95,26 @@ def test_pool_is_cut_before_it_is_scored(spark, data):
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_answer_candidates_of_every_kind(spark):
+    said = {"October 14, 1947": "It flew on October 14, 1947 at noon", "14 October 1947": "on 14 October 1947 it flew", "1991": "seen in 1991 here", "10-20%": "of 10-20% each", "the slope of a line at a point": "the definition of derivative is the slope of a line at a point.", "a constant 7": "gives a constant 7 there", "42 percent": "about 42 percent of it",
+            "3.5": "its derivative equals 3.5 here", "a measure of the disorder": "Entropy is defined as a measure of the disorder.", "the valves were closed": "it stopped because the valves were closed.", "trees split the data": "unlike linear models, trees split the data.", "Training minimizes the squared error": "Training minimizes the squared error.",
+            "Marie Curie": "it was Marie Curie who", "NASA": "then NASA came", "hidden unit": "a 'hidden unit' is", "Paris": "he saw Paris today", "$5": "it costs $5 now", "well-known": "a well-known thing"}
+    rows = spark.createDataFrame([(a, t) for a, t in said.items()], "chunk_id string, text string")
+    got = questions.answer_candidates(rows).collect()
+    assert {a for a in said if not any(g.chunk_id == a and g.answer == a for g in got)} == set()
+    assert all(said[g.chunk_id][g.start : g.start + len(g.answer)] == g.answer for g in got)
+
+
+def test_answer_candidates_reach_the_end_of_a_long_document(spark, tmp_path):
+    from folio.plans import catalog
+
+    text = " ".join(f"In {1900 + i} they met." for i in range(90)) + " " + "plain words go on here. " * 200 + "At last Marie Curie came."
+    spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["answer_candidates"](spark, str(tmp_path)).collect()
+    assert any("Marie Curie" in g.answer for g in got) and len({g.chunk_id for g in got}) > 1
+    assert max(sum(h.chunk_id == g.chunk_id for h in got) for g in got) <= 8
+
+
 def test_generation_report(spark):
     from folio.operators import evaluation
 
