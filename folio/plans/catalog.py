@@ -565,7 +565,7 @@ def stream_ingest_idempotent(spark, d):
     from folio.streaming.ingest import committed, ingest
 
     root = f"{store.scratch(spark)}/ingest-{uuid.uuid4().hex}"
-    pages(spark, d).where("page_number = 1").select("text").write.text(f"{root}/landing")
+    pages(spark, d).select(F.coalesce("text", F.lit("")).alias("text")).write.text(f"{root}/landing")
     for _ in range(2):
         ingest(spark, f"{root}/landing", f"{root}/out", f"{root}/offsets")
     return committed(spark, f"{root}/out", "chunks").select("document_id", "page_number", "chunk_index", "chunk_id", "char_count")

@@ -115,6 +115,16 @@ def test_answer_candidates_reach_the_end_of_a_long_document(spark, tmp_path):
     assert max(sum(h.chunk_id == g.chunk_id for h in got) for g in got) <= 8
 
 
+def test_ingest_lands_every_turn(spark, tmp_path):
+    from folio.plans import catalog
+
+    turns = [(c, t, "user", f"Marker{c}x{t} " + "and some words more. " * 5) for c in range(4) for t in range(6)]
+    spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = catalog.QUERIES["stream_ingest_idempotent"](spark, str(tmp_path)).collect()
+    assert sum(g.char_count for g in got) >= sum(len(t[3].strip()) for t in turns)
+    assert len({(g.document_id, g.chunk_index) for g in got}) == len(got)
+
+
 def test_generation_report(spark):
     from folio.operators import evaluation
 
