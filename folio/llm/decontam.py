@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from folio.llm.common import pieces, table
 from folio.llm.fm_index import FMIndex
@@ -90,8 +91,11 @@ def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(start) - 1]])].tolist(), strict=True))
 
 
-def _pass(windows, first: bool, schema: pa.Schema):
-    """A mapInArrow function for one block of items; rows keep their order."""
+def _pass(windows, text_at: int, first: bool, finish):
+    """A mapInArrow function for one block of items. Rows keep their order and columns; behind these come, but for the first block, their hits so far.
+
+    finish(rows, n_words, spans, items) makes the batch to hand on.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w: Windows = windows.value
@@ -116,7 +120,7 @@ def _pass(windows, first: bool, schema: pa.Schema):
             row = 0
             for b in held:
                 own_spans, own_items, counts = [], [], []
-                before = (b.column(2).to_pylist(), b.column(3).to_pylist()) if not first else None
+                before = (b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()) if not first else None
                 for i in range(b.num_rows):
                     x, y = cut[row], cut[row + 1]
                     sp = merged(s[x:y], s[x:y] + k[x:y]) if y > x else []
@@ -129,12 +133,11 @@ def _pass(windows, first: bool, schema: pa.Schema):
                         elif old:
                             sp = [(v["start"], v["end"]) for v in old]
                         it = sorted({*it, *before[1][i]})
-                    own_spans.append([{"start": u, "end": v} for u, v in sp])
+                    own_spans.append(sp)
                     own_items.append(it)
                     counts.append(int(lengths[row]) - 1)
                     row += 1
-                cols = [pa.array(counts, pa.int64()), pa.array(own_spans, schema.field("spans").type), pa.array(own_items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols, *([b.column(b.num_columns - 1)] if "text" in schema.names else [])], schema=schema)
+                yield finish(b if first else b.select(list(range(b.num_columns - 3))), counts, own_spans, own_items)
             held.clear()
             ids.clear()
             docs.clear()
@@ -142,7 +145,7 @@ def _pass(windows, first: bool, schema: pa.Schema):
 
         get = w.ids.get
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).cast(pa.binary())
+            texts = batch.column(text_at).cast(pa.string()).cast(pa.binary())
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 held.append(part)
@@ -163,30 +166,60 @@ def pieces_of_words(text: bytes | None) -> Iterator[bytes]:
     return pieces(text or b"")
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks of about BLOCK_BYTES, one block on the driver at a time; at least one block, perhaps empty."""
+    items = table(benchmark, {"item_id": "string", "text": "string"}).select(F.coalesce("item_id", F.lit("null")).alias("item_id"), "text").where("text is not null")
+    block: list[tuple[str, bytes]] = []
+    size = 0
+    for r in items.toLocalIterator():
+        if size > BLOCK_BYTES:
+            yield block
+            block, size = [], 0
+        block.append((r.item_id, t := r.text.encode()))
+        size += len(t)
+    yield block
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, width: int, out: StructType, finish) -> DataFrame:
+    """docs (with a column text) searched for all blocks of items, one pass a block, the last one ending in finish."""
+    text_at = docs.columns.index("text")
+    names = [*docs.columns, *_HITS.names]
+    carried = StructType([*docs.schema.fields, *_CARRIED.fields])
+
+    def carry(rows: pa.RecordBatch, counts: list, own: list, items: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, *_hit_columns(counts, own, items)], names=names)
+
+    waiting, df, first = None, docs, True
+    for block in _blocks(benchmark):
+        if waiting:
+            df, first = df.mapInArrow(_pass(waiting, text_at, first, carry), carried), False
+        waiting = docs.sparkSession.sparkContext.broadcast(Windows(block, width))
+    return df.mapInArrow(_pass(waiting, text_at, first, finish), out)
+
+
+def _hit_columns(counts: list[int], own: list[list[tuple[int, int]]], items: list[list[str]]) -> list[pa.Array]:
+    flat = np.array([x for sp in own for x in sp], np.int64).reshape(-1, 2)
+    pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], fields=list(_HITS.field(1).type.value_type))
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(sp) for sp in own])]), pa.int32())
+    return [pa.array(counts, pa.int64()), pa.ListArray.from_arrays(ends, pairs, type=_HITS.field(1).type), pa.array(items, pa.list_(pa.string()))]
+
+
+_HITS = pa.schema([("_n_words", pa.int64()), ("_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("_items", pa.list_(pa.string()))])
+_SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+_CARRIED = StructType([StructField("_n_words", LongType()), StructField("_spans", _SPANS), StructField("_items", ArrayType(StringType()))])
+
+
 def spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """docs (doc_id, text) with n_words, spans (merged half-open word ranges to remove) and items (ids whose windows occur).
+    """(doc_id, n_words, spans, items) of every row: spans are merged half-open word ranges to remove, items the ids whose windows occur.
 
     A null text has no words. Item ids are kept as strings; a null id reads "null"; items that repeat an id count once.
     """
-    items = table(benchmark, {"item_id": "string", "text": "string"}).select(F.coalesce("item_id", F.lit("null")).alias("item_id"), "text").where("text is not null")
-    rows = items.withColumn("b", F.octet_length("text"))
-    spark = docs.sparkSession
-    blocks: list[list[tuple[str, bytes]]] = [[]]
-    size = 0
-    for r in rows.toLocalIterator():
-        if size > BLOCK_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r.item_id, r.text.encode()))
-        size += r.b
-    kind = "spans array<struct<start:bigint,end:bigint>>, items array<string>"
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("text", pa.string())])
-    df = table(docs, {"doc_id": "bigint", "text": "string"})
-    for k, block in enumerate(blocks):
-        held = spark.sparkContext.broadcast(Windows(block, width))
-        last = k == len(blocks) - 1
-        df = df.mapInArrow(_pass(held, not k, arrow.remove(4) if last else arrow), f"doc_id bigint, n_words bigint, {kind}" + ", text string" * (not last))
-    return df
+
+    def finish(rows: pa.RecordBatch, counts: list, own: list, items: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([rows.column(0), *_hit_columns(counts, own, items)], names=["doc_id", "n_words", "spans", "items"])
+
+    out = StructType([StructField("doc_id", LongType()), *[StructField(f.name[1:], f.dataType) for f in _CARRIED]])
+    return _searched(table(docs, {"doc_id": "bigint", "text": "string"}), benchmark, width, out, finish)
 
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -199,7 +232,17 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without the contaminated ones, columns kept."""
-    bad = judged(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """docs without the contaminated rows, all columns kept, whatever they are called.
+
+    Each row is judged by its own text, in place: rows that share a doc_id, or have none, go or stay by themselves; repeated rows go
+    or stay together. Null, empty and wordless texts stay. Without docs, no rows; without items, or without a column text, all rows.
+    """
+    if "text" not in docs.columns:
+        return docs
+
+    def finish(rows: pa.RecordBatch, counts: list, own: list, items: list) -> pa.RecordBatch:
+        hit = [sum(e - s for s, e in sp) for sp in own]
+        return rows.filter(pa.array([not (h > 0 and 20 * h >= n) for h, n in zip(hit, counts, strict=True)], pa.bool_()))
+
+    return _searched(docs, benchmark, width, docs.schema, finish)

@@ -87,11 +87,11 @@ def rows_of(docs: DataFrame, label: str, lower: bool = True) -> list[tuple[objec
         for b in batches:
             rows = [counts(t, lower) for t in b.column(0).to_pylist()]
             at = [np.flatnonzero(c).astype(np.int16 if BITS < 15 else np.int32) for c in rows]
-            yield as_batch(schema, label=b.column(1), at=[x.tobytes() for x in at], c=[np.minimum(c[x], 65535).astype(np.uint16).tobytes() for c, x in zip(rows, at, strict=True)])
+            yield as_batch(schema, label=b.column(1), at=[x.tobytes() for x in at], c=[c[x].astype(np.uint32).tobytes() for c, x in zip(rows, at, strict=True)])
 
     got = docs.select("text", F.col(label).cast("string")).mapInArrow(work, "label string, at binary, c binary").collect()
     got.sort(key=lambda r: (r.label, r.at, r.c))
-    return [(r.label, np.frombuffer(r.at, np.int16 if BITS < 15 else np.int32).astype(np.int64), np.frombuffer(r.c, np.uint16)) for r in got]
+    return [(r.label, np.frombuffer(r.at, np.int16 if BITS < 15 else np.int32).astype(np.int64), np.frombuffer(r.c, np.uint32)) for r in got]
 
 
 def weighted(rows: list[tuple[object, np.ndarray, np.ndarray]], weight: np.ndarray) -> list[tuple[object, np.ndarray, np.ndarray]]:
