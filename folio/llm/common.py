@@ -52,10 +52,16 @@ def bytes_column(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
-def table(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """Only the named columns, cast: extra columns, also with clashing names, fall away; a missing one is null."""
+def table(df: DataFrame, kinds: dict[str, str], **more: Column) -> DataFrame:
+    """Only the named columns, cast, and more: extra columns, also with clashing names, fall away; a missing one is null."""
     have = set(df.columns)
-    return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+    return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()], *[v.alias(c) for c, v in more.items()])
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row, so that rows without doc_id, or under one doc_id, are told apart."""
+    kept = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() or f.dataType.simpleString() == "variant" else F.col(f"`{f.name}`") for f in df.schema]
+    return F.xxhash64(*kept)
 
 
 def pieces(text: bytes, size: int = 1 << 22) -> Iterator[bytes]:

@@ -11,23 +11,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from folio.llm.common import as_batch, bytes_column, chunks, stash, table
+from folio.llm.common import as_batch, bytes_column, chunks, row_hash, stash, table
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK, SEED = 128, 20240607
-#: Slots of one output shard, and documents of one run of a source's stream.
-SHARD_SLOTS, SHARDS, RUN_DOCS = 4096, 65536, 2000
+#: Slots of one output shard, of the shards drawn together, and documents of one run of a source's stream.
+SHARD_SLOTS, STRATUM, RUN_DOCS = 4096, 1 << 17, 2000
 #: What the mix adds to a document's columns.
 MIX_COLUMNS = ("size", "source_size", "target", "taken", "shard", "slot", "first", "start")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of each text; 0 for a null one."""
-    d = table(docs, {"doc_id": "bigint", "source": "string", "text": "string"})
-    return d.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint").alias("size"), F.xxhash64("text").alias("h"))
+    """(doc_id, source, size, h): words of each text, 0 for a null one; h, a hash of all columns, tells rows of one doc_id apart."""
+    d = table(docs, {"doc_id": "bigint", "source": "string", "text": "string"}, h=row_hash(docs))
+    return d.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint").alias("size"), "h")
 
 
 def targets(source_sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -71,14 +71,12 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_counts(quotas: list[int], shard: int = SHARD_SLOTS, seed: int = SEED) -> np.ndarray:
-    """Slots of each source in each shard: multinomial draws, conditioned on the quotas as their sums. At most SHARDS shards."""
+def shard_counts(quotas: list[int], shard: int = SHARD_SLOTS, seed: int | tuple[int, ...] = SEED) -> np.ndarray:
+    """Slots of each source in each shard: multinomial draws, conditioned on the quotas as their sums. For the quotas of one stratum."""
     left = np.array(quotas, np.int64)
-    shard = max(shard, -(-int(left.sum()) // SHARDS))
     rng, rows = np.random.default_rng(seed), []
     while left.sum() > 0:
-        n = int(min(shard, left.sum()))
-        rows.append(rng.multivariate_hypergeometric(left, n, method="marginals") if left.sum() < 10**9 else np.minimum(left, rng.multinomial(n, left / left.sum())))
+        rows.append(rng.multivariate_hypergeometric(left, int(min(shard, left.sum())), method="marginals"))
         left -= rows[-1]
     return np.array(rows, np.int64).reshape(len(rows), len(quotas))
 
@@ -97,34 +95,40 @@ def plan(sized: DataFrame) -> DataFrame:
 
 
 def slots(sources: DataFrame) -> DataFrame:
-    """(shard, slot, sid, block): what each output slot holds."""
+    """(shard, slot, sid, block): what each output slot holds.
+
+    Each source's slots are dealt evenly to strata of about STRATUM slots, at every size alike; a stratum's task draws its shards'
+    counts and lays its slots, so the driver holds a number for each source only.
+    """
     rows = sources.orderBy("sid").collect()
-    counts = shard_counts([r.quota for r in rows])
-    begins = np.concatenate([np.zeros((1, len(rows)), np.int64), np.cumsum(counts, axis=0)[:-1]]) if len(counts) else counts
     spark = sources.sparkSession
-    runs = [(s, i, int(begins[s, i]), int(counts[s, i])) for s in range(len(counts)) for i in range(len(rows)) if counts[s, i]]
-    blocks = {i: r.blocks for i, r in enumerate(rows)}
+    quotas, blocks = [int(r.quota) for r in rows], [int(r.blocks) for r in rows]
+    n_strata = -(-sum(quotas) // STRATUM)
+    shards_each = -(-(STRATUM + len(rows)) // SHARD_SLOTS)
     schema = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("sid", pa.int32()), ("block", pa.int64())])
 
     def fill(batches):
         for b in batches:
-            for shard, sid, begin, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                nb = blocks[sid]
-                for part in chunks(n, 50_000):
-                    s = np.arange(begin + part.start, begin + part.stop)
-                    block = np.zeros(len(s), np.int64)
-                    for p in np.unique(s // nb).tolist():
-                        at = s // nb == p
-                        block[at] = permuted(s[at] % nb, nb, SEED + 7919 * sid + 104729 * p)
-                    yield as_batch(schema, shard=np.full(len(s), shard), slot=s, sid=np.full(len(s), sid, np.int32), block=block)
-
-    return spark.createDataFrame(runs, "shard bigint, sid int, begin bigint, n bigint").mapInArrow(fill, "shard bigint, slot bigint, sid int, block bigint")
+            for k in b.column(0).to_pylist():
+                begin = [q * k // n_strata for q in quotas]
+                counts = shard_counts([q * (k + 1) // n_strata - s for q, s in zip(quotas, begin, strict=True)], SHARD_SLOTS, (SEED, k))
+                for sid in np.flatnonzero(counts.sum(0)).tolist():
+                    nb, own = blocks[sid], np.repeat(np.arange(len(counts)), counts[:, sid]) + k * shards_each
+                    for part in chunks(len(own), 50_000):
+                        s = np.arange(begin[sid] + part.start, begin[sid] + part.stop)
+                        block = np.zeros(len(s), np.int64)
+                        for p in np.unique(s // nb).tolist():
+                            at = s // nb == p
+                            block[at] = permuted(s[at] % nb, nb, SEED + 7919 * sid + 104729 * p)
+                        yield as_batch(schema, shard=own[part], slot=s, sid=np.full(len(s), sid, np.int32), block=block)
+
+    return spark.range(0, n_strata, 1, max(1, min(n_strata, 100_000))).mapInArrow(fill, "shard bigint, slot bigint, sid int, block bigint")
 
 
 def layout(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each document with its place in its source's stream of words: (doc_id, source, size, sid, h, first), h the hash of its text.
+    """Each document with its place in its source's stream of words: (doc_id, source, size, sid, h, first), h as in sizes.
 
-    A source's stream goes by run (a hash of the document), doc_id, text hash; so a hot source is ordered by many tasks, and
+    A source's stream goes by run (a hash of the document), doc_id, h; so a hot source is ordered by many tasks, and
     what one task learns of the others is the sums of their runs.
     """
     meta = sources.select(F.col("source").alias("_s"), "sid", "runs")
@@ -166,27 +170,33 @@ def taken(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: docs' columns with text replaced by a piece that a slot takes, one row for each piece and slot, repeats included.
 
-    Further columns: size, source_size, target and taken of the document, and shard, slot, first (the document's place in its source),
-    start (the piece's first word in the document). A piece's words are joined by one space. A document of which the mix takes nothing
-    has one row with null text, shard, slot and start: the decision stays on record, its words are gone. Other columns are the document's.
+    Further columns: size, source_size, target and taken of the row's document, and shard, slot, first (its place in its source), start
+    (the piece's first word in it); where docs has a column of such a name, that one stays and the mix's has mix_ before its name. A
+    piece's words are joined by one space. A row of which the mix takes nothing (a null or wordless text among them) stays as one row
+    with null text, shard, slot and start: the decision stays on record, its words are gone. Rows that share a doc_id, or have none, are
+    told apart by all their columns; equal rows are as many plans over the same text. Empty docs: no rows.
     """
     laid, sources, out = mix(docs)
     got = out.groupBy("sid", "first").agg(F.sum("words").alias("taken"), F.collect_list(F.struct("shard", "slot", "start", "words")).alias("_pieces")).withColumn("some", F.lit(True))
     plans = (
         laid.withColumn("some", F.col("size") > 0).join(got, ["sid", "first", "some"], "left").join(sources.select("sid", "source_size", "target"), "sid")
-        .select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("h").alias("_h"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "first", "_pieces")
+        .select(F.col("doc_id").alias("_id2"), F.col("source").alias("_src2"), F.col("h").alias("_h2"), *[F.col(c).alias(f"_{c}") for c in ("size", "source_size", "target")], F.coalesce("taken", F.lit(0)).cast("bigint").alias("_taken"), F.col("first").alias("_first"), "_pieces")
     )
-    own = docs.drop(*[c for c in docs.columns if c in MIX_COLUMNS])
-    key = table(docs, {"doc_id": "bigint", "source": "string", "text": "string"}).schema
-    of = {f.name: (F.col(f"`{f.name}`") if f.name in docs.columns else F.lit(None)).cast(f.dataType) for f in key}
-    keyed = own.withColumns({"_id": of["doc_id"], "_src": of["source"], "_h": F.xxhash64(of["text"])})
+    own = docs if "text" in docs.columns else docs.withColumn("text", F.lit(None).cast("string"))
+    named = {}
+    for c in MIX_COLUMNS:
+        name = c
+        while name in own.columns:
+            name = f"mix_{name}"
+        named[c] = name
+    of = {c: (F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast(t) for c, t in (("doc_id", "bigint"), ("source", "string"))}
+    keyed = own.withColumns({"_id": of["doc_id"], "_src": of["source"], "_h": row_hash(docs)})
     if laid.groupBy("doc_id", "source", "h").count().where("count > 1").limit(1).count():
-        keyed = keyed.dropDuplicates(["_id", "_src", "_h"])  # equal rows: each one's plan cuts the same text
-    plans = plans.withColumnsRenamed({"_id": "_id2", "_src": "_src2", "_h": "_h2"})
+        keyed = keyed.dropDuplicates(["_id", "_src", "_h"])  # rows equal in all columns: each one's plan cuts the same text
     same = F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_src").eqNullSafe(F.col("_src2")) & (F.col("_h") == F.col("_h2"))
-    rows = keyed.join(plans, same).select(*[F.col(f"`{c}`") for c in own.columns], "size", "source_size", "target", "taken", "first", "_pieces")
+    rows = keyed.join(plans, same).select(*[F.col(f"`{c}`").cast("string") if c == "text" else F.col(f"`{c}`") for c in own.columns], *[f"_{c}" for c in MIX_COLUMNS[:5] if c != "shard"], "_first", "_pieces")
     names = [c for c in own.columns if c != "text"]
-    kinds = StructType([*own.schema.fields, *[StructField(c, DoubleType() if c == "target" else LongType()) for c in MIX_COLUMNS]])
+    kinds = StructType([*[StructField(f.name, StringType()) if f.name == "text" else f for f in own.schema.fields], *[StructField(named[c], DoubleType() if c == "target" else LongType()) for c in MIX_COLUMNS]])
 
     def lay(batches):
         for whole in batches:
@@ -211,8 +221,8 @@ def mixed(docs: DataFrame) -> DataFrame:
                 for part in chunks(len(row), 20_000):
                     pick, j = pa.array(row[part]), np.array(piece[part])
                     of = lambda v: pa.array(v[j] if len(v) else np.zeros(len(j), np.int64), pa.int64(), mask=j < 0)  # noqa: B023, E731
-                    made = {"shard": of(shard), "slot": of(slot), "start": of(start), "text": pa.array(text[part], pa.binary()).cast(pa.string())}
-                    cols = {c: b.column(b.schema.get_field_index(c)).take(pick) for c in (*names, "size", "source_size", "target", "taken", "first")} | made
+                    made = {named["shard"]: of(shard), named["slot"]: of(slot), named["start"]: of(start), "text": pa.array(text[part], pa.binary()).cast(pa.string())}
+                    cols = {c: b.column(b.schema.get_field_index(c)).take(pick) for c in names} | {named[c]: b.column(b.schema.get_field_index(f"_{c}")).take(pick) for c in ("size", "source_size", "target", "taken", "first")} | made
                     yield pa.RecordBatch.from_arrays([cols[c] for c in kinds.names], names=kinds.names)
 
     return rows.mapInArrow(lay, kinds)
@@ -228,4 +238,5 @@ def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def materialise(docs: DataFrame) -> DataFrame:
     """(shard, slot, first, doc_id, text): the mix alone; a slot's pieces go by first and start in the source's stream."""
-    return mixed(docs).where("slot is not null").select("shard", "slot", "first", "doc_id", "text")
+    bare = docs.select(*[c for c in docs.columns if c in ("doc_id", "source", "text")])
+    return mixed(bare).where("slot is not null").select("shard", "slot", "first", "doc_id", "text")

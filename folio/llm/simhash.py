@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import as_batch, bytes_column, pieces, stash, table
+from folio.llm.common import as_batch, bytes_column, pieces, row_hash, stash, table
 from folio.llm.components import components
 
 BITS, RADIUS, SEED = 64, 3, 42
@@ -51,7 +51,7 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
-    """(doc_id, fp) of every row, and h, the hash of its text, if asked for; a null text has no words, so fingerprint 0."""
+    """(doc_id, fp) of every row, and h, the hash of all its columns, if asked for; a null text has no words, so fingerprint 0."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())] + [("h", pa.int64())] * hashed)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,8 +64,8 @@ def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
                 out.append(known[t])
             yield as_batch(schema, doc_id=batch.column(0), fp=out, **({"h": batch.column(2)} if hashed else {}))
 
-    d = table(docs, {"doc_id": "bigint", "text": "string"})
-    return (d.withColumn("h", F.xxhash64("text")) if hashed else d).mapInArrow(work, "doc_id bigint, fp bigint" + ", h bigint" * hashed)
+    d = table(docs, {"doc_id": "bigint", "text": "string"}, **({"h": row_hash(docs)} if hashed else {}))
+    return d.mapInArrow(work, "doc_id bigint, fp bigint" + ", h bigint" * hashed)
 
 
 def masks(bits: int, weight: int) -> np.ndarray:
@@ -209,18 +209,17 @@ def hex_fingerprint(fp: str = "fp") -> F.Column:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group stays: that of the smallest doc_id, of equal doc_ids that of the smallest text hash.
+    """One row of each near-duplicate group stays, all its columns kept: that of the smallest doc_id, of equal doc_ids that of the smallest hash.
 
-    Rows are told apart by doc_id and text, so rows without doc_id, or unlike texts under one doc_id, are judged by their own groups.
+    Rows are told apart by doc_id and a hash of all columns, so rows without doc_id, or unlike texts under one doc_id, are judged by
+    their own groups; of rows equal in all columns one stays. Null, empty and wordless texts form one group. Empty docs: no rows.
     """
-    have = set(docs.columns)
-    text = F.col("text").cast("string") if "text" in have else F.lit(None).cast("string")
-    own_id = F.col("doc_id").cast("bigint") if "doc_id" in have else F.lit(None).cast("bigint")
+    own_id = F.col("doc_id").cast("bigint") if "doc_id" in docs.columns else F.lit(None).cast("bigint")
     marked = stash(fingerprints(docs, hashed=True))
     root = by_root(marked).select("fp", "root")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     first = stash(marked.join(root, "fp").groupBy("root").agg(F.min(rank).alias("m")).select("m.doc_id", "m.h"))
     leads = first.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    kept = docs.withColumns({"_own": own_id, "_text": F.xxhash64(text)}).join(leads, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_h")), "left_semi")
+    kept = docs.withColumns({"_own": own_id, "_row": row_hash(docs)}).join(leads, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_h")), "left_semi")
     repeated = marked.join(leads, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi").groupBy("doc_id", "h").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["_own", "_text"]) if repeated else kept).drop("_own", "_text")
+    return (kept.dropDuplicates(["_own", "_row"]) if repeated else kept).drop("_own", "_row")

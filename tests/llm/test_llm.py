@@ -113,6 +113,13 @@ def test_dedup_judges_rows_without_or_with_equal_ids_by_their_texts(spark):
     assert sorted(t for t in null if t) == sorted([text[0], text[1]]) and len(null) == 3
 
 
+def test_dedup_keeps_a_whole_row(spark):
+    rows = [(1, "one two three", "b"), (1, "one two three", "a"), (2, "four five six seven", None), (2, "four five six seven", None), (None, None, "x"), (None, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, h string")
+    got = Counter(tuple(r) for r in simhash.dedup(docs).collect())
+    assert sum(got.values()) == 3 and got <= Counter(rows) and {r[1] or "" for r in got} == {"one two three", "four five six seven", ""}
+
+
 @pytest.mark.parametrize("html, want", [
     (None, ""), ("", ""), ("<p>a<b>b</b>&amp;amp;<br>c</p>", "ab&amp; c"), ("just text", "just text"),
     ("<body><nav><a href=x>Home</a></nav><article><h1>T</h1><p>One  two.<p>Three.<section class='comments'><p>I agree with all of that.</p></section></article><footer>c</footer><script>if (a<b) x('</p>')</script>", "T One two. Three."),
@@ -194,6 +201,19 @@ def test_decontamination_of_nothing(spark, empty, docs):
     assert decontam.judged(docs, none).where("n_hit > 0").count() == 0 and decontam.clean(docs, none).count() == docs.count()
 
 
+def test_clean_judges_each_row_by_its_own_text(spark, monkeypatch):
+    item = " ".join(f"w{i}" for i in range(20))
+    free = [" ".join(f"{a}{i}" for i in range(30)) for a in "abc"]
+    rows = [(1, free[0], "p", 1), (1, item, "q", 2), (None, free[1], "r", 3), (None, item.upper(), "s", 4), (None, None, "t", 5), (3, "", "u", 6), (4, item + " " + free[2] * 30, "v", 7), (1, free[0], "p", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, items string, n_words int")
+    bench = spark.createDataFrame([(1, item), (2, free[2][:20])], "item_id bigint, text string")
+    for block in (16 << 20, 10):
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+        kept = decontam.clean(docs, bench)
+        assert kept.schema == docs.schema and Counter(tuple(r) for r in kept.collect()) == Counter(r for r in rows if r[3] not in (2, 4))
+    assert decontam.clean(docs.limit(0), bench).count() == 0 and decontam.clean(docs, bench.limit(0)).count() == len(rows)
+
+
 def test_attention_scores_do_not_depend_on_batching_and_sum_to_one():
     m = attention.Attention.new(12, 9, 8, 4, np.zeros(9))
     r = np.random.default_rng(1)
@@ -375,14 +395,15 @@ def test_mixed_is_the_mix(spark, monkeypatch):
     got = mixing.mixed(docs).collect()
     decided = mixing.taken(docs).collect()
     assert Counter((g.doc_id, g.source, g.size, g.taken) for g in decided if not g.taken) == Counter((g.doc_id, g.source, g.size, g.taken) for g in got if g.text is None)
-    assert any(g.size and not g.taken for g in decided) and all((g.slot is None) == (g.text is None) == (g.shard is None) for g in got)
-    assert len({g.slot for g in got if g.source == "hot" and g.slot is not None}) == max(g.slot for g in got if g.source == "hot" and g.slot is not None) + 1
+    assert Counter(g.slot for g in got if not g.taken) <= Counter(r[3] for r in rows) and got[0].__fields__[:4] == docs.columns
+    assert any(g.size and not g.taken for g in decided) and all((g.mix_slot is None) == (g.text is None) == (g.shard is None) for g in got)
+    assert len({g.mix_slot for g in got if g.source == "hot" and g.mix_slot is not None}) == max(g.mix_slot for g in got if g.source == "hot" and g.mix_slot is not None) + 1
     words, streams = Counter(), {}
     for g in got:
         if g.text is not None:
             assert any(d == g.doc_id and s == g.source and g.text.split(" ") == t.split()[g.start : g.start + len(g.text.split(" "))] for d, t, s, _ in rows if t)
             words[g.source] += len(g.text.split())
-            streams.setdefault((g.source, g.slot), []).append((g.first + g.start, len(g.text.split())))
+            streams.setdefault((g.source, g.mix_slot), []).append((g.first + g.start, len(g.text.split())))
     for s in ("hot", "a", None):
         mine = [g for g in decided if g.source == s]
         assert words[s] == sum(g.taken for g in mine) and abs(words[s] - mine[0].target) <= 16
@@ -391,6 +412,31 @@ def test_mixed_is_the_mix(spark, monkeypatch):
         assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(n for _, n in parts) <= 8 and parts[0][0] % 8 == 0
 
 
+def test_mixing_draws_every_stratum_alike(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 10)
+    monkeypatch.setattr(mixing, "STRATUM", 64)
+    sources = spark.createDataFrame([(0, 700, 500), (1, 3, 2), (2, 0, 0), (3, 90, 45)], "sid int, quota bigint, blocks bigint")
+    got = mixing.slots(sources).collect()
+    assert len(got) == 793
+    for sid, quota, blocks in ((0, 700, 500), (1, 3, 2), (3, 90, 45)):
+        mine = sorted(((g.slot, g.block) for g in got if g.sid == sid))
+        assert [s for s, _ in mine] == list(range(quota)) and sorted(b for _, b in mine[:blocks]) == list(range(min(blocks, quota)))
+        assert max(Counter(b for _, b in mine).values()) <= -(-quota // blocks)
+    assert max(Counter(g.shard for g in got).values()) <= 10 and len({g.shard for g in got}) >= 80
+    share = [sum(g.sid == 3 for g in got if g.shard == k) for k in {g.shard for g in got}]
+    assert 0 < np.var(share) < 3
+
+
+def test_mixed_rows_of_one_id_keep_their_own_columns(spark):
+    rows = [(1, "a b c " * 50, "s", "first"), (1, "d e f " * 90, "s", "second"), (1, "a b c " * 50, "s", "third"), (None, "g h " * 10, "s", None), (None, "i j " * 20, "s", "x"), (None, "i j " * 20, "s", "x"), (7, None, None, "y")]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id bigint, text string, source string, size string")).collect()
+    plans = {}
+    for g in got:
+        plans.setdefault((g.doc_id, g.size, g.mix_size, g.first, g.taken), 0)
+    assert Counter((i, z, n) for i, z, n, _, _ in plans) == Counter((r[0], r[3], len((r[1] or "").split())) for r in rows)
+    assert mixing.mixed(spark.createDataFrame(rows, "doc_id bigint, text string, source string, size string").limit(0)).count() == 0
+
+
 def test_pipeline_gives_the_mix(spark, data):
     import corpus_pipeline as cp
 
