@@ -88,7 +88,7 @@ def train(docs: DataFrame, per_class: int = PER_CLASS) -> Model:
     sample, all_of = ngrams.sampled(learn, "lang", per_class)
     classes = sorted(all_of)
     at = {c: i for i, c in enumerate(classes)}
-    rows = [(at[y], i, v) for y, i, v in ngrams.weighted(ngrams.rows_of(sample, "lang"), weight)]
+    rows = [(at[y], i, v) for y, i, v in ngrams.weighted(ngrams.rows_of(ngrams.bounded(sample, 2 * per_class * max(1, len(classes))), "lang"), weight)]
     aside = [r for i, r in enumerate(rows) if i % 5 == 4]
     w, b = ftrl([r for i, r in enumerate(rows) if i % 5 != 4], len(classes), ngrams.SIZE)
     t = temperature(np.array([w[:, i] @ v + b for _, i, v in aside]), np.array([y for y, _, _ in aside], int)) if classes else 1.0

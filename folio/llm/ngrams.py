@@ -103,10 +103,19 @@ def weighted(rows: list[tuple[object, np.ndarray, np.ndarray]], weight: np.ndarr
 
 
 def sampled(labelled: DataFrame, label: str, per_class: int, seed: str = "s") -> tuple[DataFrame, dict[str, int]]:
-    """About per_class rows of each class, by a hash of doc_id; and how many rows each class has in all."""
+    """About per_class rows of each class, by a hash of doc_id and text, if there; labels alone once for each doc_id. And how many rows each class has in all."""
     n = {r[0]: r[1] for r in labelled.groupBy(F.col(label).cast("string")).count().collect()}
     if not n:
         return labelled.limit(0), n
     share = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, per_class / v)))])
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.where(u < share[F.col(label).cast("string")]), n
+    by = [F.col(c) for c in ("doc_id", "text") if c in labelled.columns]
+    u = F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 30)) / float(1 << 30)
+    chosen = labelled.where(u < share[F.col(label).cast("string")])
+    return (chosen if "text" in labelled.columns else chosen.dropDuplicates(["doc_id", label])), n
+
+
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """rows (doc_id, text, ...), at most so many of them, the first by a hash: doc_ids that repeat must not multiply a sample. Only hashes are sorted."""
+    h = F.xxhash64(F.lit("b"), "doc_id", "text")
+    beyond = rows.select(h.alias("h")).orderBy("h").offset(most).limit(1).collect()
+    return rows.where(h < beyond[0].h) if beyond else rows

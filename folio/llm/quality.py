@@ -68,13 +68,14 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], k: int, importance: np.n
 
 
 def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> Model:
-    """Grades from labels (doc_id, quality) outside the held-out fold; of repeated ratings, each counts."""
+    """Grades from labels (doc_id, quality) outside the held-out fold; a rating that repeats counts once."""
     d = table(docs, {"doc_id": "bigint", "text": "string"}).where("text is not null")
     rated = table(labels, {"doc_id": "bigint", "quality": "int"}).where((fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("quality").isNotNull())
     sample, n = ngrams.sampled(rated, "quality", per_grade)
     grades = sorted(int(g) for g in n)
     at = {str(g): i for i, g in enumerate(grades)}
-    raw = ngrams.rows_of(d.join(F.broadcast(sample), "doc_id"), "quality", lower=False)  # bounded by per_grade and the grades' number
+    few = ngrams.bounded(d.join(F.broadcast(sample), "doc_id"), 2 * per_grade * max(1, len(grades)))
+    raw = ngrams.rows_of(few, "quality", lower=False)
     df, docs_n = ngrams.document_frequency(d, lower=False)
     weight = ngrams.idf(df, docs_n)
     rows = [(at[y], i, v) for y, i, v in ngrams.weighted(raw, weight)]

@@ -2,9 +2,9 @@
 
 A symbol of a word is predicted from up to seven bytes of the word before it, each class by its own counts; what those leave
 open is shared: the pooled continuation counts of the context without its first byte. So an inflected or misspelt rare
-expression is judged by the stem that it shares with others. A word's evidence is the sum of its symbols' log-likelihood ratios;
-a text's is the length-normalised sum and the strongest words. A logistic curve, fitted on rows that the counts haven't seen,
-turns it into a probability.
+expression is judged by the stem that it shares with others. The two log-likelihoods of a passage of a few words are compared over
+its number of symbols; a text's evidence is that of its most toxic passage, wherever it lies and however long the text. A logistic
+curve, fitted on evidence by models that haven't counted the text, turns it into a probability.
 """
 
 from __future__ import annotations
@@ -18,31 +18,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import ngrams
-from folio.llm.common import as_batch, bytes_column, fold, pieces, table
+from folio.llm.common import as_batch, bytes_column, fold, pieces, stash, table
 from folio.llm.decontam import _WORD
 
 FOLDS, HELD_OUT = 4, 2
-#: Sampled labelled documents of each class; one in three fits the curve, the others the counts.
+#: Sampled labelled documents of each class.
 PER_CLASS = 2000
 #: What a count gives to the backoff.
-DISCOUNT = 3.0
+DISCOUNT = 1.0
 THRESHOLD = 0.3
-#: Slots of the table of log-ratios, as a power of two; of n-grams that share a slot the more telling one stays.
-SLOTS = 21
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-FEATURES = 4
+#: Words of a passage; parts of the sample that the curve is fitted across; distinct words a task remembers.
+PASSAGE, PARTS, KNOWN = 3, 3, 300_000
 
 
 @dataclass
 class Model:
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(1 << SLOTS, np.uint64))
-    ratio: np.ndarray = field(default_factory=lambda: np.zeros(1 << SLOTS, np.float32))
-    #: Sorted contexts and the log-ratio of what each class leaves to the shared counts there: that of any symbol not counted above DISCOUNT.
+    """Log-ratios of the classes' probabilities of a symbol after its context.
+
+    After a context that both classes share, what a class leaves to the backoff is multiplied by the same shared probability for
+    both, so that factor falls out of the comparison: a symbol that neither class has counted above DISCOUNT has the log-ratio of what
+    the classes leave there. ratio holds all others.
+    """
+
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    ratio: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     contexts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     backoff: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-    curve: np.ndarray = field(default_factory=lambda: np.zeros(1 + FEATURES))
-    middle: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
-    spread: np.ndarray = field(default_factory=lambda: np.ones(FEATURES))
+    #: Of the logistic curve over a text's evidence: intercept, slope.
+    curve: tuple[float, float] = (0.0, 0.0)
 
 
 def spelt(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -59,10 +62,6 @@ def spelt(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return window >> (8 * (7 - at)).astype(np.uint64), begin
 
 
-def slot(keys: np.ndarray) -> np.ndarray:
-    return ((keys * _MIX) >> np.uint64(64 - SLOTS)).astype(np.int64)
-
-
 def _context(keys: np.ndarray) -> np.ndarray:
     """Of little-endian windows: without the last byte. The last byte is the highest that isn't zero."""
     size = _bytes(keys)
@@ -80,13 +79,13 @@ def _bytes(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def count(texts: list[tuple[int, bytes]], prior: np.ndarray) -> Model:
-    """texts: (class, text); prior: each class's share of all labelled rows, which weighs it in the shared counts."""
-    per = [np.unique(np.concatenate([spelt(t)[0] for y, t in texts if y == c] or [np.zeros(0, np.uint64)]), return_counts=True) for c in range(2)]
-    keys = np.union1d(per[0][0], per[1][0])
-    c = np.zeros((2, len(keys)))
-    for y in range(2):
-        c[y, np.searchsorted(keys, per[y][0])] = per[y][1]
+def counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of texts and how often each occurs."""
+    return np.unique(np.concatenate([spelt(p)[0] for t in texts for p in pieces(t)] or [np.zeros(0, np.uint64)]), return_counts=True)
+
+
+def compared(keys: np.ndarray, c: np.ndarray, prior: np.ndarray) -> Model:
+    """keys: distinct n-grams; c: how often each class has them; prior: each class's share of all labelled rows, which weighs it in the shared counts."""
     context, of = np.unique(_context_key(keys), return_inverse=True)
     k = len(context)
     # shared: continuation counts of the n-gram without its first byte
@@ -96,46 +95,81 @@ def count(texts: list[tuple[int, bytes]], prior: np.ndarray) -> Model:
     shared = np.bincount(short_of, follows, len(shorter))[short_of] / np.bincount(above_of, follows, len(above))[above_of]
     p, opens = [], []
     for y in range(2):
-        total = np.maximum(np.bincount(of, c[y], k), 1e-9)
-        left = np.where(np.bincount(of, c[y], k) > 0, np.bincount(of, np.minimum(c[y], DISCOUNT), k) / total, 1)
+        n = np.bincount(of, c[y], k)
+        left = np.where(n > 0, np.bincount(of, np.minimum(c[y], DISCOUNT), k) / np.maximum(n, 1e-9), 1)
         opens.append(left)
-        p.append(np.maximum(c[y] - DISCOUNT, 0) / total[of] + left[of] * shared)
-    ratio = np.log(np.maximum(p[1], 1e-9) / np.maximum(p[0], 1e-9)).astype(np.float32)
-    keep = np.flatnonzero(c.max(0) > DISCOUNT)
-    keep = keep[np.argsort(np.abs(ratio[keep]), kind="stable")]
-    m = Model()
-    m.keys[slot(keys[keep])] = keys[keep]
-    m.ratio[slot(keys[keep])] = ratio[keep]
+        p.append(np.maximum(c[y] - DISCOUNT, 0) / np.maximum(n, 1e-9)[of] + left[of] * shared)
+    own = np.flatnonzero(c.max(0) > DISCOUNT) if len(keys) else np.zeros(0, np.int64)
     back = np.log(opens[1] / opens[0]).astype(np.float32)
-    m.contexts, m.backoff = context[back != 0], back[back != 0]
-    return m
+    return Model(keys[own], np.log(p[1][own] / p[0][own]).astype(np.float32), context[back != 0], back[back != 0])
+
+
+def count(texts: list[tuple[int, bytes]], prior: np.ndarray) -> Model:
+    """texts: (class, text)."""
+    per = [counted([t for y, t in texts if y == k]) for k in range(2)]
+    keys = np.union1d(per[0][0], per[1][0])
+    c = np.zeros((2, len(keys)))
+    for y in range(2):
+        c[y, np.searchsorted(keys, per[y][0])] = per[y][1]
+    return compared(keys, c, prior)
+
+
+def _look(table: np.ndarray, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of at: its value (0 if unknown) and whether the sorted table has it."""
+    if not len(table):
+        return np.zeros(len(at), np.float32), np.zeros(len(at), bool)
+    i = np.minimum(np.searchsorted(table, at), len(table) - 1)
+    there = table[i] == at
+    return np.where(there, values[i], 0), there
 
 
 def ratios(m: Model, keys: np.ndarray) -> np.ndarray:
-    """Log-ratio of each symbol: its own if counted above DISCOUNT, else its context's, as both classes share what they leave."""
-    at = slot(keys)
-    out = m.ratio[at].copy()
-    rare = np.flatnonzero(m.keys[at] != keys)
-    out[rare] = 0
-    if len(rare) and len(m.contexts):
-        c = _context_key(keys[rare])
-        i = np.minimum(np.searchsorted(m.contexts, c), len(m.contexts) - 1)
-        out[rare] = np.where(m.contexts[i] == c, m.backoff[i], 0)
+    """Log-ratio of each symbol: its own if a class has counted it above DISCOUNT, else that of its context's backoff (0 if neither class has the context)."""
+    out, there = _look(m.keys, m.ratio, keys)
+    rare = np.flatnonzero(~there)
+    out[rare] = _look(m.contexts, m.backoff, _context_key(keys[rare]))[0]
     return out
 
 
-def evidence(m: Model, text: bytes | None) -> tuple[float, ...]:
-    """Mean log-ratio of the words, then the strongest, the second and the fourth strongest; zeros for a text without words."""
-    total, n, top = 0.0, 0, np.zeros(4, np.float32)
-    for p in pieces(text or b""):
-        keys, begin = spelt(p)
-        if not len(begin):
-            continue
-        word = np.add.reduceat(ratios(m, keys), begin)
-        total += float(word.sum())
-        n += len(word)
-        top = np.sort(np.concatenate([top, np.partition(word, -4)[-4:] if len(word) > 4 else word]))[-4:]
-    return (total / n if n else 0.0), float(top[3]), float(top[2]), float(top[0])
+class Judge:
+    """Texts' evidence by a model; a word's log-ratio and symbols are worked out once."""
+
+    def __init__(self, m: Model) -> None:
+        self.m, self.at = m, {}
+        self.word, self.size = np.zeros(0), np.zeros(0)
+
+    def learn(self, words: list[bytes]) -> None:
+        new = list(dict.fromkeys(w for w in words if w not in self.at))
+        if len(self.at) + len(new) > KNOWN:
+            self.at.clear()
+            self.word, self.size = np.zeros(0), np.zeros(0)
+            new = list(dict.fromkeys(words))
+        if new:
+            keys, begin = spelt(b" ".join(new))
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            self.word = np.concatenate([self.word, np.add.reduceat(ratios(self.m, keys).astype(float), begin)])
+            self.size = np.concatenate([self.size, np.diff(np.append(begin, len(keys)))])
+
+    def evidence(self, text: bytes | None) -> float:
+        """The greatest log-likelihood ratio of a passage, over its symbols: PASSAGE words, each passage beginning a word later, or all words of a shorter text; 0 without words."""
+        best, tail = -np.inf, []
+        for p in pieces(text or b""):
+            words = tail + p.translate(_WORD).split()
+            if len(words) < PASSAGE:
+                tail = words
+                continue
+            for k in range(0, len(words) - PASSAGE + 1, 20_000):
+                best = max(best, self._best(words[k : k + 20_000 + PASSAGE - 1], PASSAGE))
+            tail = words[len(words) - PASSAGE + 1 :]
+        if best == -np.inf:
+            return self._best(tail, len(tail)) if tail else 0.0
+        return best
+
+    def _best(self, words: list[bytes], n: int) -> float:
+        self.learn(words)
+        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        w, s = (np.concatenate([[0], np.cumsum(x[at])]) for x in (self.word, self.size))
+        return float(((w[n:] - w[:-n]) / (s[n:] - s[:-n])).max())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -149,37 +183,70 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return b
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """From rows of docs with labels.toxic 0 or 1, outside the held-out fold. Without both classes the score is the base rate."""
+def _labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, np.ndarray]:
+    """(text, toxic, part): at most about per_class rows of each class, by hashes, in PARTS parts; and each class's share of all labelled rows."""
     rated = table(labels, {"doc_id": "bigint", "toxic": "int"}).where((fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("toxic").isin(0, 1))
     sample, n = ngrams.sampled(rated, "toxic", per_class)
-    d = table(docs, {"doc_id": "bigint", "text": "string"})
-    rows = sorted((r.toxic, r.doc_id, r.text.encode()) for r in d.join(F.broadcast(sample), "doc_id").where("text is not null").collect())  # bounded by per_class
+    rows = ngrams.bounded(table(docs, {"doc_id": "bigint", "text": "string"}).where("text is not null").join(F.broadcast(sample), "doc_id"), 4 * per_class)
     prior = np.array([n.get("0", 0), n.get("1", 0)], float)
-    prior = prior / prior.sum() if prior.sum() else np.array([1.0, 0.0])
-    of = [[r for r in rows if r[0] == y] for y in range(2)]
-    if min(map(len, of)) < 3:
-        m = Model()
-        m.curve[0] = np.log((prior[1] + 1e-3) / (prior[0] + 1e-3))
-        return m
-    m = count([(y, t) for y in range(2) for i, (_, _, t) in enumerate(of[y]) if i % 3], prior)
-    aside = [(y, t) for y in range(2) for i, (_, _, t) in enumerate(of[y]) if not i % 3]
-    x, y = np.array([evidence(m, t) for _, t in aside]), np.array([y for y, _ in aside])
-    m.middle, m.spread = x.mean(0), x.std(0) + 1e-9
-    m.curve = logistic((x - m.middle) / m.spread, y, np.where(y == 1, prior[1] / max(1, y.sum()), prior[0] / max(1, (1 - y).sum())) * len(y))
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id", "text"), F.lit(PARTS)).cast("int")
+    return stash(rows.select("text", "toxic", part.alias("part"))), prior / prior.sum() if prior.sum() else np.array([1.0, 0.0])
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    """From rows of docs with labels.toxic 0 or 1, outside the held-out fold; counts are taken in tasks, whole texts never reach the driver.
+
+    The curve is fitted on evidence by models that have not counted the text's part. Without both classes the score is the base rate.
+    """
+    rows, prior = _labelled(docs, labels, per_class)
+    schema = pa.schema([("key", pa.int64()), ("toxic", pa.int32()), ("part", pa.int32()), ("n", pa.int64())])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            group = np.array(b.column(1).to_pylist(), np.int64) * PARTS + np.array(b.column(2).to_pylist(), np.int64)
+            texts = bytes_column(b)
+            for g in np.unique(group).tolist():
+                keys, n = counted([texts[i] for i in np.flatnonzero(group == g).tolist()])
+                yield as_batch(schema, key=keys.view(np.int64), toxic=np.full(len(keys), g // PARTS, np.int32), part=np.full(len(keys), g % PARTS, np.int32), n=n)
+
+    got = rows.mapInArrow(tally, "key bigint, toxic int, part int, n bigint").groupBy("key", "toxic", "part").agg(F.sum("n").alias("n")).toPandas()
+    keys, of = np.unique(got["key"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+    c = np.zeros((2, PARTS, len(keys)))
+    np.add.at(c, (got["toxic"].to_numpy(np.int64), got["part"].to_numpy(np.int64), of), got["n"].to_numpy(np.int64))
+    seen = {(r.toxic, r.part): r["count"] for r in rows.groupBy("toxic", "part").count().collect()}
+    if min(sum(n for (y, _), n in seen.items() if y == k) for k in range(2)) < PARTS:
+        return Model(curve=(float(np.log((prior[1] + 1e-3) / (prior[0] + 1e-3))), 0.0))
+    held = rows.sparkSession.sparkContext.broadcast([compared(keys, c.sum(1) - c[:, p], prior) for p in range(PARTS)])
+    told = pa.schema([("toxic", pa.int32()), ("x", pa.float64())])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judges = [Judge(m) for m in held.value]
+        for b in batches:
+            yield as_batch(told, toxic=b.column(1), x=[judges[p].evidence(t) for t, p in zip(bytes_column(b), b.column(2).to_pylist(), strict=True)])
+
+    aside = sorted((r.toxic, r.x) for r in rows.mapInArrow(tell, "toxic int, x double").collect())
+    y, x = (np.array(v, float) for v in zip(*aside, strict=True))
+    middle, spread = x.mean(), x.std() + 1e-9
+    b = logistic(((x - middle) / spread)[:, None], y, np.where(y == 1, prior[1] / max(1, y.sum()), prior[0] / max(1, (1 - y).sum())) * len(y))
+    m = compared(keys, c.sum(1), prior)
+    m.curve = (float(b[0] - b[1] * middle / spread), float(b[1] / spread))
     return m
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; a null or empty text has no evidence and gets the curve's value there."""
+    """(doc_id, held_out, score, predicted) of every row; a null or empty text has no evidence and gets the curve's value at 0.
+
+    Repeated rows each have their row; a null doc_id is in no fold; further columns don't matter.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        judge = Judge(held.value)
+        a, slope = held.value.curve
         for b in batches:
-            x = np.array([evidence(m, t) for t in bytes_column(b)]).reshape(-1, FEATURES)
-            s = 1 / (1 + np.exp(-np.clip(m.curve[0] + (x - m.middle) / m.spread @ m.curve[1:], -40, 40)))
+            x = np.array([judge.evidence(t) for t in bytes_column(b)], float)
+            s = 1 / (1 + np.exp(-np.clip(a + slope * x, -40, 40)))
             yield as_batch(schema, doc_id=b.column(0), held_out=b.column(2), score=s, predicted=(s >= THRESHOLD).astype(np.int32))
 
     d = table(docs, {"doc_id": "bigint", "text": "string"}).withColumn("held_out", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)))

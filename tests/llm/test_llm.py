@@ -347,15 +347,69 @@ def test_toxicity(spark, empty):
     assert len({g.score for g in flat}) == 1 and 0 <= flat[0].score <= 1
 
 
-def test_rare_spellings_get_their_contexts_evidence():
-    texts = [(0, b"gruen gruen gruen gruen gruen gruen gruen gruen"), (1, b"gruem grued gruek gruem")]
-    m = toxicity.count(texts, np.array([0.5, 0.5]))
-    keys, _ = toxicity.spelt(b"grued gruex")
-    # after "grue" the ordinary class leaves 3 of 8, the toxic one all of 4
-    got = toxicity.ratios(m, keys)
-    assert got[4] == pytest.approx(math.log(8 / 3), rel=1e-5) and got[10] == pytest.approx(math.log(8 / 3), rel=1e-5)
-    assert toxicity.ratios(m, toxicity.spelt(b"zzz")[0])[1:].tolist() == [0, 0, 0]
-    assert toxicity.evidence(m, b"gruex")[1] > toxicity.evidence(m, b"gruen")[1]
+def brute_log_likelihoods(texts, prior, symbols):
+    """Each class's log-probability of every symbol of symbols (context, symbol), by Kneser-Ney counts in dictionaries."""
+    c = [Counter(), Counter()]
+    for y, t in texts:
+        for w in t.split():
+            w += b" "
+            for i in range(len(w)):
+                c[y][w[max(0, i - 7) : i], w[i : i + 1]] += 1
+    seen = set(c[0]) | set(c[1])
+    size = lambda g: len(g[0]) + 1
+    follows = {g: sum(max(prior[y], 0.02) * (c[y][g] > 0) for y in range(2)) for g in seen}
+    out = []
+    for y in range(2):
+        p = []
+        for h, s in symbols:
+            n = sum(v for g, v in c[y].items() if g[0] == h)
+            left = sum(min(v, toxicity.DISCOUNT) for g, v in c[y].items() if g[0] == h) / n if n else 1
+            like = [g for g in seen if size(g) == len(h) + 1 and g[0][1:] == h[1:]]
+            low = sum(follows[g] for g in like if (g[0] + g[1])[1:] == (h + s)[1:]) / max(1e-300, sum(follows[g] for g in like))
+            p.append((max(c[y][h, s] - toxicity.DISCOUNT, 0) / n if n else 0, left, low))
+        out.append(p)
+    return out
+
+
+def test_log_ratios_are_those_of_the_two_models():
+    r = random.Random(11)
+    texts = [(int(r.random() < 0.4), " ".join(r.choices(["gruen", "gruem", "grued", "rot", "rost", "ab", "abenteuerlich"], k=6)).encode()) for _ in range(40)]
+    prior = np.array([0.9, 0.1])
+    m = toxicity.count(texts, prior)
+    for w in (b"gruen", b"grued", b"gruex", b"rotx", b"abenteuerlich", b"zzz"):
+        keys, _ = toxicity.spelt(w)
+        full = w + b" "
+        got = toxicity.ratios(m, keys)
+        for k, (o, t) in enumerate(zip(*brute_log_likelihoods(texts, prior, [(full[max(0, i - 7) : i], full[i : i + 1]) for i in range(len(full))]))):
+            low = o[2] or 1e-4  # any shared value: both classes multiply it alike
+            assert got[k] == pytest.approx(math.log((t[0] + t[1] * low) / (o[0] + o[1] * low)), abs=1e-4)
+
+
+def test_evidence_is_that_of_the_most_toxic_passage(monkeypatch):
+    m = toxicity.count([(0, b"aa bb cc dd aa bb cc dd ee ff"), (1, b"aa bb xx dd xx yy")], np.array([0.5, 0.5]))
+    judge = toxicity.Judge(m)
+
+    def brute(text):
+        words = text.split()
+        one = {w: (toxicity.ratios(m, toxicity.spelt(w)[0]).sum(), len(w) + 1) for w in words}
+        n = min(toxicity.PASSAGE, len(words))
+        return max(sum(one[w][0] for w in words[i : i + n]) / sum(one[w][1] for w in words[i : i + n]) for i in range(len(words) - n + 1)) if n else 0
+
+    for t in (b"", b"xx", b"xx yy", b"aa bb cc dd xx ee ff aa yy", b"qq " * 50 + b"xx yy aa"):
+        assert judge.evidence(t) == pytest.approx(brute(t))
+    long = b"aa bb cc dd " * 30_000 + b"xx xx yy " + b"cc dd " * 30_000
+    assert judge.evidence(long) == pytest.approx(brute(b"aa bb cc dd xx xx yy cc dd"))
+    monkeypatch.setattr(toxicity, "KNOWN", 3)
+    assert toxicity.Judge(m).evidence(long) == pytest.approx(judge.evidence(long))
+    assert judge.evidence(None) == judge.evidence(b" ?! ") == 0
+
+
+def test_toxicity_of_repeats_and_clashing_columns(spark):
+    rows = [(i % 50, f"some words {'vile' if i % 5 == 0 else 'mild'} end", 0.5, 1) for i in range(200)] + [(None, None, 0.1, 0), (None, "vile", 0.2, 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score double, predicted int")
+    labels = spark.createDataFrame([(i % 50, int(i % 5 == 0), "x") for i in range(100)], "doc_id bigint, toxic int, text string")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 202 and all((g.predicted == 1) == (g.doc_id % 5 == 0) for g in got if g.doc_id is not None)
 
 
 def test_mixing_targets():
