@@ -1,6 +1,6 @@
 """Toxicity by two class-conditional Kneser-Ney models of how words are spelt, backing off to counts that both classes share.
 
-A symbol of a word is predicted from up to seven bytes of the word before it, each class by its own counts; what those leave
+A symbol of a word is predicted from up to CONTEXT bytes of the word before it, each class by its own counts; what those leave
 open is shared: the pooled continuation counts of the context without its first byte. So an inflected or misspelt rare
 expression is judged by the stem that it shares with others. The two log-likelihoods of a passage of a few words are compared over
 its number of symbols; a text's evidence is that of its most toxic passage, wherever it lies and however long the text. A logistic
@@ -26,6 +26,8 @@ FOLDS, HELD_OUT = 4, 2
 PER_CLASS = 2000
 #: What a count gives to the backoff.
 DISCOUNT = 1.0
+#: Bytes of a word that predict the next one, at most 7.
+CONTEXT = 4
 THRESHOLD = 0.3
 #: Words of a passage; parts of the sample that the curve is fitted across; distinct words a task remembers.
 PASSAGE, PARTS, KNOWN = 3, 3, 300_000
@@ -58,7 +60,7 @@ def spelt(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     space = np.frombuffer(raw, np.uint8)[8:] == 32
     begin = np.concatenate([[0], np.flatnonzero(space)[:-1] + 1])
     length = np.diff(np.append(begin, n))
-    at = np.minimum(np.arange(n) - np.repeat(begin, length), 7)
+    at = np.minimum(np.arange(n) - np.repeat(begin, length), CONTEXT)
     return window >> (8 * (7 - at)).astype(np.uint64), begin
 
 
@@ -136,40 +138,59 @@ class Judge:
 
     def __init__(self, m: Model) -> None:
         self.m, self.at = m, {}
-        self.word, self.size = np.zeros(0), np.zeros(0)
+        self.word, self.size = np.zeros(2 * KNOWN, np.float32), np.zeros(2 * KNOWN, np.int32)
 
     def learn(self, words: list[bytes]) -> None:
         new = list(dict.fromkeys(w for w in words if w not in self.at))
         if len(self.at) + len(new) > KNOWN:
             self.at.clear()
-            self.word, self.size = np.zeros(0), np.zeros(0)
             new = list(dict.fromkeys(words))
         if new:
             keys, begin = spelt(b" ".join(new))
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.word = np.concatenate([self.word, np.add.reduceat(ratios(self.m, keys).astype(float), begin)])
-            self.size = np.concatenate([self.size, np.diff(np.append(begin, len(keys)))])
-
-    def evidence(self, text: bytes | None) -> float:
-        """The greatest log-likelihood ratio of a passage, over its symbols: PASSAGE words, each passage beginning a word later, or all words of a shorter text; 0 without words."""
-        best, tail = -np.inf, []
-        for p in pieces(text or b""):
-            words = tail + p.translate(_WORD).split()
-            if len(words) < PASSAGE:
-                tail = words
-                continue
-            for k in range(0, len(words) - PASSAGE + 1, 20_000):
-                best = max(best, self._best(words[k : k + 20_000 + PASSAGE - 1], PASSAGE))
-            tail = words[len(words) - PASSAGE + 1 :]
-        if best == -np.inf:
-            return self._best(tail, len(tail)) if tail else 0.0
-        return best
-
-    def _best(self, words: list[bytes], n: int) -> float:
+            a, b = len(self.at), len(self.at) + len(new)
+            self.at.update(zip(new, range(a, b), strict=True))
+            self.word[a:b] = np.add.reduceat(ratios(self.m, keys), begin)
+            self.size[a:b] = np.diff(np.append(begin, len(keys)))
+
+    def evidence(self, texts: list[bytes | None]) -> np.ndarray:
+        """Of each text the greatest log-likelihood ratio of a passage, over its symbols.
+
+        A passage is PASSAGE words, each one beginning a word later, or all words of a shorter text. 0 without words.
+        """
+        best = np.full(len(texts), -np.inf)
+        held: list[tuple[int, list[bytes]]] = []
+        n = 0
+        for row, t in enumerate(texts):
+            tail: list[bytes] = []
+            for p in pieces(t or b"", 1 << 20):
+                words = tail + p.translate(_WORD).split()
+                tail = words[len(words) - PASSAGE + 1 :] if len(words) >= PASSAGE else words
+                if len(words) >= PASSAGE:
+                    held.append((row, words))
+                    n += len(words)
+                if n > KNOWN // 2:
+                    self._best(held, best)
+                    held, n = [], 0
+            if tail and best[row] == -np.inf and not (held and held[-1][0] == row):
+                held.append((row, tail))
+                n += len(tail)
+        self._best(held, best)
+        return np.where(best == -np.inf, 0, best)
+
+    def _best(self, held: list[tuple[int, list[bytes]]], best: np.ndarray) -> None:
+        if not held:
+            return
+        words = [w for _, ws in held for w in ws]
         self.learn(words)
         at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        w, s = (np.concatenate([[0], np.cumsum(x[at])]) for x in (self.word, self.size))
-        return float(((w[n:] - w[:-n]) / (s[n:] - s[:-n])).max())
+        w, s = (np.concatenate([[0], np.cumsum(x[at], dtype=np.float64)]) for x in (self.word, self.size))
+        size = np.array([len(ws) for _, ws in held])
+        first = np.cumsum(size) - size
+        windows = np.maximum(size - PASSAGE + 1, 1)
+        begin = np.repeat(first - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+        end = begin + np.repeat(np.minimum(size, PASSAGE), windows)
+        got = np.maximum.reduceat((w[end] - w[begin]) / (s[end] - s[begin]), np.cumsum(windows) - windows)
+        np.maximum.at(best, [r for r, _ in held], got)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -209,10 +230,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
                 keys, n = counted([texts[i] for i in np.flatnonzero(group == g).tolist()])
                 yield as_batch(schema, key=keys.view(np.int64), toxic=np.full(len(keys), g // PARTS, np.int32), part=np.full(len(keys), g % PARTS, np.int32), n=n)
 
-    got = rows.mapInArrow(tally, "key bigint, toxic int, part int, n bigint").groupBy("key", "toxic", "part").agg(F.sum("n").alias("n")).toPandas()
-    keys, of = np.unique(got["key"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-    c = np.zeros((2, PARTS, len(keys)))
-    np.add.at(c, (got["toxic"].to_numpy(np.int64), got["part"].to_numpy(np.int64), of), got["n"].to_numpy(np.int64))
+    cells = [F.coalesce(F.sum(F.when((F.col("toxic") == y) & (F.col("part") == p), F.col("n"))), F.lit(0)).cast("int").alias(f"c{y}{p}") for y in range(2) for p in range(PARTS)]
+    got = rows.mapInArrow(tally, "key bigint, toxic int, part int, n bigint").groupBy("key").agg(*cells).toArrow()
+    raw = got.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(raw)
+    keys = raw[order]
+    c = np.stack([got.column(1 + i).to_numpy()[order].astype(np.float32) for i in range(2 * PARTS)]).reshape(2, PARTS, len(keys))
+    del got, raw
     seen = {(r.toxic, r.part): r["count"] for r in rows.groupBy("toxic", "part").count().collect()}
     if min(sum(n for (y, _), n in seen.items() if y == k) for k in range(2)) < PARTS:
         return Model(curve=(float(np.log((prior[1] + 1e-3) / (prior[0] + 1e-3))), 0.0))
@@ -222,7 +246,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judges = [Judge(m) for m in held.value]
         for b in batches:
-            yield as_batch(told, toxic=b.column(1), x=[judges[p].evidence(t) for t, p in zip(bytes_column(b), b.column(2).to_pylist(), strict=True)])
+            part, texts, x = np.array(b.column(2).to_pylist(), np.int64), bytes_column(b), np.zeros(b.num_rows)
+            for p in range(PARTS):
+                own = np.flatnonzero(part == p)
+                x[own] = judges[p].evidence([texts[i] for i in own.tolist()])
+            yield as_batch(told, toxic=b.column(1), x=x)
 
     aside = sorted((r.toxic, r.x) for r in rows.mapInArrow(tell, "toxic int, x double").collect())
     y, x = (np.array(v, float) for v in zip(*aside, strict=True))
@@ -245,7 +273,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         judge = Judge(held.value)
         a, slope = held.value.curve
         for b in batches:
-            x = np.array([judge.evidence(t) for t in bytes_column(b)], float)
+            x = judge.evidence(bytes_column(b))
             s = 1 / (1 + np.exp(-np.clip(a + slope * x, -40, 40)))
             yield as_batch(schema, doc_id=b.column(0), held_out=b.column(2), score=s, predicted=(s >= THRESHOLD).astype(np.int32))
 

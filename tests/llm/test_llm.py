@@ -354,7 +354,7 @@ def brute_log_likelihoods(texts, prior, symbols):
         for w in t.split():
             w += b" "
             for i in range(len(w)):
-                c[y][w[max(0, i - 7) : i], w[i : i + 1]] += 1
+                c[y][w[max(0, i - toxicity.CONTEXT) : i], w[i : i + 1]] += 1
     seen = set(c[0]) | set(c[1])
     size = lambda g: len(g[0]) + 1
     follows = {g: sum(max(prior[y], 0.02) * (c[y][g] > 0) for y in range(2)) for g in seen}
@@ -380,7 +380,7 @@ def test_log_ratios_are_those_of_the_two_models():
         keys, _ = toxicity.spelt(w)
         full = w + b" "
         got = toxicity.ratios(m, keys)
-        for k, (o, t) in enumerate(zip(*brute_log_likelihoods(texts, prior, [(full[max(0, i - 7) : i], full[i : i + 1]) for i in range(len(full))]))):
+        for k, (o, t) in enumerate(zip(*brute_log_likelihoods(texts, prior, [(full[max(0, i - toxicity.CONTEXT) : i], full[i : i + 1]) for i in range(len(full))]))):
             low = o[2] or 1e-4  # any shared value: both classes multiply it alike
             assert got[k] == pytest.approx(math.log((t[0] + t[1] * low) / (o[0] + o[1] * low)), abs=1e-4)
 
@@ -395,13 +395,13 @@ def test_evidence_is_that_of_the_most_toxic_passage(monkeypatch):
         n = min(toxicity.PASSAGE, len(words))
         return max(sum(one[w][0] for w in words[i : i + n]) / sum(one[w][1] for w in words[i : i + n]) for i in range(len(words) - n + 1)) if n else 0
 
-    for t in (b"", b"xx", b"xx yy", b"aa bb cc dd xx ee ff aa yy", b"qq " * 50 + b"xx yy aa"):
-        assert judge.evidence(t) == pytest.approx(brute(t))
-    long = b"aa bb cc dd " * 30_000 + b"xx xx yy " + b"cc dd " * 30_000
-    assert judge.evidence(long) == pytest.approx(brute(b"aa bb cc dd xx xx yy cc dd"))
-    monkeypatch.setattr(toxicity, "KNOWN", 3)
-    assert toxicity.Judge(m).evidence(long) == pytest.approx(judge.evidence(long))
-    assert judge.evidence(None) == judge.evidence(b" ?! ") == 0
+    some = [b"", b"xx", b"xx yy", b"aa bb cc dd xx ee ff aa yy", b"qq " * 50 + b"xx yy aa", None, b" ?! ", b"xx"]
+    assert judge.evidence(some) == pytest.approx([brute(t or b"") if t != b" ?! " else 0 for t in some])
+    long = b"aa bb cc dd " * 90_000 + b"xx xx yy " + b"cc dd " * 90_000
+    want = pytest.approx([brute(b"aa bb cc dd xx xx yy cc dd"), brute(b"xx")])
+    assert judge.evidence([long, b"xx"]) == want and judge.evidence([]).tolist() == []
+    monkeypatch.setattr(toxicity, "KNOWN", 12)
+    assert toxicity.Judge(m).evidence([long, b"xx"]) == want
 
 
 def test_toxicity_of_repeats_and_clashing_columns(spark):
