@@ -214,32 +214,80 @@ def test_clean_judges_each_row_by_its_own_text(spark, monkeypatch):
     assert decontam.clean(docs.limit(0), bench).count() == 0 and decontam.clean(docs, bench.limit(0)).count() == len(rows)
 
 
-def test_attention_scores_do_not_depend_on_batching_and_sum_to_one():
-    m = attention.Attention.new(12, 9, 8, 4, np.zeros(9))
+def brute_attention(m, seq, targets):
+    """Log-probabilities of one sequence's targets, a position at a time in plain arithmetic."""
+    w, s, out = m.w, m.stride, []
+    for i, y in enumerate(targets):
+        slot = i % s
+        seen = range(max(0, i - slot - s), i + 1)  # the window begins a stride before the position's own stride
+        q = w["emb"][seq[i]] @ w["wq"]
+        a = np.array([q @ (w["emb"][seq[j]] @ w["wk"]) * w["wq"].shape[1] ** -0.5 + w["pos"][slot, j - (i - slot - s)] for j in seen])
+        a = np.exp(a - a.max())
+        h = w["emb"][seq[i]] + sum(p * (w["emb"][seq[j]] @ w["wv"]) for p, j in zip(a / a.sum(), seen)) @ w["wo"]
+        h = np.append(h + np.maximum(h @ w["w1"] + w["b1"], 0) @ w["w2"], 1)
+        lp = 0
+        for level in range(attention.LEVELS):
+            logits = h @ w[f"out{level}"][m.prefix[level][y]]
+            lp += logits[m.digit[level][y]] - np.log(np.exp(logits).sum())
+        out.append(lp)
+    return out
+
+
+def some_attention(tokens=20, stride=4):
+    m = attention.Attention.new(np.concatenate([[0], np.arange(tokens, 0, -1)]).astype(float), 8, 12, stride)
+    r = np.random.default_rng(3)
+    for k in m.w:
+        m.w[k] = (m.w[k] + r.standard_normal(m.w[k].shape) * 0.2 * (m.w[k] > -29)).astype(np.float32)
+    return m
+
+
+def test_attention_scores_are_those_of_plain_arithmetic_and_sum_to_one():
+    m = some_attention()
     r = np.random.default_rng(1)
     lengths = np.array([1, 4, 5, 23])
-    x, y = r.integers(2, 12, lengths.sum()), r.integers(0, 9, lengths.sum())
-    a, b = attention.log_probs(m, x, lengths, y, batch=1), attention.log_probs(m, x, lengths, y)
-    assert np.allclose(a, b, atol=1e-5)
-    total = sum(np.exp(attention.log_probs(m, x, lengths, np.full(lengths.sum(), k))) for k in range(9))
+    x, y = r.integers(1, 21, lengths.sum()), r.integers(1, 21, lengths.sum())
+    ends = np.cumsum(lengths)
+    want = [v for a, b in zip(ends - lengths, ends) for v in brute_attention(m, x[a:b], y[a:b])]
+    for batch, block in ((1, 8), (3, 64), (128, 1 << 15)):
+        assert np.allclose(attention.Scorer(m, batch, block)(x, lengths, y), want, atol=1e-4)
+    total = sum(np.exp(attention.Scorer(m)(x, lengths, np.full(lengths.sum(), k))) for k in range(1, 21))
     assert np.allclose(total, 1, atol=1e-4)
     later = x.copy()
-    later[-1] = 2 + (later[-1] - 1) % 9
-    assert np.allclose(attention.log_probs(m, later, lengths, y)[:-1], a[:-1], atol=1e-5)  # causal
+    later[-1] = 1 + later[-1] % 20
+    assert np.allclose(attention.Scorer(m)(later, lengths, y)[:-1], want[:-1], atol=1e-4)  # causal
+
+
+def test_attention_gradient_is_that_of_small_steps():
+    m = some_attention(9)
+    r = np.random.default_rng(2)
+    win, want = attention.examples(m, r.integers(1, 10, 30), np.array([11, 19]), r.integers(1, 10, 30))
+    g, loss = attention._gradient(m, win, want)
+    for name in m.w:
+        at = np.unravel_index(np.argmax(np.abs(g[name])), g[name].shape)
+        up, down = m.copy(), m.copy()
+        up.w[name][at] += 0.004
+        down.w[name][at] -= 0.004
+        slope = (attention._gradient(up, win, want)[1] - attention._gradient(down, win, want)[1]) / 0.008
+        assert slope == pytest.approx(g[name][at], rel=0.1, abs=1e-3), name
 
 
 def test_attention_learns():
     seq = np.array([2, 3, 4, 5] * 200)
-    m = attention.Attention.new(6, 6, 8, 4, np.zeros(6))
-    fx, fy, _ = attention.lay(seq[:-1], np.array([len(seq) - 1]), seq[1:], 4)
-    win, want = attention.windows_of(fx, 4), fy[4:].reshape(-1, 4)
-    attention.train(m, win, want, 120, batch=32)
-    assert attention.log_probs(m, seq[:-1], np.array([len(seq) - 1]), seq[1:])[8:].mean() > -0.5
+    m = attention.Attention.new(np.ones(6), 8, 8, 4)
+    win, want = attention.examples(m, seq[:-1], np.array([len(seq) - 1]), seq[1:])
+    pick = np.random.default_rng(1)
+    attention.train(m, ((win[p], want[p]) for p in (pick.integers(0, len(win), 32) for _ in range(120))), 120)
+    assert attention.Scorer(m)(seq[:-1], np.array([len(seq) - 1]), seq[1:])[8:].mean() > -0.5
+    assert (attention.flat(attention.filled(m, attention.flat(m))) == attention.flat(m)).all()
 
 
-def test_lm_baseline_is_exact(docs, rows, monkeypatch):
-    for k, v in (("COMMON", 10), ("STEPS", 3), ("SPANS", 10)):
+@pytest.fixture
+def small_lm(monkeypatch):
+    for k, v in (("COMMON", 10), ("STEPS", 3), ("WARM", 20_000), ("SHARD", 20_000), ("RATE", 0.5)):
         monkeypatch.setattr(lm_score, k, v)
+
+
+def test_lm_baseline_is_exact(docs, rows, small_lm):
     learnt = Counter()
     tok = lambda t: re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")) + ["\n"]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
@@ -251,21 +299,26 @@ def test_lm_baseline_is_exact(docs, rows, monkeypatch):
     got = lm_score.score(docs).collect()
     assert sorted((str(g.doc_id), g.held_out, g.n_tokens, g.n_known, g.train_tokens, round(g.base_score, 4)) for g in got) == want
     assert all(g.score < 0 and math.isfinite(g.score) for g in got)
+    by = {g.doc_id: g.score for g in got}
+    assert by[0] == pytest.approx(by[40], rel=1e-5) and by[41] == pytest.approx(by[42], rel=1e-5)
 
 
-def test_lm_words_of_a_class_share_all_of_it(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "STEPS", 3)
-    docs = spark.createDataFrame([(i, "Aa ab ab ac ba " + "bb " * i + "x" * (i % 4)) for i in range(40)], "doc_id bigint, text string")
-    counts = lm_score.word_counts(docs).cache()
-    m = lm_score.train(docs, counts)
-    rows = lm_score.spelt(m, counts).where("c > 0").collect()
-    own = lm_score.spell(m, [bytes(r.word) for r in rows], lm_score.encoder(m.ranks))[1]
-    for g in {r.begin for r in rows}:
-        known = sum(math.exp(r.p) - math.exp(m.left[g] + o) for r, o in zip(rows, own, strict=True) if r.begin == g)
-        assert math.isclose(known + math.exp(m.left[g]), 1, rel_tol=1e-6)
-
-
-def test_lm_beats_its_base_on_held_out_texts_of_two_languages(spark):
+def test_lm_score_is_the_attention_models(spark, small_lm):
+    r = random.Random(5)
+    texts = [None, "", "Aa bb", "long" * 60, " ".join(r.choices(WORDS, k=90)), " ".join(r.choices(WORDS, k=9)) + "\n\tÜber café 日本"] + [" ".join(r.choices(WORDS, k=40)) for _ in range(20)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    counts = lm_score.word_counts(d).cache()
+    m = lm_score.train(d, counts)
+    lm_score.know(m, counts)
+    got = {g.doc_id: g.score for g in lm_score.scored(d.withColumn("held_out", ~lm_score.learns()), m, counts).collect()}
+    encode, end = lm_score.encoder(m.ranks), lm_score.VOCABULARY + 1
+    for i, t in enumerate(texts):
+        seq = [k for w in re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")) for k in encode(w.encode())] + [end]
+        assert got[i] == pytest.approx(sum(brute_attention(m.attention, [end] + seq[:-1], seq)) / math.log(10), rel=1e-4)
+
+
+def test_lm_beats_its_base_on_held_out_texts_of_two_languages(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "STEPS", 300)
     r = random.Random(3)
     words = [[a + b + c for a in x for b in x for c in x] for x in (("ka", "lo", "mi", "tu", "re"), ("sch", "ber", "ung", "ein", "and"))]
     docs = spark.createDataFrame([(i, " ".join(r.choices(words[i % 2], k=60))) for i in range(300)], "doc_id bigint, text string")
@@ -275,12 +328,16 @@ def test_lm_beats_its_base_on_held_out_texts_of_two_languages(spark):
 
 def test_lm_passages_come_from_all_of_a_text(spark):
     text = " ".join(f"w{i}" for i in range(4000))
-    got = lm_score.spans_of(spark.createDataFrame([(7, text), (8, None), (9, "x" * 9000)], "doc_id bigint, text string"), 1.0)
-    assert b" ".join(bytes(g.text).strip() for g in sorted((g for g in got if bytes(g.text).strip()[:1] == b"w"), key=lambda g: text.index(bytes(g.text).strip().decode()))) == text.encode()
+    d = spark.createDataFrame([(7, text), (8, None), (9, "x" * 9000)], "doc_id bigint, text string")
+    got = lm_score.passages(d, 1.0, 1).collect()
+    words = sorted((bytes(g.text).strip() for g in got if bytes(g.text).strip()[:1] == b"w"), key=lambda t: text.index(t.decode()))
+    assert b" ".join(words) == text.encode()
     assert sum(g.begins for g in got) == 3 and all(len(g.text) <= 3 * lm_score.SPAN for g in got)
+    few = lm_score.passages(d, 0.3, 1).count()
+    assert 0 < few < len(got)
 
 
-def test_lm_of_nothing(empty):
+def test_lm_of_nothing(empty, small_lm):
     assert lm_score.score(empty).count() == 0
 
 
