@@ -1,8 +1,9 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes blocks of text. Each block's classifier cost (structure, names, links, length) is its capacity to the content or the
-boilerplate terminal; neighbouring blocks, and following blocks of one parent, are tied by edges that weaken with their
-distance in the tree. The minimum cut labels the blocks.
+A page becomes blocks of text. Each block's classifier cost (length, links, element, enclosing parts) is its capacity to the content or
+the boilerplate terminal; neighbouring blocks, and following blocks of one parent, are tied by edges that weaken with their distance
+in the tree, and each block is tied to the longest one of its part. The minimum cut labels the blocks. What a part's name says counts the less, the more of the page's text the part holds,
+so no name alone turns a page away; and a short block is worth little by itself: its neighbours decide.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ from pyspark.sql import DataFrame
 
 from folio.llm.common import as_batch, table
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|/?[a-zA-Z][^<>]*+>)""", re.S)
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^<>]*+>|(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|/?[a-zA-Z][^<>]*+>)""", re.S)
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
 # Fixed values of HTML: elements by their part in a page.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe svg math object audio video canvas noframes xmp".split())
+SWALLOWS = frozenset("script style".split())  # unclosed, they go on to the page's end
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre search section table ul".split())
 AROUND = frozenset("nav footer aside form menu button select option dialog search fieldset legend".split())
 TEXTUAL = frozenset("p blockquote pre figcaption td dd dt h1 h2 h3 h4 h5 h6".split())
@@ -32,9 +34,22 @@ TEXTUAL = frozenset("p blockquote pre figcaption td dd dt h1 h2 h3 h4 h5 h6".spl
 BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion reader recommend recommended related replies reply respond search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 GOOD_WORDS = frozenset("article content body entry post story main text".split())
-#: Edge capacities: next block, next block of one parent; what a change of named part leaves of them.
-NEXT, SIBLING, ACROSS = 1.2, 0.6, 0.05
-_SCALE = 1000
+#: Edge capacities: next block, next block of one parent; what a change of part leaves of them; the longest block of one part.
+NEXT, SIBLING, ACROSS, SHARED = 1.2, 0.6, 0.05, 0.4
+#: The classifier's weights: any block, on a page of WHOLE words or more; a word (to MANY); links; text elements; parts.
+PLAIN, AMID, WHOLE, WORD, MANY, LINKS, TEXT, BARE = -0.4, -0.9, 200, 0.05, 60, -3.0, 0.6, 0.5
+WRONG, HIDDEN, INSIDE, OUTSIDE, GOOD, WORST = -5.0, -8.0, 0.55, -1.0, 0.4, -8.0
+_SCALE, _FAR = 1000, 40
+
+
+@dataclass(slots=True)
+class Box:
+    """A part of a page: what its name is worth, and the words in it that aren't links'."""
+
+    up: int
+    worth: float
+    hidden: bool
+    words: float = 0.0
 
 
 @dataclass(slots=True)
@@ -42,10 +57,8 @@ class Node:
     name: str
     up: Node | None
     depth: int
-    bad: bool
-    part: int  # number of the nearest element that is named article, main or boilerplate
+    part: int  # the nearest box
     inside: bool  # an article or main
-    good: bool
 
 
 @dataclass(slots=True)
@@ -72,11 +85,21 @@ def names(attributes: str) -> tuple[set[str], str, bool]:
     return words, role, hidden
 
 
-def blocks(page: str) -> tuple[list[Block], bool]:
-    """The page's blocks in order, and whether it has an article or main. White space in a block is one space; empty blocks fall away."""
-    root = Node("", None, 0, False, 0, False, False)
-    node, out, run, linked, links, parts, whole = root, [], [], 0, 0, 0, False
-    at, n, low = 0, len(page), None
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){name}(?=[\s/>])[^>]*+>", re.I | re.A)
+
+
+def blocks(page: str) -> tuple[list[Block], list[Box], bool]:
+    """The page's blocks in order, its parts (the first is the page), and whether it has an article or main.
+
+    White space in a block is one space; empty blocks fall away. Every character is read a bounded number of times.
+    """
+    boxes = [Box(0, 0.0, False)]
+    root = Node("", None, 0, 0, False)
+    node, out, run, linked, links, whole = root, [], [], 0, 0, False
+    opened: dict[str, int] = {}
+    unclosed: set[str] = set()
+    at, n = 0, len(page)
 
     def close() -> None:
         nonlocal run, linked
@@ -84,6 +107,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             text = " ".join("".join(run).split())
             if text:
                 out.append(Block(text, node, linked))
+                boxes[node.part].words += (text.count(" ") + 1) * (1 - min(1.0, linked / len(text)))
             run, linked = [], 0
 
     def add(raw: str) -> None:
@@ -94,6 +118,12 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             if links:
                 linked += len(text.strip())
 
+    def leave(upto: Node) -> None:
+        nonlocal node
+        while node is not upto:
+            opened[node.name] -= 1
+            node = node.up
+
     while at < n:
         m = _TAG.search(page, at)
         if not m:
@@ -106,11 +136,20 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             continue
         name = name.lower()
         if name in RAW:
-            if not slash and not attributes.rstrip().endswith("/"):
-                low = low if low is not None else page.lower() if len(page.lower()) == n else page
-                end = low.find("</" + name, at)
-                stop = page.find(">", end) if end >= 0 else -1
-                at = stop + 1 if stop >= 0 else n
+            if not slash and name not in unclosed and not attributes.rstrip().endswith("/"):
+                level, stop = 1, at
+                for c in _closing(name).finditer(page, at):
+                    level += -1 if c.group(1) else (name not in SWALLOWS and not c.group().endswith("/>"))
+                    if c.group(1):
+                        stop = c.end()
+                        if level <= 0 or name in SWALLOWS:
+                            break
+                if stop > at:
+                    at = stop  # the element ends with its own closing tag, or with the last one that there is
+                elif name in SWALLOWS:
+                    at = n
+                else:
+                    unclosed.add(name)  # never closed: only the tag goes
             continue
         if name == "br":
             run.append(" ")
@@ -122,60 +161,66 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             continue
         close()
         if slash:
-            up = node
-            while up is not None and up.name != name:
-                up = up.up
-            if up is not None and up.up is not None:
-                node = up.up
+            if opened.get(name):
+                up = node
+                while up.name != name:
+                    up = up.up
+                leave(up.up)
             if name != "li" and name != "p":
                 links = 0
             continue
         if name in CLOSES_P and node.name == "p":
-            node = node.up
+            leave(node.up)
         elif name in ("li", "option", "tr", "td", "th", "dd", "dt") and node.name in ({"td", "th"} if name in ("td", "th") else {"dd", "dt"} if name in ("dd", "dt") else {name}):
-            node = node.up
+            leave(node.up)
         if name in VOID:
             continue
-        bad, good, part, inside = node.bad, node.good, node.part, node.inside
+        part, inside = node.part, node.inside
+        worth, hide = 0.0, False
         if name in ("article", "main"):
-            if not bad:
-                whole = inside = True
-                parts += 1
-                part = parts
+            whole = inside = True
+            boxes.append(Box(part, 0.0, False))
+            part = len(boxes) - 1
         elif name not in ("html", "body"):
-            words, role, hidden = names(attributes) if attributes else (set(), "", False)
-            wrong = name in AROUND or (name == "header" and not inside) or role in BAD_ROLES or hidden or name == "head" or bool(words & BAD_WORDS) or ("header" in words and not inside)
-            if wrong and not bad:
-                bad = True
-                parts += 1
-                part = parts
-            good = good or bool(words & GOOD_WORDS) and not wrong
-        node = Node(name, node, node.depth + 1, bad, part, inside, good)
+            words, role, hide = names(attributes) if attributes else (set(), "", False)
+            hide = hide or name == "head"
+            if name in AROUND or (name == "header" and not inside) or role in BAD_ROLES or words & BAD_WORDS or ("header" in words and not inside):
+                worth = WRONG
+            elif words & GOOD_WORDS:
+                worth = GOOD
+            if worth or hide:
+                boxes.append(Box(part, worth, hide))
+                part = len(boxes) - 1
+        opened[name] = opened.get(name, 0) + 1
+        node = Node(name, node, node.depth + 1, part, inside)
     close()
-    return out, whole
+    return out, boxes, whole
+
 
+def standing(boxes: list[Box]) -> list[float]:
+    """What each part is worth to its blocks: of a boilerplate name the share that the part lacks of the page's words, and what the parts around it are worth."""
+    words = [b.words for b in boxes]
+    for k in range(len(boxes) - 1, 0, -1):
+        words[boxes[k].up] += words[k]
+    out = [0.0]
+    for k, b in enumerate(boxes[1:], 1):
+        own = HIDDEN if b.hidden else b.worth * (1 - words[k] / words[0] if words[0] else 1) if b.worth < 0 else b.worth
+        out.append(max(WORST, out[b.up] + own))
+    return out
 
-def preference(b: Block, whole: bool) -> float:
-    """How much the classifier prefers content over boilerplate for a block, alone."""
-    words = b.text.count(" ") + 1
+
+def preference(b: Block, worth: float, page_words: int, whole: bool) -> float:
+    """How much the classifier prefers content over boilerplate for a block, alone. worth: of its part."""
     link = min(1.0, b.linked / max(1, len(b.text)))
-    v = -0.4 + min(words, 60) / 20 * (1 - link) - 3 * link
-    v += 0.6 if b.node.name in TEXTUAL else 0.0 if b.node.up else 0.5
-    if b.node.bad:
-        v -= 12
-    elif b.node.inside:
-        v += 3.5
-    elif whole:
-        v -= 4
-    elif b.node.good:
-        v += 2
-    return v
+    v = PLAIN + AMID * min(1.0, page_words / WHOLE) + WORD * min(b.text.count(" ") + 1, MANY) * (1 - link) + LINKS * link + worth
+    v += TEXT if b.node.name in TEXTUAL else 0.0 if b.node.up else BARE
+    return v + (INSIDE if b.node.inside else OUTSIDE if whole else 0.0)
 
 
 def between(a: Node, b: Node) -> int:
-    """Steps from one element to another in the tree."""
+    """Steps from one element to another in the tree, as far as _FAR."""
     steps = 0
-    while a is not b:
+    while a is not b and steps < _FAR:
         if a.depth >= b.depth:
             a = a.up
         else:
@@ -275,11 +320,10 @@ def _flow(rest: list[int], t: list[int], near: list[dict[int, int]]) -> list[boo
                 nxt[a] += 1
 
 
-def main_text(page: str | None) -> str:
-    """The page's main text; empty for null, empty and text-free pages."""
-    if not page:
-        return ""
-    found, whole = blocks(page)
+def labelled(page: str) -> tuple[list[Block], list[float], list[bool]]:
+    """The page's blocks, what the classifier alone prefers, and the labels of the cut."""
+    found, boxes, whole = blocks(page)
+    worth, page_words = standing(boxes), sum(b.text.count(" ") + 1 for b in found)
     edges: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
     for i, b in enumerate(found):
@@ -291,12 +335,25 @@ def main_text(page: str | None) -> str:
         if (j := last.get(parent)) is not None and j < i - 1:
             edges.append((j, i, SIBLING if found[j].node.part == b.node.part else SIBLING * ACROSS))
         last[parent] = i
-    label = minimum_cut([preference(b, whole) for b in found], edges)
+    longest: dict[int, int] = {}
+    for i, b in enumerate(found):
+        if len(b.text) > len(found[longest.setdefault(b.node.part, i)].text):
+            longest[b.node.part] = i
+    edges += [(k, i, SHARED) for i, b in enumerate(found) if (k := longest[b.node.part]) != i]
+    prefer = [preference(b, worth[b.node.part], page_words, whole) for b in found]
+    return found, prefer, minimum_cut(prefer, edges)
+
+
+def main_text(page: str | None) -> str:
+    """The page's main text; empty for null, empty and text-free pages."""
+    if not page:
+        return ""
+    found, _, label = labelled(page)
     return " ".join(b.text for b, keep in zip(found, label, strict=True) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row; n_chars counts code points."""
+    """(page_id, url, text, n_chars) of every row; n_chars counts code points. A null or empty page has an empty text; repeated rows each have theirs; further columns don't matter."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -141,6 +141,39 @@ def test_minimum_cut_is_least():
         assert cost(html_cut.minimum_cut(t, e)) == pytest.approx(best, abs=0.02)
 
 
+LONG = "words of the article " * 30
+
+
+@pytest.mark.parametrize("html, want", [
+    (f"<div class='search-engine'><article><h1>T</h1><p>{LONG}</p><p>Short.</p></article></div><nav><a href=x>Home</a></nav>", f"T {LONG}Short."),
+    (f"<nav><a href=x>Home page</a></nav><div class='recommended-reading'><h1>Head</h1><p>{LONG}</p><p>Short.</p></div><div class='sidebar'>Sign up for mails</div><footer>(c) us</footer>", f"Head {LONG}Short."),
+    (f"<article><p>{LONG}</p><p>Yes.</p><p>{LONG}</p><section class='comments'><p>{'a long comment on it ' * 10}</p><p>First!</p></section></article>", f"{LONG}Yes. {LONG.strip()}"),
+    ("<p>a</p><svg><path></path><p>Rest of it</p>", "a Rest of it"), ("<svg><svg></svg>in</svg>out", "out"), ("<object><p>b</p><iframe><p>c</p>", "b c"),
+    ("<p>kept</p><style>p{}<p>lost</p>", "kept"), ("<p>x</p><p hidden>not shown</p>", "x"),
+])
+def test_html_no_name_or_open_tag_takes_the_page(html, want):
+    assert html_cut.main_text(html) == want.strip()
+
+
+def test_html_labels_are_the_cuts_not_the_classifiers():
+    found, prefer, label = html_cut.labelled(f"<article><p>{LONG}</p><p>Yes.</p><p>{LONG}</p><div>Buy</div></article><div>Buy</div>")
+    assert [p > 0 for p in prefer] == [True, False, True, False, False] and label == [True, True, True, True, False]
+
+
+def test_html_of_open_tags_takes_time_in_proportion():
+    import time
+
+    for part in ("<a ", "<div>", "<div class='ad'>x", "</p>", "<svg>", "<!", "<a href='"):
+        begin = time.time()
+        html_cut.main_text("<div>" * 20_000 + part * 20_000 + "</p>" * 20_000)
+        assert time.time() - begin < 5, part
+
+
+def test_extract_of_an_empty_table_and_repeats(spark):
+    p = spark.createDataFrame([(1, "u", "<p>x</p>")] * 3, "page_id bigint, url string, html string")
+    assert html_cut.extract(p.limit(0)).count() == 0 and html_cut.extract(p).distinct().count() == 1 and html_cut.extract(p).count() == 3
+
+
 def test_extract_keeps_rows(spark):
     p = spark.createDataFrame([(1, "u", "<p>x</p>", "t", 5), (None, None, None, None, None)], "page_id int, url string, html string, text string, n_chars int")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_cut.extract(p).collect()) == [(0, "", 0), (1, "x", 1)]
