@@ -17,15 +17,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from folio.llm.common import as_batch, table
+from folio.llm.common import as_batch, stash, table
+from folio.llm.components import components
 
 BITS, LANES = 512, 8
 GROUPS = BITS // LANES
 PERIOD, SEED = 4096, 9176
 #: Code points and texts walked together; rows of one range of ids.
 BATCH_CHARS, BATCH_TEXTS, RANGE_ROWS = 6_000_000, 8192, 6000
-BANDS, BAND_BITS = 24, 20
+#: Likeness at which the query links documents; share of such pairs that the bands find.
+LEAST_LIKENESS, RECALL = 0.97, 0.95
 #: Segment lengths in code points, one cut in EVERY of them on average; segments walked together; patterns to pick from.
 LEAST, EVERY, MOST, TOGETHER, PATTERNS = 64, 192, 1024, 8192, 4096
 _tables: tuple[np.ndarray, ...] | None = None
@@ -216,30 +219,93 @@ def compare(docs: DataFrame) -> DataFrame:
     return in_order(docs).mapInArrow(work, kinds)
 
 
-def bands(fingerprint: np.ndarray, count: int = BANDS, bits: int = BAND_BITS) -> np.ndarray:
-    """Band keys (texts x count): each of bits sampled at random from the fingerprint."""
-    at = np.random.default_rng(SEED + 1).permuted(np.tile(np.arange(BITS), (count, 1)), axis=1)[:, :bits]
-    return np.unpackbits(fingerprint, axis=1)[:, at] @ (1 << np.arange(bits, dtype=np.int64))
+def band_plan(n: int, least: float, recall: float = RECALL) -> tuple[int, int]:
+    """Bits of a band, and how many bands find two of n fingerprints at likeness least with probability recall."""
+    bits = min(48, int(np.ceil(np.log2(max(2, n)))) + 3)
+    same = 1 - np.arccos(least) / np.pi
+    return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - same**bits)))
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness): fingerprints (hex) that share a band, verified. One row joins each to the smallest of its band, so no group makes all pairs."""
-    schema = pa.schema([("fingerprint", pa.string()), ("band", pa.int32()), ("key", pa.int64())])
+def bands(fingerprint: np.ndarray, bits: int, count: int) -> np.ndarray:
+    """Band keys (texts x count): each of bits sampled at random from the fingerprint, and of the band's number."""
+    rng, out, all_bits = np.random.default_rng(SEED + 1), np.empty((len(fingerprint), count), np.int64), np.unpackbits(fingerprint, axis=1)
+    for k in range(count):
+        key = all_bits[:, rng.choice(BITS, bits, replace=False)].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+        out[:, k] = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64((k + 1) * 0xD1B54A32D192ED03 & (2**64 - 1))).view(np.int64)
+    return out
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hexes = b.column(0).to_pylist()
-            k = bands(np.array([list(bytes.fromhex(h)) for h in hexes], np.uint8).reshape(-1, BITS // 8))
-            yield as_batch(schema, fingerprint=np.repeat(np.array(hexes, object), BANDS), band=np.tile(np.arange(BANDS, dtype=np.int32), len(hexes)), key=k.ravel())
 
-    rows = prints.select("fingerprint").distinct().mapInArrow(keyed, "fingerprint string, band int, key bigint")
-    lead = rows.groupBy("band", "key").agg(F.min("fingerprint").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = rows.join(lead, ["band", "key"]).where("a <> fingerprint").select("a", F.col("fingerprint").alias("b")).distinct()
-    verified = pa.schema([("a", pa.string()), ("b", pa.string()), ("likeness", pa.float64())])
+def _spanning(fp: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Pairs of rows (8 words of 64 bits) at most so many bits apart that connect whatever such pairs connect: a row joins by the first row that reaches it."""
+    left, out = np.arange(len(fp)), []
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            a = queue.pop()
+            near = np.bitwise_count(fp[left] ^ fp[a]).sum(1) <= most
+            out += [(a, b) for b in left[near].tolist()]
+            queue += left[near].tolist()
+            left = left[~near]
+    return out
+
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in batches:
-            x, y = (np.array([list(bytes.fromhex(h)) for h in c.to_pylist()], np.uint8).reshape(-1, BITS // 8) for c in p.columns)
-            yield as_batch(verified, a=p.column(0), b=p.column(1), likeness=likeness(x, y))
+def near_links(prints: DataFrame, n: int, least: float = LEAST_LIKENESS) -> DataFrame:
+    """(u, v, likeness): verified links between prints (id, fp: 64 bytes), as many as connect all that share a band and are alike enough.
 
-    return pairs.mapInArrow(verify, "a string, b string, likeness double").where(F.col("likeness") >= least)
+    Every member of a band's bucket is compared with all others that no link has reached yet, so a bucket of near copies costs what
+    one comparison each does, and gives one link each; none is left out. n: how many there are.
+    """
+    bits, count = band_plan(n, least)
+    most = int(np.floor(BITS * np.arccos(least) / np.pi + 1e-9))
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+    linked = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("likeness", pa.float64())])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                k = bands(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8), bits, count)
+                yield as_batch(schema, key=k.ravel(), id=np.repeat(b.column(0).to_numpy(zero_copy_only=False), count))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches come sorted by key; one bucket is held."""
+        ids: list[int] = []
+        prints: list[bytes] = []
+        now = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(ids) > 1:
+                raw = b"".join(prints)
+                pairs = _spanning(np.frombuffer(raw, np.uint64).reshape(-1, BITS // 64), most)
+                if pairs:
+                    a, b = np.array(pairs).T
+                    eight = np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8)
+                    yield as_batch(linked, u=np.array(ids)[a], v=np.array(ids)[b], likeness=likeness(eight[a], eight[b]))
+
+        for batch in batches:
+            for k, i, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != now:
+                    yield from done()
+                    ids, prints, now = [], [], k
+                ids.append(i)
+                prints.append(f)
+        yield from done()
+
+    rows = prints.select("id", "fp").mapInArrow(keyed, "key bigint, id bigint")
+    shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "id")
+    held = shared.join(prints.select("id", "fp"), "id").select("key", "id", "fp").repartition("key").sortWithinPartitions("key", "id")
+    return held.mapInArrow(meet, "u bigint, v bigint, likeness double")
+
+
+def grouped(docs: DataFrame, least: float = LEAST_LIKENESS) -> DataFrame:
+    """compare's rows with near_group, the smallest doc_id that links between fingerprints at likeness least reach (its own if none does).
+
+    Equal fingerprints are linked. A group without any doc_id has a null one.
+    """
+    marked = stash(compare(docs).withColumn("_id", F.xxhash64("fingerprint")))
+    own = stash(marked.groupBy("_id").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n"), F.first(F.unhex("fingerprint")).alias("fp")))
+    roots = components(near_links(own.select(F.col("_id").alias("id"), "fp"), own.count(), least).select("u", "v"))
+    of = own.join(roots, F.col("_id") == F.col("u"), "left").select("_id", "smallest", "n", F.coalesce("v", "_id").alias("root"))
+    groups = of.groupBy("root").agg(F.min("smallest").alias("near_group"), F.sum("n").alias("rows")).where("rows > 1")
+    member = of.join(groups, "root").select("_id", "near_group", F.lit(True).alias("in_group"))
+    return marked.join(member, "_id", "left").withColumn("near_group", F.when(F.col("in_group"), F.col("near_group")).otherwise(F.col("doc_id"))).drop("_id", "in_group")

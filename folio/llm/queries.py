@@ -39,7 +39,7 @@ def op6_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    return edit_embed.compare(_read(spark, d, "documents"))
+    return edit_embed.grouped(_read(spark, d, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +87,46 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL}
+def _op10_sql() -> str:
+    """op10 in SQL: the trees' levels one after another."""
+    rules = sorted(url_tree.RULES, key=lambda r: -len(r[0] + r[1]))
+    fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN" for h, p, _ in rules]
+    rule = "CASE " + " ".join(f"{w} '{h}{p}'" for w, (h, p, _) in zip(fits, rules, strict=True)) + " END"
+    verdict = "CASE " + " ".join(f"{w} '{v}'" for w, (*_, v) in zip(fits, rules, strict=True)) + " END"
+    out = [rf"""
+WITH raw AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
+cut AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM raw),
+parsed AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM cut),
+p AS (SELECT *, {rule} AS rule, {verdict} AS given FROM parsed),
+urls AS (SELECT host, path, count(*) AS n, count(given) AS seen, count(*) FILTER (given = 'block') AS blocked FROM p GROUP BY host, path),
+t0 AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS seg, ['/'] AS nodes FROM urls)"""]
+    for k in range(url_tree.LEVELS):
+        out.append(f"""
+u{k} AS (SELECT *, nodes[-1] AS node, CASE WHEN len(seg) > {k} THEN seg[{k + 1}] END AS child FROM t{k}),
+c{k} AS (SELECT host, node, child, sum(n) AS visits FROM u{k} WHERE child IS NOT NULL GROUP BY host, node, child),
+k{k} AS (SELECT host, node, child FROM (SELECT *, sum(visits) OVER (PARTITION BY host, node) AS total FROM c{k}) WHERE visits >= {url_tree.FEWEST} AND visits >= {url_tree.SHARE} * total),
+t{k + 1} AS (SELECT u.host, u.path, u.n, u.seen, u.blocked, u.seg, CASE WHEN u.child IS NULL THEN nodes ELSE list_append(nodes, u.node || CASE WHEN k.child IS NULL THEN '*' ELSE k.child END || '/') END AS nodes
+  FROM u{k} u LEFT JOIN k{k} k ON k.host = u.host AND k.node = u.node AND k.child = u.child)""")
+    deep = url_tree.LEVELS
+    out.append(f"""
+tree AS (SELECT host, path, seen, blocked, CASE WHEN len(seg) > {deep} THEN list_append(nodes, nodes[-1] || '**') ELSE nodes END AS nodes FROM t{deep}),
+flat AS (SELECT host, nodes, seen, blocked, unnest(range(len(nodes))) AS depth FROM tree),
+stats AS (SELECT host, depth, nodes[depth + 1] AS node, CASE WHEN depth > 0 THEN nodes[depth] END AS parent, CAST(sum(seen) AS DOUBLE) AS seen, CAST(sum(blocked) AS DOUBLE) AS blocked FROM flat GROUP BY ALL),
+r0 AS (SELECT host, node, (blocked + {url_tree.SMOOTH} * coalesce((SELECT sum(blocked) / sum(seen) FROM stats WHERE depth = 0 HAVING sum(seen) > 0), 0)) / (seen + {url_tree.SMOOTH}) AS rate FROM stats WHERE depth = 0)""")
+    order = "PARTITION BY host, parent, seen > 0 ORDER BY blocked / greatest(seen, 1), node"
+    for k in range(1, deep + 2):
+        out.append(f"""
+a{k} AS (SELECT *, lag(blocked) OVER ({order}) AS b0, lag(seen) OVER ({order}) AS s0 FROM stats WHERE depth = {k}),
+b{k} AS (SELECT *, (blocked + b0) / (seen + s0) AS q, blocked / seen - b0 / s0 AS apart FROM a{k}),
+d{k} AS (SELECT *, CASE WHEN seen > 0 AND s0 > 0 AND apart * apart >= {url_tree.Z} * {url_tree.Z} * greatest(q * (1 - q), {url_tree.FLAT}) * (1 / seen + 1 / s0) THEN 1 ELSE 0 END AS fresh FROM b{k}),
+g{k} AS (SELECT *, sum(fresh) OVER ({order} ROWS UNBOUNDED PRECEDING) AS merged FROM d{k}),
+h{k} AS (SELECT host, node, parent, sum(blocked) OVER w AS ab, sum(seen) OVER w AS sb FROM g{k} WINDOW w AS (PARTITION BY host, parent, seen > 0, merged)),
+r{k} AS (SELECT h.host, h.node, (ab + {url_tree.SMOOTH} * r.rate) / (sb + {url_tree.SMOOTH}) AS rate FROM h{k} h JOIN r{k - 1} r ON r.host = h.host AND r.node = h.parent)""")
+    out.append("\nrates AS (" + " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(deep + 2)) + ")")
+    return ",".join(out) + f"""
+SELECT page_id, p.host, p.path, rule, coalesce(given, CASE WHEN rate >= {url_tree.REJECT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN tree ON tree.host = p.host AND tree.path = p.path JOIN rates ON rates.host = tree.host AND rates.node = tree.nodes[-1]"""
 
 
+def oracle_sql() -> dict[str, str]:
+    return {"op3_decontamination": OP3_SQL, "op10_url_filters": _op10_sql()}

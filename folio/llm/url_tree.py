@@ -1,8 +1,10 @@
 """URL filtering by path-template trees, all in DataFrame operations.
 
 Each host's paths form a tree of segments. Level by level a node's children that are not a fair share of its visits are generalised
-into a wildcard; sibling branches whose labelled block rates don't differ significantly are merged; a template is rejected when its
-block rate, smoothed by its parent's and all hosts' rates, is REJECT or more. Where an explicit rule fits, it decides.
+into a wildcard, so a node has few branches. Sibling branches, in order of their labelled block rates, are compared one with the next,
+and merged where a two-proportion test doesn't tell them apart; a branch without labels is merged into its node. A template is rejected
+when its branch's block rate, smoothed by its node's and at the root by all hosts' rates, is REJECT or more. Where an explicit rule
+fits, it decides.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folio.llm.common import stash, table
 
@@ -18,8 +21,8 @@ from folio.llm.common import stash, table
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Levels of the tree; what lies deeper is one wildcard. A literal child has FEWEST visits and SHARE of its node's.
 LEVELS, FEWEST, SHARE = 3, 8, 0.02
-#: Pseudo-counts of the parent's rate; z-value at which branches differ; block rate at which a template is rejected.
-SMOOTH, Z, REJECT = 4.0, 1.96, 0.8
+#: Pseudo-counts of the node's rate; z-value at which branches differ; least variance in that test; block rate at which a template is rejected.
+SMOOTH, Z, FLAT, REJECT = 4.0, 1.96, 0.01, 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,30 +63,35 @@ def templates(urls: DataFrame) -> DataFrame:
 
 
 def rates(tree: DataFrame) -> DataFrame:
-    """(host, node, rate): each template's smoothed block rate.
-
-    A branch without labels, or whose rate isn't significantly another than its node's, is merged into the node: it takes the node's rate.
-    """
-    flat = tree.select("host", F.posexplode("nodes").alias("depth", "node"), F.element_at("nodes", F.lit(1)).alias("_root"), "nodes", "seen", "blocked")
+    """(host, node, rate): each template's smoothed block rate, that of the siblings it is merged with."""
+    flat = tree.select("host", F.posexplode("nodes").alias("depth", "node"), "nodes", "seen", "blocked")
     flat = flat.withColumn("parent", F.when(F.col("depth") > 0, F.get("nodes", F.col("depth") - 1)))
     stats = stash(flat.groupBy("host", "depth", "node", "parent").agg(F.sum("seen").alias("seen"), F.sum("blocked").alias("blocked")))
     total = stats.where("depth = 0").agg(F.sum("blocked"), F.sum("seen")).first()
     everywhere = (total[0] or 0) / total[1] if total[1] else 0.0
-    smooth = lambda prior: (F.col("blocked") + SMOOTH * prior) / (F.col("seen") + SMOOTH)
-    done = stats.where("depth = 0").select("host", "node", smooth(F.lit(everywhere)).alias("rate"))
-    levels = [done]
+    levels = [stats.where("depth = 0").select("host", "node", ((F.col("blocked") + SMOOTH * F.lit(everywhere)) / (F.col("seen") + SMOOTH)).alias("rate"))]
+    siblings = Window.partitionBy("host", "parent", F.col("seen") > 0)  # a node has at most 1 / SHARE branches and a wildcard
+    row = siblings.orderBy(F.col("blocked") / F.greatest("seen", F.lit(1)), "node")
+    own, one = F.greatest("seen", F.lit(1)), F.lit(1)
+    b0, s0 = F.lag("blocked").over(row), F.greatest(F.lag("seen").over(row), one)
+    both = (F.col("blocked") + b0) / (own + s0)
+    apart = F.col("blocked") / own - b0 / s0
+    differs = apart * apart >= Z * Z * F.greatest(both * (1 - both), F.lit(FLAT)) * (1 / own + 1 / s0)
     for depth in range(1, LEVELS + 2):
         above = levels[-1].select("host", F.col("node").alias("parent"), F.col("rate").alias("prior"))
-        spread = F.sqrt(F.greatest(F.col("prior") * (1 - F.col("prior")), F.lit(0.01)) / F.col("seen"))
-        differs = (F.col("seen") > 0) & (F.abs(F.col("blocked") / F.col("seen") - F.col("prior")) >= Z * spread)
-        levels.append(stats.where(F.col("depth") == depth).join(above, ["host", "parent"]).select("host", "node", F.when(differs, smooth(F.col("prior"))).otherwise(F.col("prior")).alias("rate")))
+        now = stats.where(F.col("depth") == depth).withColumn("new", F.when((F.col("seen") > 0) & differs, 1).otherwise(0))
+        now = now.withColumn("merged", F.sum("new").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+        alike = Window.partitionBy("host", "parent", F.col("seen") > 0, "merged")
+        now = now.withColumn("all_blocked", F.sum("blocked").over(alike)).withColumn("all_seen", F.sum("seen").over(alike)).join(above, ["host", "parent"])
+        levels.append(now.select("host", "node", ((F.col("all_blocked") + SMOOTH * F.col("prior")) / (F.col("all_seen") + SMOOTH)).alias("rate")))
     return reduce(DataFrame.unionByName, levels)
 
 
 def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row. The rules' own verdicts are the labels that the trees learn from.
 
-    No label anywhere: the rate is 0 and the method allows. Repeated urls weigh as often as they occur.
+    No label anywhere: the rate is 0 and the method allows. Repeated urls weigh as often as they occur and have a row each. A null url, or
+    one without ://, has an empty host and path; a long one is judged by its first LEVELS segments. Empty pages: no rows.
     """
     p = parsed(pages).withColumn("r", by_rule(rules))
     urls = p.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("r.verdict").alias("seen"), F.count_if(F.col("r.verdict") == "block").alias("blocked"))

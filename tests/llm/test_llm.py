@@ -623,13 +623,39 @@ def test_edit_embedding_tells_distance():
     assert a > 0.5 > b and a > b and c < 0.35
 
 
-def test_edit_bands_find_near_pairs(spark):
+@pytest.mark.parametrize("least", [0.97, 0.9, 0.8])
+def test_edit_bands_find_near_pairs(spark, least):
     r = random.Random(2)
-    base = "".join(r.choices("abcdefgh  ", k=4000))
-    f = edit_embed.embed([base, base[:-20] + "changed", "".join(r.choices("abcdefgh  ", k=4000))])
-    rows = [(x.tobytes().hex(),) for x in f]
-    got = edit_embed.near_pairs(spark.createDataFrame(rows, "fingerprint string"), 0.8).collect()
-    assert [{g.a, g.b} for g in got] == [{rows[0][0], rows[1][0]}]
+    texts = []
+    for _ in range(50):
+        base = "".join(r.choices("abcdefgh  ", k=2500))
+        texts += ["".join(c if r.random() > rate else r.choice(["", "xy"]) for c in base) for rate in (0, 0.0005, 0.001, 0.002, 0.004, 0.01)]
+    f = np.unique(edit_embed.embed(texts), axis=0)
+    alike = {(i, j): x for i in range(len(f)) for j, x in enumerate(edit_embed.likeness(f[i : i + 1], f)) if j < i and x >= least}
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(f)], "id bigint, fp binary")
+    links = edit_embed.near_links(df, len(f), least).collect()
+    assert len(alike) > 40 and all((max(x.u, x.v), min(x.u, x.v)) in alike for x in links)
+    got, want = groups([(x.u, x.v) for x in links], range(len(f))), groups(list(alike), range(len(f)))
+    assert sum(got[i] == got[j] for i, j in alike) >= 0.9 * len(alike)
+    assert all(want[i] == want[j] for i in range(len(f)) for j in range(i) if got[i] == got[j])
+
+
+def test_edit_spanning_pairs_connect_what_all_pairs_do():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2, (6, 512))
+    fp = np.packbits(np.concatenate([base[k // 20] ^ (r.random(512) < r.choice([0.01, 0.04]))[None, :] for k in range(120)]).astype(np.uint8), axis=1).view(np.uint64)
+    for most in (5, 20, 40):
+        near = [(i, j) for i in range(120) for j in range(i) if np.bitwise_count(fp[i] ^ fp[j]).sum() <= most]
+        assert groups(edit_embed._spanning(fp, most), range(120)) == groups(near, range(120))
+
+
+def test_edit_groups_of_rows(spark, empty):
+    r = random.Random(7)
+    base = "".join(r.choices("abcdefgh  ", k=6000))
+    rows = [(5, base), (3, base), (9, base[:-2] + "zz"), (None, base), (4, "another text"), (2, None), (7, ""), (None, "x" * 300)]
+    got = Counter((g.doc_id, g.near_group) for g in edit_embed.grouped(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == Counter([(5, 3), (3, 3), (9, 3), (None, 3), (4, 4), (2, 2), (7, 2), (None, None)])
+    assert edit_embed.grouped(empty).count() == 0
 
 
 URLS = [("http://A.ORG/x?q", "a.org", "/x", "org/", "allow"), ("https://m.example.org/es/1#t", "m.example.org", "/es/1", "example.org/es/", "block"), ("x://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"), ("x://example.org/en/2", "example.org", "/en/2", "org/", "allow"), ("http://b.com/fr/1", "b.com", "/fr/1", "com/fr/", "allow"), ("http://b.com/de/1", "b.com", "/de/1", "com/de/", "block"), ("http://borg/", "borg", "/", None, "allow"), ("http://a.org", "a.org", "", None, "allow"), ("no scheme", "", "", None, "allow"), (None, "", "", None, "allow"), ("a://b://c/d", "b:", "//c/d", None, "allow")]
@@ -651,6 +677,55 @@ def test_url_trees_learn_from_labels(spark):
     assert got[1].template == "/bad/*/" and got[1].verdict == "block" and got[61].verdict == "allow"
 
 
+def test_url_siblings_merge_and_match_sql(spark, data, tmp_path):
+    import duckdb
+
+    from folio.llm import queries
+
+    r = random.Random(3)
+    parts = {"bad": 1.0, "worse": 0.97, "mixed": 0.5, "fine": 0.02, "unseen": None}
+    urls, rules = [], []
+    for i in range(1500):
+        name = r.choice(list(parts))
+        host = r.choice(["a.net", "b.net", "b.net", "b.net"])
+        path = f"/{name}/{i}" + r.choice(["", "/x", "/x/y/z/w", "/" + "long" * 500])
+        urls.append(f"http://{host}{path}")
+        if parts[name] is not None and i % 3:
+            rules.append((host, f"/{name}/{i}", "block" if r.random() < parts[name] else "allow"))
+    urls += [urls[0]] * 20 + [None, "no scheme", "://", "http://c.net"]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {x.page_id: x for x in url_tree.judge(d, tuple(rules[:40])).collect()}
+    assert len(got) == len(urls)
+    # merged siblings share one rate; unlike ones don't
+    p = url_tree.parsed(d).withColumn("r", url_tree.by_rule(tuple(rules[:300])))
+    from pyspark.sql import functions as F
+    u = p.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("r.verdict").alias("seen"), F.count_if(F.col("r.verdict") == "block").alias("blocked"))
+    rate = {(x.host, x.node): x.rate for x in url_tree.rates(url_tree.templates(u)).collect()}
+    assert rate["b.net", "/bad/"] == rate["b.net", "/worse/"] > rate["b.net", "/mixed/"] > rate["b.net", "/fine/"]
+    assert min(rate["b.net", "/fine/"], rate["b.net", "/bad/"]) < rate["b.net", "/unseen/"] < rate["b.net", "/bad/"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{data}/pages.parquet')")
+    want = con.execute(queries.oracle_sql()["op10_url_filters"]).fetchall()
+    assert Counter(want) == Counter(tuple(x) for x in queries.op10_url_filters(spark, data).collect())
+
+
+def test_url_rates_of_many_labels_match_sql(spark, monkeypatch, tmp_path):
+    import duckdb
+
+    from folio.llm import queries
+
+    r = random.Random(4)
+    rules = tuple(("h.net", f"/{a}/{b}", "block" if r.random() < p else "allow") for a, p in (("a", 0.95), ("b", 0.9), ("c", 0.4), ("d", 0.1)) for b in range(10, 40))
+    monkeypatch.setattr(url_tree, "RULES", rules)
+    urls = [f"http://{r.choice(['h.net', 'm.h.net'])}/{r.choice('abcde')}/{r.randrange(100)}{r.choice(['', '/', '/q/r/s'])}" for _ in range(900)]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    con = duckdb.connect()
+    con.register("pages", d.toPandas())
+    want = con.execute(queries.oracle_sql()["op10_url_filters"]).fetchall()
+    got = [tuple(x) for x in url_tree.judge(d, rules).drop("template").collect()]
+    assert Counter(want) == Counter(got) and {v[4] for v in got if v[3] is None} == {"allow", "block"}
+
+
 def test_pipeline_matches_its_stages(spark, data):
     import corpus_pipeline as cp
 
