@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio.functions import text as T
 
-_GUARD = re.compile(r"(?:^|\W)(?:" + "|".join(re.escape(a) for a in T.ABBREVIATIONS) + r"|[A-Za-z])\.$")
-_END = re.compile(r"([.!?]+[\"'”’)\]]*)\s+(?=[A-Z0-9\"'“‘])")
+_END = regex.compile(T.SENTENCE_END)
 
 
 @dataclass(frozen=True)
@@ -31,11 +30,11 @@ class Sizes:
 
 
 def sentences(s: str) -> list[str]:
+    """As the Column expression of that name: the pattern is the same."""
     out, at = [], 0
     for m in _END.finditer(s):
-        if not _GUARD.search(s[at : m.end(1)]):
-            out.append(s[at : m.end(1)].strip())
-            at = m.end()
+        out.append(s[at : m.end(1)].strip())
+        at = m.end()
     return [x for x in [*out, s[at:].strip()] if x]
 
 
@@ -81,18 +80,19 @@ def chunk(text: str, sizes: Sizes = Sizes()) -> list[str]:
 def chunk_pages(pages: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """pages (document_id, page_number, text) -> chunks numbered from 0 over each document.
 
-    Pages are cut in parallel, whatever their document, and numbered afterwards from per-page counts, so a long document needs no task of its own.
+    Pages are cut in parallel, whatever their document, once: a page's chunks stay one row until the counts of the pages before it are
+    summed, so a long document needs no task of its own.
     """
-    cleaned = pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("page_number").cast("int").alias("page_number"), T.clean(F.col("text")).alias("text")).where("text <> ''")
+    cleaned = pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("page_number").cast("int").alias("page_number"), T.clean(F.col("text")).alias("text"))
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, p, i, c) for d, p, t in zip(f["document_id"], f["page_number"], f["text"], strict=True) for i, c in enumerate(chunk(t, sizes))]
-            yield pd.DataFrame(rows, columns=["document_id", "page_number", "at", "text"])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                cut = [chunk(t, sizes) if t else [] for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cut, pa.list_(pa.string())), pa.array([len(c) for c in cut], pa.int64())], names=["document_id", "page_number", "chunks", "n"])
 
-    cut = cleaned.mapInPandas(work, "document_id string, page_number int, at int, text string")
-    counts = cut.groupBy("document_id", "page_number").agg(F.count("*").alias("n"))
+    cut = cleaned.mapInArrow(work, "document_id string, page_number int, chunks array<string>, n bigint").where("n > 0")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("document_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = counts.withColumn("base", before).select("document_id", "page_number", "base")
-    n = cut.join(base, ["document_id", "page_number"]).withColumn("chunk_index", (F.col("base") + F.col("at")).cast("int"))
+    n = cut.withColumn("base", before).select("document_id", "page_number", "base", F.posexplode("chunks").alias("at", "text")).withColumn("chunk_index", (F.col("base") + F.col("at")).cast("int"))
     return n.select("document_id", "page_number", "chunk_index", F.format_string("%s_p%03d_c%04d", "document_id", "page_number", "chunk_index").alias("chunk_id"), "text", F.length("text").alias("char_count"), T.word_count(F.col("text")).alias("word_count"))

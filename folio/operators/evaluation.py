@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KS = (1, 3, 5, 10)
-# Mean milliseconds from which a stage counts as a bottleneck.
-BOTTLENECK_MS = {"ingestion": 500, "embedding": 100, "retrieval": 50, "reranking": 300, "planning": 10, "extractive": 150, "generative": 300, "nli": 250, "citation": 20, "question_generation": 800}
+# Mean milliseconds from which a stage counts as a bottleneck; any other stage.
+BOTTLENECK_MS = {"ingestion": 500, "embedding": 100, "retrieval": 50, "reranking": 300, "query_understanding": 10, "extractive_qa": 150, "generative_qa": 300, "grounding_nli": 250, "citation_mapping": 20, "question_generation": 800}
+BOTTLENECK_OTHER_MS = 250
 
 
 def retrieval_metrics(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
@@ -49,18 +50,18 @@ def duplicate_rate(hits: DataFrame, key: str, item: str) -> DataFrame:
 
 
 def token_f1(pairs: DataFrame, tokens_a: Column, tokens_b: Column, key: str = "pair_id") -> DataFrame:
-    """Multiset token F1 of two token arrays per row; two empty ones score 1, one empty one 0."""
+    """Multiset token F1 of two token arrays per row; an empty one scores 0."""
     p = pairs.select(key, tokens_a.alias("a"), tokens_b.alias("b"))
     count = lambda c, n: p.select(key, F.explode(c).alias("t")).groupBy(key, "t").agg(F.count("*").alias(n))
     common = count("a", "x").join(count("b", "y"), [key, "t"]).groupBy(key).agg(F.sum(F.least("x", "y")).alias("common"))
     c = F.coalesce("common", F.lit(0))
-    f1 = F.when((F.size("a") == 0) & (F.size("b") == 0), 1.0).when(c == 0, 0.0).otherwise(2.0 * c / (F.size("a") + F.size("b")))
+    f1 = F.when(c == 0, 0.0).otherwise(2.0 * c / (F.size("a") + F.size("b")))
     return p.join(common, key, "left").select(key, c.alias("common"), F.round(f1, 4).alias("f1"))
 
 
 def latency(samples: DataFrame, stage: str, ms: str) -> DataFrame:
     """Mean, median, linearly interpolated 95th percentile, least and greatest per stage, and whether its mean is a bottleneck's."""
-    limit = F.coalesce(F.create_map(*[F.lit(x) for kv in BOTTLENECK_MS.items() for x in kv])[F.col(stage)], F.lit(1 << 30))
+    limit = F.coalesce(F.create_map(*[F.lit(x) for kv in BOTTLENECK_MS.items() for x in kv])[F.col(stage)], F.lit(BOTTLENECK_OTHER_MS))
     g = samples.where(F.col(ms).isNotNull()).groupBy(stage).agg(F.count("*").alias("n"), F.round(F.avg(ms), 4).alias("mean"), F.round(F.percentile(ms, 0.5), 4).alias("median"), F.round(F.percentile(ms, 0.95), 4).alias("p95"), F.round(F.min(ms), 4).alias("least"), F.round(F.max(ms), 4).alias("greatest"))
     return g.withColumn("bottleneck", F.col("mean") >= limit)
 
@@ -115,3 +116,57 @@ def generation_report(candidates: DataFrame) -> DataFrame:
     )
     good = (F.col("provenance_rate") >= 0.99) & (F.col("grounding_rate") >= 0.95)
     return t.withColumn("status", F.when(F.col("accepted") == 0, "FAIL").when(good, "PASS").otherwise("WARNING"))
+
+
+def page_metrics(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """hits (query_id, rank, page), relevant (query_id, page) -> page recall, precision (over k), reciprocal and first rank, duplicate rate.
+
+    A page that comes again counts again in precision, once in recall. A query without hits counts with zeros.
+    """
+    wanted = relevant.select("query_id", "page").distinct()
+    n = wanted.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+    h = hits.select("query_id", "rank", "page").join(wanted.withColumn("hit", F.lit(True)), ["query_id", "page"], "left")
+    hit = lambda k: F.col("hit") & (F.col("rank") <= k)
+    g = h.groupBy("query_id").agg(
+        *[F.count_if(hit(k)).alias(f"hits_{k}") for k in ks], *[F.count_distinct(F.when(hit(k), F.col("page"))).alias(f"pages_{k}") for k in ks], F.min(F.when(F.col("hit"), F.col("rank"))).alias("first_rank"),
+        F.round((F.count("*") - F.count_distinct("page")) / F.count("*"), 4).alias("page_duplicate_rate"),
+    )
+    j = n.join(g, "query_id", "left")
+    of = lambda c: F.coalesce(F.col(c), F.lit(0))
+    cols = [F.round(of(f"pages_{k}") / F.col("n_relevant"), 4).alias(f"page_recall_{k}") for k in ks] + [F.round(of(f"hits_{k}") / k, 4).alias(f"page_precision_{k}") for k in ks]
+    return j.select("query_id", *cols, F.round(F.coalesce(1 / F.col("first_rank"), F.lit(0.0)), 4).alias("page_rr"), F.coalesce("page_duplicate_rate", F.lit(0.0)).alias("page_duplicate_rate"))
+
+
+#: Words by which an evaluated answer declines; statuses that count as declining; token F1 of a right answer.
+DECLINES = ("cannot answer", "insufficient evidence", "not provided", "not mentioned", "no evidence", "unanswerable", "cannot determine", "out of scope")
+DECLINED = ("insufficient_evidence", "ungrounded", "contradicted")
+RIGHT_F1 = 0.35
+
+
+def grounded_results(answers: DataFrame) -> DataFrame:
+    """A row per answer (query_id, answerable, status, answer, expected, claims, supported, contradicted, cited, relevant: arrays) with its marks.
+
+    An answerable question that is declined has F1 0; an unanswerable one is right if declined, and must cite nothing.
+    """
+    from folio.functions import text as T
+
+    c, a = F.col, F.coalesce(F.col("answer"), F.lit(""))
+    declines = F.exists(F.array(*[F.lit(w) for w in DECLINES]), lambda w: F.contains(F.lower(a), w))
+    r = answers.withColumn("refused", F.coalesce(c("status").isin(*DECLINED), F.lit(False)) | (a == "") | declines | (~c("answerable") & (c("supported") == 0)))
+    x, y = T.answer_tokens(a), T.answer_tokens(F.coalesce(c("expected"), F.lit("")))
+    # tokens of both with the lesser count: each distinct token's count on either side
+    common = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, t: s + F.least(F.size(F.filter(x, lambda v: v == t)), F.size(F.filter(y, lambda v: v == t))))
+    f1 = F.when(common == 0, 0.0).otherwise(2.0 * common / (F.size(x) + F.size(y)))
+    known = c("expected").isNotNull() & (c("expected") != "") & ~c("refused")
+    r = r.withColumn("f1", F.round(F.when(~c("answerable"), F.when(c("refused"), 1.0).otherwise(0.0)).when(known, f1).otherwise(0.0), 4))
+    n, m = F.size("cited"), F.size("relevant")
+    valid = F.when(m == 0, n).otherwise(F.size(F.filter("cited", lambda v: F.array_contains("relevant", v))))
+    share = lambda p, q, none: F.when(q > 0, F.round(p / F.greatest(q, F.lit(1)), 4)).otherwise(none)
+    isolated = F.when(n == 0, 1.0).otherwise(0.0)
+    return r.select(
+        "query_id", "answerable", "refused", (c("answerable") != c("refused")).alias("refusal_correct"), (c("answerable") & c("refused")).alias("false_refusal"), (~c("answerable") & ~c("refused")).alias("incorrect_answer"), "f1",
+        F.when(c("answerable"), known & (c("f1") >= RIGHT_F1)).otherwise(c("refused")).alias("correct"),
+        (c("answerable") & ~c("refused") & F.coalesce(c("status").isin("grounded", "partially_grounded"), F.lit(False)) & (c("contradicted") == 0) & (c("supported") > 0)).alias("success"),
+        F.when(c("claims") > 0, F.round(c("supported") / F.greatest("claims", F.lit(1)), 4)).when(c("answerable"), 0.0).otherwise(1.0).alias("support_rate"),
+        F.when(c("answerable"), share(valid, n, 0.0)).otherwise(isolated).alias("citation_precision"), F.when(c("answerable"), share(F.size(F.array_intersect("cited", "relevant")), m, 1.0)).otherwise(isolated).alias("citation_recall"),
+    )

@@ -52,22 +52,49 @@ def contextual(question: Column, fragment: Column) -> Column:
 
 
 def relevant(claim: Column, evidence: Column) -> Column:
-    """Whether any content token of the claim, longer than two characters, occurs in the evidence; a claim without such is relevant."""
-    t = F.filter(T.content_tokens(claim), lambda x: F.length(x) > 2)
-    return (F.size(t) == 0) | F.exists(t, lambda x: F.contains(F.lower(evidence), x))
+    """Whether any term of the claim, longer than two characters, occurs in the evidence; a claim without such is relevant."""
+    t, low = T.terms(claim, T.GROUNDING_STOPS, 2), F.lower(evidence)
+    return (F.size(t) == 0) | F.exists(t, lambda x: F.contains(low, x))
 
 
 def contains_fragment(fragment: Column, evidence: Column) -> Column:
-    """Whether the evidence has the fragment, or three quarters of its tokens."""
-    t, low = T.tokens(fragment), F.lower(evidence)
-    share = F.size(F.filter(t, lambda x: F.contains(low, x))) / F.size(t)
-    return F.contains(low, F.lower(F.trim(fragment))) | ((F.size(t) > 0) & (share >= 0.75))
+    """Whether the evidence has the fragment, or three quarters of its terms of two characters or more."""
+    low, bare = F.lower(evidence), F.regexp_replace(F.trim(F.lower(fragment)), r"[.!?]+$", "")
+    t = T.terms(bare, T.GROUNDING_STOPS, 1)
+    return F.contains(low, bare) | ((F.size(t) > 0) & (F.size(F.filter(t, lambda x: F.contains(low, x))) / F.greatest(F.size(t), F.lit(1)) >= 0.75))
+
+
+#: Words that deny, for the stand-in scorer.
+DENIALS = ("not", "no", "never", "none", "nor", "neither", "cannot", "without")
 
 
 def lexical_entailment(claim: Column, evidence: Column) -> Column:
     """Stand-in scorer: the share of the claim's content tokens that the evidence has. Not a language model's score."""
     t = T.content_tokens(claim)
-    return F.when(F.size(t) == 0, F.lit(0.0)).otherwise(F.round(F.size(F.array_intersect(t, T.content_tokens(evidence))) / F.size(t), 6))
+    return F.when(F.size(t) == 0, F.lit(0.0)).otherwise(F.round(F.size(F.array_intersect(t, T.content_tokens(evidence))) / F.greatest(F.size(t), F.lit(1)), 6))
+
+
+def lexical_contradiction(claim: Column, evidence: Column) -> Column:
+    """Stand-in scorer: the entailment's share if just one of claim and evidence denies, else 0. Not a language model's score."""
+    denies = lambda s: F.arrays_overlap(T.tokens(s), T.among(DENIALS))
+    return F.when(denies(claim) != denies(evidence), lexical_entailment(claim, evidence)).otherwise(F.lit(0.0))
+
+
+def merged_scores(raw: Column, contextual_scores: Column, held: Column) -> Column:
+    """struct(entailment, contradiction, neutral) of a fragment judged alone and as a statement: the greater entailment, the lesser others.
+
+    A fragment that the evidence doesn't hold is entailed at 0.2 at most.
+    """
+    best = F.greatest(raw["entailment"], contextual_scores["entailment"])
+    return F.struct(F.when(held, best).otherwise(F.least(best, F.lit(0.2))).alias("entailment"), F.least(raw["contradiction"], contextual_scores["contradiction"]).alias("contradiction"), F.least(raw["neutral"], contextual_scores["neutral"]).alias("neutral"))
+
+
+def softmax(logits: Column) -> Column:
+    """Scores that sum to 1 of an array of logits; null or not finite logits fail."""
+    bad = F.exists(logits, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    checked = F.when(bad, F.raise_error(F.lit("logits must be finite"))).otherwise(logits)
+    e = F.transform(checked, lambda x: F.exp(x - F.array_max(checked)))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, v: s + v))
 
 
 def claim_status(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -91,9 +118,12 @@ def answer_report(claim_rows: DataFrame) -> DataFrame:
 
 
 def policy(strict: bool) -> Column:
-    """An answer's fate, first rule that fits, over columns ambiguous, n_evidence, max_similarity, answer, grounding, claims, isolated."""
+    """An answer's fate, first rule that fits, over columns ambiguous, n_evidence, max_similarity, answer, overall, claims, isolated, completeness.
+
+    Strict: anything but a grounded overall status, or incomplete_after_retry, is refused; else only a contradicted one.
+    """
     floor = (F.col("max_similarity") > 0) & (F.col("max_similarity") < 0.2)
-    bad = F.col("overall").isin("contradicted", "conflicted", "unsupported") if strict else F.col("overall") == "contradicted"
+    bad = F.col("overall").isin("contradicted", "conflicted", "unsupported") | (F.col("completeness") == "incomplete_after_retry") if strict else F.col("overall") == "contradicted"
     return (
         F.when(F.col("ambiguous"), "needs_clarification").when(F.col("n_evidence") == 0, "no_evidence").when(floor, "low_similarity")
         .when(F.trim(F.coalesce("answer", F.lit(""))) == "", "no_answer").when(F.coalesce("claims", F.lit(0)) == 0, "no_claims").when(~F.col("isolated"), "isolation_error").when(bad, "refused").otherwise("answered")
@@ -105,16 +135,52 @@ def refused(s: Column) -> Column:
 
 
 def aspect_covered(aspect: Column, other: Column, answer: Column) -> Column:
-    """Whether an answer treats an aspect of a comparison: its phrase, else a token of its own, else (without such) any token over two characters."""
-    low = F.lower(answer)
-    own = F.array_except(T.tokens(aspect), T.tokens(other))
+    """Whether an answer treats an aspect of a comparison: its phrase, else a term of its own, else (without such) any term over two characters."""
+    low, mine = F.lower(answer), T.terms(aspect, T.COMPLETENESS_STOPS, 0)
+    own = F.array_except(mine, T.terms(other, T.COMPLETENESS_STOPS, 0))
     any_of = lambda t: F.exists(t, lambda x: F.contains(low, x))
-    return F.contains(low, F.lower(F.trim(aspect))) | F.when(F.size(own) > 0, any_of(own)).otherwise(any_of(F.filter(T.tokens(aspect), lambda x: F.length(x) > 2)))
+    return F.contains(low, F.lower(F.trim(aspect))) | F.when(F.size(own) > 0, any_of(own)).otherwise(any_of(F.filter(mine, lambda x: F.length(x) > 2)))
 
 
 def sub_question_covered(question: Column, answer: Column) -> Column:
-    low = F.lower(answer)
-    return F.exists(F.filter(T.content_tokens(question), lambda x: F.length(x) > 2), lambda x: F.contains(low, x))
+    """Whether an answer has a term of a part of the question, longer than two characters; a part without such is covered."""
+    low, t = F.lower(answer), T.terms(question, T.COMPLETENESS_STOPS, 2)
+    return (F.size(t) == 0) | F.exists(t, lambda x: F.contains(low, x))
+
+
+def missing_components(kind: Column, aspects: Column, parts: Column, answer: Column) -> Column:
+    """What an answer leaves out of its question, as an array: both aspects of a comparison, else the parts of a question of several.
+
+    A blank answer lacks "full_answer".
+    """
+    sides = F.filter(F.zip_with(aspects, F.reverse(aspects), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: ~aspect_covered(p["a"], p["b"], answer))
+    of_sides = F.when(((kind == "comparison") | (F.size(aspects) > 0)) & (F.size(aspects) >= 2), F.transform(sides, lambda p: p["a"]))
+    of_parts = F.when((kind.isin("multi_part", "multi_page") | (F.size(parts) > 0)) & (F.size(parts) >= 2), F.filter(parts, lambda p: ~sub_question_covered(p, answer)))
+    none = F.array().cast("array<string>")
+    blank = F.trim(F.coalesce(answer, F.lit(""))) == ""
+    return F.when(blank, F.array(F.lit("full_answer"))).when(F.size(of_sides) > 0, of_sides).when(F.size(of_parts) > 0, of_parts).otherwise(none)
+
+
+def retry_instruction(kind: Column, aspects: Column, parts: Column) -> Column:
+    """What the one further attempt at an incomplete answer is told; null if no further attempt applies."""
+    both = F.concat(F.lit("Compare both concepts using only the provided context. Ensure you explicitly explain both "), F.get(aspects, 0), F.lit(" and "), F.get(aspects, 1), F.lit(":"))
+    each = F.concat(F.lit("Answer all parts of the question thoroughly using only the provided context. Ensure you address: "), F.array_join(parts, ", and "), F.lit(":"))
+    return F.when((kind == "comparison") & (F.size(aspects) >= 2), both).when(kind.isin("multi_part", "multi_page") & (F.size(parts) > 0), each)
+
+
+def answered(plans: DataFrame) -> DataFrame:
+    """plans (class, aspects, parts, first_answer, second_answer) -> with answer, completeness, regenerated: at most one further attempt.
+
+    An incomplete answer is tried again where an instruction applies; a blank second answer leaves the first one, as incomplete_attempt_1.
+    """
+    kind, a, b = F.col("class.type"), F.col("aspects"), F.col("parts")
+    blank = lambda s: F.trim(F.coalesce(s, F.lit(""))) == ""
+    p = plans.withColumn("_lacks", F.size(missing_components(kind, a, b, F.col("first_answer")))).withColumn("instruction", retry_instruction(kind, a, b))
+    again = (F.col("_lacks") > 0) & ~blank(F.col("first_answer")) & F.col("instruction").isNotNull() & ~blank(F.col("second_answer"))
+    p = p.withColumn("_again", again).withColumn("_lacks2", F.size(missing_components(kind, a, b, F.col("second_answer"))))
+    status = F.when(blank(F.col("first_answer")) | (F.col("_lacks") == 0), "complete").when(~F.col("_again"), "incomplete_attempt_1").when(F.col("_lacks2") == 0, "complete").otherwise("incomplete_after_retry")
+    regenerated = (F.col("_lacks") > 0) & ~blank(F.col("first_answer"))
+    return p.withColumn("completeness", status).withColumn("answer", F.when(F.col("_again"), F.trim("second_answer")).otherwise(F.trim("first_answer"))).withColumn("regenerated", regenerated).drop("_lacks", "_lacks2", "_again")
 
 
 def citations(refs: DataFrame) -> DataFrame:

@@ -5,97 +5,146 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: (class, answer type, pattern over the lower-cased query), first hit wins.
-RULES: tuple[tuple[str, str, str], ...] = (
-    ("ambiguous", "explanation", r"^(what|which) (is|are) the (best|worst|most important)\b|^how (do|does) \w+ perform\b"),
-    ("multi_hop", "explanation", r"\b(leads? to|in turn|as a result of which|that (then|later))\b"),
-    ("multi_part", "explanation", r",\s*and (what|how|why|when|where|who|which)\b|\band how (does|do|is|are)\b|\?.+\?"),
-    ("multi_page", "explanation", r"\bpages? \d+\s*(-|–|to|and|through)\s*\d+|\brelat\w+ .*\b(score|rate|metric|accuracy)"),
-    ("comparison", "comparison", r"\b(compare|compared|versus|vs\.?|difference|differ|better than|contrast)\b"),
-    ("numeric_formula", "number", r"\b(formula|equation|calculate|compute|percentage|ratio)\b"),
-    ("summary", "summary", r"\b(summar\w+|overview|main (ideas?|points?)|key takeaways?)\b"),
-    ("procedural", "procedure", r"^how (to|do i|can i|should)\b|\b(steps?|procedure) (to|for|of)\b"),
-    ("causal", "explanation", r"^why\b|\b(cause[sd]?|reasons? (for|of)|consequences?|effects? of|because)\b"),
-    ("list", "list", r"^(list|name|enumerate)\b|\bwhat are the (types|kinds|components|features|benefits|advantages)\b"),
-    ("definition", "definition", r"^(define|what (is|are) (a|an|the)?\s*[\w -]+\??$|what does [\w -]+ mean)|\bdefinition of\b"),
-    ("location", "location", r"^where\b|\b(located|location of)\b"),
-    ("explanation", "explanation", r"^(explain|describe|how)\b(?! (many|much))"),
-    ("person", "entity", r"^who\b"),
-    ("date", "date", r"^when\b|\bwhat year\b"),
-    ("number", "number", r"\bhow (many|much)\b"),
-    ("factual", "explanation", r"^(what|which|is|are|was|were|does|do|did|can)\b"),
+from folio.functions import text as T
+
+# Fixed values: (class, answer type, patterns that must all be found in the lower-cased query, pattern that must not), in order.
+_PARTS = r",\s*and\s+(how|what|why|which|where)\b|\band\s+how\s+does\b|[^?\s][^?]*\?[?\s]*[^?\s]"
+RULES: tuple[tuple[str, str, tuple[str, ...], str | None], ...] = (
+    ("ambiguous", "explanation", (r"\b(single\s+best|best.*for\s+all|worst.*for\s+all)\b|^how\s+do\s+\w+\s+perform\??$",), None),
+    ("multi_hop", "explanation", (
+        r"\b(mother|father|founder|inventor|author|creator|advisor|teacher)\s+of\s+the\s+(founder|inventor|author|creator)\b|\bwho\s+was\s+the\s+.*\s+of\s+the\s+(founder|author|inventor)\b"
+        r"|\bwhat\s+happened\s+in\s+the\s+year\s+that\b|\bwhich\s+company\s+acquired\s+the\s+firm\s+that\b",), None),
+    ("multi_page", "explanation", (_PARTS, r"\brelate\s+to\b|\btrade-?offs?\b"), None),
+    ("multi_part", "explanation", (_PARTS,), None),
+    ("multi_page", "explanation", (r"\bpages?\s+\d+.*(?:and|to|-).*\d+\b",), None),
+    ("multi_page", "explanation", (r"\brelate\s+to\b", r"\b(metrics?|evaluation|latency)\b"), None),
+    ("comparison", "comparison", (r"\bcompare\b|\b(difference|differences)\s+between\b|\b(vs\.?|versus)\b|\bhow\s+does\s+.*\s+(differ\s+from|compare\s+to)\b",), None),
+    ("numerical_fact", "number", (r"\b(exact\s+derivative|derivative\s+of|derivative|formula\s+for|formula\s+to)\b|\bwhat\s+is\s+the\s+(formula|exact\s+value|value|ratio|percentage|fraction)\b",), None),
+    ("summary", "summary", (r"^summarize\b|\b(summary|overview|synopsis)\s+(of|for)\b|^give\s+a\s+summary\b",), None),
+    ("procedural", "procedure", (
+        r"^how\s+(do|can|does|to|would)\s+(you|one|we)?\s*(perform|implement|calculate|compute|train|build|create|derive|evaluate|run|execute|use)\b|^how\s+to\s+|\b(steps?|procedure|algorithm|process)\s+(to|for|of)\b",), None),
+    ("causal", "explanation", (r"^why\b|\b(causes?|reasons?)\s+(of|for|behind)\b|^what\s+(caused|causes)\b|^how\s+did\s+.*\s+(cause|lead\s+to|result\s+in)\b",), None),
+    ("list", "list", (r"^list\b|\b(name|list)\s+(the|all|some)\b|^what\s+are\s+(the\s+)?(main|primary|key|different|various|major)\s+(types|components|methods|examples|features|elements|approaches|factors)\b",), None),
+    ("definition", "definition", (r"^what\s+(is|are|was|were)\s+(a|an|the)?\s*[\w\s+\-*]+(?:\?|\.|$)",), r"\b(causes?|reasons?|difference|steps?|procedure|chapter|page|role)\b"),
+    ("definition", "definition", (r"^define\b|^what\s+does\s+.*\s+mean\b",), None),
+    ("location", "location", (r"^where\b|\bwhich\s+(chapter|page|section)\b",), None),
+    ("explanation", "explanation", (r"^(why|how\s+does|how\s+do|how\s+did)\b",), None),
+    ("factual", "person/entity", (r"^who\b",), None),
+    ("factual", "date/year", (r"^when\b|\b(what|in\s+which)\s+year\b",), None),
+    ("factual", "number", (r"^how\s+(many|much)\b",), None),
+    ("factual", "explanation", (r"^(which|what|did|does|is|was|were|has|have)\b",), None),
 )
+_QUOTED = r"[\"']([^\"']{2,})[\"']"
+_NAMES = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
+_YEAR = r"\b(1[89]\d\d|20\d\d)\b"
+# The two sides of a comparison; the second pattern set also serves without dropping articles.
+ASPECTS = (
+    r"(?i)(?:difference|differences)\s+between\s+(.+?)\s+(?:and|vs\.?|versus)\s+(.+?)(?:\s+in\s+terms\s+of|\s+in\s+|\s+during\s+|\?|\.|$)",
+    r"(?i)compare\s+(?:the\s+)?(?:[a-zA-Z\s]+\s+of\s+)?(.+?)\s+(?:and|vs\.?|versus)\s+(.+?)(?:\s+in\s+|\s+during\s+|\?|\.|$)",
+    r"(?i)\b(.+?)\s+(?:vs\.?|versus)\s+(.+?)(?:\?|\.|$)",
+)
+_BOTH = r"(?i)(?:causes?\s+and\s+(?:consequences?|effects?|impacts?)|(?:consequences?|effects?|impacts?)\s+and\s+causes?)\s+(?:of\s+)?(.+?)(?:\?|\.|$)"
+
+
+def _strip(s: Column) -> Column:
+    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+
+
+def _bare(s: Column) -> Column:
+    """Without white space around and marks behind."""
+    return F.regexp_replace(_strip(s), r"[?.!]+$", "")
+
+
+def _has(s: Column, pattern: str) -> Column:
+    return s.rlike("(?U)" + pattern)
 
 
 def normalise(q: Column) -> Column:
-    """White space, also no-break, becomes single spaces; a blank query is null."""
-    s = F.trim(F.regexp_replace(q, r"(?U)\s+", " "))
+    """Tabs, no-break spaces and runs of white space become single spaces; a blank query is null."""
+    s = _strip(F.regexp_replace(F.translate(q, "\u00a0\t", "  "), "[ \f\u000b\r\n]+", " "))
     return F.when(s != "", s)
 
 
 def classify(q: Column) -> Column:
     """struct(type, answer) of the first rule that fits; unknown without any."""
     low, out = F.lower(q), None
-    for name, answer, pattern in RULES:
+    for name, answer, needed, barred in RULES:
+        fits = _has(low, needed[0])
+        for pattern in needed[1:]:
+            fits = fits & _has(low, pattern)
+        if barred:
+            fits = fits & ~_has(low, barred)
         value = F.struct(F.lit(name).alias("type"), F.lit(answer).alias("answer"))
-        out = F.when(low.rlike(pattern), value) if out is None else out.when(low.rlike(pattern), value)
+        out = F.when(fits, value) if out is None else out.when(fits, value)
     return out.otherwise(F.struct(F.lit("unknown").alias("type"), F.lit("explanation").alias("answer")))
 
 
 def _number(s: Column) -> Column:
-    return F.when(s != "", s.cast("int"))
+    return s.try_cast("int")
+
+
+def quoted(q: Column) -> Column:
+    return F.filter(F.transform(F.regexp_extract_all(q, F.lit(_QUOTED), F.lit(1)), _strip), lambda x: x != "")
 
 
 def constraints(q: Column) -> Column:
-    """struct(chapter, page, page_from, page_to, year, quoted). Extracted; retrieval doesn't filter by them."""
-    low = F.lower(q)
-    ranged = r"pages? (\d+)\s*(?:-|–|to|and|through)\s*(\d+)"
-    a, b = _number(F.regexp_extract(low, ranged, 1)), _number(F.regexp_extract(low, ranged, 2))
+    """struct(chapter, page, page_from, page_to, year, quoted, named). Extracted; retrieval doesn't filter by them."""
+    ranged = r"(?i)\bpages?\s+(\d+)\s*(?:-|to)\s*(\d+)\b"
+    a, b = _number(F.regexp_extract(q, ranged, 1)), _number(F.regexp_extract(q, ranged, 2))
+    rest = F.regexp_replace(q, r"(?i)^(Who|What|Where|When|Why|How|Which|Compare|Summarize|List|Define)\b", "")
     return F.struct(
-        _number(F.regexp_extract(low, r"chapter (\d+)", 1)).alias("chapter"), F.when(a.isNull(), _number(F.regexp_extract(low, r"page (\d+)", 1))).alias("page"), F.least(a, b).alias("page_from"), F.greatest(a, b).alias("page_to"),
-        _number(F.regexp_extract(low, r"\b(1[89]\d\d|20\d\d)\b", 1)).alias("year"), F.regexp_extract_all(q, F.lit(r"[\"“]([^\"”]{2,})[\"”]"), F.lit(1)).alias("quoted"),
+        _number(F.regexp_extract(q, r"(?i)\b(?:chapter|ch\.?)\s+(\d+)\b", 1)).alias("chapter"), F.when(~q.rlike(ranged), _number(F.regexp_extract(q, r"(?i)\bpages?\s+(\d+)\b", 1))).alias("page"), F.least(a, b).alias("page_from"),
+        F.greatest(a, b).alias("page_to"), _number(F.regexp_extract(q, _YEAR, 1)).alias("year"), quoted(q).alias("quoted"), F.array_distinct(F.regexp_extract_all(rest, F.lit(_NAMES), F.lit(1))).alias("named"),
     )
 
 
 def entities(q: Column) -> Column:
-    """Distinct, in order of kind: quoted phrases, acronyms and technical tokens, capitalised names without the question word, years."""
-    body = F.regexp_replace(q, r"^(What|Which|Who|When|Where|Why|How|Is|Are|Does|Do|Did|Can|Explain|Describe|Compare|List|Define)\b", "")
-    found = F.concat(
-        F.regexp_extract_all(q, F.lit(r"[\"“]([^\"”]{2,})[\"”]"), F.lit(1)), F.regexp_extract_all(body, F.lit(r"\b([A-Z]{2,}[A-Z0-9-]*)\b"), F.lit(1)),
-        F.regexp_extract_all(body, F.lit(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)*)\b"), F.lit(1)), F.regexp_extract_all(q, F.lit(r"\b((?:18|19|20)\d\d)\b"), F.lit(1)),
-    )
-    return F.array_distinct(found)
+    """Distinct, in order of kind: quoted phrases, technical tokens, capitalised words (not a stop word), capitalised names, years."""
+    words = F.transform(F.split(q, r"(?U)\s+"), lambda x: F.regexp_replace(x, r"[^\p{L}\p{N}_+\-*]", ""))
+    named = F.filter(words, lambda x: x.rlike(r"^\p{Lu}") & ~F.lower(x).isin(*T.PLANNER_STOPS))
+    technical = r"\b(C\+\+|COVID-19|R&D|A\*|[A-Z]{2,}(?:-[A-Z0-9]+)?)\b"
+    all_of = lambda p: F.regexp_extract_all(q, F.lit(p), F.lit(1))
+    return F.array_distinct(F.concat(quoted(q), all_of(technical), named, all_of(_NAMES), all_of(_YEAR)))
+
+
+def _sides(s: Column, pattern: str, articles: bool) -> Column:
+    """The two sides, if the pattern is found and they differ."""
+    side = lambda k: _bare(F.regexp_extract(s, "(?U)" + pattern, k))
+    a, b = ((_strip(F.regexp_replace(side(k), r"(?i)^(?:the|a|an)\s+", "")) if articles else side(k)) for k in (1, 2))
+    return F.when(_has(s, pattern) & (a != "") & (b != "") & (F.lower(a) != F.lower(b)), F.array(a, b))
 
 
 def aspects(q: Column) -> Column:
     """The two sides of a comparison, articles dropped, if they differ; else an empty array."""
-    strip = lambda s: F.trim(F.regexp_replace(F.trim(s), r"(?i)^(the|a|an)\s+", ""))
-    s = F.regexp_replace(q, r"[?.!]+$", "")
-    patterns = (r"(?i)compare (.+?) (?:and|with|to) (.+)$", r"(?i)differences? between (.+?) and (.+)$", r"(?i)(?:^|is |are )(.+?) (?:versus|vs\.?|better than) (.+)$")
-    pair = F.coalesce(*[F.when(s.rlike(p), F.array(strip(F.regexp_extract(s, p, 1)), strip(F.regexp_extract(s, p, 2)))) for p in patterns])
-    return F.when(pair.isNotNull() & (F.lower(pair[0]) != F.lower(pair[1])), pair).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(*[_sides(q, p, True) for p in ASPECTS], F.array().cast("array<string>"))
 
 
 def sub_questions(q: Column) -> Column:
-    """Up to three parts, cut before a second question word or at question marks."""
-    marked = F.regexp_replace(q, r"(?i),?\s+and (?=(how|what|why|when|where|who|which)\b)", "\u0001")
-    parts = F.split(F.regexp_replace(marked, r"\?+\s*", "\u0001"), "\u0001")
-    return F.slice(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), 1, 3)
+    """Up to three parts of a question of several: cut at a second question word, else at question marks; else none."""
+    parts = F.split(q, r"(?iU),?\s*\band\s+(?:how|what|why|which|where)\b")
+    by_word = F.filter(F.transform(parts, lambda p: _strip(F.regexp_replace(_bare(p), r"(?i)^(?:and|how|what|why|which|where)\s+", ""))), lambda p: F.length(p) > 3)
+    by_mark = F.filter(F.transform(F.filter(F.split(q, r"\?"), lambda p: _strip(p) != ""), _bare), F.isnotnull)
+    none = F.array().cast("array<string>")
+    return F.when((F.size(parts) >= 2) & (F.size(by_word) >= 2), F.slice(by_word, 1, 3)).when(F.size(by_mark) >= 2, F.slice(by_mark, 1, 3)).otherwise(none)
 
 
 def plan(queries: DataFrame, column: str = "query") -> DataFrame:
     """queries with the whole plan; blank queries are left out."""
     p = queries.withColumn("normalised", normalise(F.col(column))).where("normalised is not null")
-    n = F.col("normalised")
-    p = p.withColumn("class", classify(n)).withColumn("constraints", constraints(n)).withColumn("entities", entities(n)).withColumn("aspects", aspects(n)).withColumn("parts", sub_questions(n))
+    n, none = F.col("normalised"), F.array().cast("array<string>")
+    p = p.withColumn("class", classify(n)).withColumn("constraints", constraints(n)).withColumn("entities", entities(n))
+    kind = F.col("class.type")
+    p = p.withColumn("aspects", F.when(kind == "comparison", aspects(n)).otherwise(none)).withColumn("parts", F.when(kind.isin("multi_part", "multi_page"), sub_questions(n)).otherwise(none))
     year = F.coalesce(F.concat(F.lit(" "), F.col("constraints.year").cast("string")), F.lit(""))
-    base = F.regexp_replace(n, r"[?.!]+$", "")
-    two = F.lower(n).rlike(r"\bcauses?\b") & F.lower(n).rlike(r"\b(consequences?|effects?)\b")
-    topic = F.trim(F.regexp_replace(F.regexp_extract(base, r"(?i)(?:of|for)\s+(.+)$", 1), r"^(the|a|an) ", ""))
+    again = r"(?i)(?:compare\s+(?:the\s+)?(?:[a-zA-Z\s]+\s+of\s+)?|difference\s+between\s+)(.+?)\s+(?:and|vs\.?|versus)\s+(.+?)(?:\s+in\s+|\s+during\s+|\?|\.|$)"
+    target = _bare(F.regexp_extract(n, "(?U)" + _BOTH, 1))
     searches = (
-        F.when(F.size("aspects") == 2, F.transform("aspects", lambda a: F.concat(a, year))).when((F.col("class.type") == "multi_part") & (F.size("parts") > 1), F.slice("parts", 1, 2))
-        .when(two, F.array(F.concat(F.lit("causes of "), topic), F.concat(F.lit("consequences of "), topic))).otherwise(F.array(base))
+        F.when(F.size("aspects") == 2, F.transform("aspects", lambda a: F.concat(a, year))).when((kind == "comparison") & _sides(n, again, False).isNotNull(), _sides(n, again, False))
+        .when(F.size("parts") >= 2, F.slice("parts", 1, 2))
+        .when(kind.isin("causal", "list", "factual") & (target != ""), F.array(F.concat(F.lit("causes of "), target), F.concat(F.lit("consequences of "), target))).otherwise(F.array(F.regexp_replace(n, r"[?.!]+$", "")))
     )
-    p = p.withColumn("retrieval_queries", F.slice(F.array_distinct(searches), 1, 3))
-    many = (F.size("retrieval_queries") > 1) | F.col("class.type").isin("comparison", "list", "multi_hop", "summary", "multi_part", "multi_page")
-    return p.withColumn("multiple_evidence", many).withColumn("is_numerical", F.col("class.answer") == "number")
+    found = F.slice(F.array_distinct(F.filter(F.transform(searches, _strip), lambda s: s != "")), 1, 3)
+    p = p.withColumn("retrieval_queries", found).withColumn("retrieval_queries", F.when(F.size("retrieval_queries") > 0, F.col("retrieval_queries")).otherwise(F.array(n)))
+    many = (F.size("retrieval_queries") > 1) | kind.isin("comparison", "list", "multi_hop", "summary", "multi_part", "multi_page")
+    numeric = (kind == "numerical_fact") | _has(F.lower(n), r"\b(derivative|formula|value|rate|ratio|percentage|how\s+many|how\s+much)\b")
+    return p.withColumn("multiple_evidence", many).withColumn("is_numerical", numeric)

@@ -52,3 +52,14 @@ def round_robin(rows: DataFrame, group: str, kind: str, position: str, limit: in
     first = F.min(position).over(Window.partitionBy(group, kind))
     r = rows.withColumn("_turn", turn).withColumn("_first", first)
     return r.withColumn("pick", F.row_number().over(w.orderBy("_turn", "_first", position))).where(F.col("pick") <= limit).drop("_turn", "_first")
+
+
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with their rank in this order. For results that were cut already: they go through one task."""
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def checked_score(score: Column) -> Column:
+    """The score; a missing, NaN or infinite one fails the query."""
+    s = score.cast("double")
+    return F.when(s.isNull() | F.isnan(s) | (F.abs(s) == float("inf")), F.raise_error(F.lit("scores must be finite")).cast("double")).otherwise(s)

@@ -38,11 +38,43 @@ def page_of(table: DataFrame, newest: str, tie: str, skip: int, limit: int) -> D
     return table.orderBy(F.desc_nulls_last(newest), tie).offset(skip).limit(limit)
 
 
+def count(table: DataFrame) -> int:
+    return table.count()
+
+
+def page_of_document(pages: DataFrame, document_id: object, page_number: int) -> DataFrame:
+    return pages.where((F.col("document_id") == document_id) & (F.col("page_number") == page_number)).limit(1)
+
+
+def chunks_of_document(chunks: DataFrame, document_id: object, page_number: int | None = None) -> DataFrame:
+    """In reading order; of one page only, if given."""
+    own = chunks.where(F.col("document_id") == document_id)
+    return (own if page_number is None else own.where(F.col("page_number") == page_number)).orderBy("page_number", "chunk_index")
+
+
+def embedding_of(chunks: DataFrame, key: str, value: object, column: str = "embedding") -> list[float] | None:
+    found = chunks.where(F.col(key) == value).select(column).limit(1).collect()
+    return found[0][0] if found else None
+
+
+def unembedded(chunks: DataFrame, column: str, oldest: str, tie: str, limit: int | None = None) -> DataFrame:
+    """Chunks without a vector, oldest first; at most limit of them, if given."""
+    left = chunks.where(F.col(column).isNull()).orderBy(oldest, tie)
+    return left if limit is None else left.limit(limit)
+
+
+def chunks_for_questions(stored: DataFrame, indexed: DataFrame, document_id: object, page_number: int | None = None) -> DataFrame:
+    """The stored chunks of a document (and page); those of the index where none is stored."""
+    own = chunks_of_document(stored, document_id, page_number)
+    return own if own.limit(1).count() else chunks_of_document(indexed, document_id, page_number)
+
+
 def upsert_vectors(chunks: DataFrame, new: DataFrame, key: str, column: str, dimension: int) -> DataFrame:
-    """chunks with the new vectors in place. A wrong dimension among the new ones fails before anything is written."""
-    wrong = new.where(F.col(column).isNull() | (F.size(column) != dimension)).limit(1).count()
-    if wrong:
+    """chunks with the new vectors in place. A wrong dimension or a repeated key among the new ones fails before anything is written."""
+    if new.where(F.col(column).isNull() | (F.size(column) != dimension)).limit(1).count():
         raise ValueError(f"vectors must have {dimension} dimensions")
+    if new.groupBy(key).count().where("count > 1").limit(1).count():
+        raise ValueError(f"{key} must not repeat among new vectors")
     n = new.select(F.col(key).alias("_k"), F.col(column).alias("_v"))
     return chunks.join(n, F.col(key) == F.col("_k"), "left").withColumn(column, F.coalesce("_v", column)).drop("_k", "_v")
 
@@ -76,13 +108,59 @@ def violations(documents: DataFrame, pages: DataFrame, chunks: DataFrame) -> Dat
         "document_id unique": repeat(documents, "document_id"), "page unique": repeat(pages, "document_id", "page_number"), "chunk unique": repeat(chunks, "document_id", "page_number", "chunk_index"),
         "page has document": pages.join(documents, "document_id", "left_anti"), "chunk has page": chunks.join(pages, ["document_id", "page_number"], "left_anti"), "page_number from 1": pages.where("page_number < 1"), "chunk_index from 0": chunks.where("chunk_index < 0"),
     }
-    out = None
+    found = None
     for rule, rows in checks.items():
-        n = rows.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
-        out = n if out is None else out.unionByName(n)
-    return out
+        r = rows.select(F.lit(rule).alias("rule"), F.lit(1).alias("one"))
+        found = r if found is None else found.unionByName(r)
+    rules = documents.sparkSession.createDataFrame([(r,) for r in checks], "rule string")
+    return rules.join(found.groupBy("rule").agg(F.sum("one").alias("n")), "rule", "left").select("rule", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def slots_contiguous(mapping: DataFrame, slot: str = "slot") -> DataFrame:
     """One row: whether an index' slots are 0..n-1, each once."""
     return mapping.agg(F.count("*").alias("n"), ((F.count("*") == F.count_distinct(slot)) & (F.coalesce(F.min(slot), F.lit(0)) == 0) & (F.coalesce(F.max(slot), F.lit(-1)) == F.count("*") - 1)).alias("contiguous"))
+
+
+class CorruptIndex(ValueError):
+    """A saved index whose parts don't agree."""
+
+
+def save_index(vectors: DataFrame, path: str, name: str = "index") -> None:
+    """vectors (slot, ..., embedding) as Parquet, and one JSON row about them, written last: it makes the index complete."""
+    vectors.write.mode("overwrite").parquet(f"{path}/{name}.vectors")
+    saved = vectors.sparkSession.read.parquet(f"{path}/{name}.vectors")
+    saved.agg(F.count("*").alias("total_vectors"), F.max(F.size("embedding")).alias("dimension")).coalesce(1).write.mode("overwrite").json(f"{path}/{name}.metadata")
+
+
+def load_index(spark: SparkSession, path: str, name: str = "index") -> DataFrame:
+    """The saved vectors, after checks of their dimension, their number, their slots (0 to n - 1, each once) and that none is missing."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        meta = spark.read.schema("total_vectors bigint, dimension int").json(f"{path}/{name}.metadata").first()
+        vectors = spark.read.parquet(f"{path}/{name}.vectors")
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no index {name} in {path}") from e
+    if meta is None:
+        raise CorruptIndex("the index has no metadata")
+    found = vectors.agg(F.count("*").alias("n"), F.count_if(F.col("embedding").isNull()).alias("missing"), F.count_if(F.size("embedding") != F.lit(meta.dimension or 0)).alias("wrong"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("low"), F.max("slot").alias("high")).first()
+    for bad, why in ((found.n != meta.total_vectors, "the number of vectors isn't the metadata's"), (found.wrong, "vectors of another dimension"), (found.missing, "slots without a vector"), (found.n and (found.slots != found.n or found.low != 0 or found.high != found.n - 1), "slots aren't 0 to n - 1")):
+        if bad:
+            raise CorruptIndex(why)
+    return vectors.orderBy("slot")
+
+
+def add_to_index(vectors: DataFrame, new: DataFrame) -> DataFrame:
+    """vectors (slot, vec_id, embedding) with new ones (vec_id, embedding) behind, in the order of vec_id: slots go on from the last.
+
+    Numbers are dealt by ranges of vec_id from counts of the ranges before, so no task sees all rows.
+    """
+    from pyspark.sql.window import Window
+
+    n = vectors.agg(F.coalesce(F.max("slot"), F.lit(-1)).alias("m")).first().m + 1
+    ranged = materialise(new.repartitionByRange("vec_id").withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_base")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("vec_id")) - 1
+    placed = ranged.withColumn("_own", own).join(base, "_part").withColumn("slot", (F.col("_base") + F.col("_own") + n).cast("bigint"))
+    return vectors.select("slot", "vec_id", "embedding").unionByName(placed.select("slot", "vec_id", "embedding"))
