@@ -47,11 +47,9 @@ def line_endings(s: Column) -> Column:
 
 
 def dehyphenate(s: Column) -> Column:
-    """A word broken at a line's end is joined; before a capital the hyphen stays. Twice, as one word can have two breaks."""
-    for _ in range(2):
-        s = F.regexp_replace(s, r"(\p{L}{2,})-[^\S\n]*\n[^\S\n]*(\p{Ll}{2,})", "$1$2")
-        s = F.regexp_replace(s, r"(\p{L}{2,})-[^\S\n]*\n[^\S\n]*(\p{Lu}\p{L}+)", "$1-$2")
-    return s
+    """A word broken at a line's end is joined if it goes on in lower case; before a capital the hyphen stays."""
+    s = F.regexp_replace(s, r"(?U)(\b[a-zA-Z]{2,})-[^\S\n]*\n[^\S\n]*([a-z]{2,})\b", "$1$2")
+    return F.regexp_replace(s, r"(?U)(\b[a-zA-Z]{2,})-[^\S\n]*\n[^\S\n]*([A-Z][a-zA-Z]+)\b", "$1-$2")
 
 
 def horizontal(s: Column) -> Column:
@@ -88,13 +86,6 @@ def word_count(s: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(s, F.lit("")), r"(?U)\s+"), lambda x: x != ""))
 
 
-def overlap_prefix(s: Column, n: int) -> Column:
-    """The last n characters, cut at the first space inside."""
-    tail = F.ltrim(F.right(s, F.lit(n)))
-    at = F.instr(tail, " ")
-    return F.when((at > 0) & (at < F.length(tail)), F.substring(tail, at + 1, F.length(tail))).otherwise(tail)
-
-
 def tokens(s: Column) -> Column:
     """Lower-case alphanumeric tokens in order."""
     return F.regexp_extract_all(F.lower(s), F.lit(r"([a-z0-9]+)"), F.lit(1))

@@ -16,6 +16,10 @@ from folio.functions import text as T
 _END = regex.compile(T.SENTENCE_END)
 
 
+#: Characters of overlap below which there is none.
+LEAST_OVERLAP = 20
+
+
 @dataclass(frozen=True)
 class Sizes:
     """Target and greatest characters of a chunk, overlap between neighbours."""
@@ -39,22 +43,28 @@ def sentences(s: str) -> list[str]:
 
 
 def segments(s: str, most: int) -> list[str]:
-    """A long sentence as runs of words of at most most characters; a longer word is cut."""
+    """A long sentence as runs of words of at most most characters; a longer word is cut into pieces of its own."""
     out, cur = [], ""
-    for w in s.split():
-        for piece in [w[i : i + most] for i in range(0, len(w), most)]:
-            if cur and len(cur) + 1 + len(piece) > most:
-                out.append(cur)
-                cur = piece
-            else:
-                cur = f"{cur} {piece}" if cur else piece
-    return [*out, cur] if cur else out
+    for w in s.split(" "):
+        if len(w) > most:
+            out += [cur] * bool(cur) + [w[i : i + most] for i in range(0, len(w), most)]
+            cur = ""
+        elif cur and len(cur) + 1 + len(w) > most:
+            out.append(cur)
+            cur = w
+        else:
+            cur = f"{cur} {w}" if cur else w
+    return [x for x in [*out, cur] if x.strip()]
 
 
 def prefix(s: str, n: int) -> str:
-    tail = s[-n:].lstrip() if n > 0 else ""
+    """The last n characters of a chunk, from the first word that begins among them; all of a shorter one."""
+    s = s.strip()
+    if len(s) <= n:
+        return s
+    tail = s[-n:].lstrip()
     cut = tail.find(" ")
-    return tail[cut + 1 :] if 0 <= cut < len(tail) - 1 else tail
+    return tail[cut + 1 :].strip() if 0 <= cut < len(tail) - 1 else tail
 
 
 def chunk(text: str, sizes: Sizes = Sizes()) -> list[str]:
@@ -66,15 +76,17 @@ def chunk(text: str, sizes: Sizes = Sizes()) -> list[str]:
             units += [("\n\n" if i == 0 else " ", u) for i, u in enumerate(parts)]
     out, cur = [], ""
     for sep, u in units:
-        projected = len(cur) + len(sep) + len(u) if cur else len(u)
-        if cur and not (projected <= sizes.most and (len(cur) < sizes.target or projected <= sizes.target)):
+        projected = len(cur) + len(sep) + len(u)
+        if not cur:
+            cur = u
+        elif projected <= sizes.most and (len(cur) < sizes.target or projected <= sizes.target):
+            cur += sep + u
+        else:
             out.append(cur)
             room = min(sizes.overlap, sizes.most - len(sep) - len(u))
-            lead = prefix(cur, room) if room >= 20 else ""
-            cur = f"{lead}{sep}{u}" if lead and lead != u and not u.startswith(lead) and len(lead) + len(sep) + len(u) <= sizes.most else u
-        else:
-            cur = f"{cur}{sep}{u}" if cur else u
-    return [*out, cur] if cur else out
+            lead = prefix(cur, room) if room >= LEAST_OVERLAP else ""
+            cur = f"{lead}{sep}{u}" if lead and not u.startswith(lead) and len(lead) + len(sep) + len(u) <= sizes.most else u
+    return [x for x in (c.strip() for c in [*out, cur]) if x]
 
 
 def chunk_pages(pages: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:

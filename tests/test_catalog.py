@@ -31,9 +31,9 @@ def test_oracle(spark, data, duck, name):
     assert canon(got) == canon(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_runs(spark, data, name):
-    assert len(catalog.QUERIES[name](spark, data).toPandas()) >= 0
+def test_queries_without_sql_have_models():
+    """tests/test_models.py compares these with models of them."""
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"clean_text", "split_sentences", "chunk_pages", "chunk_documents", "eligible_chunks", "answer_candidates", "greedy_neardup", "stream_ingest_idempotent"}
 
 
 def test_entry():
