@@ -94,7 +94,7 @@ def compared(keys: np.ndarray, c: np.ndarray, prior: np.ndarray) -> Model:
     shorter, short_of = np.unique((keys >> np.uint64(8)) * np.uint64(16) ^ _bytes(keys).astype(np.uint64), return_inverse=True)
     above, above_of = np.unique(_context(keys) // np.uint64(256) * np.uint64(16) ^ _bytes(keys).astype(np.uint64), return_inverse=True)
     follows = (c > 0).T @ np.maximum(prior, 0.02)
-    shared = np.bincount(short_of, follows, len(shorter))[short_of] / np.bincount(above_of, follows, len(above))[above_of]
+    shared = np.bincount(short_of, follows, len(shorter))[short_of] / np.maximum(np.bincount(above_of, follows, len(above))[above_of], 1e-12)
     p, opens = [], []
     for y in range(2):
         n = np.bincount(of, c[y], k)

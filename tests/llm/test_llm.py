@@ -726,6 +726,141 @@ def test_url_rates_of_many_labels_match_sql(spark, monkeypatch, tmp_path):
     assert Counter(want) == Counter(got) and {v[4] for v in got if v[3] is None} == {"allow", "block"}
 
 
+@pytest.fixture(scope="module")
+def odd_table(spark, tmp_path_factory):
+    """A folder of tables with null and repeated ids, empty, null and long texts, repeated rows, and columns with clashing names."""
+    d = str(tmp_path_factory.mktemp("odd"))
+    r = random.Random(31)
+    good = lambda: " ".join(r.choices(WORDS, k=60)) + "."
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    rows = [(i, good(), "en", ["a", "b", None][i % 3], 1, "k", 1.0) for i in range(60)]
+    rows += [(None, good(), "en", "a", 1, "x", 0.5), (None, good(), None, "a", 1, "y", 0.5), (None, good(), "en", None, 1, "z", 0.5)]
+    rows += [(5, good(), "en", "b", 1, "other text of five", 0.1), rows[7], (8, rows[8][1], "en", "b", 2, "same text, other columns", 0.2)]
+    rows += [(100, item + " " + item, "en", "a", 1, "bad", 0.3), (None, item.upper(), "en", "a", 1, "bad", 0.3), (6, item, "en", "a", 1, "bad", 0.3)]
+    rows += [(101, None, None, None, None, None, None), (102, "", "en", "a", 0, "", 0.0), (103, "1234 !!", "en", "a", 7, "digits", 0.0), (104, (good() + "\n") * 900, "en", "b", 1, "long", 0.9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, items string, score double").withColumnRenamed("score", "size")
+    labels = spark.createDataFrame([(i, 1, 0, "t") for i in range(60)] + [(None, 0, 1, "t"), (3, 1, 0, "t"), (4, None, None, "t")], "doc_id bigint, quality int, toxic int, text string")
+    bench = spark.createDataFrame([(1, item), (1, item), (None, None), (2, "")], "item_id bigint, text string")
+    for name, t in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        t.coalesce(2).write.parquet(f"{d}/{name}.parquet")
+        t.limit(0).write.parquet(f"{d}/empty/{name}.parquet")
+    return d, rows
+
+
+def test_stages_judge_each_row(spark, odd_table):
+    import corpus_pipeline as cp
+
+    d, rows = odd_table
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    out = {name: f(spark, docs, d) for name, f in cp.STAGES}
+    assert all(out[n].columns == docs.columns for n, _ in cp.STAGES[:-1])
+    got = {n: Counter(tuple(x) for x in out[n].collect()) for n, _ in cp.STAGES[:-1]}
+    whole = Counter(rows)
+    assert got["quality"] == whole  # one grade among the labels: nothing is rejected
+    assert got["language"] == Counter(x for x in rows if any(map(str.isalpha, x[1] or "")))
+    bad = {x for x in rows if x[5] == "bad"}
+    assert got["decontamination"] == Counter(x for x in rows if x not in bad)
+    fp = [brute_fingerprint(x[1]) for x in rows]
+    g = groups([(a, b) for a in range(len(fp)) for b in range(a) if (fp[a] ^ fp[b]).bit_count() <= 3], range(len(fp)))
+    kept = got["near_dedup"]
+    assert sum(kept.values()) == len(set(g.values())) and kept <= whole
+    for root in set(g.values()):
+        members = [rows[i] for i in g if g[i] == root]
+        mine = [x for x in kept if x in members]
+        assert len(mine) == 1 and mine[0][0] == min((m[0] for m in members if m[0] is not None), default=None)
+    mix = out["mixing"].collect()
+    assert [c for c in out["mixing"].columns[:7]] == docs.columns and "mix_size" in out["mixing"].columns
+    plans = Counter((x.doc_id, x.items, x.mix_size, x.first, x.taken) for x in mix)
+    assert Counter((i, c, n) for i, c, n, _, _ in plans) == Counter((x[0], x[5], len((x[1] or "").split())) for x in rows)
+
+
+def test_stages_and_pipeline_of_nothing(spark, odd_table):
+    import corpus_pipeline as cp
+
+    d, _ = odd_table
+    docs = spark.read.parquet(f"{d}/empty/documents.parquet")
+    assert all(f(spark, docs, f"{d}/empty").count() == 0 for _, f in cp.STAGES) and cp.run(spark, f"{d}/empty").count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, odd_table):
+    import corpus_pipeline as cp
+
+    d, rows = odd_table
+    out = cp.run(spark, d).collect()
+    left = [x for x in rows if any(map(str.isalpha, x[1] or "")) and x[5] != "bad"]
+    assert {x.items for x in out} <= {x[5] for x in left} and {"x", "y", "z", "other text of five", "long"} <= {x.items for x in out}
+
+
+def test_classifiers_of_odd_rows(spark, odd_table):
+    d, rows = odd_table
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    graded = labels.where("doc_id < 60").selectExpr("doc_id", "int(doc_id % 3) as quality", "int(doc_id % 4 = 0) as toxic", "text")
+    for got in (langid.identify(docs), quality.graded(docs, graded), toxicity.toxicity(docs, graded)):
+        assert Counter(x.doc_id for x in got.collect()) == Counter(x[0] for x in rows)
+    told = {}
+    for x in langid.identify(docs).collect():
+        told.setdefault(x.doc_id, []).append((x.lang_pred, x.score))
+    assert told[7][0] == told[7][1] and told[101] == told[102] == told[103] == [("und", 0.0)] and told[104][0][0] == "en"
+
+
+def brute_fit_scores(text, idf, lower):
+    """TF-IDF of hashed n-grams in dictionaries: what ngrams.row gives."""
+    code = [ord(c) for c in text]
+    if lower:
+        code = [ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in (min(c, 0xFFFF) for c in code)]  # beyond the first plane all are one
+    p = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D]
+    m = (1 << 32) - 1
+    c = Counter()
+    for i in range(len(code)):
+        a = code[i] * p[0] & m
+        c[(a + 1) * p[1] & m] += 1
+        if i + 1 < len(code):
+            b = code[i + 1] * p[1] & m
+            b ^= b >> 15
+            c[((a ^ b) + 2) * p[1] & m] += 1
+            if i + 2 < len(code):
+                e = code[i + 2] * p[2] & m
+                e ^= e >> 13
+                c[((a ^ b ^ e) + 3) * p[1] & m] += 1
+    slots = Counter()
+    for h, n in c.items():
+        slots[h >> (32 - ngrams.BITS)] += n
+    v = {k: math.log1p(n) * idf[k] for k, n in slots.items()}
+    size = math.sqrt(sum(x * x for x in v.values())) or 1
+    return {k: x / size for k, x in v.items()}
+
+
+def test_rows_of_ngrams_match_brute_force():
+    idf = np.random.default_rng(1).uniform(1, 3, ngrams.SIZE).astype(np.float32)
+    for text in ("", "a", "Grüße ÀÉ 😀 zz", "the cat sat on the mat " * 40):
+        for lower in (True, False):
+            at, v = ngrams.row(text, idf, lower)
+            assert dict(zip(at.tolist(), v.tolist())) == pytest.approx(brute_fit_scores(text, idf, lower), rel=1e-4)
+
+
+def test_ftrl_matches_a_plain_loop():
+    r = np.random.default_rng(4)
+    rows = [(int(r.integers(0, 3)), np.sort(r.choice(12, 4, replace=False)), r.random(4).astype(np.float32)) for _ in range(30)]
+    w, b = langid.ftrl(rows, 3, 12, epochs=2, seed=1)
+    z, n = np.zeros((3, 13)), np.zeros((3, 13))  # place 12: the bias, without the first penalty
+    weight = lambda k, j: 0.0 if abs(z[k, j]) <= (langid.L1 if j < 12 else 0) else -(z[k, j] - math.copysign(langid.L1 if j < 12 else 0, z[k, j])) / ((langid.BETA + math.sqrt(n[k, j])) / langid.ALPHA + langid.L2)
+    rng = np.random.default_rng(1)
+    for _ in range(2):
+        for i in rng.permutation(30).tolist():
+            y, at, v = rows[i]
+            x = [*zip(at.tolist(), v.tolist()), (12, 1.0)]
+            s = [sum(weight(k, j) * u for j, u in x) for k in range(3)]
+            e = [math.exp(a - max(s)) for a in s]
+            step = []
+            for k in range(3):
+                p = e[k] / sum(e) - (k == y)
+                step += [(k, j, p * u, weight(k, j)) for j, u in x]
+            for k, j, g, now in step:
+                z[k, j] += g - (math.sqrt(n[k, j] + g * g) - math.sqrt(n[k, j])) / langid.ALPHA * now
+                n[k, j] += g * g
+    assert np.allclose(w, [[weight(k, j) for j in range(12)] for k in range(3)], atol=1e-4) and np.allclose(b, [weight(k, 12) for k in range(3)], atol=1e-4)
+
+
 def test_pipeline_matches_its_stages(spark, data):
     import corpus_pipeline as cp
 
