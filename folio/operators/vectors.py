@@ -40,45 +40,58 @@ def top_k(vectors: DataFrame, query: list[float], k: int, where: Column | None =
     return v.select("vec_id", score(F.col("embedding"), q).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+def _best(ids: np.ndarray, q: np.ndarray, vid: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of each query's k best among m, itself left out; ties by vec_id. Only k candidates of a query are sorted."""
+    s = np.round(np.clip(q @ m.T, -1, 1), 6)
+    s[ids[:, None] == vid[None, :]] = -9
+    if s.shape[1] > k:
+        least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]  # the k-th score; all that tie with it stay until the ids decide
+        i, j = np.nonzero((s >= least) & (s > -9))
+    else:
+        i, j = np.nonzero(s > -9)
+    v = s[i, j]
+    order = np.lexsort((vid[j], -v, i))
+    i, j, v = i[order], j[order], v[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    keep = place < k
+    return ids[i[keep]], vid[j[keep]], v[keep]
+
+
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, *, same_label: bool = False) -> DataFrame:
     """(query_id, vec_id, score, rank): the k vectors most similar to each query, itself left out; ties by vec_id.
 
-    Queries go in broadcast blocks of BLOCK. A task multiplies a batch of vectors with a block and hands on each query's best k, so
-    what is shuffled is k rows per query and batch. same_label: only vectors of the query's label (a filter before the cut).
+    Queries go in broadcast blocks of BLOCK, one on the driver at a time. A task multiplies a batch of vectors with a block and hands on
+    each query's best k, so what is shuffled is k rows per query and batch. same_label: only vectors of the query's label (a filter
+    before the cut); a task then multiplies vectors with the queries of their label only.
     """
     spark = vectors.sparkSession
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-    blocks: list[list] = [[]]
-    for r in queries.select("vec_id", "label", "embedding").where("embedding is not null").toLocalIterator():
-        if len(blocks[-1]) >= BLOCK:
-            blocks.append([])
-        blocks[-1].append(r)
-    parts = []
-    for rows in blocks:
-        if not rows:
-            continue
-        held = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows]), np.array([-1 if r.label is None else r.label for r in rows]), np.array([r.embedding for r in rows], float)))
-
-        def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+
+    def found_by(rows: list) -> DataFrame:
+        label = np.array([-1 if r.label is None else r.label for r in rows])
+        held = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows]), label, np.array([r.embedding for r in rows], float)))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, labels, q = held.value
             for b in batches:
                 vid, lab = b.column(0).to_numpy(zero_copy_only=False), b.column(1).fill_null(-2).to_numpy(zero_copy_only=False)
                 m = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vid), -1)
-                s = np.round(np.clip(q @ m.T, -1, 1), 6)
-                s[ids[:, None] == vid[None, :]] = -9
-                if same_label:
-                    s[labels[:, None] != lab[None, :]] = -9
-                order = np.lexsort((np.broadcast_to(vid, s.shape), -s), axis=1)[:, :k]
-                best = np.take_along_axis(s, order, 1)
-                i, j = np.nonzero(best > -9)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(vid[order[i, j]]), pa.array(best[i, j])], schema=schema)
-
-        parts.append(vectors.where("embedding is not null").select("vec_id", "label", "embedding").mapInArrow(work, "query_id bigint, vec_id bigint, score double"))
-    if not parts:
+                for x in np.intersect1d(labels, lab).tolist() if same_label else [None]:
+                    own, mine = (labels == x, lab == x) if same_label else (slice(None), slice(None))
+                    i, j, v = _best(ids[own], q[own], vid[mine], m[mine], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(v)], schema=schema)
+
+        return vectors.where("embedding is not null").select("vec_id", "label", "embedding").mapInArrow(work, "query_id bigint, vec_id bigint, score double")
+
+    found, rows = None, []
+    for r in queries.select("vec_id", "label", "embedding").where("embedding is not null").toLocalIterator():
+        rows.append(r)
+        if len(rows) >= BLOCK:
+            found, rows = found_by(rows) if found is None else found.unionByName(found_by(rows)), []
+    if rows:
+        found = found_by(rows) if found is None else found.unionByName(found_by(rows))
+    if found is None:
         return spark.createDataFrame([], "query_id bigint, vec_id bigint, score double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -101,5 +114,6 @@ def dimension_audit(vectors: DataFrame, dimension: int) -> DataFrame:
 
 
 def index_metadata(vectors: DataFrame, group: str) -> DataFrame:
-    """One row: vectors, the sorted groups (documents) that they belong to, their dimension."""
-    return vectors.agg(F.count("*").alias("n_vectors"), F.concat_ws(",", F.sort_array(F.collect_set(F.col(group).cast("string")))).alias("groups"), F.max(F.size("embedding")).alias("dimension"))
+    """One row: vectors, the sorted groups (documents) that they belong to, their dimension. Groups are made distinct before they meet in a task."""
+    each = vectors.groupBy(F.col(group).cast("string").alias("g")).agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_vectors"), F.concat_ws(",", F.sort_array(F.collect_list("g"))).alias("groups"), F.max("d").alias("dimension"))

@@ -230,6 +230,37 @@ def test_streamed_chunks_are_the_batchs(spark, data):
     assert len({g[:3] for g in got}) == len(got) and {g[0] for g in got} and sum(len(model_clean(t)) for t in landed) <= sum(g[3] for g in got) * 1.01
 
 
+def test_ingestion_guards(spark, tmp_path):
+    from folio.streaming import ingest as I
+
+    land = tmp_path / "in"
+    land.mkdir()
+    for name, content in (("a.txt", b"%T one page. It ends.\fsecond"), ("b.txt", b""), ("c.txt", b"%T" + b"x" * 3000), ("d.txt", b"other"), ("e.txt", b"%T \xff\xfe"), ("f.txt", b"%T one page. It ends.\fsecond")):
+        (land / name).write_bytes(content)
+    go = lambda: I.ingest(spark, f"file://{land}", f"file://{tmp_path}/out", f"file://{tmp_path}/cp", most_bytes=2000, magic=b"%T", embed=lambda t: F.array(F.length(t).cast("float")))
+    go()
+    # Spark's file source leaves empty files out
+    status = sorted((r.status, r.stage, (r.error or "")[:10]) for r in I.committed(spark, f"file://{tmp_path}/out", "status").collect())
+    assert status == [("failed", "ingestion", "too_large"), ("failed", "ingestion", "unreadable"), ("failed", "ingestion", "wrong_type"), ("processed", "completed", "")]
+    chunks = I.committed(spark, f"file://{tmp_path}/out", "chunks").collect()
+    assert len(chunks) == 2 and all(c.embedding == [float(c.char_count)] for c in chunks)
+    (land / "g.txt").write_bytes(b"%T new")
+    go()
+    assert I.committed(spark, f"file://{tmp_path}/out", "chunks").count() == 3
+    tries = []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("away")
+
+    assert I.with_retries(flaky, wait=0) == 2
+    with pytest.raises(ValueError):
+        I.with_retries(lambda: int("x"), wait=0)
+    with pytest.raises(OSError):
+        I.with_retries(lambda: open("/none/there"), most=1, wait=0)
+
+
 def test_searches_are_checked(spark):
     v = spark.createDataFrame([(i, f"d{i % 2}", [0.1, i / 100]) for i in range(30)], "vec_id bigint, document_id string, embedding array<float>")
     r = search.Registry()
