@@ -53,8 +53,7 @@ def contextual(question: Column, fragment: Column) -> Column:
 
 def relevant(claim: Column, evidence: Column) -> Column:
     """Whether any term of the claim, longer than two characters, occurs in the evidence; a claim without such is relevant."""
-    t, low = T.terms(claim, T.GROUNDING_STOPS, 2), F.lower(evidence)
-    return (F.size(t) == 0) | F.exists(t, lambda x: F.contains(low, x))
+    return view_scores(claim_view(claim), evidence_view(evidence))["relevant"]
 
 
 def contains_fragment(fragment: Column, evidence: Column) -> Column:
@@ -68,16 +67,39 @@ def contains_fragment(fragment: Column, evidence: Column) -> Column:
 DENIALS = ("not", "no", "never", "none", "nor", "neither", "cannot", "without")
 
 
+def claim_view(claim: Column) -> Column:
+    """struct(tokens, denies, terms): what the stand-in scorers and the relevance test ask of a claim, once, before it meets evidence."""
+    return F.struct(T.content_tokens(claim).alias("tokens"), _denies(claim).alias("denies"), T.terms(claim, T.GROUNDING_STOPS, 2).alias("terms"))
+
+
+def evidence_view(evidence: Column) -> Column:
+    """struct(tokens, denies, low) of a piece of evidence."""
+    return F.struct(T.content_tokens(evidence).alias("tokens"), _denies(evidence).alias("denies"), F.lower(evidence).alias("low"))
+
+
+def _denies(s: Column) -> Column:
+    return F.arrays_overlap(T.tokens(s), T.among(DENIALS))
+
+
+def view_scores(claim: Column, evidence: Column) -> dict[str, Column]:
+    """entailment, contradiction and relevant of a claim_view and an evidence_view. Stand-in scores, not a language model's.
+
+    Entailment: the share of the claim's content tokens that the evidence has. Contradiction: that share if just one of the two denies.
+    """
+    t = claim["tokens"]
+    share = F.when(F.size(t) == 0, F.lit(0.0)).otherwise(F.round(F.size(F.array_intersect(t, evidence["tokens"])) / F.greatest(F.size(t), F.lit(1)), 6))
+    return {
+        "entailment": share, "contradiction": F.when(claim["denies"] != evidence["denies"], share).otherwise(F.lit(0.0)),
+        "relevant": (F.size(claim["terms"]) == 0) | F.exists(claim["terms"], lambda x: F.contains(evidence["low"], x)),
+    }
+
+
 def lexical_entailment(claim: Column, evidence: Column) -> Column:
-    """Stand-in scorer: the share of the claim's content tokens that the evidence has. Not a language model's score."""
-    t = T.content_tokens(claim)
-    return F.when(F.size(t) == 0, F.lit(0.0)).otherwise(F.round(F.size(F.array_intersect(t, T.content_tokens(evidence))) / F.greatest(F.size(t), F.lit(1)), 6))
+    return view_scores(claim_view(claim), evidence_view(evidence))["entailment"]
 
 
 def lexical_contradiction(claim: Column, evidence: Column) -> Column:
-    """Stand-in scorer: the entailment's share if just one of claim and evidence denies, else 0. Not a language model's score."""
-    denies = lambda s: F.arrays_overlap(T.tokens(s), T.among(DENIALS))
-    return F.when(denies(claim) != denies(evidence), lexical_entailment(claim, evidence)).otherwise(F.lit(0.0))
+    return view_scores(claim_view(claim), evidence_view(evidence))["contradiction"]
 
 
 def merged_scores(raw: Column, contextual_scores: Column, held: Column) -> Column:

@@ -374,10 +374,9 @@ def claim_forms(spark, d):
 
 def _claim_pairs(spark, d) -> DataFrame:
     ev = read(spark, d, "conversations").where("role = 'user'").select("conv_id", F.col("turn").alias("evidence_rank"), F.col("text").alias("evidence"))
-    top = ev.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("evidence_rank"))).where("r <= 5")
-    c = _claims(spark, d).withColumn("conv_id", (F.col("answer_id") / 100).cast("bigint"))
-    e = c.join(top, "conv_id").withColumns({"entailment": grounding.lexical_entailment(F.col("claim"), F.col("evidence")), "contradiction": grounding.lexical_contradiction(F.col("claim"), F.col("evidence"))})
-    return e.select("answer_id", "conv_id", "claim_index", "evidence_rank", "entailment", "contradiction", grounding.relevant(F.col("claim"), F.col("evidence")).alias("relevant"))
+    top = ev.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("evidence_rank"))).where("r <= 5").select("conv_id", "evidence_rank", grounding.evidence_view(F.col("evidence")).alias("e"))
+    c = _claims(spark, d).select("answer_id", "claim_index", (F.col("answer_id") / 100).cast("bigint").alias("conv_id"), grounding.claim_view(F.col("claim")).alias("c"))
+    return c.join(top, "conv_id").select("answer_id", "conv_id", "claim_index", "evidence_rank", *[v.alias(n) for n, v in grounding.view_scores(F.col("c"), F.col("e")).items()])
 
 
 _list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
@@ -664,8 +663,7 @@ SELECT doc_id, CAST(len(w) AS INTEGER) AS words, CAST(len(list_filter(list_trans
 round(len(list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z][A-Za-z''\-]{{2,}}[.,;:]?$'))) / greatest(len(w), 1), 6) AS alpha, round(len(list_filter(c, lambda x: length(x) > 5)) / greatest(len(c), 1), 6) AS density,
 CAST(len(list_distinct(list_transform(regexp_extract_all(text, '(?i)\b({questions.PUBLISHING})\b', 1), lambda x: lower(x)))) AS INTEGER) AS publishing FROM t""")
 def eligibility_features(spark, d):
-    f = read(spark, d, "documents").select("doc_id", questions.features(F.col("text")).alias("f"))
-    return f.select("doc_id", "f.words", "f.names", "f.alpha", "f.density", "f.publishing")
+    return questions.measured(read(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "words", "names", "alpha", "density", "publishing")
 
 
 @query()
