@@ -89,6 +89,13 @@ def keep_rows(docs: DataFrame, decide: Callable[[], Callable[[list[str | None]],
     return docs.mapInArrow(work, docs.schema)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few of their values are Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def chunks(n: int, size: int) -> Iterator[slice]:
     for at in range(0, n, size):
         yield slice(at, min(n, at + size))
