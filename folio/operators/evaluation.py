@@ -164,9 +164,48 @@ def grounded_results(answers: DataFrame) -> DataFrame:
     share = lambda p, q, none: F.when(q > 0, F.round(p / F.greatest(q, F.lit(1)), 4)).otherwise(none)
     isolated = F.when(n == 0, 1.0).otherwise(0.0)
     return r.select(
-        "query_id", "answerable", "refused", (c("answerable") != c("refused")).alias("refusal_correct"), (c("answerable") & c("refused")).alias("false_refusal"), (~c("answerable") & ~c("refused")).alias("incorrect_answer"), "f1",
+        "query_id", "answerable", "status", n.alias("citations"), "refused", (c("answerable") != c("refused")).alias("refusal_correct"), (c("answerable") & c("refused")).alias("false_refusal"), (~c("answerable") & ~c("refused")).alias("incorrect_answer"), "f1",
         F.when(c("answerable"), known & (c("f1") >= RIGHT_F1)).otherwise(c("refused")).alias("correct"),
         (c("answerable") & ~c("refused") & F.coalesce(c("status").isin("grounded", "partially_grounded"), F.lit(False)) & (c("contradicted") == 0) & (c("supported") > 0)).alias("success"),
         F.when(c("claims") > 0, F.round(c("supported") / F.greatest("claims", F.lit(1)), 4)).when(c("answerable"), 0.0).otherwise(1.0).alias("support_rate"),
         F.when(c("answerable"), share(valid, n, 0.0)).otherwise(isolated).alias("citation_precision"), F.when(c("answerable"), share(F.size(F.array_intersect("cited", "relevant")), m, 1.0)).otherwise(isolated).alias("citation_recall"),
     )
+
+
+def safety_marks(results: DataFrame) -> DataFrame:
+    """grounded_results with leaked (citations of an unanswerable question) and verdict: PASS, WARNING or FAIL."""
+    c = F.col
+    leaked = ~c("answerable") & (c("citations") > 0)
+    known = F.when(c("false_refusal"), "WARNING").when(F.coalesce(c("status").isin("grounded", "partially_grounded"), F.lit(False)), "PASS").otherwise("WARNING")
+    unknown = F.when(c("refused") & ~leaked, "PASS").when(c("incorrect_answer"), "FAIL").otherwise("WARNING")
+    return results.withColumn("leaked", leaked).withColumn("verdict", F.when(c("answerable"), known).otherwise(unknown))
+
+
+def safety_summary(marks: DataFrame) -> DataFrame:
+    """One row on safety_marks: precision of refusals, rates of false refusals, wrong answers, safe refusals and questions without leaks, overall status."""
+    c = F.col
+    n = lambda e: F.count_if(e)
+    g = marks.agg(F.count("*").alias("queries"), n(c("answerable")).alias("a"), n(~c("answerable")).alias("u"), n(~c("answerable") & c("refused")).alias("r"), n(c("false_refusal")).alias("f"), n(c("incorrect_answer")).alias("w"), n(c("leaked")).alias("l"), n(~c("answerable") & c("refused") & ~c("leaked")).alias("s"))
+    share = lambda a, b, none: F.when(c(b) > 0, c(a) / F.greatest(c(b), F.lit(1))).otherwise(none)
+    out = g.select(
+        "queries", F.round(share("r", "u", 1.0), 4).alias("refusal_precision"), F.round(share("f", "a", 0.0), 4).alias("false_refusal_rate"), F.round(share("w", "u", 0.0), 4).alias("incorrect_rate"), F.round(share("s", "u", 1.0), 4).alias("safe_refusal_rate"),
+        F.round(1 - share("l", "u", 0.0), 4).alias("no_leak_rate"), "w", share("r", "u", 1.0).alias("p"), share("f", "a", 0.0).alias("o"),
+    )
+    return out.withColumn("status", safety(F.col("w"), F.col("p"), F.col("o"))).drop("w", "p", "o")
+
+
+def multipage_synthesis(asked: DataFrame) -> DataFrame:
+    """asked (query_id, required, retrieved, cited: page arrays, refused, support_rate, unsupported, contradicted) -> coverages and verdict.
+
+    Without required pages all of them count as found and cited.
+    """
+    c = F.col
+    none = F.size("required") == 0
+    covered = lambda pages: F.when(none, 1.0).otherwise(F.round(F.size(F.array_intersect("required", pages)) / F.greatest(F.size(F.array_distinct("required")), F.lit(1)), 4))
+    holds = lambda pages: F.size(F.array_except("required", pages)) == 0
+    good = ~c("refused") & (c("support_rate") >= 0.75) & (c("contradicted") == 0)
+    r = asked.select(
+        "query_id", holds("retrieved").alias("all_retrieved"), covered("retrieved").alias("coverage"), good.alias("synthesis"), ((c("unsupported") > 0) | (c("contradicted") > 0)).alias("unsupported_information"), holds("cited").alias("all_cited"), covered("cited").alias("citation_coverage"),
+    )
+    fine = c("all_retrieved") & c("synthesis")
+    return r.withColumn("verdict", F.when(fine & ~c("unsupported_information") & c("all_cited"), "PASS").when(fine, "WARNING").otherwise("FAIL"))

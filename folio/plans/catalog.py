@@ -458,15 +458,14 @@ b AS (SELECT x.*, coalesce(r.overall, 'empty') AS status, coalesce(r.claims, 0)
 f AS (SELECT *, status IN ('insufficient_evidence', 'ungrounded', 'contradicted') OR coalesce(answer, '') = '' OR regexp_matches(lower(coalesce(answer, '')), 'cannot answer|insufficient evidence|not provided|not mentioned|no evidence|unanswerable|cannot determine|out of scope') OR (NOT answerable AND supported = 0) AS refused,
   list_sum(list_transform(list_distinct(ax), lambda t: least(len(list_filter(ax, lambda v: v = t)), len(list_filter(ex, lambda v: v = t))))) AS common FROM b),
 g AS (SELECT *, round(CASE WHEN NOT answerable THEN CASE WHEN refused THEN 1.0 ELSE 0.0 END WHEN coalesce(expected, '') <> '' AND NOT refused AND coalesce(common, 0) > 0 THEN 2.0 * common / (len(ax) + len(ex)) ELSE 0.0 END, 4) AS f1 FROM f)
-SELECT query_id, answerable, refused, answerable <> refused AS refusal_correct, answerable AND refused AS false_refusal, NOT answerable AND NOT refused AS incorrect_answer, f1,
+SELECT query_id, answerable, status, CAST(len(cited) AS INTEGER) AS citations, refused, answerable <> refused AS refusal_correct, answerable AND refused AS false_refusal, NOT answerable AND NOT refused AS incorrect_answer, f1,
   CASE WHEN answerable THEN coalesce(expected, '') <> '' AND NOT refused AND f1 >= 0.35 ELSE refused END AS correct, answerable AND NOT refused AND status = 'grounded' AND contradicted = 0 AND supported > 0 AS success,
   CASE WHEN claims > 0 THEN round(supported / claims, 4) WHEN answerable THEN 0.0 ELSE 1.0 END AS support_rate,
   CASE WHEN NOT answerable THEN CASE WHEN len(cited) = 0 THEN 1.0 ELSE 0.0 END WHEN len(cited) = 0 THEN 0.0 WHEN len(relevant) = 0 THEN 1.0 ELSE round(len(list_intersect(cited, relevant)) / len(cited), 4) END AS citation_precision,
   CASE WHEN NOT answerable THEN CASE WHEN len(cited) = 0 THEN 1.0 ELSE 0.0 END WHEN len(relevant) = 0 THEN 1.0 ELSE round(len(list_intersect(cited, relevant)) / len(relevant), 4) END AS citation_recall FROM g"""
 
 
-@query(f"WITH {STATUS}, {REPORT}, {GROUNDED_MARKS}")
-def grounding_evaluation(spark, d):
+def _grounded_results(spark, d) -> DataFrame:
     c = read(spark, d, "conversations")
     x = c.withColumn("expected", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("role = 'assistant'").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("answer"), "expected")
     p = store.materialise(_claim_pairs(spark, d))
@@ -478,6 +477,35 @@ def grounding_evaluation(spark, d):
     return evaluation.grounded_results(j)
 
 
+@query(f"WITH {STATUS}, {REPORT}, {GROUNDED_MARKS}")
+def grounding_evaluation(spark, d):
+    return _grounded_results(spark, d)
+
+
+@query(f"""WITH m AS (WITH {STATUS}, {REPORT}, {GROUNDED_MARKS}), g AS (SELECT count(*) AS queries, count(*) FILTER (answerable) AS a, count(*) FILTER (NOT answerable) AS u, count(*) FILTER (NOT answerable AND refused) AS r, count(*) FILTER (false_refusal) AS f, count(*) FILTER (incorrect_answer) AS w, count(*) FILTER (NOT answerable AND citations > 0) AS l,
+  count(*) FILTER (NOT answerable AND refused AND citations = 0) AS s FROM m)
+SELECT queries, round(r / u, 4) AS refusal_precision, round(f / a, 4) AS false_refusal_rate, round(w / u, 4) AS incorrect_rate, round(s / u, 4) AS safe_refusal_rate, round(1 - l / u, 4) AS no_leak_rate, CASE WHEN w > 0 THEN 'FAIL' WHEN r / u < 1 OR f / a > 0.1 THEN 'WARNING' ELSE 'PASS' END AS status FROM g""")
+def safety_evaluation(spark, d):
+    return evaluation.safety_summary(evaluation.safety_marks(_grounded_results(spark, d)))
+
+
+@query(f"""WITH m AS (WITH {STATUS}, {REPORT}, {GROUNDED_MARKS}) SELECT query_id, CASE WHEN answerable THEN CASE WHEN NOT false_refusal AND status = 'grounded' THEN 'PASS' ELSE 'WARNING' END WHEN refused AND citations = 0 THEN 'PASS' WHEN incorrect_answer THEN 'FAIL' ELSE 'WARNING' END AS verdict, NOT answerable AND citations > 0 AS leaked FROM m""")
+def safety_verdicts(spark, d):
+    return evaluation.safety_marks(_grounded_results(spark, d)).select("query_id", "verdict", "leaked")
+
+
+@query("""WITH g AS (SELECT conv_id AS query_id, coalesce(list(DISTINCT turn // 2) FILTER (role = 'user'), []) AS required, coalesce(list(DISTINCT turn // 2) FILTER (turn < 6), []) AS retrieved, coalesce(list(DISTINCT turn // 2) FILTER (role = 'assistant'), []) AS cited, count(*) AS n FROM conversations GROUP BY conv_id),
+r AS (SELECT query_id, len(list_filter(required, lambda x: NOT list_contains(retrieved, x))) = 0 AS all_retrieved, CASE WHEN len(required) = 0 THEN 1.0 ELSE round(len(list_intersect(required, retrieved)) / len(required), 4) END AS coverage, n % 5 <> 0 AND (n % 4) / 4.0 >= 0.25 AND query_id % 6 <> 0 AS synthesis,
+  query_id % 3 = 0 OR query_id % 6 = 0 AS unsupported_information, len(list_filter(required, lambda x: NOT list_contains(cited, x))) = 0 AS all_cited, CASE WHEN len(required) = 0 THEN 1.0 ELSE round(len(list_intersect(required, cited)) / len(required), 4) END AS citation_coverage FROM g)
+SELECT *, CASE WHEN all_retrieved AND synthesis AND NOT unsupported_information AND all_cited THEN 'PASS' WHEN all_retrieved AND synthesis THEN 'WARNING' ELSE 'FAIL' END AS verdict FROM r""")
+def multipage_synthesis(spark, d):
+    page = F.floor(F.col("turn") / 2)
+    some = lambda e, n: F.collect_set(F.when(e, page)).alias(n)
+    g = read(spark, d, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(some(F.col("role") == "user", "required"), some(F.col("turn") < 6, "retrieved"), some(F.col("role") == "assistant", "cited"), F.count("*").alias("n"))
+    q, n = F.col("query_id"), F.col("n")
+    return evaluation.multipage_synthesis(g.withColumns({"refused": n % 5 == 0, "support_rate": (n % 4) / 4.0 + 0.5, "unsupported": F.when(q % 3 == 0, 1).otherwise(0), "contradicted": F.when(q % 6 == 0, 1).otherwise(0)}))
+
+
 @query(f"""WITH t AS (SELECT item_id, text, list_filter({TOKENS.format(c='text')}, lambda x: length(x) > 4) AS w FROM benchmark), p AS (SELECT item_id, text, w[1] AS a, w[-1] AS b, substr(text, 1, length(text) // 2) AS half FROM t WHERE len(w) > 0),
 m AS (SELECT *, a = b OR (contains(lower(half), a) AND contains(lower(half), b)) AS first_ok, contains(lower(text), a) AND contains(lower(text), b) AS second_ok, item_id % 4 = 0 AS no_second FROM p)
 SELECT item_id, CASE WHEN first_ok THEN 'complete' WHEN no_second THEN 'incomplete_attempt_1' WHEN second_ok THEN 'complete' ELSE 'incomplete_after_retry' END AS completeness, NOT first_ok AS regenerated, CASE WHEN first_ok OR no_second THEN length(trim(half)) ELSE length(trim(text)) END AS chars FROM m""")
