@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontam, edit_embed, html_cut, langid, lm_score, mixing, quality, simhash, toxicity, url_tree
+from folio.llm import collocations, decontam, edit_embed, exact_dedup, html_cut, infill, langid, lm_score, mixing, quality, simhash, toxicity, url_tree
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_url_filters(spark: SparkSession, d: str) -> DataFrame:
     return url_tree.judge(_read(spark, d, "pages")).drop("template")
 
 
+def op11_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.collocations(_read(spark, d, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return exact_dedup.deduplicate(spark, f"{d}/documents.parquet")
+
+
+def op13_infill(spark: SparkSession, d: str) -> DataFrame:
+    return infill.digests(_read(spark, d, "documents"))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,7 +73,7 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_html_extraction, op3_decontamination, op4_lm_scoring, op5_language_id, op6_mixing, op7_fingerprints, op8_toxicity, op9_quality, op10_url_filters, pipeline)
+    own = (op1_simhash, op2_html_extraction, op3_decontamination, op4_lm_scoring, op5_language_id, op6_mixing, op7_fingerprints, op8_toxicity, op9_quality, op10_url_filters, op11_collocations, op12_exact_dedup, op13_infill, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -87,6 +99,43 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+#: op11 in SQL: every phrase of every piece is written out and counted.
+OP11_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+words AS (SELECT lang, w FROM w WHERE len(w) > 0),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM words, (VALUES (1), (2), (3)) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(i)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 10),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT lang, k, phrase, a, c, array_to_string(w[: c], ' ') AS head, array_to_string(w[c + 1 :], ' ') AS rest FROM cand, unnest(range(1, k)) AS t(c)),
+s AS (SELECT cuts.lang, cuts.k, cuts.phrase, a, c, x.f AS l, y.f AS r, CAST((1000000 * CAST(a AS HUGEINT) * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = cuts.head JOIN f y ON y.lang = cuts.lang AND y.phrase = cuts.rest),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS o FROM s),
+longer AS (SELECT lang, sub, max(a) AS above FROM (SELECT lang, a, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS sub FROM cand WHERE k = 3) GROUP BY lang, sub),
+kept AS (SELECT best.lang, phrase, a, l, r, score FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.sub = phrase AND k = 2 WHERE o = 1 AND NOT coalesce(100 * above >= 50 * a, false)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+OP12_SQL = """
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
+g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)
+"""
+
+#: op13 in SQL: lines as a list, cut by slices. The text is rebuilt by splitting the output at the sentinels.
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS w, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT *, len(w) AS n, CAST('0x' || x[1:8] AS BIGINT) % (len(w) + 1) AS c1, CAST('0x' || x[9:16] AS BIGINT) % (len(w) + 1) AS c2, CAST('0x' || x[17:24] AS BIGINT) % 100 AS h3, CAST('0x' || x[25:32] AS BIGINT) % 100 AS h4 FROM d),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 100 THEN 'plain' WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(w[1 : least(c1, c2)], '') AS p, array_to_string(w[least(c1, c2) + 1 : greatest(c1, c2)], '') AS m, array_to_string(w[greatest(c1, c2) + 1 :], '') AS s FROM h),
+o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output FROM f),
+r AS (SELECT *, regexp_split_to_array(output, '<[PSM]>') AS part FROM o)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256(output) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN part[2] || part[4] || part[3] ELSE part[3] || part[4] || part[2] END) AS restored_sha256 FROM r
+"""
+
+
 def _op10_sql() -> str:
     """op10 in SQL: the trees' levels one after another."""
     rules = sorted(url_tree.RULES, key=lambda r: -len(r[0] + r[1]))
@@ -129,4 +178,4 @@ FROM p JOIN tree ON tree.host = p.host AND tree.path = p.path JOIN rates ON rate
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op10_url_filters": _op10_sql()}
+    return {"op3_decontamination": OP3_SQL, "op10_url_filters": _op10_sql(), "op11_collocations": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_infill": OP13_SQL}
