@@ -2,8 +2,8 @@
 
 Each n-gram belongs to the rarest of its words, its pivot. A task rewrites texts to fragments: a pivot with the words beside it that are
 more frequent than it, up to the phrase's length; a rarer word ends the fragment, since phrases with it belong to that word. Equal
-fragments are counted together before they are shuffled to their pivot, where the n-grams that hold the pivot are mined. Each occurrence
-of an n-gram is mined from its leftmost pivot, so it is counted once.
+fragments are counted together and shuffled to their pivot, all of a pivot's in one row of a task; there the n-grams that hold the pivot
+are mined, a few pivots at a time. Each occurrence of an n-gram is mined from its leftmost pivot, so it is counted once.
 
 Rarity is read from a table of 2^BITS hashed counts, the only thing that is broadcast: 8 MB at any corpus. A bucket's count is never below
 a word's own, so a word left out by it is too rare for sure; words that share a bucket only change where an n-gram is counted.
@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyarrow import csv
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +27,9 @@ from folio.llm.common import as_batch, sliced, stash, table
 LEAST, TOP, SUBSUMED = 10, 2000, 50
 BITS = 20
 #: Words that a task rewrites at once; it joins texts of four times as many bytes before.
-WORDS = 1 << 21
-#: A pivot with more than this share of all words is split in proportion.
-SPLIT = 1 << 10
+WORDS = 1 << 19
+#: A pivot is split into parts of about so many occurrences; bytes of fragments that are mined at once, whole parts at least.
+PART, BLOCK = 1 << 20, 1 << 23
 #: Parts in which a language's phrases are ranked before all are.
 PARTS = 64
 _KIND = np.zeros(256, np.uint8)
@@ -50,10 +52,10 @@ class Words:
         coded = pa.Array.from_buffers(pa.large_binary(), high - low, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         lang = lang_of[row[low:high]].astype(np.int64)
         pairs, self.code = np.unique(coded.indices.to_numpy().astype(np.int64) * len(langs) + lang, return_inverse=True)
-        self.word = coded.dictionary.take(pa.array(pairs // len(langs))).cast(pa.large_string())
+        self.word = coded.dictionary.take(pa.array(pairs // len(langs))).cast(pa.string())
         self.lang = pairs % len(langs)
         heads = [x.encode() + b"\0" for x in langs]
-        self.hash = np.array([xxhash.xxh64_intdigest(heads[g] + w) for g, w in zip(self.lang.tolist(), self.word.cast(pa.large_binary()).to_pylist(), strict=True)], np.uint64)
+        self.hash = np.array([xxhash.xxh64_intdigest(heads[g] + w) for g, w in zip(self.lang.tolist(), self.word.cast(pa.binary()).to_pylist(), strict=True)], np.uint64)
         self.piece = piece[low:high]
 
     def bucket(self, counts: np.ndarray) -> np.ndarray:
@@ -112,7 +114,7 @@ def count_words(texts: DataFrame, words: int = WORDS, bits: int = BITS) -> DataF
 
 
 def fragments_of(w: Words, counts: np.ndarray, least: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Codes (two words before the pivot, one before, the pivot, one after, two after; -1: none) of distinct fragments, and their counts."""
+    """Codes (two words before the pivot, one before, the pivot, one after, two after; -1: none) of distinct fragments by pivot, and their counts."""
     count = counts[w.bucket(counts)]
     order = np.lexsort((w.hash, count))
     rank = np.empty(len(order), np.int64)
@@ -135,34 +137,110 @@ def fragments_of(w: Words, counts: np.ndarray, least: int) -> tuple[list[np.ndar
     return [x[lead] for x in (l2, l1, p, r1, r2)], np.diff(np.append(new, len(by)))
 
 
-def fragments(texts: DataFrame, counts: np.ndarray, least: int, words: int = WORDS, split: int = SPLIT) -> DataFrame:
-    """(lang, l2, l1, p, r1, r2, n, parts, part): texts rewritten for each pivot; parts: into how many the pivot is split."""
-    names = ["l2", "l1", "p", "r1", "r2"]
-    schema = pa.schema([("lang", pa.string()), *((x, pa.string()) for x in names), ("n", pa.int64()), ("parts", pa.int32()), ("part", pa.int32())])
-    shared, total = texts.sparkSession.sparkContext.broadcast(counts), max(1, int(counts.sum()))
+def fragments(texts: DataFrame, counts: np.ndarray, least: int, words: int = WORDS, size: int = PART) -> DataFrame:
+    """(key, lang, p, whole, lines): a pivot's fragments in a task. Lines hold the words before and after (empty: none) and a count, apart by
+    tabs, which no word has. key: the pivot's hash, and the part's, if it is split; whole: it isn't."""
+    schema = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("p", pa.string()), ("whole", pa.bool_()), ("lines", pa.string())])
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        counts, turn = shared.value, TaskContext.get().partitionId()
         for w, langs in words_of(batches, words):
             codes, n = fragments_of(w, counts, least)
-            parts = (1 + counts[w.bucket(counts)[codes[2]]] * split // total).astype(np.int32)
-            part = (np.arange(len(n)) % parts).astype(np.int32)
-            names_of = pa.array(langs, pa.string())
-            for at in range(0, len(n), 1 << 16):
-                cut = slice(at, at + (1 << 16))
-                columns = {x: w.word.take(pa.array(c[cut], mask=c[cut] < 0)).cast(pa.string()) for x, c in zip(names, codes, strict=True)}
-                yield as_batch(schema, lang=names_of.take(pa.array(w.lang[codes[2][cut]])), **columns, n=n[cut], parts=parts[cut], part=part[cut])
-
-    return texts.mapInArrow(work, "lang string, l2 string, l1 string, p string, r1 string, r2 string, n bigint, parts int, part int")
+            p = codes[2]
+            if not len(p):
+                continue
+            said = [pc.fill_null(w.word.take(pa.array(c, mask=c < 0)), "") for c in codes[:2] + codes[3:]]
+            lines = pc.binary_join_element_wise(*said, pa.array(n).cast(pa.string()), "\t")
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(p) != 0]))
+            blocks = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(p)).astype(np.int32)), lines), "\n")
+            own = p[starts]
+            parts = 1 + counts[w.bucket(counts)[own]] // size
+            turn += 1
+            key = (w.hash[own] + (turn % parts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            names = pa.array(langs, pa.string())
+            for at in range(0, len(own), 1 << 12):
+                cut = slice(at, at + (1 << 12))
+                yield as_batch(schema, key=key[cut], lang=names.take(pa.array(w.lang[own[cut]])), p=w.word.take(pa.array(own[cut])), whole=parts[cut] == 1, lines=blocks[cut])
+
+    return texts.mapInArrow(work, "key bigint, lang string, p string, whole boolean, lines string")
+
+
+def _parsed(lines: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
+    """The four words of each line of all, and the counts."""
+    head = b"-\t-\t-\t-\t0\n"  # a byte order mark would be taken off the first line
+    raw = pa.BufferReader(head + b"\n".join(lines.cast(pa.binary()).to_pylist()) + b"\n")
+    names = ["l2", "l1", "r1", "r2", "n"]
+    t = csv.read_csv(
+        raw, csv.ReadOptions(column_names=names, use_threads=False, block_size=1 << 26), csv.ParseOptions(delimiter="\t", quote_char=False, double_quote=False, ignore_empty_lines=False),
+        csv.ConvertOptions(column_types={x: pa.int64() if x == "n" else pa.string() for x in names}, null_values=[], strings_can_be_null=False),
+    ).slice(1)
+    return [t.column(x) for x in names[:4]], t.column("n").to_numpy()
+
+
+def mine(rows: pa.Table, least: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """(langs, phrases, counts) of the n-grams that fragments' pivots own; of whole pivots only those of count least or more."""
+    pivots = pc.binary_join_element_wise(rows.column("lang"), rows.column("p"), "\t").combine_chunks().dictionary_encode()
+    whole = np.zeros(len(pivots.dictionary), bool)
+    whole[pivots.indices.to_numpy()] = rows.column("whole").to_numpy()
+    words, n = _parsed(rows.column("lines").combine_chunks())
+    pivot = np.repeat(pivots.indices.to_numpy().astype(np.int64), pc.add(pc.count_substring(rows.column("lines"), "\n"), 1).to_numpy())
+    coded = pa.chunked_array([c for x in words for c in x.chunks]).combine_chunks().dictionary_encode()
+    known = coded.dictionary
+    empty = pc.index(known, "").as_py()
+    codes = coded.indices.to_numpy().astype(np.int64).reshape(4, -1)
+    l2, l1, r1, r2 = np.where(codes == empty, -1, codes)
+    names = pivots.dictionary.to_pylist()
+    size = len(known) + 1
+    langs, phrases, counts = [], [], []
+    none = np.full(len(n), -1)
+    for a, b, order in ((none, none, "{p}"), (l1, none, "{a} {p}"), (none, r1, "{p} {b}"), (l2, l1, "{a} {b} {p}"), (l1, r1, "{a} {p} {b}"), (r1, r2, "{p} {a} {b}")):
+        here = ((a >= 0) if "{a}" in order else True) & ((b >= 0) if "{b}" in order else np.ones(len(n), bool))
+        gram, at = np.unique((pivot[here] * size + a[here] + 1) * size + b[here] + 1, return_inverse=True)
+        f = np.bincount(at, weights=n[here], minlength=len(gram)).astype(np.int64)
+        keep = (f >= least) | ~whole[gram // (size * size)]
+        gram = gram[keep]
+        text = known.take(pa.array(gram // size % size - 1, mask=gram // size % size == 0)).to_pylist(), known.take(pa.array(gram % size - 1, mask=gram % size == 0)).to_pylist()
+        for i, x, y in zip((gram // (size * size)).tolist(), *text, strict=True):
+            lang, p = names[i].rsplit("\t", 1)
+            langs.append(lang)
+            phrases.append(order.format(p=p, a=x, b=y))
+        counts.append(f[keep])
+    return pa.array(langs, pa.string()), pa.array(phrases, pa.string()), np.concatenate(counts)
 
 
-def mined(frags: DataFrame, least: int) -> DataFrame:
+def mined(frags: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
     """(lang, phrase, f) of all phrases of 1 to 3 words with f >= least. A pivot's n-grams are mined where its fragments are; those of a
     pivot in several parts are summed after that, so only whole pivots' rare n-grams fall away before."""
-    c = {x: F.col(x) for x in ("l2", "l1", "p", "r1", "r2")}
-    grams = [F.concat_ws(" ", *g) if len(g) == 1 else F.concat(*[y for x in g for y in (F.lit(" "), x)][1:]) for g in ([c["p"]], [c["l1"], c["p"]], [c["p"], c["r1"]], [c["l2"], c["l1"], c["p"]], [c["l1"], c["p"], c["r1"]], [c["p"], c["r1"], c["r2"]])]
-    at_pivot = frags.repartition("lang", "p", "part").select("lang", "p", "part", "parts", "n", F.explode(F.array_compact(F.array(*grams))).alias("phrase"))
-    local = at_pivot.groupBy("lang", "p", "part", "parts", "phrase").agg(F.sum("n").alias("n")).where((F.col("parts") > 1) | (F.col("n") >= least))
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            lang, phrase, n = mine(pa.Table.from_batches(held), least)
+            held.clear()
+            for at in range(0, len(n), 1 << 14):
+                yield as_batch(schema, lang=lang[at : at + (1 << 14)], phrase=phrase[at : at + (1 << 14)], n=n[at : at + (1 << 14)])
+
+        size, last = 0, None
+        for b in batches:
+            key = b.column(0).to_numpy()
+            ends = np.cumsum(pc.binary_length(b.column(4)).to_numpy())
+            first, before = 0, 0
+            for at in np.flatnonzero(np.diff(key, prepend=key[0] if last is None else last)).tolist():  # a key's rows stand together
+                gone = int(ends[at - 1]) if at else 0
+                if size + gone - before >= block:
+                    if at > first:
+                        held.append(b.slice(first, at - first))
+                    yield from done()
+                    first, before, size = at, gone, 0
+            held.append(b.slice(first))
+            size, last = size + int(ends[-1]) - before, key[-1]
+        if held:
+            yield from done()
+
+    local = frags.repartition("key").sortWithinPartitions("key").mapInArrow(work, "lang string, phrase string, n bigint")
     return local.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
 
 
@@ -198,7 +276,7 @@ def top(phrases: DataFrame, most: int = TOP) -> DataFrame:
     return cut.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")).where(F.col("rank") <= most)
 
 
-def collocations(docs: DataFrame, least: int = LEAST, most: int = TOP, words: int = WORDS, bits: int = BITS, split: int = SPLIT) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, most: int = TOP, words: int = WORDS, bits: int = BITS, part: int = PART, block: int = BLOCK) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of docs (text, lang): each language's collocations of two and three words.
 
     A null text counts as empty and gives no words, a null lang counts as `und`. Every row counts, repeated ones too. Texts of any length
@@ -210,7 +288,7 @@ def collocations(docs: DataFrame, least: int = LEAST, most: int = TOP, words: in
     counts = np.zeros(1 << bits, np.int64)
     got = counted.where("bucket IS NOT NULL").select("bucket", "n").toArrow()
     counts[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    grams = stash(mined(fragments(texts, counts, least, words, split), least))
+    grams = stash(mined(fragments(texts, counts, least, words, part), least, block))
     first = top(maximal(stash(scored(grams))), most)
     n = counted.where("bucket IS NULL").select("lang", "n")
     return first.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -61,7 +61,7 @@ def brute_collocations(rows, least, most):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("least", "most", "limits"), [(10, 2000, {}), (3, 7, {"words": 50, "split": 64}), (3, 2000, {"bits": 2})])
+@pytest.mark.parametrize(("least", "most", "limits"), [(10, 2000, {}), (3, 7, {"words": 50, "part": 20, "block": 100}), (3, 2000, {"bits": 2})])
 def test_collocations(docs, rows, least, most, limits):
     """Small blocks, pivots in parts, and four buckets for all words change nothing."""
     assert Counter(tuple(r) for r in collocations.collocations(docs, least, most, **limits).collect()) == brute_collocations(rows, least, most)
