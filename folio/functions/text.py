@@ -41,6 +41,11 @@ PLANNER_STOPS = (
 )
 
 
+def stripped(s: Column) -> Column:
+    """Without white space of any script around."""
+    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+
+
 def line_endings(s: Column) -> Column:
     """CRLF and CR become LF."""
     return F.regexp_replace(s, r"\r\n?", "\n")

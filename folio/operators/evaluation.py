@@ -143,6 +143,12 @@ DECLINED = ("insufficient_evidence", "ungrounded", "contradicted")
 RIGHT_F1 = 0.35
 
 
+def declines(answer: Column) -> Column:
+    """Whether an answer is missing, empty, or says that it can't be given."""
+    a = F.coalesce(answer, F.lit(""))
+    return (a == "") | F.exists(F.array(*[F.lit(w) for w in DECLINES]), lambda w: F.contains(F.lower(a), w))
+
+
 def grounded_results(answers: DataFrame) -> DataFrame:
     """A row per answer (query_id, answerable, status, answer, expected, claims, supported, contradicted, cited, relevant: arrays) with its marks.
 
@@ -151,8 +157,7 @@ def grounded_results(answers: DataFrame) -> DataFrame:
     from folio.functions import text as T
 
     c, a = F.col, F.coalesce(F.col("answer"), F.lit(""))
-    declines = F.exists(F.array(*[F.lit(w) for w in DECLINES]), lambda w: F.contains(F.lower(a), w))
-    r = answers.withColumn("refused", F.coalesce(c("status").isin(*DECLINED), F.lit(False)) | (a == "") | declines | (~c("answerable") & (c("supported") == 0)))
+    r = answers.withColumn("refused", F.coalesce(c("status").isin(*DECLINED), F.lit(False)) | declines(a) | (~c("answerable") & (c("supported") == 0)))
     x, y = T.answer_tokens(a), T.answer_tokens(F.coalesce(c("expected"), F.lit("")))
     # tokens of both with the lesser count: each distinct token's count on either side
     common = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, t: s + F.least(F.size(F.filter(x, lambda v: v == t)), F.size(F.filter(y, lambda v: v == t))))

@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio.functions import text as T
+from folio.operators.scoring import Scorer, scored
 
 THRESHOLD = 0.8
-# Verbs that make a sentence a statement.
-VERBS = ("is", "are", "was", "were", "has", "have", "had", "can", "will", "does", "do", "did", "shows", "uses", "provides", "includes", "contains", "means", "allows", "requires", "describes", "explains", "states")
-# Phrases by which an answer declines.
-REFUSALS = ("cannot answer", "can't answer", "not enough information", "insufficient evidence", "no relevant", "unable to", "not found in", "don't know")
+# Finite verbs that make a sentence a statement.
+VERBS = (
+    "is", "are", "was", "were", "has", "have", "had", "do", "does", "did", "can", "could", "will", "would", "should", "may", "might", "must", "calculates", "computes", "optimizes", "encodes", "relies", "measures", "evaluates",
+    "counteracts", "mitigates", "concatenates", "discovers", "propagates", "exploits", "operates", "classifies",
+)
+# What a claim that is a number looks like.
+NUMERIC = r"(?i)^(?:(?:a\s+constant\s+)?-?\d+(?:\.\d+)?%?|\d+(?:\.\d+)?\s*(?:percent|%|parameters|layers|units)?)$"
+FRAGMENTS = ("noun_phrase", "list", "numerical", "short_span")
+#: The most that a fragment which the evidence doesn't hold is entailed by it.
+UNHELD = 0.2
 
 
 def claims(answers: DataFrame, key: str = "answer_id", text: str = "text") -> DataFrame:
@@ -33,22 +40,35 @@ def has_verb(s: Column) -> Column:
 
 
 def claim_form(s: Column) -> Column:
-    """numerical, list, short_span, noun_phrase or declarative."""
-    words = T.word_count(s)
-    numeric = s.rlike(r"^[$]?\d[\d,]*(\.\d+)?\s*(%|percent|million|billion|km|kg|years?)?\.?$")
-    listed = F.lower(s).rlike("," + "|" + word_of(("and", "or"))) & (words <= 12)
-    return F.when(words == 0, "short_span").when(numeric, "numerical").when(listed & ~has_verb(s), "list").when(has_verb(s), "declarative").when(words <= 5, "short_span").otherwise("noun_phrase")
+    """numerical, list, short_span, noun_phrase or declarative; a blank claim is a short_span."""
+    t = T.stripped(s)
+    words = T.word_count(t)
+    listed = F.contains(t, F.lit(",")) | F.contains(t, F.lit(" and ")) | F.contains(t, F.lit(" or "))
+    return (
+        F.when(words == 0, "short_span").when(t.rlike(NUMERIC), "numerical").when(listed & (words <= 12) & ~has_verb(t), "list").when(has_verb(t), "declarative").when(words <= 5, "short_span")
+        .otherwise("noun_phrase")
+    )
 
 
 def contextual(question: Column, fragment: Column) -> Column:
-    """A fragment as a statement, from what the question asks."""
-    q = F.regexp_replace(F.trim(question), r"[?.!]+$", "")
-    rest = lambda p: F.regexp_extract(q, p, 1)
-    cases = [(r"(?i)^who (.+)$", lambda r: F.concat(fragment, F.lit(" "), r)), (r"(?i)^what (?:is|are|was|were) (.+)$", lambda r: F.concat(r, F.lit(" is "), fragment)), (r"(?i)^when (?:is|was|did|does) (.+)$", lambda r: F.concat(r, F.lit(" in "), fragment)), (r"(?i)^where (?:is|are|was|were|did|does) (.+)$", lambda r: F.concat(r, F.lit(" at "), fragment)), (r"(?i)^how (?:many|much) (.+)$", lambda r: F.concat(fragment, F.lit(" "), r))]
-    out = None
-    for pattern, build in cases:
-        out = F.when(q.rlike(pattern), build(rest(pattern))) if out is None else out.when(q.rlike(pattern), build(rest(pattern)))
-    return out.otherwise(F.concat(q, F.lit(": "), fragment))
+    """A fragment as a statement, from what the question asks; a declarative one, and one without a question, stays as it is."""
+    q = F.regexp_replace(T.stripped(question), r"[?. ]+$", "")
+    bare = F.regexp_replace(T.stripped(fragment), "[.!?]+$", "")
+    part = lambda p, k: F.regexp_extract(q, p, k)
+    opens = lambda *starts: F.lower(bare).rlike("^(?:" + "|".join(starts) + ")")
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    copula, what = r"(?i)^(?:what|which)\s+(is|are|was|were)\s+(?:the\s+)?(.+)", r"(?i)^what\s+(.+)"
+    why, how = r"(?i)^why\s+(?:does|did|do|is|are)\s+(.+)", r"(?i)^how\s+(?:does|do|did|can)\s+(.+)"
+    several = F.contains(bare, F.lit(",")) | F.contains(bare, F.lit(" and "))
+    verb = F.lower(part(copula, 1))
+    verb = F.when((verb == "is") & several, "are").otherwise(verb)
+    out = (
+        F.when(q.rlike(copula), said("The ", T.stripped(part(copula, 2)), " ", verb, " ", bare, ".")).when(q.rlike(what), said("Regarding what ", T.stripped(part(what, 1)), ", it is ", bare, "."))
+        .when(q.rlike(why), said(T.stripped(part(why, 1)), " ", F.when(opens("to ", "because", "by ", "in order to"), "").otherwise("because "), bare, "."))
+        .when(q.rlike(how), said(T.stripped(part(how, 1)), " ", F.when(opens("by ", "through ", "with ", "using ", "via "), "").otherwise("by "), bare, ".")).otherwise(said("Regarding ", q, ", the answer is ", bare, "."))
+    )
+    asked = F.coalesce(T.stripped(question), F.lit("")) != ""
+    return F.when(asked & (claim_form(fragment) != "declarative"), out).otherwise(fragment)
 
 
 def relevant(claim: Column, evidence: Column) -> Column:
@@ -102,13 +122,30 @@ def lexical_contradiction(claim: Column, evidence: Column) -> Column:
     return view_scores(claim_view(claim), evidence_view(evidence))["contradiction"]
 
 
-def merged_scores(raw: Column, contextual_scores: Column, held: Column) -> Column:
-    """struct(entailment, contradiction, neutral) of a fragment judged alone and as a statement: the greater entailment, the lesser others.
+def merged_scores(raw: Column, contextual_scores: Column, fragment: Column, held: Column, threshold: float = THRESHOLD) -> Column:
+    """struct(entailment, contradiction, neutral) of a claim judged alone and, if there are scores of it, as a statement: the greater entailment,
+    the lesser others.
 
-    A fragment that the evidence doesn't hold is entailed at 0.2 at most.
+    A fragment that the evidence doesn't hold is entailed at UNHELD at most, if it had reached the threshold.
     """
-    best = F.greatest(raw["entailment"], contextual_scores["entailment"])
-    return F.struct(F.when(held, best).otherwise(F.least(best, F.lit(0.2))).alias("entailment"), F.least(raw["contradiction"], contextual_scores["contradiction"]).alias("contradiction"), F.least(raw["neutral"], contextual_scores["neutral"]).alias("neutral"))
+    best, least = F.greatest(raw["entailment"], contextual_scores["entailment"]), lambda n: F.least(raw[n], contextual_scores[n])
+    capped = F.when(fragment & ~held & (best >= threshold), F.least(best, F.lit(UNHELD))).otherwise(best)
+    return F.struct(capped.alias("entailment"), least("contradiction").alias("contradiction"), least("neutral").alias("neutral"))
+
+
+def judge(claim_rows: DataFrame, evidence: DataFrame, scorer: Scorer, top: int = 5, threshold: float = THRESHOLD) -> DataFrame:
+    """claim_rows (answer_id, claim_index, claim, question) x evidence (answer_id, evidence_rank, text, ...): each claim against the first
+    top pieces of its answer's evidence, with entailment, contradiction, neutral and relevant.
+
+    scorer: struct(entailment, contradiction, neutral) of (evidence, claim). Fragments are judged as statements too.
+    """
+    first = evidence.withColumn("_n", F.row_number().over(Window.partitionBy("answer_id").orderBy("evidence_rank"))).where(F.col("_n") <= top).drop("_n")
+    said = claim_rows.withColumn("_fragment", claim_form(F.col("claim")).isin(*FRAGMENTS)).withColumn("_said", contextual(F.col("question"), F.col("claim")))
+    pairs = said.withColumn("_said", F.when(F.col("_fragment") & (F.col("_said") != F.col("claim")), F.col("_said"))).join(first, "answer_id")
+    pairs = scored(scored(pairs, scorer, "_raw", "text", "claim"), scorer, "_ctx", "text", "_said")
+    held = contains_fragment(F.col("claim"), F.col("text"))
+    pairs = pairs.withColumn("_m", merged_scores(F.col("_raw"), F.col("_ctx"), F.col("_fragment"), held, threshold)).withColumn("relevant", relevant(F.col("claim"), F.col("text")))
+    return pairs.select("*", "_m.*").drop("_m", "_raw", "_ctx", "_said", "_fragment")
 
 
 def softmax(logits: Column) -> Column:
@@ -122,11 +159,12 @@ def softmax(logits: Column) -> Column:
 def claim_status(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """pairs (answer_id, claim_index, evidence_rank, entailment, contradiction, relevant) -> a row per claim.
 
-    The best evidence is the first of the greatest entailment; contradiction counts from relevant evidence only.
+    The best evidence is the first of the greatest entailment, neutral that row's; contradiction counts from relevant evidence only.
     """
     best = F.struct(F.col("entailment"), (-F.col("evidence_rank")).alias("r"))
     against = F.when(F.col("relevant"), F.col("contradiction"))
-    g = pairs.groupBy("answer_id", "claim_index").agg(F.max("entailment").alias("entailment"), F.max_by("evidence_rank", best).alias("best_evidence"), F.coalesce(F.max(against), F.lit(0.0)).alias("contradiction"))
+    more = [F.max_by("neutral", best).alias("neutral")] if "neutral" in pairs.columns else []
+    g = pairs.groupBy("answer_id", "claim_index").agg(F.max("entailment").alias("entailment"), F.max_by("evidence_rank", best).alias("best_evidence"), F.coalesce(F.max(against), F.lit(0.0)).alias("contradiction"), *more)
     e, c = F.col("entailment") >= threshold, F.col("contradiction") >= threshold
     return g.withColumn("status", F.when(e & ~c, "entailed").when(c & ~e, "contradicted").when(e & c, "conflicted").otherwise("unsupported"))
 
@@ -139,23 +177,24 @@ def answer_report(claim_rows: DataFrame) -> DataFrame:
     return g.withColumn("score", F.round(F.col("supported") / F.col("claims"), 4)).withColumn("overall", status)
 
 
-def policy(strict: bool) -> Column:
+def too_far(similarity: Column) -> Column:
+    """Evidence of so little similarity that it counts as none; where no similarity is over 0 it can't be told."""
+    return (similarity > 0) & (similarity < 0.2)
+
+
+def policy(strict: bool, checked: bool = True) -> Column:
     """An answer's fate, first rule that fits, over columns ambiguous, n_evidence, max_similarity, answer, overall, claims, isolated, completeness.
 
-    Strict: anything but a grounded overall status, or incomplete_after_retry, is refused; else only a contradicted one.
+    Strict: anything but a grounded overall status, or incomplete_after_retry, is refused; else nothing is. An answer whose claims aren't
+    checked stands as it is.
     """
-    floor = (F.col("max_similarity") > 0) & (F.col("max_similarity") < 0.2)
-    bad = F.col("overall").isin("contradicted", "conflicted", "unsupported") | (F.col("completeness") == "incomplete_after_retry") if strict else F.col("overall") == "contradicted"
+    bad = (F.col("overall") != "grounded") | (F.col("completeness") == "incomplete_after_retry") if strict else F.lit(False)
     return (
-        F.when(F.col("ambiguous"), "needs_clarification").when(F.col("n_evidence") == 0, "no_evidence").when(floor, "low_similarity")
-        .when(F.trim(F.coalesce("answer", F.lit(""))) == "", "no_answer").when(F.coalesce("claims", F.lit(0)) == 0, "no_claims").when(~F.col("isolated"), "isolation_error").when(bad, "refused").otherwise("answered")
+        F.when(F.col("ambiguous"), "needs_clarification").when(F.col("n_evidence") == 0, "no_evidence").when(too_far(F.col("max_similarity")), "low_similarity")
+        .when(F.trim(F.coalesce("answer", F.lit(""))) == "", "no_answer").when(F.lit(not checked), "unchecked").when(F.coalesce("claims", F.lit(0)) == 0, "no_claims").when(~F.col("isolated"), "isolation_error").when(bad, "refused").otherwise("answered")
     )
 
 
-def refused(s: Column) -> Column:
-    return F.lower(F.coalesce(s, F.lit(""))).rlike("|".join(r.replace("'", "['’]") for r in REFUSALS)) | (F.trim(F.coalesce(s, F.lit(""))) == "")
-
-
 def aspect_covered(aspect: Column, other: Column, answer: Column) -> Column:
     """Whether an answer treats an aspect of a comparison: its phrase, else a term of its own, else (without such) any term over two characters."""
     low, mine = F.lower(answer), T.terms(aspect, T.COMPLETENESS_STOPS, 0)
@@ -205,6 +244,18 @@ def answered(plans: DataFrame) -> DataFrame:
     return p.withColumn("completeness", status).withColumn("answer", F.when(F.col("_again"), F.trim("second_answer")).otherwise(F.trim("first_answer"))).withColumn("regenerated", regenerated).drop("_lacks", "_lacks2", "_again")
 
 
+def references(pairs: DataFrame, claim_rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """What claims refer to, for citations: pairs (answer_id, claim_index, evidence_rank, document_id, chunk_id, scores, relevant), claim_status rows.
+
+    An entailed or conflicted claim is supported by all evidence at the threshold, a contradicted or conflicted one has what relevant
+    evidence contradicts it; an unsupported one refers to nothing.
+    """
+    j = pairs.join(claim_rows.select("answer_id", "claim_index", "status"), ["answer_id", "claim_index"])
+    ref = lambda kind, fits: j.where(fits).select("answer_id", "claim_index", F.lit(kind).alias("kind"), F.col("evidence_rank").alias("position"), "document_id", "chunk_id")
+    supports = ref("supports", F.col("status").isin("entailed", "conflicted") & (F.col("entailment") >= threshold))
+    return supports.unionByName(ref("contradicts", F.col("status").isin("contradicted", "conflicted") & F.col("relevant") & (F.col("contradiction") >= threshold)))
+
+
 def citations(refs: DataFrame) -> DataFrame:
     """refs (answer_id, claim_index, kind, position, document_id, chunk_id) -> numbered references.
 

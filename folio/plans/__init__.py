@@ -1 +1,3 @@
-"""Query plans over the standard tables, each with its SQL oracle."""
+"""Registered queries. Importing the package registers all of them."""
+
+from folio.plans import answer_queries, catalog, question_queries  # noqa: F401

@@ -6,36 +6,13 @@ benchmark for questions, events for latency samples. Query vectors are those who
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio.functions import text as T
 from folio.operators import chunking, evaluation, evidence, grounding, planner, qa, questions, ranking, reports, search, store, vectors
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def pages(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), (F.col("turn") + 1).cast("int").alias("page_number"), "role", "text")
-
+from folio.plans.registry import ORACLES, QUERIES, pages, query, read  # noqa: F401  the catalogue is read from here
 
 ASKED = "vec_id % 100 = 0"
 DOT = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -269,9 +246,15 @@ def token_f1(spark, d):
     return evaluation.token_f1(c, T.answer_tokens(F.col("text")), T.answer_tokens(F.col("b")))
 
 
-@query("SELECT conv_id, turn, regexp_matches(lower(coalesce(text, '')), 'cannot answer|can[''’]t answer|not enough information|insufficient evidence|no relevant|unable to|not found in|don[''’]t know') OR trim(coalesce(text, '')) = '' AS refused FROM conversations WHERE role = 'assistant'")
+#: Answers as they are, and cut off by each phrase in turn.
+@query("""WITH w(k, phrase) AS (VALUES (0, ''), (1, 'It is unanswerable.'), (2, 'That is out of scope'), (3, 'One cannot determine it'), (4, 'I cannot answer.'), (5, 'There is insufficient evidence'), (6, 'This is NOT PROVIDED'), (7, 'not mentioned there'), (8, 'no evidence'), (9, 'cannot say'), (10, 'no relevant page, unable to tell')),
+t AS (SELECT conv_id * 1000 + turn * 20 + k AS id, CASE WHEN k = 0 THEN text ELSE substr(text, 1, 20) || ' ' || phrase END AS a FROM conversations, w WHERE role = 'assistant')
+SELECT id, coalesce(a, '') = '' OR regexp_matches(lower(a), 'cannot answer|insufficient evidence|not provided|not mentioned|no evidence|unanswerable|cannot determine|out of scope') AS refused FROM t""")
 def refusal_detection(spark, d):
-    return read(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", grounding.refused(F.col("text")).alias("refused"))
+    said = ("", "It is unanswerable.", "That is out of scope", "One cannot determine it", "I cannot answer.", "There is insufficient evidence", "This is NOT PROVIDED", "not mentioned there", "no evidence", "cannot say", "no relevant page, unable to tell")
+    c = read(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text", F.posexplode(F.array(*[F.lit(x) for x in said])).alias("k", "phrase"))
+    a = F.when(F.col("k") == 0, F.col("text")).otherwise(F.concat(F.substring("text", 1, 20), F.lit(" "), F.col("phrase")))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn") * 20 + F.col("k")).alias("id"), evaluation.declines(a).alias("refused"))
 
 
 @query("SELECT lang, source, count(*) AS documents, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic, round(avg(n_chars), 4) AS mean_chars FROM documents LEFT JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((), (lang), (lang, source))")
@@ -363,13 +346,48 @@ def claim_decompose(spark, d):
     return _claims(spark, d)
 
 
-_VERBS, _ANDOR = grounding.word_of(grounding.VERBS), grounding.word_of(("and", "or"))
+FINITE = "'(^|[^\\p{L}\\p{N}_])(is|are|was|were|has|have|had|do|does|did|can|could|will|would|should|may|might|must|calculates|computes|optimizes|encodes|relies|measures|evaluates|counteracts|mitigates|concatenates|discovers|propagates|exploits|operates|classifies)($|[^\\p{L}\\p{N}_])'"
+NUMBER = "'(?i)^(a\\s+constant\\s+)?-?\\d+(\\.\\d+)?%?$|^\\d+(\\.\\d+)?\\s*(percent|%|parameters|layers|units)?$|^a\\s+constant\\s+\\d+$'"
+FORM = f"""CASE WHEN len(list_filter(regexp_split_to_array({{c}}, '\\s+'), lambda x: x <> '')) = 0 THEN 'short_span' WHEN regexp_matches({{c}}, {NUMBER.replace("{", "{{").replace("}", "}}")}) THEN 'numerical'
+  WHEN (contains({{c}}, ',') OR contains({{c}}, ' and ') OR contains({{c}}, ' or ')) AND len(list_filter(regexp_split_to_array({{c}}, '\\s+'), lambda x: x <> '')) <= 12 AND NOT regexp_matches(lower({{c}}), {FINITE.replace("{", "{{").replace("}", "}}")}) THEN 'list'
+  WHEN regexp_matches(lower({{c}}), {FINITE.replace("{", "{{").replace("}", "}}")}) THEN 'declarative' WHEN len(list_filter(regexp_split_to_array({{c}}, '\\s+'), lambda x: x <> '')) <= 5 THEN 'short_span' ELSE 'noun_phrase' END"""
+#: Claims as they are, and ones that look like every form.
+SHAPES = ("{c}", "a constant 5", "A Constant 12", "-3.5%", "12 percent", "7 layers", "5 years", "{a} and {b}", "{a}, {b} or {a}", "It may rain on {a}", "prices could fall, or {a}", "{a} {b}", "the {a} of the {b} in the long hall beside {a}", "{a} computes {b}")
+SHAPED = f"""{CLAIMS}, sw AS (SELECT *, {TOKENS.format(c='claim')} AS w FROM claims), shaped AS (SELECT (answer_id * 100 + claim_index) * 20 + i AS id, replace(replace(replace(s, '{{c}}', claim), '{{a}}', w[1]), '{{b}}', w[-1]) AS c FROM sw, (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(SHAPES))}) v(i, s) WHERE len(w) > 0)"""
+
+
+def _shaped(spark, d) -> DataFrame:
+    c = _claims(spark, d).withColumn("w", T.tokens(F.col("claim"))).where(F.size("w") > 0).select("answer_id", "claim_index", "claim", "w", F.posexplode(F.array(*[F.lit(x) for x in SHAPES])).alias("i", "s"))
+    text = F.replace(F.replace(F.replace("s", F.lit("{c}"), F.col("claim")), F.lit("{a}"), F.element_at("w", 1)), F.lit("{b}"), F.element_at("w", -1))
+    return c.select(((F.col("answer_id") * 100 + F.col("claim_index")) * 20 + F.col("i")).alias("id"), text.alias("c"))
 
 
-@query(f"""WITH {CLAIMS}, f AS (SELECT *, len(list_filter(regexp_split_to_array(claim, '\\s+'), lambda x: x <> '')) AS w, regexp_matches(lower(claim), '{_VERBS}') AS v FROM claims)
-SELECT form, count(*) AS n FROM (SELECT CASE WHEN w = 0 THEN 'short_span' WHEN regexp_matches(claim, '^[$]?\\d[\\d,]*(\\.\\d+)?\\s*(%|percent|million|billion|km|kg|years?)?\\.?$') THEN 'numerical' WHEN regexp_matches(lower(claim), ',|{_ANDOR}') AND w <= 12 AND NOT v THEN 'list' WHEN v THEN 'declarative' WHEN w <= 5 THEN 'short_span' ELSE 'noun_phrase' END AS form FROM f) GROUP BY form""")
+@query(f"WITH {SHAPED} SELECT id, {FORM.format(c='c')} AS form FROM shaped")
 def claim_forms(spark, d):
-    return _claims(spark, d).groupBy(grounding.claim_form(F.col("claim")).alias("form")).agg(F.count("*").alias("n"))
+    return _shaped(spark, d).select("id", grounding.claim_form(F.col("c")).alias("form"))
+
+
+#: Questions of every form that a fragment's statement follows.
+ASKERS = ("What is the capital of France?", "Which are the {a}?", "what was {a}. ", "What follows from {a}?", "Why does {a} fall?", "Why is {a} so", "How does {a} work?", "How can one see {a}?", "Who saw {a}?", "Compare {a}", "   ")
+#: The statement of a fragment c under a question, both trimmed; form: its form.
+STATED = r"""CASE WHEN {asked} = '' OR {form} = 'declarative' THEN {c}
+  WHEN regexp_matches(lower({q}), '^(what|which)\s+(is|are|was|were)\s+(the\s+)?.') THEN 'The ' || trim(regexp_extract({q}, '(?i)^(what|which)\s+(is|are|was|were)\s+(the\s+)?(.+)', 4)) || ' ' || CASE WHEN regexp_matches(lower({q}), '^(what|which)\s+is\s') AND (contains({f}, ',') OR contains({f}, ' and ')) THEN 'are' ELSE regexp_extract(lower({q}), '^(what|which)\s+(is|are|was|were)\s', 2) END || ' ' || {f} || '.'
+  WHEN regexp_matches(lower({q}), '^what\s+.') THEN 'Regarding what ' || trim(regexp_extract({q}, '(?i)^what\s+(.+)', 1)) || ', it is ' || {f} || '.'
+  WHEN regexp_matches(lower({q}), '^why\s+(does|did|do|is|are)\s+.') THEN trim(regexp_extract({q}, '(?i)^why\s+(does|did|do|is|are)\s+(.+)', 2)) || ' ' || CASE WHEN regexp_matches(lower({f}), '^(to |because|by |in order to)') THEN '' ELSE 'because ' END || {f} || '.'
+  WHEN regexp_matches(lower({q}), '^how\s+(does|do|did|can)\s+.') THEN trim(regexp_extract({q}, '(?i)^how\s+(does|do|did|can)\s+(.+)', 2)) || ' ' || CASE WHEN regexp_matches(lower({f}), '^(by |through |with |using |via )') THEN '' ELSE 'by ' END || {f} || '.'
+  ELSE 'Regarding ' || {q} || ', the answer is ' || {f} || '.' END"""
+
+
+def stated(asked: str, c: str, form: str) -> str:
+    return STATED.format(asked=asked, c=c, form=form, q=f"regexp_replace({asked}, '[?. ]+$', '')", f=f"regexp_replace({c}, '[.!?]+$', '')")
+
+
+@query(f"""WITH {SHAPED}, asked AS (SELECT id * 20 + j AS id, c, {FORM.format(c='c')} AS form, trim(replace(x, '{{a}}', split_part(c, ' ', 1))) AS asked FROM shaped, (VALUES {", ".join(f"({j}, '{x}')" for j, x in enumerate(ASKERS))}) v(j, x) WHERE id % 5 = 0)
+SELECT id, {stated('asked', 'c', 'form')} AS statement FROM asked""")
+def claim_statements(spark, d):
+    c = _shaped(spark, d).where("id % 5 = 0").select("id", "c", F.posexplode(F.array(*[F.lit(x) for x in ASKERS])).alias("j", "x"))
+    asked = F.replace("x", F.lit("{a}"), F.split_part("c", F.lit(" "), F.lit(1)))
+    return c.select((F.col("id") * 20 + F.col("j")).alias("id"), grounding.contextual(asked, F.col("c")).alias("statement"))
 
 
 def _claim_pairs(spark, d) -> DataFrame:

@@ -320,12 +320,12 @@ def test_grounding_rules(spark):
     one = lambda c, **v: spark.createDataFrame([v]).select(c.alias("x")).first().x
     s = F.struct(*[F.lit(v).alias(n) for n, v in (("entailment", 0.9), ("contradiction", 0.3), ("neutral", 0.1))])
     w = F.struct(*[F.lit(v).alias(n) for n, v in (("entailment", 0.4), ("contradiction", 0.1), ("neutral", 0.5))])
-    assert tuple(one(grounding.merged_scores(s, w, F.lit(True)), a=1)) == (0.9, 0.1, 0.1) and one(grounding.merged_scores(s, w, F.lit(False)), a=1).entailment == 0.2
+    assert tuple(one(grounding.merged_scores(s, w, F.lit(True), F.lit(True)), a=1)) == (0.9, 0.1, 0.1) and one(grounding.merged_scores(s, w, F.lit(True), F.lit(False)), a=1).entailment == 0.2
     assert sum(one(grounding.softmax(F.col("v")), v=[1.0, 2.0, 3.0])) == pytest.approx(1)
     with pytest.raises(Exception, match="finite"):
         one(grounding.softmax(F.col("v")), v=[1.0, float("nan")])
     assert one(grounding.contains_fragment(F.col("f"), F.col("e")), f="Big Ben.", e="the big ben tower") and not one(grounding.contains_fragment(F.col("f"), F.col("e")), f="red green blue tea", e="red green")
-    for status, completeness, strict, want in (("grounded", "complete", True, "answered"), ("grounded", "incomplete_after_retry", True, "refused"), ("grounded", "incomplete_after_retry", False, "answered"), ("unsupported", "complete", False, "answered"), ("contradicted", "complete", False, "refused"), ("conflicted", "complete", True, "refused")):
+    for status, completeness, strict, want in (("grounded", "complete", True, "answered"), ("grounded", "incomplete_after_retry", True, "refused"), ("grounded", "incomplete_after_retry", False, "answered"), ("unsupported", "complete", False, "answered"), ("contradicted", "complete", False, "answered"), ("conflicted", "complete", True, "refused")):
         assert one(grounding.policy(strict), ambiguous=False, n_evidence=1, max_similarity=0.5, answer="a", claims=1, isolated=True, overall=status, completeness=completeness) == want
 
 
