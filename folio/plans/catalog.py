@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio.functions import text as T
-from folio.operators import chunking, evaluation, evidence, grounding, planner, qa, questions, ranking, reports, search, store, vectors
+from folio.operators import candidates, chunking, evaluation, evidence, grounding, planner, qa, question_checks, questions, ranking, reports, search, store, vectors
 from folio.plans.registry import ORACLES, QUERIES, pages, query, read  # noqa: F401  the catalogue is read from here
 
 ASKED = "vec_id % 100 = 0"
@@ -689,16 +689,11 @@ def query_plan_searches(spark, d):
     return _plans(spark, d).select("id", F.array_join("retrieval_queries", "|").alias("searches"))
 
 
-@query("SELECT item_id, upper(substr(t, 1, 1)) || substr(t, 2) || '?' AS question FROM (SELECT item_id, trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '[?.!\\s]+$', '')) AS t FROM benchmark) WHERE t <> ''")
-def question_cleaning(spark, d):
-    return read(spark, d, "benchmark").select("item_id", questions.question_clean(F.col("text")).alias("question")).where("question is not null")
-
-
 @query(rf"""WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations), n AS (SELECT *, {PLAIN.replace('lower({c})', '{c}').format(c='text')} AS plain FROM t WHERE source IS NOT NULL)
-SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(plain, '\b([A-Z][a-z]{{2,}})\b', 1), lambda x: NOT list_contains({_list(questions.QUESTION_STARTS)}, x) AND NOT contains(lower(source), lower(x))), ',') AS outside FROM n""")
+SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(plain, '\b([A-Z][a-z]{{2,}})\b', 1), lambda x: NOT list_contains({_list(question_checks.QUESTION_STARTS)}, x) AND NOT contains(lower(source), lower(x))), ',') AS outside FROM n""")
 def outside_names(spark, d):
     c = read(spark, d, "conversations").withColumn("source", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("source is not null")
-    return c.select("conv_id", "turn", F.array_join(questions.outside_names(F.col("text"), F.col("source")), ",").alias("outside"))
+    return c.select("conv_id", "turn", F.array_join(question_checks.outside_names(F.col("text"), F.col("source")), ",").alias("outside"))
 
 
 _words = "list_filter(regexp_split_to_array(text, '[\\s\\x0B\\x{{0085}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda x: x <> '')".format()
@@ -719,7 +714,7 @@ def eligible_chunks(spark, d):
 
 @query()
 def answer_candidates(spark, d):
-    return questions.answer_candidates(chunk_documents(spark, d))
+    return candidates.answer_candidates(chunk_documents(spark, d)).drop("text")
 
 
 @query(f"""WITH s AS (SELECT t, min(doc_id) AS id FROM (SELECT doc_id, list_sort({CONTENT.format(c='text')}) AS t FROM documents) WHERE len(t) > 0 GROUP BY t),
@@ -745,12 +740,6 @@ def diversity_round_robin(spark, d):
     return ranking.round_robin(read(spark, d, "conversations"), "conv_id", "role", "turn", 4).select("conv_id", "turn", "role", "pick")
 
 
-@query("SELECT conv_id, page, next_page FROM (SELECT conv_id, turn // 2 AS page, lead(turn // 2) OVER (PARTITION BY conv_id ORDER BY turn) AS next_page FROM conversations) WHERE next_page <> page AND next_page - page <= 2")
-def adjacent_multipage_pairs(spark, d):
-    c = read(spark, d, "conversations").withColumn("page", F.floor(F.col("turn") / 2))
-    return questions.adjacent_pages(c, "conv_id", "page", "turn").select("conv_id", "page", "next_page")
-
-
 LOGITS = "CAST(({m} * (token + 1) * (query_id + 3) + {a} * win) % 97 AS DOUBLE) / 10"
 
 
@@ -780,17 +769,6 @@ def completeness_check(spark, d):
     return b.select(F.col("item_id").alias("id"), grounding.aspect_covered(a, b_, h).alias("first"), grounding.aspect_covered(b_, a, h).alias("second"))
 
 
-@query(rf"""WITH t AS (SELECT item_id, {BARE.format(c='text')} AS w FROM benchmark), p AS (SELECT item_id, k, w, CASE k WHEN 0 THEN w WHEN 1 THEN w[2:4] WHEN 2 THEN list_reverse(w[1:3]) ELSE w[2:2] END AS e FROM t, range(4) r(k) WHERE len(w) > 4),
-x AS (SELECT item_id * 10 + k AS id, ' ' || array_to_string(w, ' ') || ' ' AS pw, array_to_string(e, ' ') AS ew, len(e) AS n, list_sort(list_distinct(regexp_extract_all(array_to_string(w, ' '), '(\d+)', 1))) AS pn, list_sort(list_distinct(regexp_extract_all(array_to_string(e, ' '), '(\d+)', 1))) AS en FROM p)
-SELECT id, trim(pw) = ew OR (pn = en AND contains(pw, ' ' || ew || ' ') AND ew <> '' AND NOT (n = 1 AND len(en) = 0)) AS matches FROM x""")
-def answer_match(spark, d):
-    w = T.answer_tokens(F.col("text"))
-    b = read(spark, d, "benchmark").withColumn("w", w).where(F.size("w") > 4)
-    e = F.array(F.col("w"), F.slice("w", 2, 3), F.reverse(F.slice("w", 1, 3)), F.slice("w", 2, 1))
-    r = b.select("item_id", F.array_join("w", " ").alias("predicted"), F.posexplode(F.transform(e, lambda x: F.array_join(x, " "))).alias("k", "expected"))
-    return r.select((F.col("item_id") * 10 + F.col("k")).alias("id"), questions.answer_matches(F.col("predicted"), F.col("expected")).alias("matches"))
-
-
 @query("SELECT source, count(*) AS documents, round(avg(n_chars), 4) AS mean_chars FROM documents GROUP BY source")
 def report_round_trip(spark, d):
     import uuid

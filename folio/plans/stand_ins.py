@@ -72,3 +72,42 @@ def scripted_writer() -> Scorer:
         return lambda rows: [one(p) for (p,) in rows]
 
     return Scorer("scripted", load, "string")
+
+
+def cloze_asker() -> Scorer:
+    """(answer, source): the sentence of the source that holds the answer, with a question word in its place."""
+
+    def load(_: str) -> Model:
+        def one(answer: str, source: str) -> str:
+            for s in re.split(r"(?<=[.!?])\s+", source):
+                if answer in s:
+                    return re.sub(r"[.!?]+$", "", s.replace(answer, "what", 1)) + "?"
+            return f"What of {answer}"
+
+        return lambda rows: [one(*r) for r in rows]
+
+    return Scorer("cloze-asker", load, "string")
+
+
+def cloze_reader() -> Scorer:
+    """(question, source): what stands in the source where the question says what, between the words around it; nothing if they aren't there.
+
+    It reads too little of every third question: only the answer's first word.
+    """
+
+    def load(_: str) -> Model:
+        def one(question: str, source: str) -> str:
+            before, found, after = question.rstrip("?").partition("what")
+            if not found:
+                before, found, after = question.rstrip("?").partition("What")
+            low, left, right = source.lower(), before.lower(), after.lower().rstrip(".!? ")
+            at = low.find(left)
+            end = low.find(right, at + len(left)) if right else -1
+            if not found or at < 0 or (right and end < 0):
+                return ""
+            said = source[at + len(left) : end if right else at + len(left) + 60].strip()
+            return said.split(" ")[0] if len(question) % 3 == 0 else said
+
+        return lambda rows: [one(*r) for r in rows]
+
+    return Scorer("cloze-reader", load, "string")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.operators import chunking, evidence, grounding, planner, questions, ranking, reports, search, store
+from folio.operators import candidates, chunking, evidence, grounding, planner, question_checks, questions, ranking, reports, search, store
 from folio.plans import catalog
 
 
@@ -214,14 +214,15 @@ def test_greedy_pass_is_the_models(spark):
 def test_candidates_lie_where_they_say(spark, data):
     chunks = catalog.chunk_documents(spark, data)
     text = {r.chunk_id: r.text for r in chunks.select("chunk_id", "text").collect()}
-    got = questions.answer_candidates(chunks).collect()
+    got = candidates.answer_candidates(chunks).collect()
     assert got and all(text[g.chunk_id][g.start :].startswith(g.answer) for g in got)
     by = {}
     for g in got:
         by.setdefault(g.chunk_id, []).append(g)
     assert all(len(v) <= 8 and sorted(g.position for g in v) == list(range(len(v))) and len({g.answer.lower() for g in v}) == len(v) for v in by.values())
-    one = questions.answer_candidates(spark.createDataFrame([("c", "On October 14, 1947 the derivative is a constant 3. NASA said \"go now\". About 20 km.")], "chunk_id string, text string")).collect()
-    assert ("date", "October 14, 1947") in {(g.kind, g.answer) for g in one} and ("acronym", "NASA") in {(g.kind, g.answer) for g in one}
+    said = 'On October 14, 1947 the derivative is a constant 3. NASA said "quantum entanglement" in 1500. About 20 km of Non-linear and ABOUT:'
+    one = candidates.answer_candidates(spark.createDataFrame([("d", "c", 1, 0, said)], "document_id string, chunk_id string, page_number int, chunk_index int, text string")).collect()
+    assert {("when", "October 14, 1947"), ("factual", "NASA"), ("definition", "quantum entanglement"), ("numerical", "a constant 3"), ("numerical", "20 km")} <= {(g.type, g.answer) for g in one} and not {"1500", "ABOUT", "linear", "Non"} & {g.answer for g in one}
 
 
 def test_streamed_chunks_are_the_batchs(spark, data):
@@ -335,9 +336,10 @@ def test_prompts_and_questions(spark):
     assert one(evidence.template(F.lit("T {context}"), F.lit("I"), n, F.lit(500)), a=1) == "T {context}" and one(evidence.template(n, F.lit("I"), F.lit("Q"), F.lit(500)), a=1).startswith("I\n\nContext:")
     assert one(evidence.template(n, n, F.lit("Q"), F.lit(500)), a=1) == "Q" and one(evidence.template(n, n, n, F.lit(100)), a=1) == evidence.SECURE and one(evidence.template(n, n, n, F.lit(99)), a=1) == evidence.PLAIN
     assert one(evidence.filled(F.lit(evidence.PLAIN), F.lit("c"), F.lit("q")), a=1) == "Context:\nc\n\nQuestion:\nq\n\nAnswer:"
-    c = spark.createDataFrame([("What is Rome?", "a city", "Rome is a city.", "city"), ("What is Paris?", "a city", "Rome is a city.", "city"), ("What is Rome?", "a city", "Rome is a city.", None), ("What is Rome?", "a city", "Rome is a city.", "1999"), ("What is it?", "a", "b", "c")], "question string, answer string, source string, predicted string")
-    judged = questions.judged_candidates(c)
-    assert [r.outcome for r in judged.collect()] == ["accepted", "outside_entity", "unanswerable", "answer_mismatch", "quality_failure:generic"]
-    assert {r.category: r.n for r in questions.rejections(judged).collect()} == {"accepted": 1, "outside_entity": 1, "unanswerable": 1, "answer_mismatch": 1, "quality_failure": 1}
+    c = [("What is Rome?", "a city", "Rome is a city.", "city"), ("What is Paris?", "a city", "Rome is a city.", "city"), ("What is Rome?", "a city", "Rome is a city.", None), ("What is Rome?", "a city", "Rome is a city.", "1999"), ("What is it?", "a", "b", "c"), ("How is Rome?", "a city", "Rome is a city.", "a city")]
+    c = spark.createDataFrame([(*r, "in order to" if r[0][0] == "H" else None) for r in c], "question string, answer string, source string, predicted string, trigger string")
+    judged = question_checks.judged(c)
+    assert [r.reason for r in judged.collect()] == [None, "outside_name", "unanswerable", "answer_mismatch", "generic", "purpose_clause"]
+    assert {r.category: r.n for r in question_checks.rejections(judged).collect()} == {"accepted": 1, "outside_knowledge": 1, "unanswerable": 1, "answer_mismatch": 1, "validation_failure": 2}
     with pytest.raises(Exception, match="finite"):
         one(ranking.checked_score(F.col("s")), s=float("inf"))

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.operators import chunking, evidence, questions, ranking, store
+from folio.operators import candidates, chunking, evidence, question_checks, questions, ranking, store
 
 
 def one(spark, column, **values):
@@ -84,8 +84,14 @@ def test_upsert_refuses_a_wrong_dimension(spark):
 
 
 def test_question_checks(spark):
-    f = lambda q: one(spark, questions.quality_failure(F.col("q")), q=q)
-    assert [f("Hi?"), f("What is the capital of France?"), f("What is this about then?"), f("Where is the house of?"), f("No question mark here")] == ["too_short", None, "generic", "dangling", "punctuation"]
+    f = lambda q: one(spark, question_checks.quality_failure(F.col("q"), F.lit("Paris"), F.lit("A source.")), q=q)
+    asked = ["Hi?", "What is the capital of France?", "What is this about then?", "Where is the house from?", "No question mark here", "Is it true?? Yes?", "who is it?", "What is Paris?", "A source?", "What did they see of it?", "What is it that Rome saw?"]
+    assert [f(q) for q in asked] == ["too_short", None, "generic", "dangling", "no_question_mark", "several_questions", "small_first_letter", "tautology", None, "ambiguous_reference", "generic"]
+    m = lambda p, e, q="Who?", s="": one(spark, question_checks.answer_matches(F.col("p"), F.col("e"), F.col("q"), F.col("s")), p=p, e=e, q=q, s=s)
+    assert m("Rome in 1998 and later", "Rome 1998") and not m("Rome 1998", "Rome 1999") and not m("big old Rome town", "Rome") and not m("", "x") and m("!Rome?", "rome") and not m("...", "...")
+    assert m("an orderly measure", "measure", "What is the definition of measure?", "The definition of measure is an orderly measure.") and m("cold rivers run north", "in winter cold rivers run north fast", "What runs fast in winter?")
+    k = lambda q, h=None, s=False: one(spark, question_checks.question_type(F.col("q"), F.lit(h).cast("string"), F.lit(s)), q=q)
+    assert [k("Who came?"), k("How many came?"), k("How many came?", "numerical"), k("What is a river?"), k("Who came?", "definition"), k("Is it so?", "direct_fact"), k("Who came?", None, True)] == ["who", "how_many", "numerical_fact", "what", "definition", "direct_fact", "multi_page_synthesis"]
 
 
 def test_pool_is_cut_before_it_is_scored(spark, data):
@@ -98,9 +104,9 @@ def test_pool_is_cut_before_it_is_scored(spark, data):
 def test_answer_candidates_of_every_kind(spark):
     said = {"October 14, 1947": "It flew on October 14, 1947 at noon", "14 October 1947": "on 14 October 1947 it flew", "1991": "seen in 1991 here", "10-20%": "of 10-20% each", "the slope of a line at a point": "the definition of derivative is the slope of a line at a point.", "a constant 7": "gives a constant 7 there", "42 percent": "about 42 percent of it",
             "3.5": "its derivative equals 3.5 here", "a measure of the disorder": "Entropy is defined as a measure of the disorder.", "the valves were closed": "it stopped because the valves were closed.", "trees split the data": "unlike linear models, trees split the data.", "Training minimizes the squared error": "Training minimizes the squared error.",
-            "Marie Curie": "it was Marie Curie who", "NASA": "then NASA came", "hidden unit": "a 'hidden unit' is", "Paris": "he saw Paris today", "$5": "it costs $5 now", "well-known": "a well-known thing"}
-    rows = spark.createDataFrame([(a, t) for a, t in said.items()], "chunk_id string, text string")
-    got = questions.answer_candidates(rows).collect()
+            "Marie Curie": "it was Marie Curie who", "NASA": "then NASA came", "hidden unit": "a 'hidden unit' is", "Paris": "he saw Paris today"}
+    rows = spark.createDataFrame([("d", a, 1, 0, t) for a, t in said.items()], "document_id string, chunk_id string, page_number int, chunk_index int, text string")
+    got = candidates.answer_candidates(rows).collect()
     assert {a for a in said if not any(g.chunk_id == a and g.answer == a for g in got)} == set()
     assert all(said[g.chunk_id][g.start : g.start + len(g.answer)] == g.answer for g in got)
 
