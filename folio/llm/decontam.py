@@ -1,13 +1,14 @@
 """Benchmark decontamination: an FM-index per shard of training words, searched for the benchmark's windows.
 
 Words outside the benchmark's vocabulary can't be part of a hit, so a shard's index holds only the runs of known words that are
-as long as the shortest window. The benchmark is broadcast in blocks of bounded size; each further block is another pass in
-the same task over the rows, which carry their hits along.
+as long as the shortest window. The benchmark is broadcast in blocks of at most BLOCK_WINDOWS windows, as word ids in one array; each
+further block is another pass in the same task over the rows, which carry their hits along.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -22,8 +23,8 @@ from folio.llm.fm_index import FMIndex
 WINDOW = 13
 #: Words of a shard's texts that are indexed together.
 SHARD_WORDS = 3_000_000
-#: Bytes of benchmark text in one broadcast.
-BLOCK_BYTES = 16 << 20
+#: Windows of benchmark text in one broadcast; windows searched for at once.
+BLOCK_WINDOWS, SEARCHED = 1 << 19, 1 << 17
 _WORD = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -33,19 +34,44 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of a block of items: word ids, and which items hold each window."""
-
-    def __init__(self, items: list[tuple[str, bytes | None]], width: int = WINDOW) -> None:
-        self.ids: dict[bytes, int] = {}
-        held: dict[int, dict[tuple[int, ...], set[int]]] = {}
+    """The windows of a block of items, (id, words) each. What is sent is the words' text and ids; the rest is made of it where it is used."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], width: int = WINDOW) -> None:
+        ids: dict[bytes, int] = {}
+        seqs = [np.fromiter((ids.setdefault(w, len(ids) + 1) for w in words), np.int32, len(words)) for _, words in items]
+        self.width, self.vocabulary = width, b" ".join(ids)
+        self.seq = np.concatenate(seqs) if seqs else np.zeros(0, np.int32)
+        self.lengths = np.array([len(x) for x in seqs], np.int64)
         self.items = [i for i, _ in items]
-        for k, (_, text) in enumerate(items):
-            seq = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
-            n = min(width, len(seq))
-            for a in range(len(seq) - n + 1 if n else 0):
-                held.setdefault(n, {}).setdefault(tuple(seq[a : a + n]), set()).add(k)
-        self.by_length = {n: (np.array(list(w), np.int64).reshape(-1, n), [sorted(x) for x in w.values()]) for n, w in sorted(held.items())}
-        self.least = min(self.by_length, default=0)
+
+    @cached_property
+    def ids(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.vocabulary.split(b" "), 1)} if self.vocabulary else {}
+
+    @cached_property
+    def by_length(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each length: the distinct windows, and the items of each as a flat array and where each window's begin in it."""
+        out = {}
+        begin = np.cumsum(self.lengths) - self.lengths
+        size = np.minimum(self.lengths, self.width)
+        for n in np.unique(size[size > 0]).tolist():
+            own = np.flatnonzero(size == n)
+            many = self.lengths[own] - n + 1
+            item = np.repeat(own, many)
+            start = np.repeat(begin[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            rows = np.ascontiguousarray(self.seq[start[:, None] + np.arange(n)])
+            windows, at = np.unique(rows.view(np.dtype((np.void, 4 * n))).ravel(), return_inverse=True)
+            pairs = np.unique(at.ravel() * np.int64(len(self.items)) + item)
+            first = np.searchsorted(pairs, np.arange(len(windows) + 1) * np.int64(len(self.items)))
+            out[n] = windows.view(np.int32).reshape(-1, n), pairs % len(self.items), first
+        return out
+
+    @property
+    def least(self) -> int:
+        return min(self.by_length, default=0)
+
+    def __getstate__(self) -> dict[str, object]:
+        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "by_length")}
 
 
 def find(ids: np.ndarray, doc: np.ndarray, at: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,22 +91,27 @@ def find(ids: np.ndarray, doc: np.ndarray, at: np.ndarray, w: Windows) -> tuple[
     seq[base[1:] - 1] = 0
     index = FMIndex(seq, len(w.ids) + 1)
     out = []
-    for n, (patterns, items) in w.by_length.items():
-        lo, hi = index.search(patterns)
-        hit = np.flatnonzero(hi > lo)
-        if not len(hit):
-            continue
-        many = (hi - lo)[hit]
-        which = np.repeat(hit, many)
-        rows = np.repeat(lo[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        pos = place[index.locate(rows)]
-        share = np.array([len(items[h]) for h in hit.tolist()])
-        item = np.concatenate([np.tile(items[h], c) for h, c in zip(hit.tolist(), many.tolist(), strict=True)])
-        rep = np.repeat(share, many)
-        out.append((np.repeat(doc[pos], rep), np.repeat(at[pos], rep), np.full(len(item), n), item))
+    for n, (windows, items, first) in w.by_length.items():
+        for part in range(0, len(windows), SEARCHED):
+            lo, hi = index.search(windows[part : part + SEARCHED])
+            hit = np.flatnonzero(hi > lo)
+            if not len(hit):
+                continue
+            many = (hi - lo)[hit]
+            rows = np.repeat(lo[hit], many) + _within(many)
+            pos = place[index.locate(rows)]
+            which = np.repeat(hit + part, many)
+            share = first[which + 1] - first[which]
+            item = items[np.repeat(first[which], share) + _within(share)]
+            out.append((np.repeat(doc[pos], share), np.repeat(at[pos], share), np.full(len(item), n), item))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (empty, empty, empty, empty)
 
 
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0 to size - 1 for each size, one after another."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     """Half-open spans, overlapping or touching ones merged."""
     if not len(start):
@@ -166,17 +197,23 @@ def pieces_of_words(text: bytes | None) -> Iterator[bytes]:
     return pieces(text or b"")
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of about BLOCK_BYTES, one block on the driver at a time; at least one block, perhaps empty."""
+def _blocks(benchmark: DataFrame, width: int, most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items' words in blocks of at most so many windows, one block on the driver at a time; at least one block, perhaps empty.
+
+    An item of more windows is cut into pieces that share width - 1 words, under one id: each of its windows lies in one piece.
+    """
     items = table(benchmark, {"item_id": "string", "text": "string"}).select(F.coalesce("item_id", F.lit("null")).alias("item_id"), "text").where("text is not null")
-    block: list[tuple[str, bytes]] = []
+    block: list[tuple[str, list[bytes]]] = []
     size = 0
     for r in items.toLocalIterator():
-        if size > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((r.item_id, t := r.text.encode()))
-        size += len(t)
+        words = words_of(r.text.encode())
+        for a in range(0, max(1, len(words) - width + 1), most):
+            n = min(most, max(1, len(words) - width + 1 - a))
+            if size + n > most:
+                yield block
+                block, size = [], 0
+            block.append((r.item_id, words[a : a + n + width - 1]))
+            size += n
     yield block
 
 
@@ -190,7 +227,7 @@ def _searched(docs: DataFrame, benchmark: DataFrame, width: int, out: StructType
         return pa.RecordBatch.from_arrays([*rows.columns, *_hit_columns(counts, own, items)], names=names)
 
     waiting, df, first = None, docs, True
-    for block in _blocks(benchmark):
+    for block in _blocks(benchmark, width, BLOCK_WINDOWS):
         if waiting:
             df, first = df.mapInArrow(_pass(waiting, text_at, first, carry), carried), False
         waiting = docs.sparkSession.sparkContext.broadcast(Windows(block, width))
@@ -212,7 +249,8 @@ _CARRIED = StructType([StructField("_n_words", LongType()), StructField("_spans"
 def spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, spans, items) of every row: spans are merged half-open word ranges to remove, items the ids whose windows occur.
 
-    A null text has no words. Item ids are kept as strings; a null id reads "null"; items that repeat an id count once.
+    A null text has no words. Item ids are kept as strings; a null id reads "null"; items that repeat an id count once. Repeated rows have
+    a row each. Texts and items of any length are searched whole. Other columns fall away. Without docs, no rows; without items, no spans.
     """
 
     def finish(rows: pa.RecordBatch, counts: list, own: list, items: list) -> pa.RecordBatch:
@@ -223,7 +261,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFra
 
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The contract's columns of every document, and the spans and items that they come from."""
+    """The contract's columns of every document, and the spans and items that they come from; odd rows and tables as in spans."""
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"]), F.lit(0).cast("bigint"))
     return (
         spans(docs, benchmark)

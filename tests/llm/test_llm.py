@@ -213,10 +213,10 @@ def brute_contamination(rows, items, width=13):
     return out
 
 
-@pytest.mark.parametrize("shard, block", [(3_000_000, 1 << 20), (50, 60)])
+@pytest.mark.parametrize("shard, block", [(3_000_000, 1 << 20), (50, 7)])
 def test_decontamination_matches_brute_force(spark, monkeypatch, shard, block):
     monkeypatch.setattr(decontam, "SHARD_WORDS", shard)
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", block)
     r = random.Random(9)
     items = [(i, " ".join(r.choices(WORDS, k=r.choice([3, 13, 14, 30])))) for i in range(12)] + [(99, ""), (100, None), (3, "Stone, RIVER stone"), (None, "green apple house")]
     text = [" ".join(r.choices(WORDS, k=200)) for _ in range(20)]
@@ -228,6 +228,31 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, shard, block):
     assert sorted(map(key, got)) == sorted(map(key, brute_contamination(rows, items)))
 
 
+def test_a_full_block_of_windows_takes_bounded_memory():
+    """Of words that are all different, the worst case; what is sent is about the text, and both stay far below the driver's memory."""
+    import pickle
+    import tracemalloc
+
+    words = [b"w%06x" % i for i in range(decontam.BLOCK_WINDOWS + 12)]
+    tracemalloc.start()
+    w = decontam.Windows([("1", words)])
+    sent = pickle.dumps(w)
+    got = pickle.loads(sent)
+    windows, items, first = got.by_length[13]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(windows) == decontam.BLOCK_WINDOWS and len(items) == len(first) - 1 and got.ids[words[5]] == 6
+    assert peak < 300e6 and len(sent) < 10e6
+
+
+def test_long_items_are_cut_into_pieces_that_share_words(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 10)
+    item = " ".join(f"w{i}" for i in range(60))
+    docs = [(1, f"a {item} b"), (2, " ".join(item.split()[20:33])), (3, " ".join(item.split()[20:32]))]
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontam.judged(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(9, item)], "item_id bigint, text string")).collect()}
+    assert got == {1: (60, 1), 2: (13, 1), 3: (0, 0)}
+
+
 def test_decontamination_of_nothing(spark, empty, docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.judged(empty, none).count() == 0
@@ -241,7 +266,7 @@ def test_clean_judges_each_row_by_its_own_text(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, items string, n_words int")
     bench = spark.createDataFrame([(1, item), (2, free[2][:20])], "item_id bigint, text string")
     for block in (16 << 20, 10):
-        monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+        monkeypatch.setattr(decontam, "BLOCK_WINDOWS", block)
         kept = decontam.clean(docs, bench)
         assert kept.schema == docs.schema and Counter(tuple(r) for r in kept.collect()) == Counter(r for r in rows if r[3] not in (2, 4))
     assert decontam.clean(docs.limit(0), bench).count() == 0 and decontam.clean(docs, bench.limit(0)).count() == len(rows)
@@ -807,7 +832,7 @@ def brute_fit_scores(text, idf, lower):
     """TF-IDF of hashed n-grams in dictionaries: what ngrams.row gives."""
     code = [ord(c) for c in text]
     if lower:
-        code = [ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in (min(c, 0xFFFF) for c in code)]  # beyond the first plane all are one
+        code = [ord(chr(c).lower()) if c < 0x10000 and len(chr(c).lower()) == 1 else c for c in code]  # as they are beyond the first plane
     p = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D]
     m = (1 << 32) - 1
     c = Counter()
