@@ -18,7 +18,7 @@ _CHUNK = 1 << 20
 
 
 def _fold_case() -> np.ndarray:
-    """Lower case of the first 65,536 code points, where it is one code point."""
+    """Lower case of the first 65,536 code points, where it is one code point; those beyond stay as they are."""
     return np.array([ord(c.lower()) if len((c := chr(i)).lower()) == 1 and not 0xD800 <= i < 0xE000 else i for i in range(0x10000)], np.uint32)
 
 
@@ -33,7 +33,7 @@ def counts(text: str | None, lower: bool = True) -> np.ndarray:
         c = raw[max(0, at - 2) : at + _CHUNK]
         new = min(at, 2)  # code points that the chunk before has counted
         if lower:
-            c = _LOWER[np.minimum(c, 0xFFFF)]
+            c = np.where(c < 0x10000, _LOWER[np.minimum(c, 0xFFFF)], c)
         a, b, d = c * _PRIMES[0], c * _PRIMES[1], c * _PRIMES[2]
         b ^= b >> np.uint32(15)
         d ^= d >> np.uint32(13)
