@@ -50,20 +50,49 @@ def duplicate_rate(hits: DataFrame, key: str, item: str) -> DataFrame:
 
 
 def token_f1(pairs: DataFrame, tokens_a: Column, tokens_b: Column, key: str = "pair_id") -> DataFrame:
-    """Multiset token F1 of two token arrays per row; an empty one scores 0."""
-    p = pairs.select(key, tokens_a.alias("a"), tokens_b.alias("b"))
-    count = lambda c, n: p.select(key, F.explode(c).alias("t")).groupBy(key, "t").agg(F.count("*").alias(n))
-    common = count("a", "x").join(count("b", "y"), [key, "t"]).groupBy(key).agg(F.sum(F.least("x", "y")).alias("common"))
-    c = F.coalesce("common", F.lit(0))
-    f1 = F.when(c == 0, 0.0).otherwise(2.0 * c / (F.size("a") + F.size("b")))
-    return p.join(common, key, "left").select(key, c.alias("common"), F.round(f1, 4).alias("f1"))
+    """Multiset token F1 of two token arrays per row, worked out in the row; an empty one scores 0.
+
+    Both are sorted and merged: a token's nth occurrence on one side meets its nth on the other.
+    """
+    numbered = lambda ts: F.transform(F.array_sort(ts), lambda t, i: F.struct(t.alias("t"), (i - F.array_position(F.array_sort(ts), t) + 1).alias("n")))
+    p = pairs.select(key, F.coalesce(tokens_a, F.array().cast("array<string>")).alias("a"), F.coalesce(tokens_b, F.array().cast("array<string>")).alias("b"))
+    c = F.size(F.array_intersect(numbered(F.col("a")), numbered(F.col("b")))).cast("bigint")
+    p = p.withColumn("common", c)
+    f1 = F.when(F.col("common") == 0, 0.0).otherwise(2.0 * F.col("common") / (F.size("a") + F.size("b")))
+    return p.select(key, "common", F.round(f1, 4).alias("f1"))
+
+
+def quantiles(samples: DataFrame, group: str, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(group, q0, q1, ...): exact quantiles of each group, linearly interpolated, by selection instead of a buffer of all values.
+
+    Distinct values are counted and dealt out by range; the counts of the ranges before tell which range holds an order statistic.
+    """
+    from pyspark.sql.window import Window
+
+    from folio.operators.store import materialise
+
+    counted = samples.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
+    ranged = materialise(counted.repartitionByRange(group, value).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy(group, "_part").agg(F.sum("_n").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = parts.withColumn("_before", before).drop("_rows")
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(group, "_part").orderBy(value))
+    placed = ranged.join(base, [group, "_part"]).withColumn("_upto", upto)
+    at = lambda i, p: F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("_total") - 1)).alias("at"))
+    wanted = parts.groupBy(group).agg(F.sum("_rows").alias("_total")).select(group, F.explode(F.array(*[at(i, p) for i, p in enumerate(shares)])).alias("w"))
+    holds = lambda k: (F.col("_upto") > k) & (F.col("_upto") - F.col("_n") <= k)
+    low, high = holds(F.floor("w.at")), holds(F.ceil("w.at"))
+    found = placed.join(wanted, group).where(low | high).groupBy(group, "w.i").agg(F.max("w.at").alias("at"), F.max(F.when(low, F.col(value))).alias("low"), F.max(F.when(high, F.col(value))).alias("high"))
+    found = found.withColumn("q", F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at")))
+    return found.groupBy(group).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(len(shares))])
 
 
 def latency(samples: DataFrame, stage: str, ms: str) -> DataFrame:
     """Mean, median, linearly interpolated 95th percentile, least and greatest per stage, and whether its mean is a bottleneck's."""
     limit = F.coalesce(F.create_map(*[F.lit(x) for kv in BOTTLENECK_MS.items() for x in kv])[F.col(stage)], F.lit(BOTTLENECK_OTHER_MS))
-    g = samples.where(F.col(ms).isNotNull()).groupBy(stage).agg(F.count("*").alias("n"), F.round(F.avg(ms), 4).alias("mean"), F.round(F.percentile(ms, 0.5), 4).alias("median"), F.round(F.percentile(ms, 0.95), 4).alias("p95"), F.round(F.min(ms), 4).alias("least"), F.round(F.max(ms), 4).alias("greatest"))
-    return g.withColumn("bottleneck", F.col("mean") >= limit)
+    g = samples.where(F.col(ms).isNotNull()).groupBy(stage).agg(F.count("*").alias("n"), F.round(F.avg(ms), 4).alias("mean"), F.round(F.min(ms), 4).alias("least"), F.round(F.max(ms), 4).alias("greatest"))
+    g = g.join(quantiles(samples, stage, ms, (0.5, 0.95)), stage).withColumns({"median": F.round("q0", 4), "p95": F.round("q1", 4)})
+    return g.select(stage, "n", "mean", "median", "p95", "least", "greatest", (F.col("mean") >= limit).alias("bottleneck"))
 
 
 def latency_report(stats: DataFrame, stage: str) -> DataFrame:
@@ -149,10 +178,11 @@ def declines(answer: Column) -> Column:
     return (a == "") | F.exists(F.array(*[F.lit(w) for w in DECLINES]), lambda w: F.contains(F.lower(a), w))
 
 
-def grounded_results(answers: DataFrame) -> DataFrame:
+def grounded_results(answers: DataFrame, *keep: str) -> DataFrame:
     """A row per answer (query_id, answerable, status, answer, expected, claims, supported, contradicted, cited, relevant: arrays) with its marks.
 
-    An answerable question that is declined has F1 0; an unanswerable one is right if declined, and must cite nothing.
+    An answerable question that is declined has F1 0; an unanswerable one is right if declined, and must cite nothing. keep: further
+    columns that stay.
     """
     from folio.functions import text as T
 
@@ -169,7 +199,7 @@ def grounded_results(answers: DataFrame) -> DataFrame:
     share = lambda p, q, none: F.when(q > 0, F.round(p / F.greatest(q, F.lit(1)), 4)).otherwise(none)
     isolated = F.when(n == 0, 1.0).otherwise(0.0)
     return r.select(
-        "query_id", "answerable", "status", n.alias("citations"), "refused", (c("answerable") != c("refused")).alias("refusal_correct"), (c("answerable") & c("refused")).alias("false_refusal"), (~c("answerable") & ~c("refused")).alias("incorrect_answer"), "f1",
+        *keep, "query_id", "answerable", "status", n.alias("citations"), "refused", (c("answerable") != c("refused")).alias("refusal_correct"), (c("answerable") & c("refused")).alias("false_refusal"), (~c("answerable") & ~c("refused")).alias("incorrect_answer"), "f1",
         F.when(c("answerable"), known & (c("f1") >= RIGHT_F1)).otherwise(c("refused")).alias("correct"),
         (c("answerable") & ~c("refused") & F.coalesce(c("status").isin("grounded", "partially_grounded"), F.lit(False)) & (c("contradicted") == 0) & (c("supported") > 0)).alias("success"),
         F.when(c("claims") > 0, F.round(c("supported") / F.greatest("claims", F.lit(1)), 4)).when(c("answerable"), 0.0).otherwise(1.0).alias("support_rate"),

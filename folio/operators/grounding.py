@@ -263,10 +263,10 @@ def citations(refs: DataFrame) -> DataFrame:
     """
     use = F.struct("claim_index", F.when(F.col("kind") == "supports", 0).otherwise(1).alias("k"), "position")
     once = refs.groupBy("answer_id", "claim_index", "kind", "document_id", "chunk_id").agg(F.min(use).alias("use"))
-    first = once.groupBy("answer_id", "document_id", "chunk_id").agg(F.min("use").alias("first"))
-    n = F.row_number().over(Window.partitionBy("answer_id").orderBy("first", "document_id", "chunk_id"))
-    numbered = first.withColumn("citation", F.concat(F.lit("cite_"), n.cast("string"))).drop("first")
-    return once.join(numbered, ["answer_id", "document_id", "chunk_id"]).drop("use")
+    first = F.min("use").over(Window.partitionBy("answer_id", "document_id", "chunk_id"))
+    n = F.dense_rank().over(Window.partitionBy("answer_id").orderBy("_first", "document_id", "chunk_id"))
+    numbered = once.withColumn("_first", first).withColumn("citation", F.concat(F.lit("cite_"), n.cast("string")))
+    return numbered.select("answer_id", "document_id", "chunk_id", "claim_index", "kind", "citation")
 
 
 def isolation(used: DataFrame, expected: Column | None = None) -> DataFrame:

@@ -101,6 +101,58 @@ def replace_document(current: DataFrame, rows: DataFrame, processed: DataFrame,
     return current.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+class BrokenRows(ValueError):
+    """Rows that a commit must not take: violations of uniqueness, references or ranges."""
+
+
+def _manifest(spark: SparkSession, root: str, key_type: str = "bigint") -> DataFrame:
+    """(document_id, attempt, seq, status) of all committed attempts; none yet: no rows."""
+    from pyspark.errors import AnalysisException
+
+    kinds = f"document_id {key_type}, attempt string, seq bigint, status string"
+    try:
+        return spark.read.schema(kinds).parquet(f"{root}/manifest")
+    except AnalysisException:
+        return spark.createDataFrame([], kinds)
+
+
+def latest(spark: SparkSession, root: str, key_type: str = "bigint") -> DataFrame:
+    """(document_id, attempt, status): what each document's last committed attempt is."""
+    return _manifest(spark, root, key_type).groupBy("document_id").agg(F.max_by(F.struct("attempt", "status"), "seq").alias("m")).select("document_id", "m.attempt", "m.status")
+
+
+def stage(root: str, attempt: str, tables: dict[str, DataFrame]) -> None:
+    """The rows of an attempt, under its name; nobody reads them before they are committed."""
+    for name, rows in tables.items():
+        rows.withColumn("attempt", F.lit(attempt)).write.mode("overwrite").partitionBy("attempt").option("partitionOverwriteMode", "dynamic").parquet(f"{root}/{name}")
+
+
+def persist(root: str, tables: dict[str, DataFrame], attempt: str, status: str = "processed") -> DataFrame:
+    """Commits documents, pages and chunks as one: document ids that were processed before, and so are left out.
+
+    A document that is processed stays as it is; any earlier rows of another are replaced as a whole. Rows are staged, checked, and
+    committed by a manifest that is written last, in one piece: an attempt that breaks off at any point before changes nothing for readers,
+    and can be run again under its name. Attempts follow one another; two at once are not told apart in time.
+    """
+    spark, kind = tables["documents"].sparkSession, dict(tables["documents"].dtypes)["document_id"]
+    done = materialise(latest(spark, root, kind).where("status = 'processed'").select("document_id"))
+    new = {n: t.join(done, "document_id", "left_anti") for n, t in tables.items()}
+    stage(root, attempt, new)
+    staged = {n: spark.read.parquet(f"{root}/{n}").where(F.col("attempt") == attempt) for n in tables}
+    broken = [r.rule for r in violations(staged["documents"], staged["pages"], staged["chunks"]).where("n > 0").collect()]
+    if broken:
+        raise BrokenRows(f"attempt {attempt}: {', '.join(sorted(broken))}")
+    seq = _manifest(spark, root, kind).agg(F.coalesce(F.max("seq"), F.lit(0)).alias("s")).first().s + 1
+    rows = staged["documents"].select("document_id", F.lit(attempt).alias("attempt"), F.lit(seq).cast("bigint").alias("seq"), F.lit(status).alias("status"))
+    rows.write.mode("append").parquet(f"{root}/manifest")
+    return tables["documents"].join(done, "document_id", "left_semi").select("document_id")
+
+
+def committed_rows(spark: SparkSession, root: str, name: str, key_type: str = "bigint") -> DataFrame:
+    """The rows of each document's last committed attempt."""
+    return spark.read.parquet(f"{root}/{name}").join(latest(spark, root, key_type).drop("status"), ["document_id", "attempt"], "left_semi")
+
+
 def violations(documents: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
     """(rule, n): rows that break uniqueness, references or ranges; all zero before a commit."""
     repeat = lambda t, *k: t.groupBy(*k).count().where("count > 1")

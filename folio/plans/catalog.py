@@ -483,16 +483,21 @@ SELECT query_id, answerable, status, CAST(len(cited) AS INTEGER) AS citations, r
   CASE WHEN NOT answerable THEN CASE WHEN len(cited) = 0 THEN 1.0 ELSE 0.0 END WHEN len(relevant) = 0 THEN 1.0 ELSE round(len(list_intersect(cited, relevant)) / len(relevant), 4) END AS citation_recall FROM g"""
 
 
-def _grounded_results(spark, d) -> DataFrame:
+def graded_answers(spark, d) -> DataFrame:
+    """evaluation.grounded_results' input: assistants' turns as answers, the turn before as what was expected."""
     c = read(spark, d, "conversations")
     x = c.withColumn("expected", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("role = 'assistant'").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("answer"), "expected")
     p = store.materialise(_claim_pairs(spark, d))
-    rep = grounding.answer_report(grounding.claim_status(p)).select(F.col("answer_id").alias("query_id"), F.col("overall").alias("status"), "claims", "supported", "contradicted")
+    rep = grounding.answer_report(grounding.claim_status(p)).select(F.col("answer_id").alias("query_id"), F.col("overall").alias("status"), "claims", "supported", "unsupported", "contradicted", "conflicted")
     cited = p.groupBy(F.col("answer_id").alias("query_id")).agg(F.collect_set(F.when(F.col("entailment") >= 0.2, F.col("evidence_rank"))).alias("cited"), F.collect_set(F.when(F.col("evidence_rank") < 4, F.col("evidence_rank"))).alias("relevant"))
     none = F.array().cast("array<bigint>")
     j = x.join(rep, "query_id", "left").join(cited, "query_id", "left").withColumn("answerable", F.col("query_id") % 3 != 0)
-    j = j.withColumns({"status": F.coalesce("status", F.lit("empty")), **{n: F.coalesce(n, F.lit(0)) for n in ("claims", "supported", "contradicted")}, "cited": F.coalesce("cited", none), "relevant": F.coalesce("relevant", none)})
-    return evaluation.grounded_results(j)
+    j = j.withColumns({"status": F.coalesce("status", F.lit("empty")), **{n: F.coalesce(n, F.lit(0)) for n in ("claims", "supported", "unsupported", "contradicted", "conflicted")}, "cited": F.coalesce("cited", none), "relevant": F.coalesce("relevant", none)})
+    return j
+
+
+def _grounded_results(spark, d) -> DataFrame:
+    return evaluation.grounded_results(graded_answers(spark, d))
 
 
 @query(f"WITH {STATUS}, {REPORT}, {GROUNDED_MARKS}")
