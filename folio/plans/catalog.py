@@ -722,11 +722,15 @@ def answer_candidates(spark, d):
     return candidates.answer_candidates(chunk_documents(spark, d)).drop("text")
 
 
-@query(f"""WITH s AS (SELECT t, min(doc_id) AS id FROM (SELECT doc_id, list_sort({CONTENT.format(c='text')}) AS t FROM documents) WHERE len(t) > 0 GROUP BY t),
+KEYED = r"list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(trim({c})), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> ''))"
+ASKED_WORDS = f"CASE WHEN len(list_filter({KEYED}, lambda x: NOT list_contains({{stops}}, x))) > 0 THEN list_filter({KEYED}, lambda x: NOT list_contains({{stops}}, x)) ELSE {KEYED} END"
+
+
+@query(f"""WITH s AS (SELECT t, min(doc_id) AS id FROM (SELECT doc_id, list_sort({ASKED_WORDS.format(c='text', stops=_list(T.QUESTION_STOPS))}) AS t FROM documents) WHERE len(t) > 0 GROUP BY t),
 w AS (SELECT id, unnest(t) AS x FROM s), n AS (SELECT id, len(t) AS k FROM s), c AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM w a JOIN w b ON a.x = b.x AND a.id < b.id GROUP BY ALL)
 SELECT a, b, round(c / (p.k + q.k - c), 6) AS jaccard FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE round(c / (p.k + q.k - c), 6) >= 0.88""")
 def jaccard_pairs(spark, d):
-    return questions.jaccard_pairs(read(spark, d, "documents"), "doc_id", T.content_tokens(F.col("text")))
+    return questions.jaccard_pairs(read(spark, d, "documents"), "doc_id", T.question_tokens(F.col("text")))
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, doc_id = min(doc_id) OVER (PARTITION BY text) AS kept FROM documents")

@@ -1,8 +1,13 @@
-"""Files as documents: validation, content ids, a parser adapter, benchmark datasets."""
+"""Files as documents: validation, content ids, parser adapters, uploads, benchmark datasets.
+
+Spark's readers open the files, so any store that they reach will do; a parser gets a file's content and is all that runs in Python.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +16,30 @@ from pyspark.sql import functions as F
 from folio.functions import text as T
 
 MOST_BYTES, MOST_PAGES, LOW_TEXT = 50 << 20, 500, 50
-#: Content -> page texts; raises ValueError on a broken file.
-Parser = Callable[[bytes], list[str]]
+# What is told of a file besides its pages.
+METADATA = ("title", "author", "subject", "creator", "producer", "creation_date", "mod_date")
+#: What is wrong with a file: a code for each kind, the same in every source and status table.
+PROBLEMS = ("empty", "too_large", "wrong_type", "wrong_name", "outside_folder", "unreadable", "extraction_failed", "no_pages", "too_many_pages")
+
+
+class BrokenFile(ValueError):
+    """A file that is not what it should be: it will never be read."""
+
+
+class ExtractionFailed(RuntimeError):
+    """A file that was opened, but a page of which can't be read."""
+
+
+@dataclass
+class Parsed:
+    """A file's pages, and its metadata by METADATA's keys."""
+
+    pages: list[str]
+    metadata: dict[str, str] = field(default_factory=dict)
+
+
+#: Content -> page texts, or Parsed; raises BrokenFile (or any ValueError) on a broken file, ExtractionFailed on a page.
+Parser = Callable[[bytes], "list[str] | Parsed"]
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*", most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -26,6 +53,35 @@ def starts_with(content: Column, magic: bytes) -> Column:
     return F.substring(content, 1, len(magic)) == F.lit(magic)
 
 
+def normalised_path(path: Column) -> Column:
+    """A path without scheme, repeated slashes and . steps, its .. steps taken; one that leads out of the root ends there."""
+    parts = F.split(F.regexp_replace(path, r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", ""), r"[/\\\\]+")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p.isin("", "."), acc).when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def inside(path: Column, folders: tuple[str, ...]) -> Column:
+    """Whether a path, its steps taken, lies in one of the folders that are allowed."""
+    at, fits = normalised_path(path), F.lit(False)
+    for f in folders:
+        fits |= at.startswith(f.rstrip("/") + "/")
+    return F.coalesce(fits, F.lit(False))
+
+
+def uploads(files: DataFrame, folders: tuple[str, ...], suffix: str, magic: bytes, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """files (path, content) with document_id, the name to store a file under, and problem, the first that applies, or null.
+
+    The name is the first 12 hex digits of the content's SHA-256 and the file's own safe name, so it leads nowhere.
+    """
+    name = F.when(F.col("safe") == "", F.lit("upload")).otherwise(F.col("safe"))
+    c = F.coalesce(F.col("content"), F.lit(b""))
+    problem = (
+        F.when(~inside(F.col("path"), folders), "outside_folder").when(~F.lower("safe").endswith(suffix), "wrong_name").when(F.length(c) == 0, "empty").when(F.length(c) > most_bytes, "too_large").when(~starts_with(c, magic), "wrong_type")
+    )
+    f = files.withColumn("safe", safe_name(F.col("path")))
+    return f.withColumns({"document_id": T.content_id(c), "name": F.concat(F.substring(F.sha2(c, 256), 1, 12), F.lit("_"), name), "problem": problem}).drop("safe")
+
+
 def safe_name(name: Column) -> Column:
     """A file's base name with plain characters only."""
     return F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"[^A-Za-z0-9._-]", "_")
@@ -36,24 +92,104 @@ def text_pages(content: bytes) -> list[str]:
     return content.decode("utf-8").split("\f")
 
 
-def parse_pages(files: DataFrame, parser: Parser = text_pages, most_pages: int = MOST_PAGES) -> DataFrame:
-    """(document_id, page_number, text, problem): a row per page, or one with the problem of a file that can't be read."""
+class _Html(HTMLParser):
+    """Text by blocks; a horizontal rule ends a page."""
+
+    # Elements without text of the document, elements that stand in a line, meta names of METADATA's keys.
+    SILENT = ("script", "style", "head", "template", "noscript")
+    INLINE = ("a", "abbr", "b", "bdi", "cite", "code", "em", "font", "i", "kbd", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "u", "var")
+    NAMES = {"author": "author", "description": "subject", "subject": "subject", "generator": "creator", "producer": "producer", "date": "creation_date", "dcterms.created": "creation_date", "last-modified": "mod_date", "dcterms.modified": "mod_date"}
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.pages, self.lines, self.line, self.silent, self.titled, self.metadata = [], [], [], 0, False, {}
+
+    def end_line(self) -> None:
+        if text := " ".join("".join(self.line).split()):
+            self.lines.append(text)
+        self.line = []
+
+    def end_page(self) -> None:
+        self.end_line()
+        self.pages.append("\n".join(self.lines))
+        self.lines = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        at = {k: v or "" for k, v in attrs}
+        if tag == "meta" and (key := self.NAMES.get(at.get("name", "").lower())):
+            self.metadata.setdefault(key, at.get("content", ""))
+        self.silent += tag in self.SILENT
+        self.titled = tag == "title"
+        if tag == "hr":
+            self.end_page()
+        elif tag not in self.INLINE:
+            self.end_line()
+
+    def handle_endtag(self, tag: str) -> None:
+        self.silent -= tag in self.SILENT and self.silent > 0
+        self.titled = False
+        if tag not in self.INLINE:
+            self.end_line()
+
+    def handle_data(self, data: str) -> None:
+        if self.titled:
+            self.metadata["title"] = self.metadata.get("title", "") + data
+        elif not self.silent:
+            self.line.append(data)
+
+
+def html_document(content: bytes) -> Parsed:
+    """A page of HTML: its text by blocks, a new page at each horizontal rule, title and meta elements."""
+    try:
+        text = content.decode("utf-8")
+    except UnicodeDecodeError as e:
+        raise BrokenFile(f"not UTF-8: {e.reason}") from e
+    if "<" not in text:
+        raise BrokenFile("no markup")
+    p = _Html()
+    p.feed(text)
+    p.close()
+    p.end_page()
+    return Parsed(p.pages, p.metadata)
+
+
+def read_one(parser: Parser, content: bytes, most_pages: int) -> tuple[Parsed, str | None, str | None]:
+    """(pages and metadata, problem, detail) of a file's content."""
+    try:
+        got = parser(content)
+    except ExtractionFailed as e:
+        return Parsed([]), "extraction_failed", str(e)[:500]
+    except ValueError as e:
+        return Parsed([]), "unreadable", str(e)[:500]
+    got = got if isinstance(got, Parsed) else Parsed(got)
+    problem = "no_pages" if not got.pages else "too_many_pages" if len(got.pages) > most_pages else None
+    return got, problem, None if problem is None else f"{len(got.pages)} pages"
+
+
+def parse_documents(files: DataFrame, parser: Parser = text_pages, most_pages: int = MOST_PAGES) -> DataFrame:
+    """(document_id, page_number, text, metadata, problem, detail): a row per page, or one with the problem of a file that can't be read.
+
+    files: (document_id, content, problem); those with a problem aren't opened. metadata has METADATA's keys, blank values as null.
+    """
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for doc, content, problem in zip(f["document_id"], f["content"], f["problem"], strict=True):
-                pages: list[str] = []
+                got, detail = Parsed([]), None
                 if problem is None:
-                    try:
-                        pages = parser(bytes(content))
-                        problem = "no_pages" if not pages else "too_many_pages" if len(pages) > most_pages else None
-                    except ValueError as e:
-                        problem = f"unreadable: {e}"[:500]
-                rows += [(doc, None, None, problem)] if problem is not None else [(doc, i + 1, t, None) for i, t in enumerate(pages)]
-            yield pd.DataFrame(rows, columns=["document_id", "page_number", "text", "problem"]).astype({"page_number": "Int32"})
+                    got, problem, detail = read_one(parser, bytes(content), most_pages)
+                told = {k: (got.metadata.get(k) or "").strip() or None for k in METADATA}
+                rows += [(doc, None, None, told, problem, detail)] if problem is not None else [(doc, i + 1, t, told, None, None) for i, t in enumerate(got.pages)]
+            yield pd.DataFrame(rows, columns=["document_id", "page_number", "text", "metadata", "problem", "detail"]).astype({"page_number": "Int32"})
+
+    kind = f"document_id {dict(files.dtypes)['document_id']}, page_number int, text string, metadata struct<{', '.join(f'{k}: string' for k in METADATA)}>, problem string, detail string"
+    return files.select("document_id", "content", "problem").mapInPandas(work, kind)
 
-    return files.select("document_id", "content", "problem").mapInPandas(work, "document_id string, page_number int, text string, problem string")
+
+def parse_pages(files: DataFrame, parser: Parser = text_pages, most_pages: int = MOST_PAGES) -> DataFrame:
+    """(document_id, page_number, text, problem) of parse_documents."""
+    return parse_documents(files, parser, most_pages).select("document_id", "page_number", "text", F.when(F.col("problem").isNotNull(), F.concat_ws(": ", "problem", "detail")).alias("problem"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -82,4 +218,7 @@ def load_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 def dataset_summary(items: DataFrame) -> DataFrame:
     """Counts over all items and by category, in one pass."""
-    return items.groupingSets([[], ["category"]], "category").agg(F.count("*").alias("items"), F.count_if(F.col("answerable")).alias("answerable"), F.count_if(~F.col("answerable")).alias("unanswerable"))
+    status = lambda s: F.count_if(F.col("verification_status") == s)
+    return items.groupingSets([[], ["category"]], "category").agg(
+        F.count("*").alias("items"), F.count_if(F.col("answerable")).alias("answerable"), F.count_if(~F.col("answerable")).alias("unanswerable"), status("verified").alias("verified"), status("unverified").alias("unverified"), F.count_if(F.col("problem").isNotNull()).alias("problems")
+    )
