@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folio.operators.scoring import Scorer, scored
+
 
 def best_span(logits: DataFrame, top: int = 20, longest: int = 64, threshold: float = 0.0) -> DataFrame:
     """logits (query_id, window, token, start, end), token 0 the null answer -> a row per query.
@@ -26,3 +31,82 @@ def best_span(logits: DataFrame, top: int = 20, longest: int = 64, threshold: fl
     ok = F.coalesce(F.col("b.diff") > threshold, F.lit(False))
     span = lambda c: F.when(ok, -F.col(f"b.{c}"))
     return nulls.join(best, "query_id", "left").select("query_id", ok.alias("answerable"), span("w").alias("window"), span("ns").alias("start_token"), span("ne").alias("end_token"), F.round("b.score", 4).alias("score"), F.round("b.diff", 4).alias("score_diff"))
+
+
+#: What a reader says of (question, text): of each window's tokens the start and end scores and the code points that they stand for; token 0
+#: of a window is the null answer, without a place in the text.
+LOGITS = "array<struct<window: int, token: int, start: double, end: double, begins: int, stops: int>>"
+
+
+@dataclass(frozen=True)
+class Reading:
+    """How a text is read: tokens of a window, tokens that neighbours share, best starts and ends of a window, the longest answer's tokens, the
+    score over the null answer's from which a question counts as answered."""
+
+    window: int = 384
+    shared: int = 128
+    best: int = 20
+    longest: int = 64
+    threshold: float = 0.0
+
+    def __post_init__(self) -> None:
+        if min(self.window, self.best, self.longest) < 1 or not 0 <= self.shared < self.window:
+            raise ValueError("windows, best and longest must be 1 or more, and a window must go beyond what it shares")
+
+
+def windows(n: int, reading: Reading) -> list[tuple[int, int]]:
+    """Half-open ranges of n tokens: each begins window - shared after the one before; the last ends with the text."""
+    step, out = reading.window - reading.shared, []
+    for at in range(0, max(n, 1), step):
+        out.append((at, min(n, at + reading.window)))
+        if at + reading.window >= n:
+            break
+    return out
+
+
+def reader(name: str, tokens: Callable[[str], list[tuple[int, int]]], logits: Callable[[str, str, list[tuple[int, int]]], tuple[list[float], list[float]]], reading: Reading, batch: int = 8) -> Scorer:
+    """A scorer of LOGITS. tokens: code-point ranges of a text's tokens; logits: start and end scores of (question, text, a window's ranges),
+    the null answer's first."""
+
+    def load(_: str):
+        def one(question: str, text: str) -> list[dict]:
+            ranges, out = tokens(text), []
+            for w, (a, b) in enumerate(windows(len(ranges), reading)):
+                start, end = logits(question, text, ranges[a:b])
+                places = [(None, None), *ranges[a:b]]
+                out += [{"window": w, "token": t, "start": float(s), "end": float(e), "begins": p[0], "stops": p[1]} for t, (s, e, p) in enumerate(zip(start, end, places, strict=True))]
+            return out
+
+        return lambda rows: [one(*r) for r in rows]
+
+    return Scorer(name, load, LOGITS, batch)
+
+
+def answer(questions: DataFrame, evidence: DataFrame, read: Scorer, reading: Reading = Reading()) -> DataFrame:
+    """questions (query_id, query), evidence (query_id, rank, chunk_id, document_id, page_number, text) -> a row per question.
+
+    The best span of all windows of all evidence by its score over the window's null answer; blank evidence isn't read, but counts in
+    n_evidence. Without a span over the threshold there is no answer and no place; scores and ids of the best stay. A blank question fails.
+    """
+    blank = F.coalesce(F.trim("query"), F.lit("")) == ""
+    asked = questions.withColumn("query", F.when(blank, F.raise_error(F.lit("questions must not be blank")).cast("string")).otherwise(F.trim("query")))
+    n = evidence.groupBy("query_id").agg(F.count("*").alias("n_evidence"))
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    e = evidence.withColumn("evidence_rank", order).where(F.trim(F.coalesce("text", F.lit(""))) != "").join(asked, "query_id")
+    said = scored(e, read, "_logits", "query", "text").select("query_id", "evidence_rank", F.inline("_logits"))
+    # a window of a piece of evidence as one number, in order of both
+    wide = said.withColumn("window", F.col("evidence_rank").cast("bigint") * (1 << 20) + F.col("window"))
+    spans = best_span(wide.select("query_id", "window", "token", "start", "end"), reading.best, reading.longest, float("-inf"))
+    place = wide.select("query_id", "window", "token", "begins", "stops")
+    b = spans.join(place.selectExpr("query_id", "window", "token as start_token", "begins"), ["query_id", "window", "start_token"], "left").join(place.selectExpr("query_id", "window", "token as end_token", "stops"), ["query_id", "window", "end_token"], "left")
+    b = b.withColumn("evidence_rank", F.floor(F.col("window") / (1 << 20)).cast("int")).join(e.select("query_id", "evidence_rank", "chunk_id", "document_id", "page_number", "text"), ["query_id", "evidence_rank"], "left")
+    raw = F.substring("text", F.col("begins") + 1, F.col("stops") - F.col("begins"))
+    left = F.length(raw) - F.length(F.regexp_replace(raw, r"(?U)^\s+", ""))
+    bare = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+    ok = F.coalesce((F.col("score_diff") > reading.threshold) & (bare != ""), F.lit(False))
+    of = lambda c: F.when(ok, c)
+    out = b.select(
+        "query_id", ok.alias("answerable"), of(bare).alias("answer"), of(F.col("begins") + left).alias("answer_start"), of(F.col("begins") + left + F.length(bare)).alias("answer_end"), F.col("score").alias("qa_score"), F.round(F.col("score") - F.col("score_diff"), 4).alias("no_answer_score"), "evidence_rank", "chunk_id",
+        "document_id", "page_number",
+    )
+    return questions.select("query_id").join(out, "query_id", "left").join(n, "query_id", "left").withColumns({"answerable": F.coalesce("answerable", F.lit(False)), "n_evidence": F.coalesce("n_evidence", F.lit(0))})

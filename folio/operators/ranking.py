@@ -63,3 +63,12 @@ def checked_score(score: Column) -> Column:
     """The score; a missing, NaN or infinite one fails the query."""
     s = score.cast("double")
     return F.when(s.isNull() | F.isnan(s) | (F.abs(s) == float("inf")), F.raise_error(F.lit("scores must be finite")).cast("double")).otherwise(s)
+
+
+def board(results: DataFrame, citations: DataFrame, key: str = "answer_id", show: str = "all") -> DataFrame:
+    """results (key, chunk_id, rank, original_rank, ...) with citation (null: none), used and promoted; show: all, used or promoted ones."""
+    if show not in ("all", "used", "promoted"):
+        raise ValueError("show must be all, used or promoted")
+    cited = citations.groupBy(key, "chunk_id").agg(F.max("citation").alias("citation"))
+    b = results.join(cited, [key, "chunk_id"], "left").withColumns({"used": F.col("citation").isNotNull(), "promoted": F.coalesce(F.col("original_rank") > F.col("rank"), F.lit(False))})
+    return b if show == "all" else b.where(show)

@@ -11,12 +11,13 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folio.functions import text as T
-from folio.operators import answering, embedding, evidence, search, store
+from folio.operators import answering, embedding, evidence, grounding, qa, ranking, search, store
 from folio.operators.store import materialise
-from folio.plans import stand_ins
-from folio.plans.catalog import CONTENT, FORM, TERMS, TOKENS, _list, stated
+from folio.plans import catalog, stand_ins
+from folio.plans.catalog import CONTENT, FORM, REFS, STATUS, TERMS, TOKENS, _list, stated
 from folio.plans.registry import query, read
 
 DIMENSION = embedding.DIMENSION
@@ -151,3 +152,48 @@ def grounded_answers(spark, d):
 @query(f"WITH {ANSWERS} SELECT outcome, count(*) AS n FROM oc GROUP BY outcome")
 def grounded_outcomes(spark, d):
     return grounded(spark, d).answers.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+BOARD = f"""WITH {STATUS}, {REFS}, f AS (SELECT answer_id, chunk_id, min((claim_index, CASE WHEN kind = 'supports' THEN 0 ELSE 1 END, position)) AS use FROM refs GROUP BY ALL),
+n AS (SELECT answer_id, chunk_id, 'cite_' || row_number() OVER (PARTITION BY answer_id ORDER BY use, chunk_id) AS citation FROM f),
+e AS (SELECT answer_id, evidence_rank AS chunk_id, max(entailment) AS best FROM pairs GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY best DESC, chunk_id) AS rank, row_number() OVER (PARTITION BY answer_id ORDER BY chunk_id) AS original_rank FROM e)
+SELECT answer_id, chunk_id, CAST(rank AS INTEGER) AS rank, CAST(original_rank AS INTEGER) AS original_rank, coalesce(citation, '-') AS citation, citation IS NOT NULL AS used, original_rank > rank AS promoted FROM r LEFT JOIN n USING (answer_id, chunk_id)"""
+
+
+def _board(spark, d, show: str) -> DataFrame:
+    by = lambda *o: F.row_number().over(Window.partitionBy("answer_id").orderBy(*o))
+    e = catalog._claim_pairs(spark, d).groupBy("answer_id", F.col("evidence_rank").alias("chunk_id")).agg(F.max("entailment").alias("best"))
+    results = e.select("answer_id", "chunk_id", by(F.desc("best"), "chunk_id").alias("rank"), by("chunk_id").alias("original_rank"))
+    return ranking.board(results, grounding.citations(catalog._refs(spark, d)), show=show).withColumn("citation", F.coalesce("citation", F.lit("-")))
+
+
+@query(BOARD)
+def evidence_board(spark, d):
+    return _board(spark, d, "all")
+
+
+@query(f"SELECT * FROM ({BOARD}) WHERE promoted")
+def evidence_board_promoted(spark, d):
+    return _board(spark, d, "promoted")
+
+
+def reading_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Questions of the first turns of conversations, and all of their turns as evidence."""
+    c = read(spark, d, "conversations")
+    w = F.filter(T.tokens(F.col("text")), lambda x: F.length(x) > 4)
+    q = c.where("turn % 2 = 0 and role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "conv_id", F.concat(F.lit("What of "), F.array_join(F.slice(w, 1, 3), " "), F.lit("?")).alias("query"))
+    e = c.select("conv_id", F.col("turn").alias("rank"), F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), F.col("conv_id").alias("document_id"), (F.col("turn") + 1).alias("page_number"), "text").join(q.select("query_id", "conv_id"), "conv_id").drop("conv_id")
+    return q.drop("conv_id"), e
+
+
+@query()
+def extractive_answers(spark, d):
+    return qa.answer(*reading_inputs(spark, d), stand_ins.overlap_reader(stand_ins.READING), stand_ins.READING)
+
+
+@query("SELECT doc_id AS id, text FROM documents WHERE doc_id = 3 UNION ALL SELECT conv_id * 100 + turn, text FROM conversations WHERE conv_id = 5 AND turn = 1 UNION ALL SELECT vec_id, CAST(label AS VARCHAR) FROM embeddings WHERE vec_id = 9")
+def rows_by_id(spark, d):
+    page = store.page_of_document(catalog.pages(spark, d), 5, 2).select((F.col("document_id") * 100 + F.col("page_number") - 1).alias("id"), "text")
+    chunk = store.by_id(read(spark, d, "embeddings"), "vec_id", 9).select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("text"))
+    return store.by_id(read(spark, d, "documents"), "doc_id", 3).select(F.col("doc_id").alias("id"), "text").unionByName(page).unionByName(chunk)

@@ -7,8 +7,11 @@ from collections.abc import Iterable
 
 from folio.functions.text import GROUNDING_STOPS
 from folio.operators.grounding import DENIALS
+from folio.operators.qa import Reading, reader
 from folio.operators.scoring import Model, Scorer
 
+READING = Reading(window=24, shared=8)
+
 
 def content(text: str) -> set[str]:
     return set(re.findall(r"[a-z0-9]+", text.lower())) - set(GROUNDING_STOPS)
@@ -111,3 +114,16 @@ def cloze_reader() -> Scorer:
         return lambda rows: [one(*r) for r in rows]
 
     return Scorer("cloze-reader", load, "string")
+
+
+def overlap_reader(reading: Reading) -> Scorer:
+    """Span scores: a token is a good start, and a good end, by the question's content words among it and its two neighbours; one without a
+    place in a window has the null answer at 1."""
+
+    def logits(question: str, text: str, places: list[tuple[int, int]]) -> tuple[list[float], list[float]]:
+        words = content(question)
+        hit = [float(text[a:b].strip(".,;:!?").lower() in words) for a, b in places]
+        near = [sum(hit[max(0, i - 1) : i + 2]) for i in range(len(hit))]
+        return [0.5, *[n + h for n, h in zip(near, hit, strict=True)]], [0.5, *[n + h / 2 for n, h in zip(near, hit, strict=True)]]
+
+    return reader(f"overlap-{reading.window}-{reading.shared}", lambda t: [m.span() for m in re.finditer(r"\S+", t)], logits, reading)

@@ -5,7 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import answering, embedding, grounding, search, store
+from folio.operators import answering, embedding, grounding, qa, ranking, search, store
 from folio.operators.scoring import Scorer, ScoringError, batches, device, labels_of, nli, probabilities, scored
 
 
@@ -192,3 +192,62 @@ def test_fragments_are_judged_as_statements_too(spark):
 def test_scratch_is_not_shared_between_indexes(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         store.load_index(spark, str(tmp_path / "none"))
+
+
+def test_extractive_answers_are_the_best_spans_of_all_windows(spark, data):
+    from folio.plans import answer_queries, stand_ins
+
+    reading, places = stand_ins.READING, lambda t: [m.span() for m in __import__("re").finditer(r"\S+", t)]
+    model = stand_ins.overlap_reader(reading).load("cpu")
+    questions, evidence = answer_queries.reading_inputs(spark, data)
+    got = {r.query_id: r for r in qa.answer(questions, evidence, stand_ins.overlap_reader(reading), reading).collect()}
+    rows = {}
+    for r in sorted(evidence.collect(), key=lambda r: (r.query_id, r["rank"])):
+        rows.setdefault(r.query_id, []).append(r)
+    assert set(got) == {r.query_id for r in questions.collect()}
+    for q in questions.collect():
+        found = []
+        for n, e in enumerate(rows.get(q.query_id, []), 1):
+            logits = model([(q.query.strip(), e.text)])[0] if (e.text or "").strip() else []
+            for w in sorted({x["window"] for x in logits}):
+                own = [x for x in logits if x["window"] == w]
+                null, body = own[0]["start"] + own[0]["end"], own[1:]
+                starts = sorted(body, key=lambda x: (-x["start"], x["token"]))[: reading.best]
+                ends = sorted(body, key=lambda x: (-x["end"], x["token"]))[: reading.best]
+                found += [(s["start"] + t["end"] - null, s["start"] + t["end"], -n, -w, -s["token"], -t["token"], e.text[s["begins"] : t["stops"]], s["begins"], e.chunk_id) for s in starts for t in ends if s["token"] <= t["token"] < s["token"] + reading.longest]
+        r = got[q.query_id]
+        assert r.n_evidence == len(rows.get(q.query_id, []))
+        if found:
+            b = max(found, key=lambda x: x[:6])
+            assert (r.qa_score, r.chunk_id, r.answerable) == (round(b[1], 4), b[8], b[0] > 0) and r.no_answer_score == pytest.approx(b[1] - b[0])
+            assert (r.answer, r.answer_start, r.answer_end) == ((b[6], b[7], b[7] + len(b[6])) if b[0] > 0 else (None, None, None))
+    assert len(places("a b")) == 2
+
+
+def test_reading_windows():
+    assert qa.windows(10, qa.Reading(4, 1)) == [(0, 4), (3, 7), (6, 10)] and qa.windows(0, qa.Reading()) == [(0, 0)] and qa.windows(4, qa.Reading(4, 1)) == [(0, 4)] and qa.windows(11, qa.Reading(4, 1))[-1] == (9, 11)
+    for bad in ({"window": 4, "shared": 4}, {"best": 0}, {"longest": 0}, {"window": 0}):
+        with pytest.raises(ValueError):
+            qa.Reading(**bad)
+
+
+def test_blank_evidence_counts_and_blank_questions_fail(spark):
+    read = Scorer(f"r-{uuid.uuid4().hex}", lambda _: lambda rows: [[{"window": 0, "token": 0, "start": 9.0, "end": 9.0, "begins": None, "stops": None}, {"window": 0, "token": 1, "start": 1.0, "end": 2.0, "begins": 0, "stops": 3}] for _ in rows], qa.LOGITS)
+    kind = "query_id int, rank int, chunk_id string, document_id string, page_number int, text string"
+    ev = spark.createDataFrame([(1, 1, "c", "d", 1, " "), (1, 2, "e", "d", 1, " ab cd")], kind)
+    ask = lambda q: spark.createDataFrame([(1, q), (2, "other")], "query_id int, query string")
+    got = {r.query_id: r for r in qa.answer(ask("what"), ev, read).collect()}
+    assert (got[1].answerable, got[1].answer, got[1].qa_score, got[1].chunk_id, got[1].evidence_rank, got[1].n_evidence) == (False, None, 3.0, "e", 2, 2) and (got[2].answerable, got[2].n_evidence, got[2].qa_score) == (False, 0, None)
+    low = {r.query_id: r for r in qa.answer(ask("what"), ev, read, qa.Reading(threshold=-20.0)).collect()}
+    assert (low[1].answer, low[1].answer_start, low[1].answer_end) == ("ab", 1, 3)
+    with pytest.raises(Exception, match="blank"):
+        qa.answer(ask(" "), ev, read).collect()
+
+
+def test_board_filters(spark):
+    results = spark.createDataFrame([(1, "a", 1, 2), (1, "b", 2, 1), (1, "c", 3, None)], "answer_id int, chunk_id string, rank int, original_rank int")
+    cites = spark.createDataFrame([(1, "b", "cite_1")], "answer_id int, chunk_id string, citation string")
+    assert {r.chunk_id: (r.citation, r.used, r.promoted) for r in ranking.board(results, cites).collect()} == {"a": (None, False, True), "b": ("cite_1", True, False), "c": (None, False, False)}
+    assert [r.chunk_id for r in ranking.board(results, cites, show="used").collect()] == ["b"] and [r.chunk_id for r in ranking.board(results, cites, show="promoted").collect()] == ["a"]
+    with pytest.raises(ValueError):
+        ranking.board(results, cites, show="other")
