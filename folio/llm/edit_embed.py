@@ -184,7 +184,8 @@ def in_order(docs: DataFrame) -> DataFrame:
 def compare(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
-    A null text counts as empty. Equal doc_ids go by text; a lone document is its own next.
+    A null text counts as empty. Equal doc_ids go by text; a lone document is its own next. Texts of any length are embedded whole; other
+    columns, also clashing ones, fall away. Empty docs: no rows.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
@@ -300,7 +301,7 @@ def near_links(prints: DataFrame, n: int, least: float = LEAST_LIKENESS) -> Data
 def grouped(docs: DataFrame, least: float = LEAST_LIKENESS) -> DataFrame:
     """compare's rows with near_group, the smallest doc_id that links between fingerprints at likeness least reach (its own if none does).
 
-    Equal fingerprints are linked. A group without any doc_id has a null one.
+    Equal fingerprints are linked, so empty texts form a group. A group without any doc_id has a null one. Odd rows as in compare.
     """
     marked = stash(compare(docs).withColumn("_id", F.xxhash64("fingerprint")))
     own = stash(marked.groupBy("_id").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n"), F.first(F.unhex("fingerprint")).alias("fp")))

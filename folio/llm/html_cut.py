@@ -353,7 +353,7 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row; n_chars counts code points. A null or empty page has an empty text; repeated rows each have theirs; further columns don't matter."""
+    """(page_id, url, text, n_chars) of every row; n_chars counts code points. A null or empty page has an empty text; repeated rows each have theirs; pages of any length are read whole; further columns don't matter."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

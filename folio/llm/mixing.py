@@ -156,7 +156,12 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every document; taken counts a word as often as the mix takes it."""
+    """(doc_id, source, size, source_size, target, taken) of every document; taken counts a word as often as the mix takes it.
+
+    Null and empty texts have size 0 and nothing taken; a null source is the last one. Rows are told apart by all their columns, so repeated
+    and null doc_ids each keep their row; rows equal in all columns share what is taken of them. Texts of any length are cut into blocks.
+    Other columns, also clashing ones, fall away. Empty docs: no rows.
+    """
     laid, sources, out = mix(docs)
     got = out.groupBy("sid", "first").agg(F.sum("words").alias("taken")).withColumn("some", F.lit(True))
     all_docs = laid.withColumn("some", F.col("size") > 0)

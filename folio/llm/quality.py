@@ -104,7 +104,9 @@ def rater(m: Model):
 def rate(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, expected_grade, tail_prob, keep) of every row; a null text counts as empty.
 
-    tail_prob: probability of a grade above the lowest. With fewer than two grades learned nothing is rejected (tail_prob 1).
+    tail_prob: probability of a grade above the lowest. With fewer than two grades learned nothing is rejected (tail_prob 1). Equal texts
+    have equal grades. Repeated rows and rows without doc_id each have their row; texts of any length are read whole; other columns, also
+    clashing ones, fall away.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("expected_grade", pa.float64()), ("tail_prob", pa.float64()), ("keep", pa.bool_())])
@@ -120,6 +122,8 @@ def rate(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """rate's rows for docs (doc_id, text), by what the labels (doc_id, quality) of learning folds teach. Labels without a document, and of
+    repeated labels all but one, teach nothing. Empty docs: no rows; no labels: nothing is rejected."""
     return rate(docs, train(docs, labels))
 
 

@@ -195,7 +195,8 @@ def by_root(marked: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs, component_id the smallest doc_id reachable over links.
 
-    Rows without doc_id stay, grouped by their text; a component of such rows only has a null id. Empty input: no rows.
+    Rows without doc_id stay, grouped by their text; a component of such rows only has a null id. Repeated rows each have their row. Texts
+    of any length are read whole; other columns, also clashing ones, fall away. Empty input: no rows.
     """
     marked = stash(fingerprints(docs))
     root = by_root(marked)

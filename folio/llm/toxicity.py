@@ -282,4 +282,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of docs (doc_id, text), by what labels (doc_id, toxic) of learning folds teach.
+
+    A null or empty text has a score too. Equal texts have equal scores; repeated rows and rows without doc_id each have their row; texts
+    of any length are read whole; other columns, also clashing ones, fall away. Empty docs: no rows.
+    """
     return score(docs, train(docs, labels))
