@@ -29,7 +29,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the smallest doc_id, a null one last; of rows equal in all columns, one."""
+    """One document of each near-duplicate group stays: that of the smallest doc_id, a null one last; of rows equal in all columns, one.
+
+    Texts without words (null and empty ones) have fingerprint zero, so they are a group, of which one stays.
+    """
     return simhash.dedup(docs)
 
 
