@@ -152,7 +152,8 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     piece = laid.where("size > 0").select("doc_id", "sid", "first", "size", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), last)).alias("block"))
     begin = F.greatest(F.col("first"), F.col("block") * BLOCK)
     piece = piece.select("sid", "block", "doc_id", "first", (begin - F.col("first")).alias("start"), (F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * BLOCK) - begin).alias("words"))
-    return laid, sources, slots(sources).join(piece, ["sid", "block"])
+    # slots grow with the input, but come out of a short range, from which Spark would take them to be small and broadcast them
+    return laid, sources, slots(sources).hint("merge").join(piece, ["sid", "block"])
 
 
 def taken(docs: DataFrame) -> DataFrame:

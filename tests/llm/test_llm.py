@@ -581,6 +581,13 @@ def test_mixed_is_the_mix(spark, monkeypatch):
         assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(n for _, n in parts) <= 8 and parts[0][0] % 8 == 0
 
 
+def test_mixing_broadcasts_no_slots(docs):
+    # slots grow with the input: the plan must shuffle them whatever size Spark takes them to have
+    out = mixing.mix(docs)[2]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_mixing_draws_every_stratum_alike(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_SLOTS", 10)
     monkeypatch.setattr(mixing, "STRATUM", 64)
