@@ -142,3 +142,15 @@ def test_generation_report(spark):
     assert (none.raw, none.accepted_rate, none.provenance_rate, none.status) == (0, 0.0, 1.0, "FAIL")
     pairs = spark.createDataFrame([("Red Fox", "the RED hen"), ("blue", "the red hen"), (None, "x"), ("ed h", "Red hen")], "a string, t string")
     assert [r[0] for r in pairs.select(evaluation.grounded(pairs.a, pairs.t)).collect()] == [True, False, True, True]
+
+
+def test_shared_tokens_count_repeats():
+    import pyarrow as pa
+
+    from folio.operators import evaluation
+
+    a, b = [["x", "y", "x"], [], None, ["q"], ["z"] * 5, ["é", "x"]], [["x", "x", "x", "z"], ["x"], ["x"], None, ["z"] * 3, ["x", "é"]]
+    kind = pa.list_(pa.string())
+    assert evaluation.shared_counts(pa.array(a, kind), pa.array(b, kind)).to_pylist() == [2, 0, 0, 0, 3, 2]
+    assert evaluation.shared_counts(pa.array(a, kind).slice(4), pa.array(b, kind).slice(4)).to_pylist() == [3, 2]
+    assert evaluation.shared_counts(pa.array([], kind), pa.array([], kind)).to_pylist() == []
