@@ -86,7 +86,7 @@ def search_texts(index: DataFrame, asked: DataFrame, embedder: Scorer, k: int, *
     search.checked(k, None, None)
     label = F.col("label") if "label" in asked.columns else F.lit(None).cast("bigint")
     q = scored(asked.withColumn("text", present(F.col("text"))), embedder, "embedding", "text").select((-1 - F.col("query_id")).alias("vec_id"), label.alias("label"), "embedding")
-    found = vectors.top_k_batch(index, q, k, same_label=same_label)
+    found = vectors.top_k_joined(index, q, k) if same_label else vectors.top_k_batch(index, q, k)
     return found.withColumn("query_id", -1 - F.col("query_id"))
 
 

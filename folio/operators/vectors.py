@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Query vectors of one broadcast block.
-BLOCK = 4096
+#: Query vectors of one broadcast block; scores that a task holds at a time.
+BLOCK, CELLS = 4096, 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -60,8 +60,8 @@ def _best(ids: np.ndarray, q: np.ndarray, vid: np.ndarray, m: np.ndarray, k: int
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, *, same_label: bool = False) -> DataFrame:
     """(query_id, vec_id, score, rank): the k vectors most similar to each query, itself left out; ties by vec_id.
 
-    Queries go in broadcast blocks of BLOCK, one on the driver at a time. A task multiplies a batch of vectors with a block and hands on
-    each query's best k, so what is shuffled is k rows per query and batch. same_label: only vectors of the query's label (a filter
+    Queries go in broadcast blocks of BLOCK, one on the driver at a time. A task multiplies a batch of vectors with a block, CELLS scores at
+    a time, and hands on each query's best k, so what is shuffled is k rows per query and batch. same_label: only vectors of the query's label (a filter
     before the cut); a task then multiplies vectors with the queries of their label only.
     """
     spark = vectors.sparkSession
@@ -78,8 +78,11 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, *, same_label: b
                 m = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vid), -1)
                 for x in np.intersect1d(labels, lab).tolist() if same_label else [None]:
                     own, mine = (labels == x, lab == x) if same_label else (slice(None), slice(None))
-                    i, j, v = _best(ids[own], q[own], vid[mine], m[mine], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(v)], schema=schema)
+                    some, near, at = ids[own], q[own], m[mine]
+                    step = max(1, CELLS // max(1, len(at)))
+                    for a in range(0, len(some), step):
+                        i, j, v = _best(some[a : a + step], near[a : a + step], vid[mine], at, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(v)], schema=schema)
 
         return vectors.where("embedding is not null").select("vec_id", "label", "embedding").mapInArrow(work, "query_id bigint, vec_id bigint, score double")
 
@@ -96,6 +99,15 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, *, same_label: b
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def top_k_joined(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """top_k_batch of the query's label by a join on it, for many labels of few vectors each: its work is the pairs of one label."""
+    q = queries.where("embedding is not null and label is not null").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("_q"))
+    v = vectors.where("embedding is not null").select("vec_id", "label", "embedding")
+    pairs = q.join(v, "label").where("query_id <> vec_id").select("query_id", "vec_id", score(F.col("_q"), F.col("embedding")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def top_k_post_filter(vectors: DataFrame, queries: DataFrame, k: int, over: int = 10) -> DataFrame:
     """Filter after the cut: the best over * k vectors of any label first, then those of the query's label, at most k; can be fewer than k."""
     wide = top_k_batch(vectors, queries, over * k)

@@ -154,3 +154,26 @@ def test_shared_tokens_count_repeats():
     assert evaluation.shared_counts(pa.array(a, kind), pa.array(b, kind)).to_pylist() == [2, 0, 0, 0, 3, 2]
     assert evaluation.shared_counts(pa.array(a, kind).slice(4), pa.array(b, kind).slice(4)).to_pylist() == [3, 2]
     assert evaluation.shared_counts(pa.array([], kind), pa.array([], kind)).to_pylist() == []
+
+
+def test_top_k_holds_few_scores_and_joins_labels(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from folio.operators import vectors
+
+    monkeypatch.setattr(vectors, "CELLS", 7)
+    rows = [(i, i % 3, [float((i * 7 + k * i) % 5) / 8 for k in range(4)]) for i in range(40)]
+    v = spark.createDataFrame(rows, "vec_id bigint, label bigint, embedding array<float>")
+    got = lambda d: sorted(map(tuple, d.select("query_id", "vec_id", "score", "rank").collect()))
+
+    def want(same):
+        out = []
+        for i, x, e in rows[::5]:
+            near = sorted((-round(max(-1.0, min(1.0, sum(a * b for a, b in zip(e, f)))), 6), j) for j, y, f in rows if j != i and (not same or x == y))[:3]
+            out += [(i, j, -s + 0.0, r + 1) for r, (s, j) in enumerate(near)]
+        return sorted(out)
+
+    asked = v.where("vec_id % 5 = 0")
+    assert got(vectors.top_k_batch(v, asked, 3)) == want(False)
+    assert got(vectors.top_k_batch(v, asked, 3, same_label=True)) == got(vectors.top_k_joined(v, asked, 3)) == want(True)
+    assert vectors.top_k_joined(v, asked.withColumn("label", F.lit(None).cast("bigint")), 3).count() == 0
