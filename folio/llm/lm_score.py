@@ -2,10 +2,9 @@
 
 One attention model gives every subword of a text, and its end, a probability after the subwords before it, in overlapping windows; the
 sum of their logarithms is the text's score. A word is spelt alike wherever it stands, in the first VOCABULARY merges of a public
-byte-level BPE. The model's outputs begin as the subwords' frequencies over all learning documents; its weights are fitted on
-passages from all of them: first on about WARM bytes, then, from there, in shards that together hold a share RATE of the corpus, whose
-weights are averaged. So what it learns from grows with the corpus. The baseline's word counts stay distributed; only COMMON words at
-most are broadcast, the rest are joined.
+byte-level BPE. The model's outputs begin as the subwords' frequencies over all learning documents; its weights begin with a first fit
+on about WARM bytes of passages and are then fitted, from there, on every passage of every learning document, in shards whose weights
+are averaged. The baseline's word counts stay distributed; only COMMON words at most are broadcast, the rest are joined.
 """
 
 from __future__ import annotations
@@ -32,8 +31,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 VOCABULARY = 4095
 #: Words with counts in one broadcast table, at most.
 COMMON = 1 << 16
-#: Bytes of a passage, of the first fit and of a shard; the share of the corpus in all shards.
-SPAN, WARM, SHARD, RATE = 1000, 1_500_000, 1_000_000, 1 / 64
+#: Bytes of a passage, of the first fit and of a shard; the share of the learning documents in all shards: all of them.
+SPAN, WARM, SHARD, RATE = 1000, 1_500_000, 1_000_000, 1.0
 WIDTH, HIDDEN, STRIDE, BATCH = 24, 48, 8, 192
 STEPS, FAST, SLOW = 1500, 2e-2, 3e-3
 #: Words whose spelling a task remembers; bytes of text and texts scored together.

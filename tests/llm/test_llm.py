@@ -395,6 +395,17 @@ def test_lm_passages_come_from_all_of_a_text(spark):
     assert 0 < few < len(got)
 
 
+def test_lm_fits_its_weights_on_all_learning_text(spark, monkeypatch):
+    taught = []
+    real = lm_score.passages
+    monkeypatch.setattr(lm_score, "passages", lambda d, rate, seed: taught.append(real(d, rate, seed)) or taught[-1])
+    monkeypatch.setattr(lm_score, "STEPS", 3)
+    texts = [" ".join(f"w{i}x{j}" for j in range(600)) for i in range(60)]
+    lm_score.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    fitted = Counter(w for r in taught[-1].collect() for w in bytes(r.text).split())
+    assert fitted == Counter(w.encode() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1 for w in t.split())
+
+
 def test_lm_of_nothing(empty, small_lm):
     assert lm_score.score(empty).count() == 0
 
