@@ -2,13 +2,15 @@
 
 The order is a chain: what a chunk inherits depends on the chunk before. A chunk changes the state that it is given in one of a few ways
 only, and such changes compose. So a document is cut into ranges, each range's changes are composed to one, the ranges' changes are run
-through in a row per range, and each range then starts from the state that it is given. No task holds more than a range's chunks.
+through in a row per range, and each range then starts from the state that it is given. A document of one range starts from none. Tasks go
+through many documents' rows one after another and hold a state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,62 +53,81 @@ def classified(chunks: DataFrame, heading: str | None = None, size: int = RANGE)
     own = questions.lead_heading(F.col("_text")).isNotNull() | F.substring("_text", 1, questions.LEAD_CHARS).rlike(SECTION_START)
     if heading:
         own |= F.coalesce(F.trim(F.col(heading)) != "", F.lit(False))
-    facts = ["document_id", "page_number", "chunk_index", "chunk_id", "category", "reason", "eligible"]
-    slim = materialise(c.select(*facts, own.alias("opens"), "citations", "index_refs"))
+    slim = materialise(c.select("document_id", "page_number", "chunk_index", "chunk_id", "category", "reason", "eligible", own.alias("opens"), "citations", "index_refs"))
     # ranges of a document by its order: from counts of blocks of a page's chunks, so that no window holds all of its chunks
     slim = slim.withColumn("block", F.floor(F.col("chunk_index") / size))
     blocks = slim.groupBy("document_id", "page_number", "block").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("document_id").orderBy("page_number", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     part = blocks.select("document_id", "page_number", "block", F.floor(before / size).alias("range"))
+    part = part.withColumn("several", F.max("range").over(Window.partitionBy("document_id")) > 0)
     placed = slim.join(part, ["document_id", "page_number", "block"])
-    placed = placed.select("document_id", "range", "page_number", "chunk_index", "chunk_id", "category", "reason", "eligible", "opens", "citations", "index_refs")
+    placed = placed.select("document_id", "range", "page_number", "chunk_index", "chunk_id", "category", "reason", "eligible", "opens", "citations", "index_refs", "several")
     kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
-    order = lambda f: f.sort_values(["page_number", "chunk_index"], kind="stable")
-    facts_of = lambda f: zip(f["eligible"], f["category"], f["page_number"], f["opens"], f["citations"], f["index_refs"], strict=True)
+    together = lambda df, *order: df.repartition("document_id", *order[:1]).sortWithinPartitions("document_id", *order)
+    facts = ["eligible", "category", "page_number", "opens", "citations", "index_refs"]
 
-    def change(frame: pd.DataFrame) -> pd.DataFrame:
-        """What the range makes of each state. Of a section that was given, only the page on which it began matters: as long as no chunk
+    # rows come in order, whole ranges one after another: a task holds a state and a batch, whatever the number of documents
+    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each range makes of each state. Of a section that was given, only the page on which it began matters: as long as no chunk
         has looked at it, it is passed on as it is."""
-        rows = list(facts_of(order(frame)))
-        given = {"": None} | {f"{s}|{p}": (s, p) for s in _SECTIONS for p in ({int(r[2]) - k for r in rows[:1] for k in range(CARRY_PAGES + 2)} if s in CARRIED else {0})}
-        out = []
-        for key, state in given.items():
-            was = state
-            for eligible, category, page, opens, cites, refs in rows:
-                _, state = step(state, eligible, category, int(page), opens, cites, refs)
-            out.append((frame["document_id"].iloc[0], frame["range"].iloc[0], int(rows[0][2]), key, None if state is None else state[0], None if state is None else int(state[1]), state == was and was is not None))
-        return pd.DataFrame(out, columns=["document_id", "range", "first_page", "given", "section", "since", "same"])
-
-    grouped = placed.groupBy("document_id", "range")
-    changes = grouped.applyInPandas(change, f"document_id {kinds['document_id']}, range bigint, first_page int, given string, section string, since int, same boolean")
-
-    def through(frame: pd.DataFrame) -> pd.DataFrame:
+        key, kind, first, given, now = None, None, 0, {}, {}
+
+        def done() -> pa.RecordBatch:
+            n = len(given)
+            state = [now[k] for k in given]
+            return pa.RecordBatch.from_arrays([
+                pa.array([key[0]] * n, kind), pa.array([key[1]] * n, pa.int64()), pa.array([first] * n, pa.int32()), pa.array(list(given)), pa.array([x and x[0] for x in state], pa.string()), pa.array([x and x[1] for x in state], pa.int32()),
+                pa.array([x is not None and x == given[k] for k, x in now.items()]),
+            ], names=["document_id", "range", "first_page", "given", "section", "since", "same"])
+
+        for b in batches:
+            kind = b.schema.field(0).type
+            for doc, at, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (doc, at) != key:
+                    if key is not None:
+                        yield done()
+                    key, first = (doc, at), row[2]
+                    given = {"": None} | {f"{s}|{p}": (s, p) for s in _SECTIONS for p in ([first - k for k in range(CARRY_PAGES + 2)] if s in CARRIED else [0])}
+                    now = dict(given)
+                now = {k: step(x, *row)[1] for k, x in now.items()}
+        if key is not None:
+            yield done()
+
+    changes = together(placed.where("several").select("document_id", "range", *facts, "chunk_index", "chunk_id"), "range", "page_number", "chunk_index", "chunk_id").select("document_id", "range", *facts)
+    changes = changes.mapInArrow(change, f"document_id {kinds['document_id']}, range bigint, first_page int, given string, section string, since int, same boolean")
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The state that each range of a document is given: a walk over its ranges."""
-        out, state = [], None
-        for at, rows in frame.sort_values("range").groupby("range", sort=True):
-            out.append((frame["document_id"].iloc[0], at, None if state is None else state[0], None if state is None else state[1]))
-            first = int(rows["first_page"].iloc[0])
-            key = "" if state is None else f"{state[0]}|{max(state[1], first - CARRY_PAGES - 1) if state[0] in CARRIED else 0}"
-            r = rows[rows["given"] == key].iloc[0]
-            if not r["same"]:
-                state = None if r["section"] is None or pd.isna(r["since"]) else (r["section"], int(r["since"]))
-        return pd.DataFrame(out, columns=["document_id", "range", "section", "since"])
-
-    starts = changes.groupBy("document_id").applyInPandas(through, f"document_id {kinds['document_id']}, range bigint, section string, since int")
-
-    def label(key: tuple, frame: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        frame = order(frame).copy()
-        state = None
-        if len(start) and start["section"].iloc[0] is not None:
-            state = (start["section"].iloc[0], int(start["since"].iloc[0]))
-        carried = []
-        for eligible, category, page, opens, cites, refs in facts_of(frame):
-            got, state = step(state, eligible, category, int(page), opens, cites, refs)
-            carried.append(got)
-        frame["carried"] = pd.Series(carried, index=frame.index, dtype=object)
-        return frame[["document_id", "chunk_id", "category", "reason", "eligible", "carried"]]
-
-    marked = grouped.cogroup(starts.groupBy("document_id", "range")).applyInPandas(label, f"document_id {kinds['document_id']}, chunk_id {kinds['chunk_id']}, category string, reason string, eligible boolean, carried string")
+        doc_now, at_now, state, key = None, None, None, ""
+        for b in batches:
+            out = []
+            for doc, at, first, given, section, since, same in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (doc, at) != (doc_now, at_now):
+                    state = after if doc == doc_now else None
+                    doc_now, at_now, after = doc, at, state
+                    key = "" if state is None else f"{state[0]}|{max(state[1], first - CARRY_PAGES - 1) if state[0] in CARRIED else 0}"
+                    out.append((doc, at, state and state[0], state and state[1]))
+                if given == key and not same:
+                    after = None if section is None or since is None else (section, since)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (b.schema.field(0).type, pa.int64(), pa.string(), pa.int32()), strict=True)], names=["document_id", "range", "section", "since"])
+
+    starts = changes.repartition("document_id").sortWithinPartitions("document_id", "range").mapInArrow(through, f"document_id {kinds['document_id']}, range bigint, section string, since int")
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for b in batches:
+            carried = []
+            for doc, at, section, since, *row in zip(*(b.column(c).to_pylist() for c in ("document_id", "range", "section", "since", *facts)), strict=True):
+                if (doc, at) != key:
+                    key, state = (doc, at), None if section is None else (section, since)
+                got, state = step(state, *row)
+                carried.append(got)
+            kept = ["document_id", "chunk_id", "category", "reason", "eligible"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(carried, pa.string())], names=[*kept, "carried"])
+
+    marked = together(placed.join(starts, ["document_id", "range"], "left"), "range", "page_number", "chunk_index", "chunk_id")
+    marked = marked.mapInArrow(label, f"document_id {kinds['document_id']}, chunk_id {kinds['chunk_id']}, category string, reason string, eligible boolean, carried string")
     named = F.when(F.col("carried") == "TABLE_OF_CONTENTS", "toc_content_continuation").otherwise(F.concat(F.lower("carried"), F.lit("_content_continuation")))
     kept = F.col("carried").isNull()
     return marked.select("document_id", "chunk_id", F.coalesce("carried", "category").alias("category"), F.when(kept, F.col("reason")).otherwise(named).alias("reason"), (F.col("eligible") & kept).alias("eligible"))

@@ -188,3 +188,10 @@ def test_section_labels_are_a_fold(spark, data, size):
     got = {(r.document_id, r.chunk_id): (r.category, r.eligible) for r in sections.classified(chunks, size=size).collect()}
     assert got == want
     assert any(r.reason.endswith("continuation") for r in sections.classified(chunks, size=size).select("reason").collect())
+
+
+def test_section_labels_go_through_many_documents_in_a_task(spark, data):
+    from folio.plans import question_queries
+
+    plan = question_queries.section_labels(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan and "MapInArrow" in plan
