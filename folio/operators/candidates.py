@@ -50,11 +50,25 @@ CONTRAST = (
     r"(?=(?:is|are|was|were|process|processes|use|uses|rely|relies|employ|employs|extract|extracts|update|updates)\b)"
 )
 SHORTEST, LONGEST, MOST = 2, 160, 8
-_COMPILED = tuple((kind, group, re.compile(p, re.IGNORECASE if any_case else 0)) for kind, group, any_case, p in PATTERNS)
+# By pattern, what every match has one of: in any case where the pattern ignores it. Others go over every text.
+NEEDS = (
+    tuple(MONTHS.lower().split("|")), tuple(MONTHS.lower().split("|")), ("17", "18", "19", "20"), ("%",), ("definition",), ("constant",),
+    ("%", "percent", "billion", "million", "trillion", "thousand", "hundred", "meters", "km", "miles", "kg", "seconds", "minutes", "hours", "days", "years"), ("derivative",),
+    ("is defined as", "refers to", "is a method for", "is an algorithm that"), ("because", "in order to", "as a result of", "by recursively applying"), ("in contrast", "unlike", "whereas", "compared to"),
+    ("map", "optimize", "compute", "calculate", "transform", "connect", "minimize", "maximize"), (), (), ("'", '"'), (),
+)
+_COMPILED = tuple((kind, group, re.compile(p, re.IGNORECASE if any_case else 0), any_case, needs) for (kind, group, any_case, p), needs in zip(PATTERNS, NEEDS, strict=True))
+#: Characters that match a letter of ASCII where case is ignored.
+_ALIKE = str.maketrans({"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"})
+
+
+def folded(text: str) -> str:
+    """text such that what ASCII words match without case is found in it by their small letters."""
+    return (text if text.isascii() else text.translate(_ALIKE)).lower()
 
 
-def invalid(span: str, text: str, start: int | None = None) -> str | None:
-    """Why a span of a text, at start, is no answer, the first reason; None if it is one."""
+def invalid(span: str, text: str, start: int | None = None, low_text: str | None = None) -> str | None:
+    """Why a span of a text, at start, is no answer, the first reason; None if it is one. low_text: the text folded, if known."""
     words, low = span.lower().split(), span.lower()
     if not SHORTEST <= len(span) <= LONGEST:
         return "length"
@@ -62,8 +76,10 @@ def invalid(span: str, text: str, start: int | None = None) -> str | None:
         return "whole_passage"
     if len(words) == 1 and (low in T.ANSWER_STOPS or low in GENERIC):
         return "stop_word" if low in T.ANSWER_STOPS else "generic_word"
-    compound = re.escape(span)
-    if re.search(rf"\b[A-Za-z0-9]+-{compound}\b|\b{compound}-[A-Za-z0-9]+\b", text, re.IGNORECASE):
+    compound, low_text = re.escape(span), folded(text) if low_text is None else low_text
+    # patterns of a span's own are only made where it stands beside a hyphen
+    beside = not span.isascii() or f"-{low}" in low_text or f"{low}-" in low_text
+    if beside and re.search(rf"\b[A-Za-z0-9]+-{compound}\b|\b{compound}-[A-Za-z0-9]+\b", text, re.IGNORECASE):
         return "part_of_compound"
     if not any(map(str.isalnum, span)):
         return "no_letters"
@@ -84,12 +100,14 @@ def invalid(span: str, text: str, start: int | None = None) -> str | None:
 
 def spans(text: str) -> Iterator[tuple[str, str, int, int, str | None, str | None]]:
     """(type, span, start, end, trigger, why it is no answer) of each match, by pattern, then from left to right."""
-    for kind, group, pattern in _COMPILED:
-        for m in pattern.finditer(text):
+    low = folded(text)
+    for kind, group, pattern, any_case, needs in _COMPILED:
+        where = low if any_case else text
+        for m in pattern.finditer(text) if not needs or any(x in where for x in needs) else ():
             raw = m.group(group)
             span = raw.strip(EDGE)
             start = m.start(group) + len(raw) - len(raw.lstrip(EDGE))
-            yield kind, span, start, start + len(span), m.group(1).lower() if kind == "explanation" else None, invalid(span, text, start)
+            yield kind, span, start, start + len(span), m.group(1).lower() if kind == "explanation" else None, invalid(span, text, start, low)
 
 
 def answer_candidates(chunks: DataFrame, most: int = MOST, *, rejected: bool = False) -> DataFrame:
