@@ -57,11 +57,10 @@ def loaded(scorer: Scorer) -> Model:
 
 
 def finite(score: object) -> bool:
-    if isinstance(score, float):
-        return math.isfinite(score)
-    if isinstance(score, dict):
-        return all(map(finite, score.values()))
-    return all(map(finite, score)) if isinstance(score, (list, tuple)) else True
+    for x in score.values() if isinstance(score, dict) else score if isinstance(score, (list, tuple)) else (score,):
+        if not (math.isfinite(x) if isinstance(x, float) else finite(x) if isinstance(x, (dict, list, tuple)) else True):
+            return False
+    return True
 
 
 def batches(model: Model, inputs: list[tuple], size: int) -> list:

@@ -251,3 +251,20 @@ def test_board_filters(spark):
     assert [r.chunk_id for r in ranking.board(results, cites, show="used").collect()] == ["b"] and [r.chunk_id for r in ranking.board(results, cites, show="promoted").collect()] == ["a"]
     with pytest.raises(ValueError):
         ranking.board(results, cites, show="other")
+
+
+def test_best_spans_pair_starts_and_ends_without_rows_of_pairs(spark):
+    rows = [(q, w, t, float((t * 7 + w * 3 + q) % 5), float((t * 11 + q) % 6)) for q in range(3) for w in range(2) for t in range(30)] + [(9, 0, 0, 1.0, 1.0), (8, 0, 1, 5.0, 5.0)]
+    got = qa.best_span(spark.createDataFrame(rows, "query_id int, window int, token int, start double, end double"), top=6, longest=4)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {9: (None, None, None)}
+    for q in range(3):
+        found = []
+        for w in range(2):
+            body = [r for r in rows if r[:2] == (q, w) and r[2] > 0]
+            null = sum(next(r for r in rows if r[:3] == (q, w, 0))[3:])
+            s, e = (sorted(body, key=lambda r: (-r[at], r[2]))[:6] for at in (3, 4))
+            found += [(a[3] + b[4] - null, a[3] + b[4], -w, -a[2], -b[2]) for a in s for b in e if a[2] <= b[2] < a[2] + 4]
+        best = max(found)
+        want[q] = tuple(-x for x in best[2:]) if best[0] > 0 else (None, None, None)
+    assert {r.query_id: (r.window, r.start_token, r.end_token) for r in got.collect()} == want
