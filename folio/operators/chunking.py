@@ -18,6 +18,8 @@ _END = regex.compile(T.SENTENCE_END)
 
 #: Characters of overlap below which there is none.
 LEAST_OVERLAP = 20
+#: Characters of pages whose chunks are handed on together.
+TOGETHER = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -33,13 +35,19 @@ class Sizes:
             raise ValueError("0 < target <= most and 0 <= overlap < target")
 
 
-def sentences(s: str) -> list[str]:
-    """As the Column expression of that name: the pattern is the same."""
-    out, at = [], 0
+def each_sentence(s: str) -> Iterator[str]:
+    at = 0
     for m in _END.finditer(s):
-        out.append(s[at : m.end(1)].strip())
+        if x := s[at : m.end(1)].strip():
+            yield x
         at = m.end()
-    return [x for x in [*out, s[at:].strip()] if x]
+    if x := s[at:].strip():
+        yield x
+
+
+def sentences(s: str) -> list[str]:
+    """As the Column expression of that name: the pattern is the same."""
+    return list(each_sentence(s))
 
 
 def segments(s: str, most: int) -> list[str]:
@@ -67,15 +75,23 @@ def prefix(s: str, n: int) -> str:
     return tail[cut + 1 :].strip() if 0 <= cut < len(tail) - 1 else tail
 
 
+def units(text: str, sizes: Sizes) -> Iterator[tuple[str, str]]:
+    """(what stands before it, unit): paragraphs, else their sentences, else segments, one at a time: a long page's are never all held."""
+    at = 0
+    while at < len(text):
+        end = text.find("\n\n", at)
+        end = len(text) if end < 0 else end
+        if p := text[at:end].strip():
+            parts = [p] if len(p) <= sizes.most else (y for x in each_sentence(p) for y in ([x] if len(x) <= sizes.most else segments(x, sizes.most)))
+            for i, u in enumerate(parts):
+                yield "\n\n" if i == 0 else " ", u
+        at = end + 2
+
+
 def chunk(text: str, sizes: Sizes = Sizes()) -> list[str]:
     """A cleaned page as chunks: paragraphs, else their sentences, else segments, packed while below the target."""
-    units: list[tuple[str, str]] = []
-    for p in (x.strip() for x in text.split("\n\n")):
-        if p:
-            parts = [p] if len(p) <= sizes.most else [y for x in sentences(p) for y in ([x] if len(x) <= sizes.most else segments(x, sizes.most))]
-            units += [("\n\n" if i == 0 else " ", u) for i, u in enumerate(parts)]
     out, cur = [], ""
-    for sep, u in units:
+    for sep, u in units(text, sizes):
         projected = len(cur) + len(sep) + len(u)
         if not cur:
             cur = u
@@ -99,10 +115,15 @@ def chunk_pages(pages: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                cut = [chunk(t, sizes) if t else [] for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cut, pa.list_(pa.string())), pa.array([len(c) for c in cut], pa.int64())], names=["document_id", "page_number", "chunks", "n"])
+            begin, cut, held = 0, [], 0
+            # one page's text at a time; chunks are handed on as soon as they are many
+            for i in range(b.num_rows):
+                text = b.column(2)[i].as_py()
+                cut.append(chunk(text, sizes) if text else [])
+                held += len(text or "")
+                if held > TOGETHER or len(cut) >= 500 or i == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, len(cut)), b.column(1).slice(begin, len(cut)), pa.array(cut, pa.list_(pa.string())), pa.array([len(c) for c in cut], pa.int64())], names=["document_id", "page_number", "chunks", "n"])
+                    begin, cut, held = i + 1, [], 0
 
     cut = cleaned.mapInArrow(work, "document_id string, page_number int, chunks array<string>, n bigint").where("n > 0")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("document_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

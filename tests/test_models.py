@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -370,3 +371,12 @@ def test_spans_make_no_pattern_of_their_own_away_from_hyphens(monkeypatch):
     monkeypatch.setattr(candidates.re, "search", lambda p, *a, **k: made.append(p) if "[A-Za-z0-9]+-" in p else None)
     assert len([x for x in candidates.spans(" ".join(f"met Abc{chr(97 + i)} then." for i in range(20))) if x[5] is None]) == 20 and not made
     assert candidates.invalid("Deep", "a Deep-seated one") is None and made
+
+
+def test_chunking_a_long_page_holds_little_beside_it():
+    text = " ".join(("Abc" if i % 9 == 0 else "word") + ("." if i % 9 == 8 else "") for i in range(200_000))
+    tracemalloc.start()
+    out = chunking.chunk(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) > 900 and peak < 2 * len(text)
