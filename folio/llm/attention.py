@@ -14,6 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 
 PAD, LEVELS = 0, 3
+#: Weights updated together, few enough to stay in a core's cache.
+PART = 1 << 14
+#: Gradients are taken so many times larger, or their squares would leave the range in which a processor is fast.
+TIMES = float(1 << 20)
 _LARGE = np.float32(-1e9)
 
 
@@ -72,90 +76,172 @@ def filled(m: Attention, weights: np.ndarray) -> Attention:
     return out
 
 
-def _attend(m: Attention, win: np.ndarray) -> tuple[np.ndarray, ...]:
-    s, w = m.stride, m.w
-    x = w["emb"][win]
-    xq = x[:, s:]
-    q, k, v = xq @ w["wq"], x @ w["wk"], x @ w["wv"]
-    a = q @ k.transpose(0, 2, 1) * np.float32(k.shape[-1] ** -0.5) + (w["pos"] + m.mask())
-    a = np.where((win == PAD)[:, None, :], _LARGE, a)
-    a -= a.max(-1, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(-1, keepdims=True)
-    z = a @ v
-    h = xq + z @ w["wo"]
-    u = np.maximum(h @ w["w1"] + w["b1"], 0)
-    return x, q, k, v, a, z, h, u, h + u @ w["w2"]
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(-1, keepdims=True)
+def _cuts(sorted_: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins, and the end."""
+    return np.concatenate([[0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1, [len(sorted_)]])
+
+
+def _in_order(x: np.ndarray, most: int) -> np.ndarray:
+    return np.argsort(x.astype(np.uint16) if most < 1 << 16 else x, kind="stable")
+
+
+def _softmax(x: np.ndarray, axis: int) -> np.ndarray:
+    x -= x.max(axis, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
+    x /= x.sum(axis, keepdims=True)
     return x
 
 
-def _gradient(m: Attention, win: np.ndarray, want: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-    """Of the mean negative log-probability of the targets (want: windows x stride, -1 where none)."""
+def views(m: Attention, weights: np.ndarray) -> dict[str, np.ndarray]:
+    """The parts of a vector of all weights, in m's shapes."""
+    ends = np.cumsum([v.size for v in m.w.values()])
+    return {k: weights[e - v.size : e].reshape(v.shape) for (k, v), e in zip(m.w.items(), ends, strict=True)}
+
+
+def _gradient(m: Attention, win: np.ndarray, want: np.ndarray, g: dict[str, np.ndarray] | None = None, times: float = 1.0) -> tuple[dict[str, np.ndarray], float]:
+    """Of times the mean negative log-probability of the targets (want: windows x stride, -1 where none); written to g, which is all zeros, if given.
+
+    What depends on an input alone is worked out once for each distinct token of the batch; targets go in the order of their codes, so those
+    that share a prefix are one product with its outputs.
+    """
     s, w = m.stride, m.w
-    x, q, k, v, a, z, h, u, top = _attend(m, win)
-    ok = want >= 0
-    y, n = want[ok], np.float32(max(1, ok.sum()))
-    state, rows, d, loss, g = np.concatenate([top[ok], np.ones((len(y), 1), np.float32)], 1), np.arange(len(y)), 0, 0.0, {}
-    for level in range(LEVELS):
-        out, group, digit = w[f"out{level}"], m.prefix[level][y], m.digit[level][y]
-        p = _softmax((state[:, None, :] @ out[group])[:, 0] if level else state @ out[0])
-        loss -= np.log(p[rows, digit] + 1e-30).sum()
-        p[rows, digit] -= 1
-        p /= n
-        if level:
-            order = np.argsort(group, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
-            g[f"out{level}"] = np.zeros_like(out)
-            g[f"out{level}"][group[order][first]] = np.add.reduceat(state[order][:, :, None] * p[order][:, None, :], first)
-            d = d + (out[group][:, :-1] @ p[:, :, None])[:, :, 0]
-        else:
-            g["out0"] = (state.T @ p)[None]
-            d = d + p @ out[0, :-1].T
-    dtop = np.zeros_like(top)
-    dtop[ok] = d
+    g = {k: np.zeros_like(v) for k, v in w.items()} if g is None else g
+    d, scale = w["emb"].shape[1], np.float32(w["emb"].shape[1] ** -0.5)
     two = lambda t: t.reshape(-1, t.shape[-1])
-    g["w2"] = two(u).T @ two(dtop)
-    du = (dtop @ w["w2"].T) * (u > 0)
-    g["w1"], g["b1"] = two(h).T @ two(du), du.sum((0, 1))
-    dh = dtop + du @ w["w1"].T
-    g["wo"] = two(z).T @ two(dh)
-    dz = dh @ w["wo"].T
-    da, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    g["pos"] = ds.sum(0)
-    ds *= np.float32(q.shape[-1] ** -0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["wq"], g["wk"], g["wv"] = two(np.ascontiguousarray(x[:, s:])).T @ two(dq), two(x).T @ two(dk), two(x).T @ two(dv)
-    dx = dk @ w["wk"].T + dv @ w["wv"].T
-    dx[:, s:] += dh + dq @ w["wq"].T
     ids = win.ravel()
-    order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))
-    g["emb"] = np.zeros_like(w["emb"])
-    g["emb"][ids[order][first]] = np.add.reduceat(two(dx)[order], first)
-    return g, float(loss) / float(n)
+    by_token = _in_order(ids, len(w["emb"]))
+    token_cuts = _cuts(ids[by_token])
+    tokens = ids[by_token[token_cuts[:-1]]]
+    place = np.empty(len(ids), np.int64)
+    place[by_token] = np.repeat(np.arange(len(tokens)), np.diff(token_cuts))
+    place = place.reshape(win.shape)
+    mixed = w["wv"] @ w["wo"]  # values are mapped to the output side at once
+    maps = np.concatenate([w["wq"] * scale, w["wk"], mixed], 1)
+    e = w["emb"][tokens]
+    asks, gives = (t.take(p, 0) for t, p in zip(np.split(np.concatenate([e, e @ maps], 1), 2, 1), (place[:, s:], place), strict=True))
+    q, k, v = asks[..., d:], gives[..., :d], gives[..., d:]
+    a = q @ k.transpose(0, 2, 1)
+    a += w["pos"] + m.mask()
+    pad = win == PAD
+    if len(some := np.flatnonzero(pad.any(1))):
+        a[some] = np.where(pad[some][:, None, :], _LARGE, a[some])
+    _softmax(a, -1)
+    h = a @ v
+    h += asks[..., :d]
+    h2 = two(h)
+    u = h2 @ w["w1"]
+    u += w["b1"]
+    np.maximum(u, 0, out=u)
+    top = u @ w["w2"]
+    top += h2
+
+    at = np.flatnonzero(want.ravel() >= 0)
+    y = want.ravel()[at]
+    base = w["out0"].shape[2]
+    by_code = _in_order(m.prefix[-1][y] * base + m.digit[-1][y], base**LEVELS)
+    at, y, n = at[by_code], y[by_code], len(y)
+    state = np.ones((d + 1, n), np.float32)  # a target a column, here and in p
+    state[:d] = top[at].T
+    p, groups = np.empty((LEVELS, base, n), np.float32), []
+    for level in range(LEVELS):
+        prefix = m.prefix[level][y]
+        cuts = _cuts(prefix).tolist() if n else [0]
+        groups.append(list(zip(cuts[:-1], cuts[1:], prefix[cuts[:-1]].tolist(), strict=True)))
+        out, held = w[f"out{level}"].transpose(0, 2, 1), p[level]
+        for i, j, c in groups[-1]:
+            np.matmul(out[c], state[:, i:j], out=held[:, i:j])
+    _softmax(p, 1)
+    hit = (np.arange(LEVELS)[:, None] * base + m.digit[:, y]) * n + np.arange(n)
+    flat_p = p.reshape(-1)
+    loss = -float(np.log(flat_p[hit] + 1e-30).sum())
+    flat_p[hit] -= 1
+    p *= np.float32(times / max(1, n))
+    dstate, part = np.zeros((d, n), np.float32), np.empty((d, n), np.float32)
+    for level in range(LEVELS):
+        out, held, into = w[f"out{level}"][:, :-1], p[level], g[f"out{level}"]
+        for i, j, c in groups[level]:
+            own = held[:, i:j]
+            np.matmul(state[:, i:j], own.T, out=into[c])
+            np.matmul(out[c], own, out=part[:, i:j])
+        dstate += part
+
+    dtop = np.zeros_like(top)
+    dtop[at] = dstate.T
+    np.matmul(u.T, dtop, out=g["w2"])
+    du = dtop @ w["w2"].T
+    du *= u > 0
+    np.matmul(h2.T, du, out=g["w1"])
+    np.matmul(np.ones(len(du), np.float32), du, out=g["b1"])
+    dtop += du @ w["w1"].T
+    dh = dtop.reshape(h.shape)
+    da = dh @ v.transpose(0, 2, 1)
+    da -= ((da * a) @ np.ones(2 * s, np.float32))[..., None]
+    da *= a
+    np.sum(da, 0, out=g["pos"])
+    dasks, dgives = np.empty_like(asks), np.empty_like(gives)
+    dasks[..., :d] = dh
+    np.matmul(da, k, out=dasks[..., d:])
+    np.matmul(da.transpose(0, 2, 1), q, out=dgives[..., :d])
+    np.matmul(a.transpose(0, 2, 1), dh, out=dgives[..., d:])
+    by_new = by_token[by_token % (2 * s) >= s]
+    new_cuts = _cuts(ids[by_new])
+    some = place.ravel()[by_new[new_cuts[:-1]]]
+    de, dmaps = np.zeros_like(e), np.zeros((len(e), 3 * d), np.float32)
+    asked = np.add.reduceat(two(dasks)[(by_new // (2 * s)) * s + by_new % (2 * s) - s], new_cuts[:-1])
+    de[some], dmaps[some, :d] = asked[:, :d], asked[:, d:]
+    dmaps[:, d:] = np.add.reduceat(two(dgives)[by_token], token_cuts[:-1])
+    de += dmaps @ maps.T
+    g["emb"][tokens] = de
+    dw = e.T @ dmaps
+    g["wq"][:], g["wk"][:] = dw[:, :d] * scale, dw[:, d : 2 * d]
+    g["wv"][:], g["wo"][:] = dw[:, 2 * d :] @ w["wo"].T, w["wv"].T @ dw[:, 2 * d :]
+    return g, loss / max(1, n)
 
 
 def train(m: Attention, batches: Iterator[tuple[np.ndarray, np.ndarray]], steps: int, rate: float = 1e-2, warm: int = 50) -> None:
     """batches: (windows, targets), at most steps of them; the rate rises over warm steps and falls towards a twentieth."""
-    first, second = ({k: np.zeros_like(v) for k, v in m.w.items()} for _ in range(2))
+    weights = flat(m)
+    m.w = views(m, weights)
+    grad, first, second, room = (np.zeros_like(weights) for _ in range(4))
+    g = views(m, grad)
+    parts = [tuple(x[i : i + PART] for x in (weights, grad, first, second, room)) for i in range(0, len(weights), PART)]
     for step, (win, want) in enumerate(batches, 1):
         if step > steps:
             break
-        g, _ = _gradient(m, win, want)
-        now = np.float32(rate * min(1, step / warm) * (1 - 0.95 * step / steps) / (1 - 0.9**step))
-        fix = np.float32((1 - 0.99**step) ** -0.5)
-        for n, w in m.w.items():
-            a, b = first[n], second[n]
-            a += np.float32(0.1) * (g[n] - a)
-            b += np.float32(0.01) * (g[n] * g[n] - b)
-            w -= now * a / (np.sqrt(b) * fix + np.float32(1e-8))
+        grad.fill(0)
+        _gradient(m, win, want, g, TIMES)
+        now = rate * min(1, step / warm) * (1 - 0.95 * step / steps) / (1 - 0.9**step)
+        fix = (1 - 0.99**step) ** -0.5
+        # first holds ten times the gradient's mean, second a hundred times its square's
+        least, now = np.float32(1e-7 * TIMES / fix), np.float32(now / fix)
+        for w, x, a, b, t in parts:
+            a *= np.float32(0.9)
+            a += x
+            np.multiply(x, x, out=t)
+            b *= np.float32(0.99)
+            b += t
+            np.sqrt(b, out=t)
+            t += least
+            np.divide(a, t, out=t)
+            t *= now
+            w -= t
+
+
+def fit(m: Attention, win: np.ndarray, want: np.ndarray, picks: Iterator[np.ndarray], steps: int, rate: float) -> None:
+    """Trains m on windows by their places. Weights that only tokens of no window have are left as they are: steps go over the others alone."""
+    used = np.zeros(len(m.w["emb"]), bool)
+    used[PAD] = True
+    used[win] = True
+    used[want[want >= 0]] = True
+    tokens = np.flatnonzero(used)
+    number = np.cumsum(used) - 1
+    prefixes = [np.unique(m.prefix[k][tokens]) for k in range(LEVELS)]
+    w = m.w | {"emb": m.w["emb"][tokens]} | {f"out{k}": m.w[f"out{k}"][x] for k, x in enumerate(prefixes)}
+    own = Attention(m.stride, w, np.stack([np.searchsorted(x, m.prefix[k][tokens]) for k, x in enumerate(prefixes)]), m.digit[:, tokens])
+    win, want = number[win], np.where(want >= 0, number[want], -1)
+    train(own, ((win[p], want[p]) for p in picks), steps, rate)
+    for k, v in own.w.items():
+        m.w[k][tokens if k == "emb" else prefixes[int(k[-1])] if k.startswith("out") else slice(None)] = v
 
 
 def layout(lengths: np.ndarray, stride: int) -> tuple[np.ndarray, int]:

@@ -35,8 +35,8 @@ COMMON = 1 << 16
 SPAN, WARM, SHARD, RATE = 1000, 1_500_000, 1_000_000, 1.0
 WIDTH, HIDDEN, STRIDE, BATCH = 24, 48, 8, 192
 STEPS, FAST, SLOW = 1500, 2e-2, 3e-3
-#: Words whose spelling a task remembers; bytes of text and texts scored together.
-KNOWN, TOGETHER, TEXTS = 50_000, 1_000_000, 2000
+#: Bytes of text and texts scored together.
+TOGETHER, TEXTS = 1_000_000, 2000
 #: Weights in one row while they are averaged.
 CHUNK = 4096
 END = b"\n"  # no word has a line break: the end of a text
@@ -87,14 +87,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", learns()).mapInArrow(work, "word binary, c bigint, seen bigint").groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
 
 
+def speller(vocabulary: dict[bytes, int]):
+    """Words -> their tokens, end to end, as encoder gives them one by one; all words are spelt in one call."""
+    import tiktoken
+
+    encode = tiktoken.Encoding("words", pat_str=r" [^ ]{1,63}|[^ ]{1,64}", mergeable_ranks=vocabulary, special_tokens={}).encode_ordinary
+    return lambda words: np.array(encode(" " + b" ".join(words).decode("utf-8", "replace")) if words else [], np.int64) + 1
+
+
+def begins_word(vocabulary: dict[bytes, int]) -> np.ndarray:
+    """Whether a token begins a word: those with a leading space; words have no other."""
+    out = np.zeros(max(vocabulary.values()) + 3, bool)
+    out[[i + 1 for t, i in vocabulary.items() if t[:1] == b" "]] = True
+    return out
+
+
 class Spelling:
-    """Words' tokens, end to end."""
+    """Words' tokens, end to end. begins: begins_word of the vocabulary."""
 
-    def __init__(self, words: list[bytes], encode) -> None:
-        ids = [encode(w) for w in words]
-        self.size = np.array([len(x) for x in ids], np.int64)
-        self.begin = np.cumsum(self.size) - self.size
-        self.flat = np.fromiter((i for x in ids for i in x), np.int64, int(self.size.sum()))
+    def __init__(self, words: list[bytes], spell, begins: np.ndarray) -> None:
+        self.flat = spell(words)
+        self.begin = np.flatnonzero(begins[self.flat])
+        self.size = np.diff(np.append(self.begin, len(self.flat)))
 
 
 def subword_counts(counts: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
@@ -104,9 +118,9 @@ def subword_counts(counts: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarra
     schema = pa.schema([("id", pa.int32()), ("n", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, out = encoder(held.value), np.zeros(n)
+        spell, begins, out = speller(held.value), begins_word(held.value), np.zeros(n)
         for b in sliced(batches, 20_000):
-            s = Spelling(b.column(0).to_pylist(), encode)
+            s = Spelling(b.column(0).to_pylist(), spell, begins)
             out += np.bincount(s.flat, np.repeat(b.column(1).to_numpy(zero_copy_only=False), s.size), n)
         at = np.flatnonzero(out)
         yield as_batch(schema, id=at.astype(np.int32), n=out[at].astype(np.int64))
@@ -148,28 +162,15 @@ def _space(t: bytes, at: int) -> int:
     return min(at, end)
 
 
-def lessons(m: A.Attention, rows: list[tuple[bool, bool, bytes]], encode) -> tuple[np.ndarray, np.ndarray]:
+def lessons(m: A.Attention, rows: list[tuple[bool, bool, bytes]], spell) -> tuple[np.ndarray, np.ndarray]:
     """Windows and targets of passages (begins, ends, text); what a passage that begins inside a text begins with is no target."""
     end = len(m.digit[0]) - 1
-    lines = [np.array([end] * begins + [i for w in text.split() for i in encode(w)] + [end] * ends, np.int64) for begins, ends, text in rows]
+    lines = [np.concatenate([[end] * begins, spell(text.split()), [end] * ends]).astype(np.int64) for begins, ends, text in rows]
     lines = [q for q in lines if len(q) > 1]
     x, y = (np.concatenate([q[part] for q in lines] or [np.zeros(0, np.int64)]) for part in (slice(None, -1), slice(1, None)))
     return A.examples(m, x, np.array([len(q) - 1 for q in lines], np.int64), y)
 
 
-def _remembered(encode):
-    known: dict[bytes, list[int]] = {}
-
-    def spelt(word: bytes) -> list[int]:
-        if word not in known:
-            if len(known) >= KNOWN:
-                known.clear()
-            known[word] = encode(word)
-        return known[word]
-
-    return spelt
-
-
 _WEIGHTS = pa.schema([("k", pa.int32()), ("n", pa.float64()), ("w", pa.list_(pa.float64()))])
 
 
@@ -187,10 +188,10 @@ def warmed(docs: DataFrame, m: A.Attention, vocabulary: dict[bytes, int], size:
         own, words = held.value
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         if rows:
-            win, want = lessons(own, rows, _remembered(encoder(words)))
+            win, want = lessons(own, rows, speller(words))
             rng = np.random.default_rng(6)
             if len(win):
-                A.train(own, ((win[p], want[p]) for p in (rng.integers(0, len(win), BATCH) for _ in range(steps))), steps, FAST)
+                A.fit(own, win, want, (rng.integers(0, len(win), BATCH) for _ in range(steps)), steps, FAST)
             yield from _in_chunks(A.flat(own), 1.0)
 
     drawn = passages(docs, WARM / max(1.0, size), 1).orderBy("u", "text").limit(int(1.2 * WARM / SPAN)).select("begins", "ends", "text")
@@ -205,19 +206,19 @@ def averaged(docs: DataFrame, m: A.Attention, vocabulary: dict[bytes, int], size
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, words = held.value
-        encode, total, n = _remembered(encoder(words)), None, 0.0
+        spell, total, n = speller(words), None, 0.0
         rows: list[tuple[bool, bool, bytes]] = []
         now = None
 
         def done() -> None:
             nonlocal total, n
             own = start.copy()
-            win, want = lessons(own, rows, encode)
+            win, want = lessons(own, rows, spell)
             rows.clear()
             if len(win):
                 order = np.random.default_rng(now).permutation(len(win))
                 steps = -(-len(order) // BATCH)
-                A.train(own, ((win[order[i::steps]], want[order[i::steps]]) for i in range(steps)), steps, SLOW)
+                A.fit(own, win, want, (order[i::steps] for i in range(steps)), steps, SLOW)
                 k = float((want >= 0).sum())
                 total, n = k * A.flat(own).astype(float) + (0 if total is None else total), n + k
 
@@ -310,10 +311,9 @@ def scored(d: DataFrame, m: Model, counts: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = held.value
-        encode, scorer, end = encoder(m.ranks), A.Scorer(m.attention), len(m.attention.digit[0]) - 1
+        spell, begins, scorer, end = speller(m.ranks), begins_word(m.ranks), A.Scorer(m.attention), len(m.attention.digit[0]) - 1
         logs, k = np.log10(m.count + 0.5), len(m.words)
-        common = Spelling(list(m.words), encode)
-        spelt = _remembered(encode)
+        common = Spelling(list(m.words), spell, begins)
         rid = TaskContext.get().partitionId() << 40
         texts: list[bytes | None] = []
         meta: list[tuple] = []
@@ -332,7 +332,7 @@ def scored(d: DataFrame, m: Model, counts: DataFrame) -> DataFrame:
                     parts.append(i)
                     n[r] += len(i)
             flat, row = np.concatenate(parts), np.repeat(np.arange(len(n)), n)
-            own = Spelling(list(new), spelt)
+            own = Spelling(list(new), spell, begins)
             size = np.concatenate([common.size, own.size, [1]])
             begin = np.concatenate([common.begin, own.begin + len(common.flat), [len(common.flat) + len(own.flat)]])
             tokens = np.concatenate([common.flat, own.flat, [end]])

@@ -339,6 +339,35 @@ def test_attention_learns():
     assert (attention.flat(attention.filled(m, attention.flat(m))) == attention.flat(m)).all()
 
 
+def test_attention_training_is_adams():
+    """Weights after some steps are those of plain Adam, also of tokens and codes that a batch lacks."""
+    r = np.random.default_rng(4)
+    m = some_attention(60)
+    win, want = attention.examples(m, r.integers(1, 20, 400), np.array([150, 250]), r.integers(1, 20, 400))
+    order, steps, plain = r.permutation(len(win)), 9, m.copy()
+    first, second = ({k: np.zeros(v.shape) for k, v in m.w.items()} for _ in range(2))
+    for step in range(1, steps + 1):
+        g, _ = attention._gradient(plain, win[order[step::steps]], want[order[step::steps]])
+        for k, x in g.items():
+            first[k], second[k] = 0.9 * first[k] + 0.1 * x, 0.99 * second[k] + 0.01 * x.astype(float) ** 2
+            rate = 0.02 * step / 50 * (1 - 0.95 * step / steps)
+            plain.w[k] = (plain.w[k] - rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    attention.train(m, ((win[order[i::steps]], want[order[i::steps]]) for i in range(1, steps + 1)), steps, 0.02)
+    assert np.abs(attention.flat(m) - attention.flat(plain)).max() < 1e-4
+
+
+def test_attention_fit_is_training_without_the_tokens_that_no_window_has():
+    r = np.random.default_rng(6)
+    m = some_attention(60)
+    x = r.choice([2, 3, 17, 40, 41, 59], 200)
+    win, want = attention.examples(m, x, np.array([80, 120]), np.roll(x, -1))
+    picks, whole, begun = [r.integers(0, len(win), 16) for _ in range(12)], m.copy(), m.copy()
+    attention.train(whole, ((win[p], want[p]) for p in picks), 12, 0.02)
+    attention.fit(m, win, want, iter(picks), 12, 0.02)
+    assert np.allclose(attention.flat(m), attention.flat(whole), atol=1e-5) and not np.allclose(attention.flat(m), attention.flat(begun), atol=1e-2)
+    assert (m.w["emb"][4] == begun.w["emb"][4]).all()
+
+
 @pytest.fixture
 def small_lm(monkeypatch):
     for k, v in (("COMMON", 10), ("STEPS", 3), ("WARM", 20_000), ("SHARD", 20_000), ("RATE", 0.5)):
@@ -384,6 +413,14 @@ def test_lm_beats_its_base_on_held_out_texts_of_two_languages(spark, monkeypatch
     assert len(held) > 30 and sum(g.score for g in held) > sum(g.base_score for g in held) + 0.1 * sum(g.n_tokens for g in held)
 
 
+def test_lm_words_spelt_in_one_call_are_those_spelt_one_by_one():
+    words = [b"the", b"x" * 62, b"x" * 63, b"x" * 64, b"x" * 200, "日本".encode() * 70, "a\u00a0b\u2003c\x1c".encode(), b"\xff\xe4\xb8", b"\xe4\xb8", "straße".encode(), b"!?..", b"the"]
+    vocabulary = lm_score.ranks()
+    encode, s = lm_score.encoder(vocabulary), lm_score.Spelling(words, lm_score.speller(vocabulary), lm_score.begins_word(vocabulary))
+    assert [s.flat[a : a + n].tolist() for a, n in zip(s.begin, s.size)] == [encode(w) for w in words]
+    assert len(lm_score.Spelling([], lm_score.speller(vocabulary), lm_score.begins_word(vocabulary)).size) == 0
+
+
 def test_lm_passages_come_from_all_of_a_text(spark):
     text = " ".join(f"w{i}" for i in range(4000))
     d = spark.createDataFrame([(7, text), (8, None), (9, "x" * 9000)], "doc_id bigint, text string")
