@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -185,3 +187,52 @@ def test_jaccard_pairs_order_their_sets_once(spark):
     # the ordered sets are read three times: their counts and collected words are no part of the plan that reads them
     assert "collect_list" not in pairs._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in pairs.collect()] == [(1, 2, 0.909091)]
+
+
+def near_copies(clusters: int, copies: int, size: int) -> list[tuple[int, str]]:
+    """Texts of distinct words: near copies that differ in up to a tenth of their words, shuffled over the ids."""
+    r, texts = random.Random(3), []
+    for c in range(clusters):
+        words = [f"{r.getrandbits(40):010x}" for _ in range(size)]
+        for _ in range(copies):
+            new = r.randrange(size // 10)
+            texts.append(" ".join([*r.sample(words, size - new), *(f"{r.getrandbits(40):010x}" for _ in range(new))]))
+    r.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_jaccard_pairs_are_all_pairs(spark, monkeypatch):
+    texts = near_copies(6, 7, 30) + near_copies(2, 12, 140) + [(0, "a b c"), (0, "a b c"), (0, "the"), (0, ""), (0, None)]
+    rows = [(i * 7 % 101, t) for i, (_, t) in enumerate(texts)]
+    tokens = {}
+    for i, t in rows:
+        s = frozenset((t or "").split())
+        if s:
+            tokens[s] = min(i, tokens.get(s, i))
+    sets = sorted((i, s) for s, i in tokens.items())
+    want = {(i, j, round(len(x & y) / len(x | y), 6)) for n, (i, x) in enumerate(sets) for j, y in sets[n + 1 :] if round(len(x & y) / len(x | y), 6) >= 0.88}
+    d = spark.createDataFrame(rows, "id bigint, text string")
+    tokens = F.filter(F.split("text", " "), lambda x: x != "")
+    assert len(want) > 30 and {tuple(x) for x in questions.jaccard_pairs(d, "id", tokens).collect()} == want
+    # places cut into grids, hashes ordered row by row, few buckets: the same pairs
+    for name, value in (("PLACE", 150), ("HELD", 20), ("BUCKETS", 16)):
+        monkeypatch.setattr(questions, name, value)
+    got = questions.jaccard_pairs(d, "id", tokens).collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+
+
+def test_jaccard_pairs_send_a_clusters_words_once(spark):
+    rows = near_copies(1, 80, 300)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    d = spark.createDataFrame(rows, "id bigint, text string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        found = questions.jaccard_pairs(d, "id", F.split("text", " ")).count()
+        time.sleep(1)
+        sent = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    # once by id, once to their place; prefixes and prints besides
+    assert found > 500 and 0 < sent < 4 * sum(len(t) for _, t in rows), (found, sent, sum(len(t) for _, t in rows))
